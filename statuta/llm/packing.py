@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import coded_words, cut, shards_for, text_column, text_slices
 
-CACHE_WORDS = 250_000
+#: A worker remembers the ids of its latest words, so many in each of two generations.
+CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 #: Documents that one task packs together; hashing makes all shards alike.
 SHARD_DOCUMENTS = 40_000
@@ -31,20 +32,19 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         words, codes, offsets = coded_words(texts)
-        fresh = [w for w in words if w not in self.packed]
-        if len(self.packed) + len(fresh) > CACHE_WORDS:
-            self.packed.clear()
-            fresh = words
-        now: dict[str, bytes] = {}
+        table = [self.packed.get(w) or self.older.get(w) for w in words]
+        fresh = [k for k, ids in enumerate(table) if ids is None]
         for first in range(0, len(fresh), 4096):
             some = fresh[first : first + 4096]
-            for word, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = np.array(encoded.ids, dtype="<u4").tobytes()
-                (self.packed if len(word) <= CACHE_CHARS and len(self.packed) < CACHE_WORDS else now)[word] = ids
-        table = [self.packed[w] if w in self.packed else now[w] for w in words]
+            for k, encoded in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
+                table[k] = np.array(encoded.ids, dtype="<u4").tobytes()
+        if len(self.packed) + len(words) > CACHE_WORDS:
+            self.packed, self.older = {}, self.packed
+        self.packed.update((w, ids) for w, ids in zip(words, table) if len(w) <= CACHE_CHARS)
         parts = list(map(table.__getitem__, codes.tolist()))
         bounds = offsets.tolist()
         return [b"".join(parts[a:b]) for a, b in zip(bounds, bounds[1:])]

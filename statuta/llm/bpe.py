@@ -7,6 +7,7 @@ import functools
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import text_column, text_slices
 
-#: A worker forgets what it has encoded when it holds this many distinct strings (about 60 MB).
-CACHE_STRINGS = 250_000
+#: A worker remembers its latest pre-tokens and stretches of text, so many of each in a generation (200 bytes each).
+CACHE_TOKENS, CACHE_STRETCHES = 400_000, 200_000
 #: Longer strings are encoded each time, so that the cache stays small in bytes as well.
 CACHE_CHARS = 64
 
@@ -43,82 +44,97 @@ class RankQueue:
         leaves = max(ranks.values(), default=0) // 64 + 1
         self.leaf = [0] * leaves
         self.middle = [0] * (leaves // 64 + 1)
-        self.top = 0
         self.bucket: dict[int, list[int]] = {}
 
-    def _push(self, rank: int, position: int) -> None:
-        held = self.bucket.get(rank)
-        if held is not None:
-            heappush(held, position)
-            return
-        self.bucket[rank] = [position]
-        word = rank >> 6
-        self.leaf[word] |= 1 << (rank & 63)
-        self.middle[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def _first(self) -> int:
-        high = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[high]
-        word = (high << 6) | ((bits & -bits).bit_length() - 1)
-        bits = self.leaf[word]
-        return (word << 6) | ((bits & -bits).bit_length() - 1)
-
-    def _drop(self, rank: int) -> None:
-        del self.bucket[rank]
-        word = rank >> 6
-        self.leaf[word] &= ~(1 << (rank & 63))
-        if not self.leaf[word]:
-            self.middle[word >> 6] &= ~(1 << (word & 63))
-            if not self.middle[word >> 6]:
-                self.top &= ~(1 << (word >> 6))
-
     def encode(self, piece: bytes) -> list[int]:
-        rank_of = self.ranks.get
+        ranks, leaf, middle, bucket = self.ranks, self.leaf, self.middle, self.bucket
+        rank_of = ranks.get
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        n, top = len(piece), 0
         after = list(range(1, n + 2))
         before = list(range(-1, n))
-        pair = [-1] * n
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                self._push(rank, i)
-        while self.top:
-            rank = self._first()
-            held = self.bucket[rank]
-            i = heappop(held)
-            if not held:
-                self._drop(rank)
+        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        fresh = list(enumerate(pair))
+        while True:
+            for i, rank in fresh:
+                if rank >= 0:
+                    held = bucket.get(rank)
+                    if held is None:
+                        bucket[rank] = [i]
+                        word = rank >> 6
+                        high = rank >> 12
+                        leaf[word] |= 1 << (rank & 63)
+                        middle[high] |= 1 << (word & 63)
+                        top |= 1 << high
+                    else:
+                        heappush(held, i)
+            if not top:
+                break
+            high = (top & -top).bit_length() - 1
+            bits = middle[high]
+            word = (high << 6) + (bits & -bits).bit_length() - 1
+            bits = leaf[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            held = bucket[rank]
+            if len(held) > 1:
+                i = heappop(held)
+            else:
+                i = held[0]
+                del bucket[rank]
+                bits &= bits - 1
+                leaf[word] = bits
+                if not bits:
+                    middle[high] &= middle[high] - 1
+                    if not middle[high]:
+                        top &= top - 1
             if pair[i] != rank:
+                fresh = ()
                 continue
             gone = after[i]
             following = after[gone]
             after[i] = following
-            pair[gone] = pair[i] = -1
+            pair[gone] = -1
             if following < n:
                 before[following] = i
-                rank = rank_of(piece[i : after[following]])
-                if rank is not None:
-                    pair[i] = rank
-                    self._push(rank, i)
+                rank = pair[i] = rank_of(piece[i : after[following]], -1)
+            else:
+                rank = pair[i] = -1
             previous = before[i]
             if previous >= 0:
-                rank = rank_of(piece[previous:following])
-                pair[previous] = -1
-                if rank is not None:
-                    pair[previous] = rank
-                    self._push(rank, previous)
+                pair[previous] = left = rank_of(piece[previous:following], -1)
+                fresh = ((i, rank), (previous, left))
+            else:
+                fresh = ((i, rank),)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
 
+class Cache(dict):
+    """Two generations of results: what was asked for since the last change of generation stays."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+            if len(text) > CACHE_CHARS:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[text] = found
+        return found
+
+
 class Encoder:
     """Whole texts to ids, packed as little-endian unsigned 32-bit numbers."""
 
@@ -126,30 +142,10 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.queue = RankQueue(self.ranks)
         self.find = regex.compile(pattern).findall
-        self.packed: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
         self.vocabulary = {rank: token for token, rank in self.ranks.items()}
-
-    def _pre_token(self, text: str) -> bytes:
-        found = self.tokens.get(text)
-        if found is None:
-            found = np.array(self.queue.encode(text.encode()), dtype="<u4").tobytes()
-            if len(text) <= CACHE_CHARS:
-                if len(self.tokens) >= CACHE_STRINGS:
-                    self.tokens.clear()
-                self.tokens[text] = found
-        return found
-
-    def stretch(self, text: str) -> bytes:
-        """Ids of a stretch of text that no pre-token leaves or enters."""
-        found = self.packed.get(text)
-        if found is None:
-            found = b"".join(map(self._pre_token, self.find(text)))
-            if len(text) <= CACHE_CHARS:
-                if len(self.packed) >= CACHE_STRINGS:
-                    self.packed.clear()
-                self.packed[text] = found
-        return found
+        self.pre_token = Cache(lambda text: pack(f"<{len(ids := self.queue.encode(text.encode()))}I", *ids), CACHE_TOKENS).__getitem__
+        #: Ids of a stretch of text that no pre-token leaves or enters.
+        self.stretch = Cache(lambda text: b"".join(map(self.pre_token, self.find(text))), CACHE_STRETCHES).__getitem__
 
     #: A pre-token never runs from a character that is no white space into a space.
     _stretches = staticmethod(re.compile(r"(?<=\S)(?= )").split)

@@ -263,16 +263,18 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, text_key bigint, first int, words int")
 
 
-def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words long, n_removed long, kept string) for every row.
+def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """(id, n_words long, n_removed long, kept string[, carried column]) for every row.
 
     Words are maximal runs without ASCII white space; kept is what is left, joined by single spaces. Windows
     are judged on the input. Null, empty and short texts lose nothing; repeated rows and rows that share an
     id do not count as earlier than each other; a null id is earlier than none and later than none.
     """
     spans = repeated_spans(df, window, id_col, text_col).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    kind = rows.schema["id"].dataType.simpleString()
+    own = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), own.alias("text"), F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)).alias("text_key"), *([F.col(carry).alias("carried")] if carry else []))
+    more = ["carried"] if carry else []
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["id", *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -289,7 +291,8 @@ def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
                     words = [words[i] for i in stay]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ["id", *more]), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", *more, "n_words", "n_removed", "kept"])
 
-    found = rows.join(spans, ["id", "text_key"], "left").select("id", "text", "spans")
-    return found.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
+    found = rows.join(spans, ["id", "text_key"], "left").select("id", *more, "text", "spans")
+    out = found.mapInArrow(run, f"{kinds}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("carried", carry) if carry else out

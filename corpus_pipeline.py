@@ -42,13 +42,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates; repeated rows of it become one.
+    """Keep the document with the smallest id of each group of near duplicates.
 
-    Rows without an id cannot be told apart from others of their group and stay only in groups without ids.
+    Rows that repeat an id count as one document, the one whose text sorts first. Rows without an id cannot
+    be a group's smallest; they take no part and stay, one of each text.
     """
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "bits").distinct()
-    kept = docs.join(found.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return _documents(kept).dropDuplicates(["doc_id", "text"])
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = simhash.near_duplicates(named).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    rest = F.struct("text", "lang", "source", "n_chars")
+    kept = named.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row")).select("doc_id", "row.*")
+    return kept.select(*COLUMNS).union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*COLUMNS))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

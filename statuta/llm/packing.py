@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,8 @@ class WordTokenizer:
         for first in range(0, len(fresh), 4096):
             some = fresh[first : first + 4096]
             for k, encoded in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
-                table[k] = np.array(encoded.ids, dtype="<u4").tobytes()
+                ids = encoded.ids
+                table[k] = pack_ids(f"<{len(ids)}I", *ids)
         if len(self.packed) + len(words) > CACHE_WORDS:
             self.packed, self.older = {}, self.packed
         self.packed.update((w, ids) for w, ids in zip(words, table) if len(w) <= CACHE_CHARS)

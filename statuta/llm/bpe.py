@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from statuta.llm.common import text_column, text_slices
 
 #: A worker remembers its latest pre-tokens and stretches of text, so many of each in a generation (200 bytes each).
-CACHE_TOKENS, CACHE_STRETCHES = 400_000, 200_000
+CACHE_TOKENS, CACHE_STRETCHES = 250_000, 80_000
 #: Longer strings are encoded each time, so that the cache stays small in bytes as well.
 CACHE_CHARS = 64
 

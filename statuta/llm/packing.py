@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statuta.llm.common import coded_words, cut, shards_for, text_column, text_slices
 
 #: A worker remembers the ids of its latest words, so many in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 64
 #: Documents that one task packs together; hashing makes all shards alike.
 SHARD_DOCUMENTS = 40_000

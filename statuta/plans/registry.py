@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from statuta.plans import queries_retrieval, queries_sources, queries_state, queries_text
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+for _module in (queries_retrieval, queries_text, queries_sources, queries_state):
+    QUERIES |= _module.REGISTRY.queries
+    ORACLE_SQL |= _module.REGISTRY.sql

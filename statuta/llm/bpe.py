@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import text_column, text_slices
 
-#: A worker remembers its latest pre-tokens and stretches of text, so many of each in a generation (200 bytes each).
-CACHE_TOKENS, CACHE_STRETCHES = 250_000, 80_000
+#: A worker remembers its latest pre-tokens, so many in each of two generations (about 300 bytes each).
+CACHE_TOKENS = 300_000
+#: Marks that are a pre-token of their own after a word and before a space, in any pattern that parts letters, digits and the rest.
+MARKS = (".", ",", ";", ":", "!", "?")
 #: Longer strings are encoded each time, so that the cache stays small in bytes as well.
 CACHE_CHARS = 64
 
@@ -41,23 +43,28 @@ class RankQueue:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # What two neighbouring tokens merge into, by both their ranks in one number.
+        get = ranks.get
+        halves = ((get(t[:k], -1), get(t[k:], -1), r) for t, r in ranks.items() for k in range(1, len(t)))
+        self.merged = {a << 24 | b: r for a, b, r in halves if a >= 0 and b >= 0}
         leaves = max(ranks.values(), default=0) // 64 + 1
         self.leaf = [0] * leaves
         self.middle = [0] * (leaves // 64 + 1)
         self.bucket: dict[int, list[int]] = {}
 
     def encode(self, piece: bytes) -> list[int]:
-        ranks, leaf, middle, bucket = self.ranks, self.leaf, self.middle, self.bucket
-        rank_of = ranks.get
-        whole = rank_of(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        leaf, middle, bucket, rank_of = self.leaf, self.middle, self.bucket, self.merged.get
+        token = list(map(self.bytes.__getitem__, piece))
         n, top = len(piece), 0
-        after = list(range(1, n + 2))
-        before = list(range(-1, n))
-        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        pair = [rank_of(a << 24 | b, -1) for a, b in zip(token, token[1:])]
         pair.append(-1)
-        fresh = list(enumerate(pair))
+        fresh = enumerate(pair)
         while True:
             for i, rank in fresh:
                 if rank >= 0:
@@ -94,25 +101,21 @@ class RankQueue:
                 fresh = ()
                 continue
             gone = after[i]
-            following = after[gone]
-            after[i] = following
-            pair[gone] = -1
+            after[i] = following = after[gone]
+            token[i] = rank
+            token[gone] = pair[gone] = -1
             if following < n:
                 before[following] = i
-                rank = pair[i] = rank_of(piece[i : after[following]], -1)
+                right = pair[i] = rank_of(rank << 24 | token[following], -1)
             else:
-                rank = pair[i] = -1
+                right = pair[i] = -1
             previous = before[i]
             if previous >= 0:
-                pair[previous] = left = rank_of(piece[previous:following], -1)
-                fresh = ((i, rank), (previous, left))
+                left = pair[previous] = rank_of(token[previous] << 24 | rank, -1)
+                fresh = ((i, right), (previous, left))
             else:
-                fresh = ((i, rank),)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
+                fresh = ((i, right),)
+        return [t for t in token if t >= 0]
 
 
 class Cache(dict):
@@ -144,8 +147,18 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.vocabulary = {rank: token for token, rank in self.ranks.items()}
         self.pre_token = Cache(lambda text: pack(f"<{len(ids := self.queue.encode(text.encode()))}I", *ids), CACHE_TOKENS).__getitem__
-        #: Ids of a stretch of text that no pre-token leaves or enters.
-        self.stretch = Cache(lambda text: b"".join(map(self.pre_token, self.find(text))), CACHE_STRETCHES).__getitem__
+
+    def stretch(self, text: str) -> bytes:
+        """Ids of a stretch of text that no pre-token leaves or enters."""
+        return b"".join(map(self.pre_token, self.find(text)))
+
+    def spaced(self, word: str) -> bytes:
+        """Ids of a space and a word. Letters alone, or with one common mark after them, need no pattern."""
+        if word.isalpha():
+            return self.pre_token(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.pre_token(" " + word[:-1]) + self.pre_token(word[-1])
+        return self.stretch(" " + word)
 
     #: A pre-token never runs from a character that is no white space into a space.
     _stretches = staticmethod(re.compile(r"(?<=\S)(?= )").split)
@@ -160,7 +173,7 @@ class Encoder:
         if len(rows):
             split = pc.split_pattern(texts.take(pa.array(rows)), " ")
             coded = split.flatten().dictionary_encode()
-            known = [self.stretch(" " + word) for word in coded.dictionary.to_pylist()]
+            known = list(map(self.spaced, coded.dictionary.to_pylist()))
             words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
             offsets = np.asarray(split.offsets, dtype=np.int64)
             offsets = (offsets - offsets[0]).tolist()

@@ -43,7 +43,7 @@ def bm25(requests: DataFrame, postings_: DataFrame, width: Column) -> DataFrame:
     """
     stats = corpus_stats(postings_)
     terms = requests.select("query_id", "source_types", width.alias("width"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = postings_.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    asked = postings_.join(terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))

@@ -87,9 +87,9 @@ def version_chains(spark, d):
 def resolve_as_of(spark, d):
     rows = adapter.entities(spark, d)
     chains = versions.chains(rows, adapter.edges(spark, d))
-    dates = F.broadcast(adapter.requests(spark, d).groupBy("as_of").agg(F.collect_list("query_id").alias("queries")))
+    dates = adapter.requests(spark, d).groupBy("as_of").agg(F.collect_list("query_id").alias("queries"))
     # Each chain is resolved for each date of the request table; the table of dates is the side that is repeated.
-    hits = rows.select("entity_id").join(dates).select("entity_id", "as_of", "queries")
+    hits = rows.select("entity_id").crossJoin(dates).select("entity_id", "as_of", "queries")
     return versions.resolve(hits, rows, chains).select(F.explode("queries").alias("query_id"), "entity_id", "resolved_id")
 
 
@@ -98,7 +98,7 @@ def interval_join(spark, d):
     """Documents in force and visible at each request, counted by type: one pass over the documents."""
     rows = adapter.entities(spark, d)
     on = valid_at(F.col("effective_date"), F.col("superseded_date"), F.col("as_of")) & visible(F.col("allowed_depts"), F.col("dept"))
-    found = rows.join(F.broadcast(adapter.requests(spark, d).select("query_id", "as_of", "dept")), on)
+    found = rows.join(adapter.requests(spark, d).select("query_id", "as_of", "dept"), on)
     return found.groupBy("type", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"))
 
 

@@ -1,2 +1,171 @@
+"""Queries of scans, pages, listings and crawls."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from statuta.functions import korean
+from statuta.plans import sql as S
+from statuta.plans.queries_text import FDOC, FILES
 from statuta.plans.register import Registry
+from statuta.sources import adapter, crawl, files, pages
+
 REGISTRY = Registry()
+query = REGISTRY.query
+
+
+@query()
+def scan_staged(spark, d):
+    """The files under the data folder, by suffix; contents are not read."""
+    return files.scan(spark, d, ("parquet",)).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+
+
+@query(S.with_(S.ENT, FILES, FDOC) + "SELECT type, count(*) AS n, min(entity_id) AS first_id FROM (SELECT 'regulation' AS type, entity_id FROM fdoc UNION ALL SELECT 'review', replace(entity_id,'regulation:','review:') FROM fdoc WHERE doc_id%2=0 UNION ALL SELECT type, entity_id FROM ent) GROUP BY 1")
+def source_union(spark, d):
+    """Documents of several sources with different columns in one table."""
+    staged = files.staged(spark, d)
+    parts = [files.file_documents(staged, "regulation"), files.file_documents(staged.where("doc_id % 2 = 0"), "review"), adapter.entities(spark, d).drop("doc_id", "t", "version")]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return every.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"))
+
+
+BLOCK = r"<(h1|p)(?: [^>]*)?>([^<]+)"
+BLOCKS = f"bl0 AS (SELECT page_id, unnest(regexp_extract_all(html,'{BLOCK}')) AS hit, unnest(range(len(regexp_extract_all(html,'{BLOCK}')))) AS block_no FROM pages),\nbl AS (SELECT page_id, block_no, regexp_extract(hit,'{BLOCK}',1) AS tag, regexp_extract(hit,'{BLOCK}',2) AS text FROM bl0)"
+
+
+@query(S.with_(BLOCKS) + "SELECT page_id, CAST(block_no AS BIGINT) AS block_no, tag, text FROM bl")
+def page_blocks(spark, d):
+    return pages.blocks(adapter.read(spark, d, "pages")).withColumn("block_no", F.col("block_no").cast("bigint"))
+
+
+BASE = "'L'||page_id||'-'||block_no||'-0'"
+EFF = "DATE '2020-01-01'+CAST(page_id%900 AS INTEGER)"
+NEXT = "DATE '2023-01-01'+CAST(block_no AS INTEGER)"
+
+
+@query(
+    S.with_(BLOCKS)
+    + f"SELECT {BASE}||'@'||{EFF} AS id, trim('Law'||page_id||' '||text) AS title, text AS body, {EFF} AS effective_date, CASE WHEN block_no%3=0 AND block_no%9<>0 THEN {NEXT} END AS superseded_date, NULL AS supersedes FROM bl WHERE tag='p'"
+    f" UNION ALL SELECT {BASE}||'@'||{NEXT}, trim('Law'||page_id||' '||text||' new'), text||' new', {NEXT}, NULL, 'law:'||{BASE}||'@'||{EFF} FROM bl WHERE tag='p' AND block_no%3=0 AND block_no%9<>0"
+)
+def bitemporal_items(spark, d):
+    """Paragraphs of pages as articles; every third has an upcoming version, of these every third without a date."""
+    rows = pages.blocks(adapter.read(spark, d, "pages")).where("tag = 'p'")
+    upcoming = F.col("block_no") % 3 == 0
+    articles = rows.select(
+        F.concat(F.lit("L"), F.col("page_id").cast("string")).alias("law_id"),
+        F.concat(F.lit("Law"), F.col("page_id").cast("string")).alias("law_name"),
+        F.col("block_no").alias("jo_no"),
+        F.lit(0).alias("jo_br_no"),
+        F.col("text").alias("title"),
+        F.col("text").alias("body"),
+        F.expr("date_add(date'2020-01-01', cast(page_id % 900 as int))").alias("effective_date"),
+        upcoming.alias("upcoming"),
+        F.concat("text", F.lit(" new")).alias("upcoming_title"),
+        F.concat("text", F.lit(" new")).alias("upcoming_body"),
+        F.when(F.col("block_no") % 9 != 0, F.expr("date_add(date'2023-01-01', block_no)")).alias("upcoming_date"),
+    )
+    return pages.versioned_items(articles)
+
+
+NAV = r'<a href="([^"]*)">([^<]*)</a>'
+LISTED = f"""li0 AS (SELECT page_id, unnest(regexp_extract_all(html,'{NAV}')) AS hit, unnest(range(1,len(regexp_extract_all(html,'{NAV}'))+1)) AS no FROM pages),
+li AS (SELECT page_id, no, regexp_extract(hit,'{NAV}',2) AS name, regexp_extract(hit,'{NAV}',1) AS target FROM li0)"""
+
+
+@query(S.with_(LISTED) + "SELECT page_id, CAST(no AS BIGINT) AS no, name, target FROM li")
+def listing_rows(spark, d):
+    return pages.listing_rows(adapter.read(spark, d, "pages")).withColumn("no", F.col("no").cast("bigint"))
+
+
+@query(S.with_(LISTED) + "SELECT page_id, CAST(no AS BIGINT) AS no, trim(name) AS listed_name, DATE '2023-01-01'+CAST((page_id*7+no)%700 AS INTEGER) AS effective_date, DATE '2023-01-01'+CAST((page_id*7+no)%700 AS INTEGER)>DATE '2024-01-01' AS upcoming FROM li")
+def left_listing_rows(spark, d):
+    """Names with their date in force; those after the given day are upcoming."""
+    rows = pages.listing_rows(adapter.read(spark, d, "pages")).withColumn("day", F.expr("date_add(date'2023-01-01', cast((page_id * 7 + no) % 700 as int))"))
+    text = F.concat("name", F.lit(" [시행 "), F.year("day").cast("string"), F.lit(". "), F.month("day").cast("string"), F.lit(". "), F.dayofmonth("day").cast("string"), F.lit(".]"))
+    return pages.dated_names(rows, text, F.lit("2024-01-01").cast("date")).select("page_id", F.col("no").cast("bigint").alias("no"), "listed_name", "effective_date", "upcoming")
+
+
+@query("WITH p AS (SELECT page_id%5 AS site, page_id//5 AS page, DATE '2024-06-01'-CAST(page_id//5+(page_id%3)*20 AS INTEGER) AS newest FROM pages) SELECT site, page, newest FROM (SELECT *, min(newest) OVER (PARTITION BY site ORDER BY page ROWS UNBOUNDED PRECEDING) AS low FROM p) WHERE low>=DATE '2024-04-15'")
+def listing_increment(spark, d):
+    rows = adapter.read(spark, d, "pages").selectExpr("page_id % 5 as site", "page_id div 5 as page", "date_sub(date'2024-06-01', cast(page_id div 5 + (page_id % 3) * 20 as int)) as newest")
+    return pages.fresh_pages(rows, F.lit("2024-04-15").cast("date"))
+
+
+@query(S.with_(LISTED) + "SELECT DISTINCT name, target FROM li")
+def listing_dedupe(spark, d):
+    """Rows of all pages, whole duplicates once, without the page number."""
+    rows = pages.listing_rows(adapter.read(spark, d, "pages")).drop("page_id", "no")
+    return rows.dropDuplicates()
+
+
+@query(S.with_(S.ENT) + "SELECT entity_id, regexp_replace(title,'[^가-힣]','','g') AS norm FROM ent")
+def norm_name(spark, d):
+    return adapter.entities(spark, d).select("entity_id", korean.hangul_only(F.col("title")).alias("norm"))
+
+
+@query("SELECT o_custkey, o_orderkey, upcoming FROM (SELECT o_custkey, o_orderkey, o_orderdate>=TIMESTAMP '1997-01-01' AS upcoming, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate>=TIMESTAMP '1997-01-01', o_orderkey DESC) AS n FROM orders) WHERE n=1")
+def pick_current_listing(spark, d):
+    """One order a customer: those before a day first, then the highest number."""
+    rows = adapter.read(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")).alias("upcoming"))
+    return pages.current_listing(rows, "o_custkey", "o_orderkey")
+
+
+@query(
+    "WITH l AS (SELECT o_custkey%3 AS site_no, o_custkey AS norm, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey%4<>0), g AS (SELECT c_custkey AS name, site_no, max(date) AS date FROM customer JOIN l ON norm=c_custkey GROUP BY 1,2)"
+    " SELECT name, date FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY site_no) AS n FROM g) WHERE n=1"
+)
+def watch_dates(spark, d):
+    names = adapter.read(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_custkey").alias("norm"))
+    rows = adapter.read(spark, d, "orders").where("o_orderkey % 4 <> 0").select((F.col("o_custkey") % 3).alias("site_no"), F.col("o_custkey").alias("norm"), F.col("o_orderdate").cast("date").alias("date"))
+    return pages.watch_dates(names, rows)
+
+
+@query(
+    "WITH o AS (SELECT o_custkey AS name, max(CAST(o_orderdate AS DATE)) FILTER (o_orderkey%3<>0) AS cached, max(CAST(o_orderdate AS DATE)) FILTER (o_orderkey%5<>0) AS now FROM orders GROUP BY 1)"
+    " SELECT c_custkey AS name, CASE WHEN cached IS NOT NULL AND now IS NOT NULL AND cached=now THEN 'reuse' WHEN c_custkey%4<>0 THEN 'recrawl' WHEN cached IS NOT NULL THEN 'fallback' ELSE 'drop' END AS action FROM customer LEFT JOIN o ON name=c_custkey"
+)
+def crawl_plan(spark, d):
+    orders = adapter.read(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderdate").cast("date").alias("day"), "o_orderkey")
+    names = adapter.read(spark, d, "customer").select(F.col("c_custkey").alias("name"))
+    latest = lambda n: orders.where(F.col("o_orderkey") % n != 0).groupBy("name").agg(F.max("day").alias("date"))
+    return pages.crawl_plan(names, latest(3), latest(5), names.where("name % 4 = 0"))
+
+
+def items(spark, d):
+    """Crawled items as JSON texts; some lack a title, have a bad date or an unknown relation."""
+    rows = adapter.read(spark, d, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    day = F.when(F.col("doc_id") % 13 == 0, "2024-99-01").when(F.col("doc_id") % 3 == 0, "").otherwise(F.date_format(F.expr("date_add(date'2020-01-01', cast(doc_id % 900 as int))"), "yyyy-MM-dd"))
+    item = F.struct(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("Title "), F.col("doc_id").cast("string"))).alias("title"),
+        F.col("text").alias("body"),
+        day.alias("effective_date"),
+        F.array(F.array(F.when(F.col("doc_id") % 17 == 0, "knows").otherwise(F.lit("cites")), F.concat(F.lit("law:"), (F.col("doc_id") % 100).cast("string")))).alias("relations"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("law:"), F.col("doc_id").cast("string"), F.lit("-old"))).alias("supersedes"),
+    )
+    many = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("Title").alias("title"), F.lit("b").alias("body"), F.array(F.lit("law:a"), F.concat(F.lit("law:"), F.col("doc_id").cast("string"))).alias("supersedes"))
+    return rows.select("doc_id", F.when(F.col("doc_id") % 19 == 0, "not json").when(F.col("doc_id") % 7 == 0, F.to_json(many)).otherwise(F.to_json(item)).alias("value"))
+
+
+REASON = "CASE WHEN doc_id%19=0 THEN 'missing id' WHEN doc_id%7=0 THEN NULL WHEN doc_id%11=0 THEN 'missing title' WHEN doc_id%13=0 THEN 'bad date' WHEN doc_id%17=0 THEN 'unknown relation' END"
+ITEMS = f"it AS (SELECT doc_id, coalesce(text,'') AS text, {REASON} AS reason FROM documents WHERE doc_id IS NOT NULL)"
+
+
+@query(S.with_(ITEMS) + "SELECT 'law:'||doc_id AS entity_id, CASE WHEN doc_id%7=0 THEN 'Title' ELSE 'Title '||doc_id END AS title, CASE WHEN doc_id%7=0 THEN 'b' ELSE text END AS body, CASE WHEN doc_id%7<>0 AND doc_id%3<>0 THEN DATE '2020-01-01'+CAST(doc_id%900 AS INTEGER) END AS effective_date FROM it WHERE reason IS NULL")
+def crawl_items(spark, d):
+    return crawl.documents(crawl.parse(items(spark, d)), "law").select("entity_id", "title", "body", "effective_date")
+
+
+@query(S.with_(ITEMS) + "SELECT doc_id, reason FROM it WHERE reason IS NOT NULL")
+def crawl_quarantine(spark, d):
+    return crawl.parse(items(spark, d)).where("reason is not null").select("doc_id", "reason")
+
+
+@query(
+    S.with_(ITEMS)
+    + "SELECT 'law:'||doc_id AS src, 'cites' AS type, 'law:'||(doc_id%100) AS dst FROM it WHERE reason IS NULL AND doc_id%7<>0 UNION ALL SELECT 'law:'||doc_id, 'supersedes', 'law:'||doc_id||'-old' FROM it WHERE reason IS NULL AND doc_id%7<>0 AND doc_id%2=0"
+    " UNION ALL SELECT 'law:'||doc_id, 'supersedes', unnest(['law:a','law:'||doc_id]) FROM it WHERE reason IS NULL AND doc_id%7=0"
+)
+def convenience_edges(spark, d):
+    return crawl.convenience_edges(crawl.parse(items(spark, d)), "law")

@@ -1,2 +1,83 @@
+"""Queries of snapshots, sync, caches and the stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from statuta.operators import lexical, state, vectors
+from statuta.plans import sql as S
 from statuta.plans.register import Registry
+from statuta.sources import adapter
+from statuta.streaming import sync as stream
+
 REGISTRY = Registry()
+query = REGISTRY.query
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n=1")
+def upsert_snapshot(spark, d):
+    """Events of the first half as the old table, all others as updates of it."""
+    rows = adapter.read(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    return state.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
+
+
+@query(S.with_(S.ENT, S.EDGE) + "SELECT 'entities' AS name, count(*) AS n FROM ent WHERE doc_id%10<>0 UNION ALL SELECT 'edges', count(*) FROM edge WHERE src NOT IN (SELECT entity_id FROM ent WHERE doc_id%10=0) AND dst NOT IN (SELECT entity_id FROM ent WHERE doc_id%10=0)")
+def delete_cascade(spark, d):
+    rows = adapter.entities(spark, d)
+    gone = rows.where("doc_id % 10 = 0").select("entity_id").union(rows.limit(0).select("entity_id"))
+    count = lambda name, df: df.groupBy().count().select(F.lit(name).alias("name"), F.col("count").alias("n"))
+    return count("entities", state.delete_rows(rows, gone, "entity_id")).union(count("edges", state.delete_rows(adapter.edges(spark, d), gone, "src", "dst")))
+
+
+@query(S.with_(S.ENT, S.POSTINGS) + "SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences, count(DISTINCT term) AS terms FROM post")
+def postings_roundtrip(spark, d):
+    """The index is written as a table and read again."""
+    found = lexical.postings(adapter.entities(spark, d), F.concat_ws("\n", "title", "body"))
+    path = state.write_snapshot(found, f"{stream.shared_folder(spark)}/postings-{uuid.uuid4().hex}", 1)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences"), F.countDistinct("term").alias("terms"))
+
+
+KNOWN = "kn AS (SELECT DISTINCT event_type AS source, user_id AS entity_id FROM events WHERE event_id%2=0), cu AS (SELECT DISTINCT event_type AS source, user_id AS entity_id FROM events WHERE event_id%3=0)"
+
+
+def snapshots(spark, d):
+    rows = adapter.read(spark, d, "events").select("event_id", F.col("event_type").alias("source"), F.col("user_id").alias("entity_id"))
+    some = lambda n: rows.where(F.col("event_id") % n == 0).select("source", "entity_id").distinct()
+    return some(2), some(3)
+
+
+@query(S.with_(KNOWN) + "SELECT source, entity_id FROM kn EXCEPT SELECT source, entity_id FROM cu")
+def removed_ids(spark, d):
+    return state.removed(*snapshots(spark, d))
+
+
+@query(
+    S.with_(KNOWN)
+    + ", st AS (SELECT DISTINCT event_type AS source, CASE WHEN length(event_type)%3=0 THEN 'fetch failed' END AS fe, CASE WHEN length(event_type)%4=0 THEN 'ingest failed' END AS ie FROM events)"
+    + " SELECT source, CASE WHEN fe IS NULL AND ie IS NULL THEN (SELECT count(*) FROM cu WHERE cu.source=st.source) ELSE 0 END AS ingested, CASE WHEN fe IS NULL THEN (SELECT count(*) FROM kn WHERE kn.source=st.source AND entity_id NOT IN (SELECT entity_id FROM cu WHERE cu.source=st.source)) ELSE 0 END AS removed, concat_ws('; ',fe,ie) AS errors, fe IS NULL AND ie IS NULL AS ok FROM st"
+)
+def sync_report(spark, d):
+    """One source fails to be fetched, another to be ingested; the rest goes on."""
+    known, current = snapshots(spark, d)
+    status = adapter.read(spark, d, "events").select(F.col("event_type").alias("source")).distinct()
+    status = status.select("source", F.when(F.length("source") % 3 == 0, "fetch failed").alias("fetch_error"), F.when(F.length("source") % 4 == 0, "ingest failed").alias("ingest_error"))
+    return state.sync_report(known, current, status)
+
+
+@query(S.with_(S.ENT) + "SELECT entity_id, sha256('hash'||chr(10)||title||chr(10)||body) AS content_hash, CASE WHEN doc_id%3=0 THEN 'reuse' ELSE 'embed' END AS action FROM ent")
+def embed_cache_plan(spark, d):
+    """The cache has a third with the same text, a third with an older one, and nothing of the rest."""
+    rows = adapter.entities(spark, d)
+    old = rows.where("doc_id % 3 <> 2").withColumn("body", F.when(F.col("doc_id") % 3 == 1, F.concat("body", F.lit(" old"))).otherwise(F.col("body")))
+    cache = vectors.embed_plan(old, spark.createDataFrame([], "entity_id string, content_hash string"), "hash")
+    return vectors.embed_plan(rows, cache, "hash")
+
+
+@query("SELECT DISTINCT event_type AS source, user_id AS entity_id FROM events")
+def stream_sync(spark, d):
+    """The event table as a stream of snapshots, taken once; what is known after it."""
+    schema = adapter.read(spark, d, "events").schema
+    feed = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a file stream takes a folder or a pattern
+    return stream.run_once(spark, feed.select(F.col("event_type").alias("source"), F.col("user_id").alias("entity_id")))

@@ -111,7 +111,7 @@ class Retrieval:
         """(query_id, entity_id, type, fused, reason, pool_rank): both channels fused by rank, without the cited ones."""
         channel = lambda hits, k, reason: hits.select("query_id", "entity_id", "rank", F.lit(k).alias("channel"), F.lit(reason).alias("reason"))
         hits = channel(self.lexical_hits, 0, "lexical_match").union(channel(self.vector_hits, 1, "vector_match"))
-        hits = hits.join(F.broadcast(self.requests.select("query_id", "dept", "as_of", "source_types")), "query_id")
+        hits = hits.join(self.requests.select("query_id", "dept", "as_of", "source_types"), "query_id")
         fresh = self._resolved(hits).join(self.cited.select("query_id", F.col("entity_id").alias("resolved_id")), ["query_id", "resolved_id"], "left_anti")
         fused = fresh.groupBy("query_id", "resolved_id", "type").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("fused"), F.min(F.struct("channel", "rank", "reason")).alias("first"))
         order = W.partitionBy("query_id").orderBy(F.desc("fused"), "first.channel", "first.rank", "resolved_id")
@@ -121,7 +121,7 @@ class Retrieval:
     def selected(self) -> DataFrame:
         """The best top_k of the pool and the first MIN_PER_TYPE of each type, unless one type alone was asked for."""
         placed = self.pool.withColumn("type_rank", F.row_number().over(W.partitionBy("query_id", "type").orderBy("pool_rank")))
-        asked = placed.join(F.broadcast(self.requests.select("query_id", "top_k", "source_types")), "query_id")
+        asked = placed.join(self.requests.select("query_id", "top_k", "source_types"), "query_id")
         many = F.col("source_types").isNull() | (F.size("source_types") != 1)
         return asked.where((F.col("pool_rank") <= F.col("top_k")) | (many & (F.col("type_rank") <= MIN_PER_TYPE))).drop("top_k", "source_types")
 
@@ -138,7 +138,7 @@ class Retrieval:
         found = self.base.join(near, "entity_id").groupBy("query_id", "neighbour").agg(F.min(F.struct("phase", "seq", "position")).alias("first"))
         fresh = found.join(self.base.select("query_id", F.col("entity_id").alias("neighbour")), ["query_id", "neighbour"], "left_anti")
         facts = self.facts.select(F.col("entity_id").alias("neighbour"), "type", "allowed_depts", "effective_date", "superseded_date")
-        asked = fresh.join(facts, "neighbour").join(F.broadcast(self.requests.select("query_id", "dept", "as_of", "source_types")), "query_id")
+        asked = fresh.join(facts, "neighbour").join(self.requests.select("query_id", "dept", "as_of", "source_types"), "query_id")
         kept = asked.where(visible(F.col("allowed_depts"), F.col("dept")) & valid_at(F.col("effective_date"), F.col("superseded_date"), F.col("as_of")) & type_allowed(F.col("source_types"), F.col("type")))
         seq = F.row_number().over(W.partitionBy("query_id").orderBy("first", "neighbour"))
         return kept.select("query_id", F.col("neighbour").alias("entity_id"), F.lit(0.0).alias("score"), F.lit("1hop_expansion").alias("reason"), F.lit(2).alias("phase"), seq.alias("seq"))

@@ -16,7 +16,12 @@ from statuta.sources import adapter
 
 REGISTRY = Registry()
 query = REGISTRY.query
-TEXT = F.concat_ws("\n", "title", "body")
+
+
+def text():
+    """What is indexed of a document."""
+    return F.concat_ws("\n", "title", "body")
+
 
 
 def retrieval(spark: SparkSession, d: str, **more) -> Retrieval:
@@ -29,7 +34,7 @@ def big(df: DataFrame, *names: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(adapter.entities(spark, d), TEXT)
+    return lexical.postings(adapter.entities(spark, d), text())
 
 
 @query(S.with_(S.ENT, S.POSTINGS) + "SELECT term, entity_id, tf FROM post")
@@ -54,7 +59,7 @@ def bm25_search(spark, d):
 
 @query(S.with_(S.ENT, S.embed("ev", "ent", "entity_id", "concat_ws(chr(10),title,body)")) + "SELECT entity_id, CAST(idx AS BIGINT) AS idx, round(w,6) AS w FROM ev")
 def hash_embed(spark, d):
-    found = vectors.hash_embed(adapter.entities(spark, d), TEXT, "entity_id")
+    found = vectors.hash_embed(adapter.entities(spark, d), text(), "entity_id")
     return big(found, "idx").select("entity_id", "idx", F.round("w", 6).alias("w"))
 
 

@@ -13,7 +13,20 @@ from statuta.llm import bpe, embedding_dedup, langid, packing, quality, secrets,
 from statuta.llm.common import crc_fold
 
 QUERIES = {}
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op3_embedding_dedup": """WITH RECURSIVE s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding)>0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(list_filter(embedding, lambda x: x<>0))>0 AS sound FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label=b.label AND a.vec_id<>b.vec_id AND a.sound AND b.sound AND len(a.e)=len(b.e) WHERE list_cosine_similarity(a.e,b.e)>=0.98),
+r AS (SELECT vec_id, vec_id AS other FROM s UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other=l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n,0) AS n_links, component_id, vec_id=component_id AS kept FROM s JOIN c USING(vec_id) LEFT JOIN n USING(vec_id)""",
+    "op7_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1,len(w)-11)) AS i, unnest(list_transform(range(1,len(w)-11), lambda i: array_to_string(w[i:i+12],' '))) AS s FROM d WHERE len(w)>=13),
+low AS (SELECT s, min(doc_id) AS first_id FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i+k AS pos FROM win JOIN low USING(s), (SELECT unnest(range(0,13)) AS k) WHERE first_id<doc_id),
+ws AS (SELECT doc_id, unnest(w) AS word, unnest(range(1,len(w)+1)) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word,' ' ORDER BY pos) AS t, count(*) AS n FROM ws ANTI JOIN gone USING(doc_id,pos) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w)-coalesce(n,0) AS BIGINT) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING(doc_id)""",
+}
 
 
 def query(f):

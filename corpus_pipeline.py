@@ -18,6 +18,7 @@ from statuta.llm.common import crc_fold
 from statuta.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = tuple(c for c in COLUMNS if c != "text")
 #: A document whose best language has a smaller mean probability than this is in none of the known ones.
 LEAST_LANGUAGE_SCORE = 0.3
 #: What no stage can express in SQL: learned models, XXH64 bit majorities and a tokenizer's ids.
@@ -36,9 +37,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Judged by text, so repeated rows and rows without an id fare alike; null and empty texts go.
     """
     model = langid.fit(docs, F.coalesce(crc_fold(F.col("doc_id"), 3) != 1, F.lit(False)))
-    texts = docs.select(F.struct(*COLUMNS).alias("document"), "text")
-    found = langid.predict(texts, model, id_col="document").where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.select("document.*").select(*COLUMNS)
+    texts = docs.select(F.struct(*OTHERS).alias("document"), "text")
+    found = langid.predict(texts, model, id_col="document", with_text=True).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return found.select("document.*", "text").select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +60,9 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents of which nothing is left go.
     """
-    texts = docs.select(F.struct(*COLUMNS).alias("document"), F.col("doc_id"), "text")
-    found = substring_dedup.remove_repeats(texts, carry="document").where("n_words > n_removed or n_removed = 0")
-    cleaned = found.select("document.*", "kept", "n_removed").withColumn("cleaned", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return _documents(cleaned, "cleaned")
+    texts = docs.select(F.struct(*OTHERS).alias("document"), F.col("doc_id"), "text")
+    found = substring_dedup.remove_repeats(texts, carry="document", layout=True).where("n_words > n_removed or n_removed = 0")
+    return _documents(found.select("document.*", "kept"), "kept")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import text_column, text_slices
+from statuta.llm.common import kept_in_worker, text_column, text_slices
 
 #: A worker remembers its latest pre-tokens, so many in each of two generations (about 300 bytes each).
 CACHE_TOKENS = 300_000
@@ -187,10 +186,8 @@ class Encoder:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder a worker process, kept over its tasks."""
-    return Encoder(path, pattern)
+    return kept_in_worker(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_worker: dict = {}
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """What ``make()`` gives, kept over the tasks of a Python worker as long as they ask for the same key.
+
+    A worker serves one operator after another; the caches of the last one go when the next comes.
+    """
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and continue from there.
 

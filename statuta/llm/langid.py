@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import io
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.llm.common import coded_words, text_column, text_slices
+from statuta.llm.common import coded_words, kept_in_worker, text_column, text_slices
 
 UNKNOWN = "und"
 #: Training uses at most this many documents of each of the most frequent languages, and this many words in all.
@@ -197,9 +196,8 @@ class _Scorer:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], np.clip(score, 0.0, 1.0)
 
 
-@functools.lru_cache(maxsize=1)
 def _scorer(model: bytes) -> _Scorer:
-    return _Scorer(model)
+    return kept_in_worker(("langid", model), lambda: _Scorer(model))
 
 
 def fit(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
@@ -231,8 +229,8 @@ def fit(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str =
     return _save(train(words, np.array(labels), len(languages)), languages)
 
 
-def predict(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row, from its text alone.
+def predict(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """(id, lang_pred, score[, text]) for every row, from its text alone.
 
     The network labels every position of every word; a text's language is the one with the largest mean
     probability over its positions, which is the score. Null texts and texts without a letter are ``und``
@@ -243,7 +241,7 @@ def predict(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         scorer = _scorer(model)
         for part in text_slices(batches):
             names, score = scorer.texts(text_column(part)) if scorer.languages else ([UNKNOWN] * part.num_rows, np.zeros(part.num_rows))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), *([part.column("text")] if with_text else [])], ["id", "lang_pred", "score", *(["text"] if with_text else [])])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double" + ", text string" * with_text).withColumnRenamed("id", id_col)

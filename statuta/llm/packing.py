@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from struct import pack as pack_ids
@@ -13,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import coded_words, cut, shards_for, text_column, text_slices
+from statuta.llm.common import coded_words, cut, kept_in_worker, shards_for, text_column, text_slices
 
 #: A worker remembers the ids of its latest words, so many in each of two generations.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 #: Documents that one task packs together; hashing makes all shards alike.
 SHARD_DOCUMENTS = 40_000
@@ -52,9 +51,8 @@ class WordTokenizer:
         return [b"".join(parts[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-@functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return kept_in_worker(("words", path), lambda: WordTokenizer(path))
 
 
 def pieces(df: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

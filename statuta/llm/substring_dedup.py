@@ -263,12 +263,13 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, text_key bigint, first int, words int")
 
 
-def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, layout: bool = False) -> DataFrame:
     """(id, n_words long, n_removed long, kept string[, carried column]) for every row.
 
     Words are maximal runs without ASCII white space; kept is what is left, joined by single spaces. Windows
     are judged on the input. Null, empty and short texts lose nothing; repeated rows and rows that share an
-    id do not count as earlier than each other; a null id is earlier than none and later than none.
+    id do not count as earlier than each other; a null id is earlier than none and later than none. With
+    ``layout`` a text that loses nothing stays as it is, a null one null.
     """
     spans = repeated_spans(df, window, id_col, text_col).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
     own = F.col(text_col).cast("string")
@@ -279,8 +280,8 @@ def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             n_words, n_removed, kept = [], [], []
-            for text, gone in zip(text_column(part).to_pylist(), part.column("spans").to_pylist()):
-                words = text.encode().split()
+            for text, gone in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                words = (text or "").encode().split()
                 n_words.append(len(words))
                 if gone:
                     change = np.zeros(len(words) + 1, dtype=np.int32)
@@ -290,7 +291,7 @@ def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
                     stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
                     words = [words[i] for i in stay]
                 n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                kept.append(text if layout and not gone else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ["id", *more]), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", *more, "n_words", "n_removed", "kept"])
 
     found = rows.join(spans, ["id", "text_key"], "left").select("id", *more, "text", "spans")

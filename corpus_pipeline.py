@@ -21,6 +21,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = tuple(c for c in COLUMNS if c != "text")
 #: A document whose best language has a smaller mean probability than this is in none of the known ones.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Words that a worker remembers in the last stage: few, since its process has served the other stages before.
+WORDS_REMEMBERED = 80_000
 #: What no stage can express in SQL: learned models, XXH64 bit majorities and a tokenizer's ids.
 ORACLE_SQL = None
 
@@ -74,7 +76,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), cache_words=WORDS_REMEMBERED)
 
 
 STAGES = [

@@ -26,9 +26,11 @@ CHANGES_PER_BIN = 8
 class WordTokenizer:
     """A tokenizers file whose words end at white space: each distinct word is encoded once by the library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.packed: dict[str, bytes] = {}
@@ -43,7 +45,7 @@ class WordTokenizer:
             for k, encoded in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
                 ids = encoded.ids
                 table[k] = pack_ids(f"<{len(ids)}I", *ids)
-        if len(self.packed) + len(words) > CACHE_WORDS:
+        if len(self.packed) + len(words) > self.most:
             self.packed, self.older = {}, self.packed
         self.packed.update((w, ids) for w, ids in zip(words, table) if len(w) <= CACHE_CHARS)
         parts = list(map(table.__getitem__, codes.tolist()))
@@ -51,21 +53,22 @@ class WordTokenizer:
         return [b"".join(parts[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    return kept_in_worker(("words", path), lambda: WordTokenizer(path))
+def word_tokenizer(path: str, most: int) -> WordTokenizer:
+    return kept_in_worker(("words", path, most), lambda: WordTokenizer(path, most))
 
 
-def pieces(df: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenize whole texts and cut only those longer than ``length``.
 
     Returns (id, piece int, start long, length long, ids_crc32 long[, ids binary]), the document's ids being
     those of its text and ``end_id`` after them. Null and empty texts give one piece that holds ``end_id``
     alone. Repeated rows give their pieces again. The text must be one whose tokens never cross white space
-    (the case for the word-level BPE files that this is meant for).
+    (the case for the word-level BPE files that this is meant for). A worker remembers ``cache_words`` words twice,
+    which costs memory and saves time, and changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, tail = word_tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
+        tokenizer, tail = word_tokenizer(path, cache_words), np.array([end_id], dtype="<u4").tobytes()
         for part in text_slices(batches):
             rows, number, start, size, crc, ids = [], [], [], [], [], []
             for row, packed in enumerate(tokenizer.texts(text_column(part))):
@@ -247,7 +250,7 @@ def pack(parts: DataFrame, documents: int, length: int = 2048, id_col: str = "do
     return dealt.groupBy("shard").applyInPandas(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(df: DataFrame, path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenize, cut and pack: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    found = cut(pieces(df, path, length, id_col=id_col, text_col=text_col))
+    found = cut(pieces(df, path, length, id_col=id_col, text_col=text_col, cache_words=cache_words))
     return pack(found, found.count(), length, id_col)

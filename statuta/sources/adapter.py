@@ -55,7 +55,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query, dept, as_of, top_k, source_types) from the benchmark items; even ones name an article."""
-    query = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 120), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" 제"), (F.col("item_id") % 14 + 1).cast("string"), F.lit("조"))).otherwise(F.lit("")))
+    query = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" 제"), (F.col("item_id") % 14 + 1).cast("string"), F.lit("조"))).otherwise(F.lit("")))
     return read(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
         query.alias("query"),

@@ -53,6 +53,6 @@ def bm25(requests: DataFrame, postings_: DataFrame, width: Column) -> DataFrame:
     return ranked(scored).where(F.col("rank") <= F.col("width")).drop("width")
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+def ranked(scored: DataFrame, id_col: str = "entity_id") -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from statuta.operators.lexical import ranked
 
 #: Dimensions and least score of a hit.
 DIMENSIONS, MIN_SCORE = 256, 0.05
+#: Queries and rows that meet in one block of the dense search.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
 def hash_embed(docs: DataFrame, text: Column, id_col: str) -> DataFrame:
@@ -36,6 +40,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
+def _unit(column: pa.ChunkedArray, dimensions: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
+    size = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+    return flat / np.where(size > 0, size, 1) if len(flat) else flat
+
+
+def nearest(asked: DataFrame, rows: DataFrame, k: int, min_score: float = MIN_SCORE) -> DataFrame:
+    """(query_id, vec_id, score, rank): the best k of all rows (vec_id, embedding) for each of asked (query_id, embedding).
+
+    Both sides are dealt into blocks; each pair of blocks meets once and keeps its best k a query, which a
+    second ranking merges; the block numbers of both sides are of one type, so that equal ones hash alike. A
+    row is not its own hit; vectors compare with those of their own length, and ones with a null element with
+    none. Scores are rounded to six digits before ranking, ties go by id.
+    """
+    sound = lambda df, key: df.where(F.col(key).isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull()) & (F.size("embedding") > 0))
+    asked, rows = sound(asked, "query_id"), sound(rows, "vec_id")
+    query_blocks, row_blocks = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (rows, ROW_BLOCK)))
+    dealt = lambda df, own, n, other, m: df.withColumn("length", F.size("embedding")).withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = dealt(asked, "query_block", query_blocks, "row_block", row_blocks)
+    right = dealt(rows, "row_block", row_blocks, "query_block", query_blocks)
+    by = ["length", "query_block", "row_block"]
+
+    def best(queries: pa.Table, others: pa.Table) -> pa.Table:
+        names, ids = (t.column(c).to_numpy() for t, c in ((queries, "query_id"), (others, "vec_id")))
+        if not len(names) or not len(ids):
+            return pa.table({"query_id": names[:0], "vec_id": ids[:0], "score": np.zeros(0)})
+        length = queries.column("length")[0].as_py()
+        score = np.round(_unit(queries.column("embedding"), length) @ _unit(others.column("embedding"), length).T, 6)
+        score[np.isnan(score)] = np.inf
+        score[names[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -np.inf)
+        q, r = np.nonzero(score >= np.maximum(least, min_score)[:, None])
+        order = np.lexsort((ids[r], -score[q, r], q))
+        q, r = q[order], r[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, r = q[first], r[first]
+        found = score[q, r]
+        return pa.table({"query_id": names[q], "vec_id": ids[r], "score": np.where(np.isinf(found), np.nan, found)})
+
+    kinds = asked.schema["query_id"].dataType.simpleString(), rows.schema["vec_id"].dataType.simpleString()
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    return ranked(found, "vec_id").where(F.col("rank") <= k)
+
+
 def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column, min_score: float = MIN_SCORE) -> DataFrame:
     """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine.
 

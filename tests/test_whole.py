@@ -52,3 +52,29 @@ def test_bm25_over_whole_requests(spark, folder):
         expected |= {(r["query_id"], i, round(scores[i], 4)) for i in sorted(scores, key=lambda i: (-scores[i], i))[:30]}
     found = {(r["query_id"], r["entity_id"], round(r["score"], 4)) for r in Q.bm25_search(spark, folder).collect()}
     assert found == expected and {1, 3} <= {q for q, *_ in found}
+
+
+@pytest.mark.parametrize("blocks", [(1024, 4096), (2, 7)])
+def test_dense_search_over_all_labels(spark, tmp_path, monkeypatch, blocks):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", blocks[0], raising=False)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", blocks[1], raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(3)
+    data = {k: rng.standard_normal(8).astype(np.float32) for k in range(260)}
+    data[50] = data[7] + np.float32(1e-3)
+    for k in (101, 102, 103, 104, 105, 106, 107, 108):
+        data[k] = data[100]
+    data[9], data[200] = np.zeros(8, np.float32), np.zeros(8, np.float32)
+    rows = [(k, v.tolist(), None if k % 4 == 3 else k % 3) for k, v in data.items()]
+    odd = [(300, None, 1), (301, [1.0, None] * 4, 1), (302, [1.0] * 5, 1), (303, [], None), (None, [1.0] * 8, 1)]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    expected = set()
+    for q in (0, 50, 100, 150, 250):
+        cos = lambda v, w: float(v.astype(float) @ w.astype(float) / max(np.linalg.norm(v.astype(float)) * np.linalg.norm(w.astype(float)), 1e-30))
+        score = {k: round(cos(data[q], v), 6) for k, v in data.items() if k != q}
+        order = sorted((k for k in score if score[k] >= 0.05), key=lambda k: (-score[k], k))[:6]
+        expected |= {(q, k, round(score[k], 4), n) for n, k in enumerate(order, 1)}
+    found = Q.vector_search_dense(spark, str(tmp_path)).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["query_id"], r["vec_id"], round(r["score"], 4), r["rank"]) for r in found} == expected
+    assert (50, 7) in {(r["query_id"], r["vec_id"]) for r in found}

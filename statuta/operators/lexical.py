@@ -36,13 +36,13 @@ def term_weights(postings_: DataFrame, stats: DataFrame | None = None) -> DataFr
     return df.join(one).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(requests: DataFrame, postings_: DataFrame, width: Column) -> DataFrame:
-    """(query_id, entity_id, score, rank): the best ``width`` documents of each request, over the whole index.
+def bm25(requests: DataFrame, postings_: DataFrame, width: Column | None) -> DataFrame:
+    """(query_id, entity_id, score, rank): the best ``width`` documents of each request, over the whole index; all of them without a width.
 
     Terms of a request count once. Scores are rounded to six digits before ranking, ties go by id.
     """
     stats = corpus_stats(postings_)
-    terms = requests.select("query_id", "source_types", width.alias("width"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = requests.select("query_id", "source_types", width_or_null(width), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     asked = postings_.join(terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -50,7 +50,16 @@ def bm25(requests: DataFrame, postings_: DataFrame, width: Column) -> DataFrame:
     weighed = asked.join(df, "term").join(F.broadcast(stats)).select("term", "entity_id", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
     hits = terms.join(weighed, "term").where(type_allowed(F.col("source_types"), type_from_id(F.col("entity_id"))))
     scored = hits.groupBy("query_id", "entity_id").agg(F.round(F.sum("w"), 6).alias("score"), F.first("width").alias("width"))
-    return ranked(scored).where(F.col("rank") <= F.col("width")).drop("width")
+    return within(ranked(scored))
+
+
+def width_or_null(width: Column | None) -> Column:
+    return (F.lit(None).cast("int") if width is None else width).alias("width")
+
+
+def within(hits: DataFrame) -> DataFrame:
+    """Hits up to their width; a null width has no end."""
+    return hits.where(F.col("width").isNull() | (F.col("rank") <= F.col("width"))).drop("width")
 
 
 def ranked(scored: DataFrame, id_col: str = "entity_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.predicates import type_allowed, type_from_id, valid_at, visible
 from statuta.functions.text import char_ngrams, content_hash
-from statuta.operators.lexical import ranked
+from statuta.operators.lexical import ranked, width_or_null, within
 
 #: Dimensions and least score of a hit.
 DIMENSIONS, MIN_SCORE = 256, 0.05
@@ -84,8 +84,8 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, min_score: float = MIN_SC
     return ranked(found, "vec_id").where(F.col("rank") <= k)
 
 
-def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column, min_score: float = MIN_SCORE) -> DataFrame:
-    """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine.
+def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine, all of them without a width.
 
     Sparse vectors meet on their index; the sums are combined before the shuffle. The request's predicates
     are applied to the scored pairs, which a request has one of for each document at most.
@@ -93,9 +93,9 @@ def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, v
     pairs = query_vectors.select("query_id", "idx", F.col("w").alias("qw")).join(vectors, "idx").groupBy("query_id", "entity_id").agg(F.sum(F.col("qw") * F.col("w")).alias("raw"))
     scored = pairs.withColumn("score", F.round("raw", 6)).where(F.col("score") >= min_score)
     facts = entities.select("entity_id", "allowed_depts", "effective_date", "superseded_date")
-    open_ = scored.join(facts, "entity_id").join(requests.select("query_id", "dept", "as_of", "source_types", width.alias("width")), "query_id")
+    open_ = scored.join(facts, "entity_id").join(requests.select("query_id", "dept", "as_of", "source_types", width_or_null(width)), "query_id")
     open_ = open_.where(visible(F.col("allowed_depts"), F.col("dept")) & valid_at(F.col("effective_date"), F.col("superseded_date"), F.col("as_of")) & type_allowed(F.col("source_types"), type_from_id(F.col("entity_id"))))
-    return ranked(open_.select("query_id", "entity_id", "score", "width")).where(F.col("rank") <= F.col("width")).drop("width")
+    return within(ranked(open_.select("query_id", "entity_id", "score", "width")))
 
 
 def embed_plan(docs: DataFrame, cache: DataFrame, identity: str) -> DataFrame:

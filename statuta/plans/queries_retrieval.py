@@ -236,7 +236,7 @@ REGISTRY.queries["evidence_blocks"], REGISTRY.sql["evidence_blocks"] = REGISTRY.
 @query()
 def recall_diagnosis(spark, d):
     narrow = retrieval(spark, d)
-    wide = retrieval(spark, d, width=1_000_000, version_map=narrow.version_map)
+    wide = retrieval(spark, d, unlimited=True, version_map=narrow.version_map)
     return diagnose(narrow, wide)
 
 

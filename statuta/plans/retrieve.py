@@ -67,7 +67,7 @@ class Retrieval:
     edges: DataFrame
     version_map: DataFrame | None = None
     rerank: Callable[[DataFrame], DataFrame] = noop_rerank
-    width: int | None = None
+    unlimited: bool = False
 
     def __post_init__(self) -> None:
         self.requests = require_departments(self.requests)
@@ -94,8 +94,8 @@ class Retrieval:
         return first.select("query_id", F.col("resolved_id").alias("entity_id"), F.lit(1.0).alias("score"), F.lit("citation_match").alias("reason"), F.lit(0).alias("phase"), seq.alias("seq"))
 
     @cached_property
-    def recall_width(self) -> Column:
-        return F.lit(self.width) if self.width else F.col("top_k") * RECALL_WIDTH
+    def recall_width(self) -> Column | None:
+        return None if self.unlimited else F.col("top_k") * RECALL_WIDTH
 
     @cached_property
     def lexical_hits(self) -> DataFrame:

@@ -78,3 +78,13 @@ def test_dense_search_over_all_labels(spark, tmp_path, monkeypatch, blocks):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {(r["query_id"], r["vec_id"], round(r["score"], 4), r["rank"]) for r in found} == expected
     assert (50, 7) in {(r["query_id"], r["vec_id"]) for r in found}
+
+
+def test_diagnosis_has_no_width(spark, folder, monkeypatch):
+    runs = []
+    monkeypatch.setattr(Q, "diagnose", lambda narrow, wide: runs.extend([narrow, wide]))
+    Q.recall_diagnosis(spark, folder)
+    assert runs[0].recall_width is not None and runs[1].recall_width is None
+    asked = adapter.requests(spark, folder)
+    every = lexical.bm25(asked, Q.posts(spark, folder), None).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in every}[3] == 60

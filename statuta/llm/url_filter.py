@@ -13,8 +13,9 @@ ALLOW, BLOCK = "allow", "block"
 #: Rules become one expression; longer lists belong into several passes.
 MOST_RULES = 500
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
-#: A host is blocked when its distrust is this many times its trust, and no less than LEAST_DISTRUST.
-BLOCK_RATIO, LEAST_DISTRUST = 1.5, 0.02
+#: A host with any distrust is blocked when that is this many times its trust. There is no least amount: what
+#: reaches a host is divided by the links into the blocked one, so any fixed amount would spare linkers to large hosts.
+BLOCK_RATIO = 1.5
 #: Absolute and protocol-relative addresses in a page's attributes.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>\\]+)"""
 
@@ -100,7 +101,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     judged = rows.where("host <> ''").groupBy("host").agg(F.count_if(F.col("fit.action") == ALLOW).alias("a"), F.count_if(F.col("fit.action") == BLOCK).alias("b"))
     share = lambda c: F.when(F.col("a") + F.col("b") > 0, F.col(c) / (F.col("a") + F.col("b"))).otherwise(F.lit(0.0))
     scores = spread(host_edges(rows.select("host", "html")), judged.select("host", share("a").alias("trust"), share("b").alias("distrust")))
-    bad = (F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") >= F.col("trust") * ratio)
+    bad = (F.col("distrust") > 0) & (F.col("distrust") >= F.col("trust") * ratio)
     plain = rows.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.action").alias("action"))
     joined = plain.join(scores, "host", "left")
     return joined.select(id_col, "host", "path", "rule", F.coalesce("action", F.when(bad, BLOCK), F.lit(ALLOW)).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,19 @@ from pyspark.sql import functions as F
 from statuta.llm.common import coded_words, kept_in_worker, text_column, text_slices
 
 UNKNOWN = "und"
-#: Training uses at most this many documents of each of the most frequent languages, and this many words in all.
+#: Training uses at most this many documents and words of each language; every language is learned.
 DOCUMENTS_PER_LANGUAGE = 160
-LANGUAGES = 64
-TRAINING_WORDS = 48_000
+WORDS_PER_LANGUAGE = 12_000
 #: The network reads a word (bytes between white space) at a time; longer ones in pieces of this many bytes.
 PIECE_BYTES = 48
 STATE, EMBEDDING = 16, 12
 CACHE_WORDS = 200_000
+#: Tables with a column a language get fewer rows where there are more languages than this.
+USUAL_LANGUAGES = 64
+
+
+def _rows(most: int, languages: int) -> int:
+    return max(1, min(most, most * USUAL_LANGUAGES // max(1, languages)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,7 +150,8 @@ class _Scorer:
         self.net = ByteGru(len(self.languages))
         self.net.p = held
         self.row: dict[str, int] = {}
-        self.sums = np.zeros((CACHE_WORDS, len(self.languages)), np.float32)
+        self.cache_words = _rows(CACHE_WORDS, len(self.languages))
+        self.sums = np.zeros((self.cache_words, len(self.languages)), np.float32)
 
     def _sums(self, words: list[str]) -> np.ndarray:
         """Sums of position probabilities of each word; equally long pieces go through the network together."""
@@ -158,19 +165,20 @@ class _Scorer:
         owner, lengths = np.array(owner, dtype=np.int64), np.array([len(x) for x in pieces], dtype=np.int64)
         for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
-            for at in range(0, len(rows), 4096):
-                some = rows[at : at + 4096]
+            step = _rows(4096, len(self.languages))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
                 x = np.frombuffer(b"".join(pieces[i] for i in some), dtype=np.uint8).reshape(len(some), n)
                 np.add.at(out, owner[some], self.net.positions(x).sum(axis=0))
         return out
 
     def table(self, words: list[str]) -> np.ndarray:
         fresh = [w for w in words if w not in self.row]
-        if len(self.row) + len(fresh) > CACHE_WORDS:
+        if len(self.row) + len(fresh) > self.cache_words:
             self.row.clear()
             fresh = words
         found = self._sums(fresh)
-        if len(fresh) > CACHE_WORDS:
+        if len(fresh) > self.cache_words:
             return found
         first = len(self.row)
         self.sums[first : first + len(fresh)] = found
@@ -185,8 +193,9 @@ class _Scorer:
         if len(codes):
             table = self.table(words)
             filled = np.flatnonzero(np.diff(offsets))
-            for a in range(0, len(filled), 256):
-                rows = filled[a : a + 256]
+            step = _rows(256, len(self.languages))
+            for a in range(0, len(filled), step):
+                rows = filled[a : a + step]
                 lo, hi = offsets[rows[0]], offsets[rows[-1] + 1]
                 sums[rows] = np.add.reduceat(table[codes[lo:hi]].astype(np.float64), offsets[rows] - lo, axis=0)
         total = sums.sum(axis=1)
@@ -203,29 +212,24 @@ def _scorer(model: bytes) -> _Scorer:
 def fit(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """Train on a bounded sample of the rows where ``training`` holds and the language is known.
 
-    The sample: of each of the LANGUAGES most frequent languages the DOCUMENTS_PER_LANGUAGE first documents
-    in the order of a hash of their id, and of their words TRAINING_WORDS drawn evenly over the languages.
-    Returns the model as bytes. With no such rows it knows no language and calls every text ``und``.
+    The sample: of each language the DOCUMENTS_PER_LANGUAGE first documents in the order of a hash of their
+    id, and of their words WORDS_PER_LANGUAGE. One language's words at a time are on the driver before they
+    are drawn. Returns the model as bytes. With no such rows it knows no language and calls every text ``und``.
     """
     rows = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    first = rows.where(F.col("lang").isin(frequent)).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= DOCUMENTS_PER_LANGUAGE)
-    ids = sorted({r["id"] for r in first.select("id").collect()}) if frequent else []
-    held: dict[str, list[bytes]] = {}
-    for r in df.where(training & F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).orderBy("id", "lang", "text").collect() if ids else []:
-        if r["lang"] in frequent and r["text"]:
-            raw = r["text"].encode()
-            held.setdefault(r["lang"], []).extend(w[at : at + PIECE_BYTES] for w in raw.split() for at in range(0, len(w), PIECE_BYTES))
-    languages = sorted(k for k, v in held.items() if v)
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= DOCUMENTS_PER_LANGUAGE)
+    ids = first.select("id").distinct()
+    named = df.where(training & F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = named.join(F.broadcast(ids), "id", "left_semi").orderBy("lang", "id", "text")
+    rng, languages, words, labels = np.random.default_rng(5), [], [], []
+    for name, found in itertools.groupby(texts.toLocalIterator(), lambda r: r["lang"]):
+        own = [w[at : at + PIECE_BYTES] for r in found for w in r["text"].encode().split() for at in range(0, len(w), PIECE_BYTES)]
+        drawn = rng.permutation(len(own))[:WORDS_PER_LANGUAGE].tolist()
+        words += [own[i] for i in drawn]
+        labels += [len(languages)] * len(drawn)
+        languages += [name] * bool(own)
     if not languages:
         return _save(ByteGru(0), [])
-    rng, words, labels = np.random.default_rng(5), [], []
-    share = TRAINING_WORDS // len(languages)
-    for k, name in enumerate(languages):
-        own = held[name]
-        for i in rng.permutation(len(own))[:share].tolist():
-            words.append(own[i])
-            labels.append(k)
     return _save(train(words, np.array(labels), len(languages)), languages)
 
 

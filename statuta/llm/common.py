@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,11 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.functions.lineage import cut  # noqa: F401  (operators take it from here)
+
 #: Texts are handed to numpy in slices of about this many bytes, so that a task's memory
 #: does not depend on how many rows Spark puts into an Arrow batch.
 SLICE_BYTES = 4 << 20
 
 
+#: Plain words: letters that stay single letters when normalised and lower-cased, then ASCII marks (no apostrophe).
+#: Tokenizers' patterns part both, so letters and marks can be encoded apart, each distinct one once.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏΑ-ΡΣ-Ωα-ωЀ-џ"
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+PLAIN_WORD = rf"^[{LETTERS}]+[!-&(-/:-@\[-`{{-~]*$"
+
 _worker: dict = {}
 
 
@@ -26,21 +33,15 @@ def kept_in_worker(key: tuple, make: Callable):
     A worker serves one operator after another; the caches of the last one go when the next comes.
     """
     if key not in _worker:
-        _worker.clear()
+        nothing_kept_in_worker()
         _worker[key] = make()
     return _worker[key]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and continue from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, a
-    single machine) a temporary one is used.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+def nothing_kept_in_worker() -> None:
+    """Give back what earlier operators left in this Python worker; for operators that keep nothing themselves."""
+    _worker.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -62,6 +63,43 @@ def text_column(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
+def flags(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def letters_and_marks(words: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+    """Both parts of plain words, coded; the letters in lower case if asked for."""
+    letters = pc.ascii_rtrim(words, MARKS)
+    return (pc.utf8_lower(letters) if lower else letters).dictionary_encode(), pc.replace_substring_regex(words, f"^[{LETTERS}]+", "").dictionary_encode()
+
+
+def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of values that begin at ``start``, one after another."""
+    ends = np.cumsum(length)
+    return values[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Parts:
+    """Ids of words that are made of up to two parts, each encoded once."""
+
+    def __init__(self, words: int):
+        self.place = np.zeros((words, 2, 2), dtype=np.int64)
+        self.held, self.at = [], 0
+
+    def add(self, rows: np.ndarray, part: int, ids: np.ndarray, size: np.ndarray, codes: np.ndarray | None = None) -> None:
+        """Ids of distinct parts, one after another, with their sizes; codes say which one each row has."""
+        start = self.at + np.cumsum(size) - size
+        self.place[rows, part, 0] = start if codes is None else start[codes]
+        self.place[rows, part, 1] = size if codes is None else size[codes]
+        self.held.append(ids)
+        self.at += len(ids)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has."""
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        return gathered(ids, self.place[..., 0].ravel(), self.place[..., 1].ravel()), self.place[..., 1].sum(axis=1)
+
+
 def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words between ASCII white space: distinct words, their code at each place, and each text's first place.
 

@@ -2,88 +2,128 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from struct import pack as pack_ids
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import coded_words, cut, kept_in_worker, shards_for, text_column, text_slices
+from statuta.llm.common import PLAIN_WORD, Parts, cut, flags, gathered, kept_in_worker, letters_and_marks, shards_for, text_column, text_slices
 
-#: A worker remembers the ids of its latest words, so many in each of two generations.
-CACHE_WORDS = 400_000
-CACHE_CHARS = 64
+#: Bytes of text whose distinct words are encoded together.
+SLICE_TEXT = 12 << 20
+#: What a special token's string has in it, so that such words go to the library alone.
+SPECIAL = "<|"
 #: Documents that one task packs together; hashing makes all shards alike.
 SHARD_DOCUMENTS = 40_000
-#: Local search stops after this many accepted changes for each bin of a shard.
-CHANGES_PER_BIN = 8
+#: Bounds of the local search (they bound its time; all documents stay packed): accepted changes for each bin of a
+#: shard, a bin's longest documents that are tried in twos, and lengths that are looked up for one exchange.
+CHANGES_PER_BIN, PAIR_ITEMS, LENGTHS_TRIED = 8, 24, 64
 
 
 class WordTokenizer:
-    """A tokenizers file whose words end at white space: each distinct word is encoded once by the library."""
+    """A tokenizers file whose words end at white space: each distinct word of a slice is encoded once by the library.
 
-    def __init__(self, path: str, most: int):
-        from tokenizers import Tokenizer
+    Plain words go to it in one long text; the tokens with the word-end suffix tell them apart. Nothing is
+    remembered from slice to slice, so memory follows the slice alone.
+    """
 
-        self.most = most
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.packed: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def texts(self, texts: pa.Array) -> list[bytes]:
-        words, codes, offsets = coded_words(texts)
-        table = [self.packed.get(w) or self.older.get(w) for w in words]
-        fresh = [k for k, ids in enumerate(table) if ids is None]
-        for first in range(0, len(fresh), 4096):
-            some = fresh[first : first + 4096]
-            for k, encoded in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
-                ids = encoded.ids
-                table[k] = pack_ids(f"<{len(ids)}I", *ids)
-        if len(self.packed) + len(words) > self.most:
-            self.packed, self.older = {}, self.packed
-        self.packed.update((w, ids) for w, ids in zip(words, table) if len(w) <= CACHE_CHARS)
-        parts = list(map(table.__getitem__, codes.tolist()))
-        bounds = offsets.tolist()
-        return [b"".join(parts[a:b]) for a, b in zip(bounds, bounds[1:])]
-
-
-def word_tokenizer(path: str, most: int) -> WordTokenizer:
-    return kept_in_worker(("words", path, most), lambda: WordTokenizer(path, most))
-
-
-def pieces(df: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, dtype=bool)
+        if suffix:
+            for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.ends[number] = token.endswith(suffix)
+        self.joined = bool(suffix)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has."""
+        held, sizes = [], np.zeros(len(words), dtype=np.int64)
+        for first in range(0, len(words), 4096):
+            some = self._ids(words[first : first + 4096])
+            sizes[first : first + len(some)] = [len(x) for x in some]
+            held.append(np.fromiter(chain.from_iterable(some), dtype=np.uint32))
+        return (np.concatenate(held) if held else np.zeros(0, np.uint32)), sizes
+
+    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone; where their ends do not add up, they are encoded one by one."""
+        held, sizes = [], np.zeros(len(words), dtype=np.int64)
+        for first in range(0, len(words), 8192):
+            listed = words.slice(first, 8192).to_pylist()
+            ids = np.array(self._ids([" ".join(listed)])[0], dtype=np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(listed):
+                sizes[first : first + len(listed)] = np.diff(last, prepend=0)
+            else:
+                ids, sizes[first : first + len(listed)] = self._alone(listed)
+            held.append(ids)
+        return (np.concatenate(held) if held else np.zeros(0, np.uint32)), sizes
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after another, and how many each has."""
+        plain = flags(pc.match_substring_regex(words, PLAIN_WORD)) & ~flags(pc.match_substring(words, SPECIAL)) if self.joined else np.zeros(len(words), dtype=bool)
+        easy, parts = words.filter(pa.array(plain)), Parts(len(words))
+        letters, marks = letters_and_marks(easy, lower=True)
+        parts.add(plain, 0, *self._together(letters.dictionary), letters.indices.to_numpy(zero_copy_only=False))
+        parts.add(plain, 1, *self._alone(marks.dictionary.to_pylist()), marks.indices.to_numpy(zero_copy_only=False))
+        parts.add(~plain, 0, *self._alone(words.filter(pa.array(~plain)).to_pylist()))
+        return parts.joined()
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin (and the last one's end)."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        codes, offsets = coded.indices.to_numpy(zero_copy_only=False), np.asarray(split.offsets, dtype=np.int64)
+        ids, size = self._words(coded.dictionary)
+        length = size[codes]
+        return gathered(ids, (np.cumsum(size) - size)[codes], length), np.r_[0, np.cumsum(length)][offsets - offsets[0]]
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    return kept_in_worker(("words", path), lambda: WordTokenizer(path))
+
+
+def pieces(df: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and cut only those longer than ``length``.
 
     Returns (id, piece int, start long, length long, ids_crc32 long[, ids binary]), the document's ids being
-    those of its text and ``end_id`` after them. Null and empty texts give one piece that holds ``end_id``
-    alone. Repeated rows give their pieces again. The text must be one whose tokens never cross white space
-    (the case for the word-level BPE files that this is meant for). A worker remembers ``cache_words`` words twice,
-    which costs memory and saves time, and changes no result.
+    those of its text and ``end_id`` after them, as the library gives them without added special tokens (the
+    string of a special token in a text is that token). Null and empty texts give one piece that holds
+    ``end_id`` alone. Repeated rows give their pieces again, null ids keep theirs; other columns are not read.
+    A very long text is a slice of its own. The text must be one whose tokens never cross white space (the
+    case for the word-level BPE files that this is meant for).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, tail = word_tokenizer(path, cache_words), np.array([end_id], dtype="<u4").tobytes()
-        for part in text_slices(batches):
-            rows, number, start, size, crc, ids = [], [], [], [], [], []
-            for row, packed in enumerate(tokenizer.texts(text_column(part))):
-                packed += tail
-                for k, at in enumerate(range(0, len(packed), 4 * length)):
-                    block = packed[at : at + 4 * length]
-                    rows.append(row)
-                    number.append(k)
-                    start.append(at // 4)
-                    size.append(len(block) // 4)
-                    crc.append(zlib.crc32(block))
-                    if with_ids:
-                        ids.append(block)
-            columns = [part.column("id").take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if with_ids else []), ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        tokenizer, tail = word_tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
+        for part in text_slices(batches, limit=SLICE_TEXT):
+            found, bounds = tokenizer.texts(text_column(part))
+            sizes = np.diff(bounds) + 1
+            count = -(-sizes // length)
+            rows = np.repeat(np.arange(part.num_rows), count)
+            number = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+            start = number * length
+            size = np.minimum(length, sizes[rows] - start)
+            view, first = memoryview(found.astype("<u4").tobytes()), bounds[:-1][rows] + start
+            last = number == count[rows] - 1
+            blocks = [view[4 * a : 4 * (a + n - 1)] if end else view[4 * a : 4 * (a + n)] for a, n, end in zip(first.tolist(), size.tolist(), last.tolist())]
+            crc = [zlib.crc32(tail, zlib.crc32(x)) if end else zlib.crc32(x) for x, end in zip(blocks, last.tolist())]
+            columns = [part.column("id").take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+            more = [pa.array([bytes(x) + tail if end else bytes(x) for x, end in zip(blocks, last.tolist())], pa.binary())] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns + more, ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -140,7 +180,8 @@ def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, most_
     """Local search over underfull bins; every accepted change raises the sum of squared fills.
 
     From the emptiest bin on, its documents move into other bins, are exchanged for a shorter one, or two are
-    exchanged for one shorter than both together, whichever fills the other bin best. An emptied bin goes.
+    exchanged for one shorter than both together, whichever fills the other bin best. An emptied bin goes. The
+    search is a heuristic within the bounds named above, which change how full sequences get, never their content.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
@@ -187,12 +228,12 @@ def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, most_
             if moved:
                 changes += 1
                 continue
-            given = [(size[i], (i,)) for i in own] + [(size[a] + size[b], (a, b)) for n, a in enumerate(own[:24]) for b in own[n + 1 : 24]]
+            given = [(size[i], (i,)) for i in own] + [(size[a] + size[b], (a, b)) for n, a in enumerate(own[:PAIR_ITEMS]) for b in own[n + 1 : PAIR_ITEMS]]
             for total, out in given:  # exchange one or two for one
                 if total > capacity:
                     continue
                 at, tries = places.first(total), 0
-                while 0 <= at and tries < 64:
+                while 0 <= at and tries < LENGTHS_TRIED:
                     tries += 1
                     j = places.last_entry(at, lambda j: size[j] + capacity - fill[where[j]] == at and where[j] != poor)
                     if j is not None and size[j] < total and fill[where[j]] + total - size[j] > fill[poor]:
@@ -250,7 +291,7 @@ def pack(parts: DataFrame, documents: int, length: int = 2048, id_col: str = "do
     return dealt.groupBy("shard").applyInPandas(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(df: DataFrame, path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize, cut and pack: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    found = cut(pieces(df, path, length, id_col=id_col, text_col=text_col, cache_words=cache_words))
+    found = cut(pieces(df, path, length, id_col=id_col, text_col=text_col))
     return pack(found, found.count(), length, id_col)

@@ -1,15 +1,27 @@
-"""Cut long lineages through the cluster's checkpoint folder."""
+"""Cut long lineages through the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where none is set, a session on one machine gets a temporary one; on a cluster that is an error, since its
+    machines do not see each other's disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of spark.checkpoint.dir (a temporary one where none is set) and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Write ``df`` to the shared folder and go on from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.functions.lineage import cut
 from statuta.functions.predicates import type_allowed, type_from_id
 from statuta.functions.text import tokens
 
@@ -39,11 +40,12 @@ def term_weights(postings_: DataFrame, stats: DataFrame | None = None) -> DataFr
 def bm25(requests: DataFrame, postings_: DataFrame, width: Column | None) -> DataFrame:
     """(query_id, entity_id, score, rank): the best ``width`` documents of each request, over the whole index; all of them without a width.
 
-    Terms of a request count once. Scores are rounded to six digits before ranking, ties go by id.
+    Terms of a request count once; the postings of asked terms, which are used twice, are cut. Scores are
+    rounded to six digits before ranking, ties go by id.
     """
     stats = corpus_stats(postings_)
     terms = requests.select("query_id", "source_types", width_or_null(width), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = postings_.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = cut(postings_.join(terms.select("term").distinct(), "term", "left_semi"))
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, *newest: str) -> DataFrame:
     return latest(old.unionByName(new), key, *newest)
 
 
+def duplicates(rows: DataFrame, key: str, newest: str) -> DataFrame:
+    """(key, n, kept, row): keys that occur more than once, how often, and which row ``latest`` keeps."""
+    last = F.max_by(F.struct(*rows.columns), F.col(newest))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(newest).alias("kept"), last.alias("row")).where("n > 1")
+
+
 def delete_rows(table: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
     """The table without rows that name a deleted id in one of the columns; ids that are not there do nothing."""
     for column in columns:
@@ -56,7 +64,29 @@ def next_state(known: DataFrame, current: DataFrame, report: DataFrame) -> DataF
 
 
 def write_snapshot(df: DataFrame, folder: str, version: int) -> str:
-    """Write a table's version beside the older ones; readers keep the path that they have."""
+    """Write a table's version beside the older ones and then enter it; readers keep the path that they have."""
     path = f"{folder}/version={version}"
     df.write.mode("overwrite").parquet(path)
+    df.sparkSession.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").parquet(f"{folder}/entered")
     return path
+
+
+def read_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest entered version that can be read and has the columns of ``schema``; an empty table where there is none.
+
+    A version counts as unreadable when its folder is missing, its files are no Parquet, or its columns differ.
+    Damage within a file shows when its rows are read.
+    """
+    empty = spark.createDataFrame([], schema)
+    try:
+        entered = [r[0] for r in spark.read.parquet(f"{folder}/entered").distinct().orderBy(F.desc("version")).collect()]
+    except PySparkException:
+        return empty
+    for version in entered:
+        try:
+            found = spark.read.parquet(f"{folder}/version={version}")
+        except (PySparkException, Py4JJavaError):
+            continue
+        if {(f.name, f.dataType) for f in empty.schema} <= {(f.name, f.dataType) for f in found.schema}:
+            return found.select(*empty.columns)
+    return empty

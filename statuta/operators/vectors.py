@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.predicates import type_allowed, type_from_id, valid_at, visible
+from statuta.functions.predicates import ALL, type_from_id
 from statuta.functions.text import char_ngrams, content_hash
 from statuta.operators.lexical import ranked, width_or_null, within
 
@@ -84,18 +85,70 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, min_score: float = MIN_SC
     return ranked(found, "vec_id").where(F.col("rank") <= k)
 
 
+def _dense(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, places, weights): the sparse vectors, a row each."""
+    return vectors.groupBy(key).agg(F.collect_list("idx").alias("places"), F.collect_list("w").alias("weights"))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    out = np.zeros((table.num_rows, DIMENSIONS))
+    places, weights = (table.column(c).combine_chunks() for c in ("places", "weights"))
+    row = np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(places), dtype=np.int64))
+    out[row, np.asarray(places.flatten())] = np.asarray(weights.flatten())
+    return out
+
+
+def _may_see(queries: pa.Table, others: pa.Table) -> np.ndarray:
+    """(queries, documents): visible in the department, valid on the date, of an allowed type."""
+    day = lambda t, c, default: np.asarray(pc.fill_null(t.column(c).combine_chunks().cast(pa.int32()).cast(pa.int64()), default))
+    begin, end, at = day(others, "effective_date", -(1 << 40)), day(others, "superseded_date", 1 << 40), day(queries, "as_of", 0)
+    seen = (begin <= at[:, None]) & (at[:, None] < end) & np.asarray(pc.is_valid(queries.column("as_of")))[:, None]
+    depts = others.column("allowed_depts").combine_chunks()
+    row = np.repeat(np.arange(others.num_rows), np.asarray(pc.fill_null(pc.list_value_length(depts), 0), dtype=np.int64))
+    names, kinds = depts.flatten(), others.column("type").combine_chunks()
+    holds = lambda name: np.bincount(row[np.asarray(pc.fill_null(pc.equal(names, name), False), dtype=bool)], minlength=others.num_rows) > 0
+    public, asked, types = holds(ALL), queries.column("dept").to_pylist(), queries.column("source_types").to_pylist()
+    own = {d: public | holds(d) for d in set(asked)}
+    allowed = {t: np.asarray(pc.fill_null(pc.is_in(kinds, pa.array(t, pa.string())), False), dtype=bool) for t in {tuple(t) for t in types if t is not None}}
+    for k, (d, t) in enumerate(zip(asked, types)):
+        seen[k] &= own[d] if t is None else own[d] & allowed[tuple(t)]
+    return seen
+
+
 def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE) -> DataFrame:
     """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine, all of them without a width.
 
-    Sparse vectors meet on their index; the sums are combined before the shuffle. The request's predicates
-    are applied to the scored pairs, which a request has one of for each document at most.
+    Requests and documents are dealt into blocks by hash; each pair of blocks meets once. There the request's
+    predicates come first, then the cosines of what is left, and each request keeps its best ``width`` of the
+    block, which a second ranking merges. Scores are rounded to six digits before ranking, ties go by id.
     """
-    pairs = query_vectors.select("query_id", "idx", F.col("w").alias("qw")).join(vectors, "idx").groupBy("query_id", "entity_id").agg(F.sum(F.col("qw") * F.col("w")).alias("raw"))
-    scored = pairs.withColumn("score", F.round("raw", 6)).where(F.col("score") >= min_score)
-    facts = entities.select("entity_id", "allowed_depts", "effective_date", "superseded_date")
-    open_ = scored.join(facts, "entity_id").join(requests.select("query_id", "dept", "as_of", "source_types", width_or_null(width)), "query_id")
-    open_ = open_.where(visible(F.col("allowed_depts"), F.col("dept")) & valid_at(F.col("effective_date"), F.col("superseded_date"), F.col("as_of")) & type_allowed(F.col("source_types"), type_from_id(F.col("entity_id"))))
-    return within(ranked(open_.select("query_id", "entity_id", "score", "width")))
+    facts = entities.select("entity_id", type_from_id(F.col("entity_id")).alias("type"), "allowed_depts", "effective_date", "superseded_date")
+    asked = requests.select("query_id", "dept", "as_of", "source_types", width_or_null(width)).join(_dense(query_vectors, "query_id"), "query_id")
+    rows = facts.join(_dense(vectors, "entity_id"), "entity_id")
+    query_blocks, row_blocks = (max(1, -(-df.count() // size)) for df, size in ((requests, QUERY_BLOCK), (entities, ROW_BLOCK)))
+    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = dealt(asked, "query_id", "query_block", query_blocks, "row_block", row_blocks)
+    right = dealt(rows, "entity_id", "row_block", row_blocks, "query_block", query_blocks)
+    kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((asked, "query_id"), (rows, "entity_id")))
+
+    def best(queries: pa.Table, others: pa.Table) -> pa.Table:
+        score = np.round(_matrix(queries) @ _matrix(others).T, 6)
+        score[~_may_see(queries, others)] = -np.inf
+        q, r, found = [], [], []
+        for k, most in enumerate(queries.column("width").to_pylist()):
+            own = np.flatnonzero(score[k] >= min_score)
+            if most is not None and len(own) > most:  # all that tie with the last one stay for the second ranking
+                own = own[score[k, own] >= np.partition(score[k, own], -most)[-most]]
+            q.append(np.full(len(own), k))
+            r.append(own)
+            found.append(score[k, own])
+        q, r, found = (np.concatenate(x) if x else np.zeros(0) for x in (q, r, found))
+        take = lambda t, c, at: t.column(c).combine_chunks().take(pa.array(at.astype(np.int64)))
+        return pa.table({"query_id": take(queries, "query_id", q), "entity_id": take(others, "entity_id", r), "score": pa.array(found.astype(float)), "width": take(queries, "width", q)})
+
+    by = ["query_block", "row_block"]
+    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, f"{kinds}, score double, width int")
+    return within(ranked(hits))
 
 
 def embed_plan(docs: DataFrame, cache: DataFrame, identity: str) -> DataFrame:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.lineage import cut
-from statuta.functions.predicates import valid_at
+from statuta.functions.predicates import ALL, valid_at
 
 OLDEST = "0001-01-01"
 
 
-def chains(entities: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def chains(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(entity_id, chain_id): connected members of SUPERSEDES edges share the smallest id; others are alone.
 
-    Label propagation with pointer jumping; edges to missing documents do not count. Cycles are harmless.
+    Label propagation with pointer jumping until nothing changes, in rounds that grow with the logarithm of the
+    longest chain; edges to missing documents do not count. Cycles are harmless.
     """
     ids = entities.select("entity_id").distinct()
     linked = edges.where("type = 'supersedes' and src <> dst").select("src", "dst").join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
     both = cut(linked.select("src", "dst").union(linked.select("dst", "src")).distinct().toDF("a", "b"))
     label = cut(both.select(F.col("a").alias("entity_id")).distinct().withColumn("chain_id", F.col("entity_id")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label, both["b"] == label["entity_id"]).groupBy("a").agg(F.min("chain_id").alias("low"))
         moved = label.join(near, label["entity_id"] == near["a"]).select("entity_id", F.least("chain_id", "low").alias("chain_id"), F.col("chain_id").alias("old"))
         jump = moved.select(F.col("entity_id").alias("via"), F.col("chain_id").alias("far"))
@@ -54,3 +55,44 @@ def resolve(hits: DataFrame, entities: DataFrame, version_map: DataFrame) -> Dat
     best = W.partitionBy("chain_id", "as_of").orderBy(F.desc("valid"), F.when(F.col("valid"), days).otherwise(-days), "entity_id")
     chosen = found.withColumn("n", F.row_number().over(best)).where("n = 1").select("chain_id", "as_of", F.col("entity_id").alias("resolved_id"))
     return placed.join(chosen, ["chain_id", "as_of"]).drop("chain_id")
+
+
+#: Levels of day blocks (of one day, two, four and so on) and the first day that they count from.
+LEVELS, FIRST_DAY = 23, "0001-01-01"
+
+
+def _day(date: Column) -> Column:
+    return F.datediff(date, F.lit(FIRST_DAY).cast("date"))
+
+
+def _blocks(begin: Column, end: Column) -> Column:
+    """The fewest blocks (level, block) that make up the days from begin to before end."""
+    kind = "array<struct<level:int,block:bigint>>"
+    start = F.struct(begin.cast("long").alias("lo"), end.cast("long").alias("hi"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, level: Column) -> Column:
+        odd_lo, odd_hi = (s["lo"] < s["hi"]) & (s["lo"] % 2 == 1), (s["lo"] < s["hi"]) & (s["hi"] % 2 == 1)
+        one = lambda c, at: F.when(c, F.array(F.struct(level.alias("level"), at.alias("block"))).cast(kind)).otherwise(F.array().cast(kind))
+        lo = F.when(odd_lo, s["lo"] + 1).otherwise(s["lo"])
+        rest = odd_hi & (lo < s["hi"])
+        hi = F.when(rest, s["hi"] - 1).otherwise(s["hi"])
+        return F.struct(F.floor(lo / 2).alias("lo"), F.floor(hi / 2).alias("hi"), F.concat(s["out"], one(odd_lo, s["lo"]), one(rest, s["hi"] - 1)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda s: s["out"])
+
+
+def counts_in_force(requests: DataFrame, entities: DataFrame) -> DataFrame:
+    """(type, query_id, n, first_id): documents of each type in force on a request's date and visible to its department.
+
+    A document's days are made up of a few blocks of one, two, four ... days. Documents are counted by type,
+    department and block first, which leaves a small table however many there are; a request then meets the
+    blocks that its date lies in, one of each size, by equality. No document meets a request by itself.
+    """
+    last = 1 << LEVELS
+    days = _blocks(F.coalesce(_day(F.col("effective_date")), F.lit(0)), F.coalesce(_day(F.col("superseded_date")), F.lit(last)))
+    depts = F.when(F.array_contains("allowed_depts", ALL), F.array(F.lit(ALL))).otherwise(F.array_distinct("allowed_depts"))
+    placed = entities.select("type", "entity_id", F.explode(depts).alias("dept"), days.alias("days")).select("type", "entity_id", "dept", F.explode("days").alias("b"))
+    counted = placed.groupBy("type", "dept", "b.level", "b.block").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"))
+    asked = requests.select("query_id", F.explode(F.array_distinct(F.array("dept", F.lit(ALL)))).alias("dept"), _day(F.col("as_of")).cast("long").alias("day"))
+    asked = asked.select("query_id", "dept", "day", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).withColumn("block", F.floor(F.col("day") / F.pow(F.lit(2.0), F.col("level"))))
+    return asked.join(counted, ["dept", "level", "block"]).groupBy("type", "query_id").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))

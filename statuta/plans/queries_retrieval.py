@@ -69,8 +69,8 @@ def vector_search(spark, d):
 
 
 @query(
-    "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e,b.e),6) AS score FROM v a JOIN v b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE a.vec_id%50=0)"
-    " SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score>=0.05) WHERE rank<=6"
+    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding)>0 AND len(list_filter(embedding, lambda x: x IS NULL))=0), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e,b.e),6) AS score FROM v a JOIN v b ON len(a.e)=len(b.e) AND a.vec_id<>b.vec_id WHERE a.vec_id%50=0)"
+    " SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE isfinite(score) AND score>=0.05) WHERE rank<=6"
 )
 def vector_search_dense(spark, d):
     """Every fiftieth vector against all others, whatever their labels."""
@@ -86,23 +86,19 @@ def version_chains(spark, d):
     return big(found, "position").select("entity_id", "chain_id", "position")
 
 
-@query(S.with_(S.ENT, S.EDGE, S.REQ, S.CHAIN, S.RESOLVED) + "SELECT query_id, entity_id, resolved_id FROM req JOIN res USING(as_of)")
+@query(S.with_(S.ENT, S.EDGE, S.REQ, S.CHAIN, S.RESOLVED, S.NEEDLES) + "SELECT DISTINCT nd.query_id, e.entity_id, resolved_id FROM nd JOIN ent e ON contains(e.title, needle) JOIN res ON res.entity_id=e.entity_id AND res.as_of=nd.as_of")
 def resolve_as_of(spark, d):
+    """Each request's hits by article number, as the version in force on its date; a chain is resolved once a date."""
     rows = adapter.entities(spark, d)
-    chains = versions.chains(rows, adapter.edges(spark, d))
-    dates = adapter.requests(spark, d).groupBy("as_of").agg(F.collect_list("query_id").alias("queries"))
-    # Each chain is resolved for each date of the request table; the table of dates is the side that is repeated.
-    hits = rows.select("entity_id").crossJoin(dates).select("entity_id", "as_of", "queries")
-    return versions.resolve(hits, rows, chains).select(F.explode("queries").alias("query_id"), "entity_id", "resolved_id")
+    needles = adapter.requests(spark, d).select("query_id", "as_of", F.explode(article_needles(F.col("query"))).alias("needle"))
+    hits = title_matches(needles, rows).select("query_id", "as_of", "entity_id").distinct()
+    return versions.resolve(hits, rows, versions.chains(rows, adapter.edges(spark, d))).select("query_id", "entity_id", "resolved_id")
 
 
 @query(S.with_(S.ENT, S.REQ) + f"SELECT type, count(*) AS n, min(entity_id) AS first_id, query_id FROM ent, req WHERE {S.in_force('ent', 'req')} AND {S.open_to('ent', 'req')} GROUP BY type, query_id")
 def interval_join(spark, d):
-    """Documents in force and visible at each request, counted by type: one pass over the documents."""
-    rows = adapter.entities(spark, d)
-    on = valid_at(F.col("effective_date"), F.col("superseded_date"), F.col("as_of")) & visible(F.col("allowed_depts"), F.col("dept"))
-    found = rows.join(adapter.requests(spark, d).select("query_id", "as_of", "dept"), on)
-    return found.groupBy("type", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"))
+    """Documents in force and visible at each request, counted by type; see ``versions.counts_in_force``."""
+    return versions.counts_in_force(adapter.requests(spark, d), adapter.entities(spark, d))
 
 
 @query(S.with_(S.ENT, S.EDGE, S.NEAR) + "SELECT entity_id, neighbour, CAST(position AS BIGINT) AS position FROM near")
@@ -128,24 +124,18 @@ def edge_fanout(spark, d):
     return adapter.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("src")).agg(F.countDistinct("l_partkey").alias("targets"), F.sum("l_quantity").alias("weight"))
 
 
-@query(S.with_(S.ENT) + f"SELECT entity_id, CAST({S.RANK % 'type'} AS BIGINT) AS authority, {S.LABEL % ('type', 'type')} AS label FROM ent")
+@query(S.with_(S.ENT) + f"SELECT entity_id, CAST({S.RANK % 'type'} AS BIGINT) AS authority, {S.LABEL % ('type', 'type')} AS label FROM ent", name="authority_rank")
 def authority_ranks(spark, d):
     return adapter.entities(spark, d).select("entity_id", authority_rank(F.col("type")).cast("bigint").alias("authority"), authority_label(F.col("type")).alias("label"))
 
 
-REGISTRY.queries["authority_rank"], REGISTRY.sql["authority_rank"] = REGISTRY.queries.pop("authority_ranks"), REGISTRY.sql.pop("authority_ranks")
-
-
-@query(S.with_(S.ENT) + "SELECT entity_id, CASE WHEN contains(x,':') AND list_contains(['law','regulation','interpretation','case','review','faq','precedent'], split_part(x,':',1)) THEN split_part(x,':',1) END AS type FROM (SELECT entity_id, CASE WHEN doc_id%5=0 THEN replace(entity_id,':','-') WHEN doc_id%5=1 THEN 'x'||entity_id ELSE entity_id END AS x FROM ent)")
+@query(S.with_(S.ENT) + "SELECT entity_id, CASE WHEN contains(x,':') AND list_contains(['law','regulation','interpretation','case','review','faq','precedent'], split_part(x,':',1)) THEN split_part(x,':',1) END AS type FROM (SELECT entity_id, CASE WHEN doc_id%5=0 THEN replace(entity_id,':','-') WHEN doc_id%5=1 THEN 'x'||entity_id ELSE entity_id END AS x FROM ent)", name="type_from_id")
 def type_from_ids(spark, d):
     """Also over ids without a colon and of an unknown type."""
     x = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("entity_id", ":", "-")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("x"), "entity_id")).otherwise(F.col("entity_id"))
     return adapter.entities(spark, d).select("entity_id", type_from_id(x).alias("type"))
 
 
-REGISTRY.queries["type_from_id"], REGISTRY.sql["type_from_id"] = REGISTRY.queries.pop("type_from_ids"), REGISTRY.sql.pop("type_from_ids")
-
-
 @query(S.with_(S.ENT) + "SELECT entity_id, dept FROM ent, (SELECT unnest(['IB','RETAIL','WM']) AS dept) WHERE list_contains(allowed_depts,'ALL') OR list_contains(allowed_depts,dept)")
 def rbac_filter(spark, d):
     rows = adapter.entities(spark, d).withColumn("dept", F.explode(F.array(*map(F.lit, ("IB", "RETAIL", "WM")))))
@@ -168,14 +158,11 @@ def title_contains(spark, d):
     return title_matches(needles, adapter.entities(spark, d)).select("query_id", "needle", "entity_id")
 
 
-@query(S.with_(S.REQ) + "SELECT query_id, array_to_string(list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')),',') AS needles FROM req")
+@query(S.with_(S.REQ) + "SELECT query_id, array_to_string(list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')),',') AS needles FROM req", name="article_needles")
 def article_needles_(spark, d):
     return adapter.requests(spark, d).select("query_id", F.array_join(article_needles(F.col("query")), ",").alias("needles"))
 
 
-REGISTRY.queries["article_needles"], REGISTRY.sql["article_needles"] = REGISTRY.queries.pop("article_needles_"), REGISTRY.sql.pop("article_needles_")
-
-
 @query(S.with_(S.ENT) + "SELECT entity_id FROM ent WHERE doc_id%3<>0")
 def existence_gate(spark, d):
     """Hits whose document is there; every third one is a ghost."""
@@ -199,7 +186,10 @@ def rerank_noop(spark, d):
     return noop_rerank(retrieval(spark, d).selected).select("query_id", "entity_id", "rerank_score")
 
 
-@query()
+@query(
+    S.with_(*S.HYBRID[:11], f"rw AS (SELECT entity_id, list_distinct({S.tokens('concat_ws(chr(10),title,body)')}) AS words FROM ent), rq AS (SELECT query_id, list_distinct({S.tokens('query')}) AS terms FROM req)")
+    + "SELECT query_id, entity_id, round(len(list_intersect(terms, words))/greatest(len(terms),1),6) AS rerank_score FROM sel JOIN rq USING(query_id) JOIN rw USING(entity_id)"
+)
 def rerank_udf(spark, d):
     """A reranker that a user plugs in: the share of a request's words in the document."""
     run = retrieval(spark, d)
@@ -224,16 +214,17 @@ def hybrid_retrieve(spark, d):
 BLOCK = "'<document id=\"'||entity_id||'\" type=\"'||fin.type||'\" authority=\"'||" + S.LABEL % ("fin.type", "fin.type") + "||'\" title=\"'||title||'\" effective_date=\"'||effective_date||'\">'||chr(10)||body||chr(10)||'</document>'"
 
 
-@query(S.with_(*S.HYBRID) + f"SELECT req.query_id, coalesce('{EVIDENCE_HEAD.rstrip(chr(10))}'||chr(10)||chr(10)||string_agg({BLOCK}, chr(10)||chr(10) ORDER BY position), '{NO_EVIDENCE}') AS evidence FROM req LEFT JOIN (fin JOIN ent USING(entity_id)) USING(query_id) GROUP BY 1")
+@query(S.with_(*S.HYBRID) + f"SELECT req.query_id, coalesce('{EVIDENCE_HEAD.rstrip(chr(10))}'||chr(10)||chr(10)||string_agg({BLOCK}, chr(10)||chr(10) ORDER BY position), '{NO_EVIDENCE}') AS evidence FROM req LEFT JOIN (fin JOIN ent USING(entity_id)) USING(query_id) GROUP BY 1", name="evidence_blocks")
 def evidence_blocks_(spark, d):
     run = retrieval(spark, d)
     return evidence_blocks(run.requests, run.result, run.entities)
 
 
-REGISTRY.queries["evidence_blocks"], REGISTRY.sql["evidence_blocks"] = REGISTRY.queries.pop("evidence_blocks_"), REGISTRY.sql.pop("evidence_blocks_")
-
-
-@query()
+@query(
+    S.with_(*S.HYBRID, *(S.renamed(x) for x in (S.bm25(None), S.vector(None), S.POOL)))
+    + "SELECT query_id, f.query_id IS NOT NULL AS found, true_rank, CAST(ceil(true_rank/top_k) AS BIGINT) AS needed_width FROM req LEFT JOIN (SELECT DISTINCT query_id FROM fin WHERE type='law') f USING(query_id)"
+    " LEFT JOIN (SELECT query_id, min(pool_rank) AS true_rank FROM wide_pool WHERE type='law' GROUP BY 1) w USING(query_id)"
+)
 def recall_diagnosis(spark, d):
     narrow = retrieval(spark, d)
     wide = retrieval(spark, d, unlimited=True, version_map=narrow.version_map)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statuta.functions import korean
+from statuta.functions.lineage import shared_folder
+from statuta.operators import state
 from statuta.plans import sql as S
 from statuta.plans.queries_text import FDOC, FILES
 from statuta.plans.register import Registry
@@ -14,10 +18,32 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query()
+@query(S.with_(FILES) + "SELECT CASE WHEN contains(path,'/') THEN split_part(path,'/',1) ELSE '' END AS folder, CAST(sum(strlen(text)+1) AS BIGINT) AS bytes FROM files GROUP BY 1")
 def scan_staged(spark, d):
-    """The files under the data folder, by suffix; contents are not read."""
-    return files.scan(spark, d, ("parquet",)).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    """The rule files, written to a folder for each department, and found again by a scan; contents are not read."""
+    staged = files.staged(spark, d).select("text", F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(F.lit("")).alias("folder"))
+    root = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    staged.write.partitionBy("folder").text(root)
+    found = files.scan(spark, root, ("txt",))
+    folder = F.regexp_replace(F.regexp_extract("path", "/folder=([^/]*)/", 1), "^__HIVE_DEFAULT_PARTITION__$", "")
+    return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
+@query(
+    S.with_(FILES, FDOC)
+    + "SELECT entity_id, count(*) AS files, max(path) AS kept_path, arg_max(dept, path) AS dept FROM fdoc GROUP BY 1 HAVING count(*)>1"
+)
+def duplicate_ids(spark, d):
+    """Files whose names give the same id: how many, and which one stays, being the last in the order of paths."""
+    found = files.file_documents(files.staged(spark, d), "regulation")
+    return state.duplicates(found, "entity_id", "source").select("entity_id", F.col("n").alias("files"), F.col("kept").alias("kept_path"), F.array_join("row.allowed_depts", ",").alias("dept"))
+
+
+@query(S.with_(FILES, FDOC) + "SELECT entity_id, path, dept FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY path DESC) AS n FROM fdoc) WHERE n=1")
+def file_upsert(spark, d):
+    """Of files with equal ids the last in the order of paths is loaded, with its departments."""
+    found = files.file_documents(files.staged(spark, d), "regulation")
+    return state.latest(found, "entity_id", "source").select("entity_id", F.col("source").alias("path"), F.array_join("allowed_depts", ",").alias("dept"))
 
 
 @query(S.with_(S.ENT, FILES, FDOC) + "SELECT type, count(*) AS n, min(entity_id) AS first_id FROM (SELECT 'regulation' AS type, entity_id FROM fdoc UNION ALL SELECT 'review', replace(entity_id,'regulation:','review:') FROM fdoc WHERE doc_id%2=0 UNION ALL SELECT type, entity_id FROM ent) GROUP BY 1")
@@ -29,8 +55,17 @@ def source_union(spark, d):
     return every.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"))
 
 
-BLOCK = r"<(h1|p)(?: [^>]*)?>([^<]+)"
-BLOCKS = f"bl0 AS (SELECT page_id, unnest(regexp_extract_all(html,'{BLOCK}')) AS hit, unnest(range(len(regexp_extract_all(html,'{BLOCK}')))) AS block_no FROM pages),\nbl AS (SELECT page_id, block_no, regexp_extract(hit,'{BLOCK}',1) AS tag, regexp_extract(hit,'{BLOCK}',2) AS text FROM bl0)"
+def unescaped(x: str) -> str:
+    for name, character in pages.ENTITIES:
+        x = f"replace({x},'{name}','{character.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+STRIPPED = r"regexp_replace(%s,'^\s+|\s+$','','g')"
+PIECES = f"array_to_string(list_filter(list_transform(regexp_split_to_array(%s,'<[^>]*>'), lambda y: {STRIPPED % unescaped('y')}), lambda y: y<>''),' ')"
+BLOCKS = f"""bl0 AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html,'{pages.UNSEEN}','','g'),'{pages.BEGINS}',chr(1)||'\\1'||chr(2),'g'),'{pages.ENDS}',chr(3),'g'),chr(1))[2:] AS parts FROM pages),
+bl1 AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS block_no FROM bl0),
+bl AS (SELECT page_id, block_no, split_part(part,chr(2),1) AS tag, {PIECES % "split_part(split_part(part,chr(2),2),chr(3),1)"} AS text FROM bl1)"""
 
 
 @query(S.with_(BLOCKS) + "SELECT page_id, CAST(block_no AS BIGINT) AS block_no, tag, text FROM bl")
@@ -68,6 +103,55 @@ def bitemporal_items(spark, d):
     return pages.versioned_items(articles)
 
 
+def statute_pages(spark, d):
+    """(page_id, html): statute pages made of the paragraphs of pages, every third with an upcoming version, addenda from headings."""
+    rows = pages.blocks(adapter.read(spark, d, "pages")).withColumn("no", F.col("block_no").cast("string"))
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    day = F.expr("date_add(date'2023-01-01', block_no)")
+    note = F.concat(F.lit("<p class=\"pty1\">[시행일: "), F.year(day).cast("string"), F.lit(". "), F.month(day).cast("string"), F.lit(". "), F.dayofmonth(day).cast("string"), F.lit(".] 제"), "no", F.lit("조</p>"))
+    current = F.concat(F.lit('<a class="x" name="J'), "no", F.lit(':0"></a><div class="pgroup"><div class="lawcon"><p class="pty1_p4"><span class="bl"><label>제'), "no", F.lit("조</label></span> "), safe, F.lit("</p><p> </p></div></div>"))
+    title = F.when(F.col("block_no") % 2 == 0, F.concat(F.lit('<span class="bl">개정 <b>제'), "no", F.lit("조</b></span>"))).otherwise(F.lit(""))
+    coming = F.concat(F.lit('<div class="pgroup babl"><div class="lawcon"><p>'), title, safe, F.lit(' <span style="color: rgb(255, 0, 0)">new</span></p>'), F.when(F.col("block_no") % 9 != 0, note).otherwise(F.lit("")), F.lit("</div></div>"))
+    article = F.concat(current, F.when(F.col("block_no") % 3 == 0, coming).otherwise(F.lit("")), F.lit('<p class="gtit">장</p>'))
+    addendum = F.concat(F.lit('<a name="J'), "no", F.lit('"></a><div class="pgroup"><p class="pty3_dep1">'), safe, F.lit('</p><p class="pty3">부칙 '), "no", F.lit('</p><p class="other">x</p></div>'))
+    both = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.when(F.col("tag") == "p", F.struct("block_no", article.alias("h"))))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("tag") == "h1", F.struct("block_no", addendum.alias("h"))))).alias("b"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["h"]), "")
+    page = F.col("page_id").cast("string")
+    field = lambda name, value: F.concat(F.lit(f'<input type="hidden" id="{name}" value="'), value, F.lit('"/>'))
+    head = F.concat(field("lsId", F.concat(F.lit("L"), page)), F.lit('<input value="Law &amp; '), page, F.lit('" type="hidden" id="lsNm"/>'), field("lsiSeq", page), field("ancNo", F.concat(F.lit("제"), page, F.lit("호"))), field("ancYd", F.when(F.col("page_id") % 4 == 0, "2019").otherwise(F.lit("20191231"))), field("efYd", F.date_format(F.expr("date_add(date'2020-01-01', cast(page_id % 900 as int))"), "yyyyMMdd")))
+    return both.select("page_id", F.concat(head, joined("a"), F.lit('<div id="arDivArea"><a name="arArea"></a>'), joined("b"), F.lit("</div>")).alias("html"))
+
+
+ARTICLES = f"""st AS (SELECT *, 'Law & '||page_id AS law_name, CASE WHEN text='' THEN '제'||block_no||'조' ELSE '제'||block_no||'조 '||text END AS body, tag='p' AND block_no%3=0 AS upcoming,
+ CASE WHEN block_no%2=0 THEN '개정제'||block_no||'조' ELSE '제'||block_no||'조' END AS next_title, CASE WHEN block_no%9<>0 THEN {NEXT} END AS next_date,
+ trim(CASE WHEN block_no%2=0 THEN '개정 제'||block_no||'조 ' ELSE '' END||text)||CASE WHEN block_no%2=0 OR text<>'' THEN ' ' ELSE '' END||'new'||CASE WHEN block_no%9<>0 THEN chr(10)||'[시행일: '||year({NEXT})||'. '||month({NEXT})||'. '||day({NEXT})||'.] 제'||block_no||'조' ELSE '' END AS next_body FROM bl)"""
+
+
+@query(S.with_(BLOCKS, ARTICLES) + f"SELECT 'L'||page_id AS law_id, law_name, CAST(page_id AS VARCHAR) AS revision_seq, '제'||page_id||'호' AS promulgation_no, CASE WHEN page_id%4<>0 THEN DATE '2019-12-31' END AS promulgation_date, {EFF} AS effective_date, CAST(block_no AS VARCHAR) AS jo_no, '0' AS jo_br_no, '제'||block_no||'조' AS title, body, upcoming, CASE WHEN upcoming THEN next_title END AS upcoming_title, CASE WHEN upcoming THEN next_body END AS upcoming_body, CASE WHEN upcoming THEN next_date END AS upcoming_date FROM st WHERE tag='p'")
+def statute_articles(spark, d):
+    """Statute pages taken apart: fields of the page, and each article with its upcoming version."""
+    found = pages.statutes(statute_pages(spark, d))
+    rows = found.select("law_id", "law_name", "revision_seq", "promulgation_no", "promulgation_date", "effective_date", F.explode("articles").alias("a"))
+    return rows.select(*[c for c in rows.columns if c != "a"], "a.*")
+
+
+@query(S.with_(BLOCKS) + "SELECT 'L'||page_id AS law_id, CAST(block_no AS VARCHAR) AS id, '부칙 '||block_no||CASE WHEN text<>'' THEN chr(10)||text ELSE '' END AS body FROM bl WHERE tag='h1'")
+def statute_addenda(spark, d):
+    found = pages.statutes(statute_pages(spark, d))
+    return found.select("law_id", F.explode("addenda").alias("a")).select("law_id", "a.id", "a.body")
+
+
+@query(
+    S.with_(BLOCKS, ARTICLES)
+    + f"SELECT {BASE}||'@'||{EFF} AS id, law_name||' 제'||block_no||'조' AS title, body, {EFF} AS effective_date, CASE WHEN upcoming THEN next_date END AS superseded_date, NULL AS supersedes FROM st WHERE tag='p'"
+    f" UNION ALL SELECT {BASE}||'@'||next_date, law_name||' '||next_title, next_body, next_date, NULL, 'law:'||{BASE}||'@'||{EFF} FROM st WHERE upcoming AND next_date IS NOT NULL"
+    " UNION ALL SELECT 'L'||page_id||'-ar-'||block_no, law_name||' 부칙', '부칙 '||block_no||CASE WHEN text<>'' THEN chr(10)||text ELSE '' END, NULL, NULL, NULL FROM st WHERE tag='h1'"
+)
+def statute_items(spark, d):
+    """From pages to items: articles in force, upcoming ones that supersede them, addenda."""
+    return pages.statute_items(pages.statutes(statute_pages(spark, d)))
+
+
 NAV = r'<a href="([^"]*)">([^<]*)</a>'
 LISTED = f"""li0 AS (SELECT page_id, unnest(regexp_extract_all(html,'{NAV}')) AS hit, unnest(range(1,len(regexp_extract_all(html,'{NAV}'))+1)) AS no FROM pages),
 li AS (SELECT page_id, no, regexp_extract(hit,'{NAV}',2) AS name, regexp_extract(hit,'{NAV}',1) AS target FROM li0)"""
@@ -78,6 +162,21 @@ def listing_rows(spark, d):
     return pages.listing_rows(adapter.read(spark, d, "pages")).withColumn("no", F.col("no").cast("bigint"))
 
 
+@query(S.with_(LISTED) + f"SELECT page_id, CAST(no AS VARCHAR) AS no, nullif({STRIPPED % unescaped('name')},'') AS name, CASE WHEN no%5<>0 THEN '2024. '||(no%12+1)||'. 1.' END AS day, no%4=0 AS upcoming FROM li")
+def listing_table(spark, d):
+    """Listing pages made of link lists, with another table before the one that counts."""
+    rows = pages.listing_rows(adapter.read(spark, d, "pages")).withColumn("no", F.col("no").cast("string"))
+    cell = lambda c: F.concat(F.lit("<td> "), c, F.lit(" </td>"))
+    icon = F.when(F.col("no") % 4 == 0, '<img src="x" alt="앞으로 시행될 법령"/>').otherwise(F.lit(""))
+    row = F.concat(F.lit("<tr>"), cell(F.col("no")), cell(F.concat(F.lit("<a>"), "name", F.lit("</a>"), icon)), cell(F.when(F.col("no") % 5 != 0, F.concat(F.lit("2024. "), (F.col("no") % 12 + 1).cast("int").cast("string"), F.lit(". 1."))).otherwise(F.lit(""))), F.lit("</tr>"))
+    head = lambda *names: "<tr>" + "".join(f'<th scope="col"><span>{x}</span></th>' for x in names) + "</tr>"
+    before = "<table>" + head("부처/청/위원회", "기타") + "<tr><td>1</td><td>x</td></tr></table><table>" + head("번호", "법령명", "공포일자")
+    body = rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("no").cast("int"), row.alias("h")))), lambda x: x["h"]), "").alias("rows"))
+    found = pages.listing_tables(body.select("page_id", F.concat(F.lit(before), "rows", F.lit("</table>")).alias("html")))
+    cell_of = lambda name: F.try_element_at("cells", F.lit(name))
+    return found.select("page_id", cell_of("번호").alias("no"), cell_of("법령명").alias("name"), cell_of("공포일자").alias("day"), "upcoming")
+
+
 @query(S.with_(LISTED) + "SELECT page_id, CAST(no AS BIGINT) AS no, trim(name) AS listed_name, DATE '2023-01-01'+CAST((page_id*7+no)%700 AS INTEGER) AS effective_date, DATE '2023-01-01'+CAST((page_id*7+no)%700 AS INTEGER)>DATE '2024-01-01' AS upcoming FROM li")
 def left_listing_rows(spark, d):
     """Names with their date in force; those after the given day are upcoming."""
@@ -92,6 +191,13 @@ def listing_increment(spark, d):
     return pages.fresh_pages(rows, F.lit("2024-04-15").cast("date"))
 
 
+@query("WITH p AS (SELECT page_id%5 AS site, page_id//5 AS page, DATE '2030-06-01'-CAST(page_id//5*300+(page_id%3)*20 AS INTEGER) AS newest FROM pages) SELECT site, page, newest FROM (SELECT *, min(newest) OVER (PARTITION BY site ORDER BY page ROWS UNBOUNDED PRECEDING) AS low FROM p) WHERE year(low)>=2000")
+def listing_years(spark, d):
+    """A first crawl has no last date; it ends at the first page older than the oldest year."""
+    rows = adapter.read(spark, d, "pages").selectExpr("page_id % 5 as site", "page_id div 5 as page", "date_sub(date'2030-06-01', cast((page_id div 5) * 300 + (page_id % 3) * 20 as int)) as newest")
+    return pages.fresh_pages(rows)
+
+
 @query(S.with_(LISTED) + "SELECT DISTINCT name, target FROM li")
 def listing_dedupe(spark, d):
     """Rows of all pages, whole duplicates once, without the page number."""

@@ -44,15 +44,12 @@ def tokenize(spark, d):
     return adapter.read(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("WITH c AS (SELECT doc_id, text, string_split(lower(text),'') AS c FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, unnest(CASE WHEN length(text)<2 THEN [lower(text)] ELSE list_concat(list_transform(range(1,len(c)), lambda i: c[i]||c[i+1]), list_transform(range(1,len(c)-1), lambda i: c[i]||c[i+1]||c[i+2])) END) AS gram FROM c) SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1")
+@query("WITH c AS (SELECT doc_id, text, string_split(lower(text),'') AS c FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, unnest(CASE WHEN length(text)<2 THEN [lower(text)] ELSE list_concat(list_transform(range(1,len(c)), lambda i: c[i]||c[i+1]), list_transform(range(1,len(c)-1), lambda i: c[i]||c[i+1]||c[i+2])) END) AS gram FROM c) SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1", name="char_ngrams")
 def char_ngrams_(spark, d):
     grams = adapter.read(spark, d, "documents").where("text is not null").select("doc_id", F.explode(char_ngrams(F.col("text"))).alias("gram"))
     each = grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
-
-REGISTRY.queries["char_ngrams"], REGISTRY.sql["char_ngrams"] = REGISTRY.queries.pop("char_ngrams_"), REGISTRY.sql.pop("char_ngrams_")
-
 MASKED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s,'[0-9A-Za-z_\p{L}.+\-]+@[0-9A-Za-z_\p{L}\-]+\.[0-9A-Za-z_\p{L}.\-]+','[이메일 마스킹]','g'),'\d{6}-\d{7}','[주민번호 마스킹]','g'),'01[0-9]-\d{3,4}-\d{4}','[전화번호 마스킹]','g'),'\d{2,6}-\d{2,6}-\d{2,6}','[계좌번호 마스킹]','g')"
 #: Numbers put after each text, so that every rule has something to do.
 PERSONAL_SQL = "coalesce(text,'')||' 010-'||(1000+doc_id%9000)||'-5678 900101-1'||(100000+doc_id%900000)||' 110-'||(100+doc_id%900)||'-123456 홍길동@회사.kr'"
@@ -63,13 +60,10 @@ def personal():
     return F.concat(F.coalesce("text", F.lit("")), F.lit(" 010-"), n(1000, 9000), F.lit("-5678 900101-1"), n(100000, 900000), F.lit(" 110-"), n(100, 900), F.lit("-123456 홍길동@회사.kr"))
 
 
-@query(f"SELECT doc_id, {MASKED % f'({PERSONAL_SQL})'} AS masked FROM documents WHERE doc_id IS NOT NULL")
+@query(f"SELECT doc_id, {MASKED % f'({PERSONAL_SQL})'} AS masked FROM documents WHERE doc_id IS NOT NULL", name="mask_pii")
 def mask_pii_(spark, d):
     return adapter.read(spark, d, "documents").where("doc_id is not null").select("doc_id", mask_pii(personal()).alias("masked"))
 
-
-REGISTRY.queries["mask_pii"], REGISTRY.sql["mask_pii"] = REGISTRY.queries.pop("mask_pii_"), REGISTRY.sql.pop("mask_pii_")
-
 CITE = korean.CITATION
 CITED_TEXT = "CASE WHEN doc_id%5=0 THEN '' ELSE body END||' 동법 제3조 및 같은 법 제4조의2, 자본시장법 제'||(doc_id%30+1)||'조, 동법 제7조'"
 CITED = f"""lc0 AS (SELECT entity_id, unnest(regexp_extract_all(x,'{CITE}')) AS hit, unnest(range(len(regexp_extract_all(x,'{CITE}')))) AS pos FROM (SELECT entity_id, {CITED_TEXT} AS x FROM ent)),

@@ -10,13 +10,13 @@ class Registry:
         self.queries: dict = {}
         self.sql: dict[str, str] = {}
 
-    def query(self, sql: str | None = None) -> Callable:
-        """Register a function (spark, sf_dir) under its name, with DuckDB SQL where SQL can express it."""
+    def query(self, sql: str | None = None, name: str | None = None) -> Callable:
+        """Register a function (spark, sf_dir) under a name, its own by default, with DuckDB SQL where SQL can express it."""
 
         def add(f: Callable) -> Callable:
-            self.queries[f.__name__] = f
+            self.queries[name or f.__name__] = f
             if sql is not None:
-                self.sql[f.__name__] = sql
+                self.sql[name or f.__name__] = sql
             return f
 
         return add

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.functions.lineage import cut
 from statuta.functions.predicates import EXPANDED, authority_label, authority_rank, require_departments, type_allowed, valid_at, visible
 from statuta.operators import graph, lexical, vectors, versions
 
@@ -25,13 +26,26 @@ def article_needles(query: Column) -> Column:
     return F.array_distinct(F.transform(hits, name))
 
 
+#: Characters of a law's name before an article that titles are looked up by, at most; longer needles meet on these.
+NAME_LENGTH = 31
+
+
 def title_matches(needles: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows of ``needles`` (needle, ...) with the entities whose title contains it.
 
-    Both sides meet on the article number, so that only titles with that number are looked at.
+    Both sides meet on an article with all that a needle has before it: each article of a title is entered with
+    every end of the text before it, up to NAME_LENGTH characters, so a needle only meets titles that contain it
+    (up to its branch number, which is compared afterwards).
     """
-    titled = entities.select("entity_id", "type", "title", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"제\d+조"), F.lit(0)))).alias("article"))
-    return needles.withColumn("article", F.regexp_extract("needle", r"제\d+조", 0)).join(titled, "article").where(F.col("title").contains(F.col("needle"))).drop("article")
+    article = r"제\d+조"
+    hits = F.regexp_extract_all("title", F.lit(article), F.lit(0))
+    # The text before the k-th article: everything up to it, other articles included.
+    before = F.transform(hits, lambda h, k: F.call_function("substring_index", F.col("title"), h, F.size(F.filter(F.slice(hits, 1, k + 1), lambda x: x == h))))
+    ends = F.flatten(F.zip_with(hits, before, lambda h, b: F.transform(F.sequence(F.lit(0), F.least(F.length(b), F.lit(NAME_LENGTH))), lambda n: F.concat(F.right(b, n), h))))
+    titled = entities.select("entity_id", "type", "title", F.explode(F.array_distinct(ends)).alias("article"))
+    first = F.regexp_extract("needle", article, 0)
+    named = F.concat(F.right(F.call_function("substring_index", F.col("needle"), first, F.lit(1)), F.lit(NAME_LENGTH)), first)
+    return needles.withColumn("article", named).join(titled, "article").where(F.col("title").contains(F.col("needle"))).drop("article")
 
 
 def noop_rerank(selected: DataFrame) -> DataFrame:
@@ -58,14 +72,17 @@ def overlap_rerank(requests: DataFrame, entities: DataFrame) -> Callable[[DataFr
 class Retrieval:
     """One run over requests (query_id, query, dept, as_of, top_k, source_types); every step is a DataFrame.
 
-    A request without a department raises an error when the result is read. The index tables may be given
-    (a stored snapshot) or are derived from the entities.
+    A request without a department raises an error when the result is read. The index tables (version map,
+    postings, sparse vectors) may be given, as a stored snapshot has them, or are derived from the entities.
+    Steps that later ones use more than once (hits, cited, base) are written to the shared folder once.
     """
 
     requests: DataFrame
     entities: DataFrame
     edges: DataFrame
     version_map: DataFrame | None = None
+    postings: DataFrame | None = None
+    vectors: DataFrame | None = None
     rerank: Callable[[DataFrame], DataFrame] = noop_rerank
     unlimited: bool = False
 
@@ -91,7 +108,7 @@ class Retrieval:
         hits = hits.withColumn("n", F.row_number().over(W.partitionBy("query_id", "needle_no").orderBy("entity_id"))).where(F.col("n") <= CITATION_LIMIT)
         first = self._resolved(hits).groupBy("query_id", "resolved_id").agg(F.min(F.struct("needle_no", "n")).alias("first"))
         seq = F.row_number().over(W.partitionBy("query_id").orderBy("first", "resolved_id"))
-        return first.select("query_id", F.col("resolved_id").alias("entity_id"), F.lit(1.0).alias("score"), F.lit("citation_match").alias("reason"), F.lit(0).alias("phase"), seq.alias("seq"))
+        return cut(first.select("query_id", F.col("resolved_id").alias("entity_id"), F.lit(1.0).alias("score"), F.lit("citation_match").alias("reason"), F.lit(0).alias("phase"), seq.alias("seq")))
 
     @cached_property
     def recall_width(self) -> Column | None:
@@ -99,11 +116,12 @@ class Retrieval:
 
     @cached_property
     def lexical_hits(self) -> DataFrame:
-        return lexical.bm25(self.requests, lexical.postings(self.entities, F.concat_ws("\n", "title", "body")), self.recall_width)
+        index = self.postings if self.postings is not None else lexical.postings(self.entities, F.concat_ws("\n", "title", "body"))
+        return lexical.bm25(self.requests, index, self.recall_width)
 
     @cached_property
     def vector_hits(self) -> DataFrame:
-        own = vectors.hash_embed(self.entities, F.concat_ws("\n", "title", "body"), "entity_id")
+        own = self.vectors if self.vectors is not None else vectors.hash_embed(self.entities, F.concat_ws("\n", "title", "body"), "entity_id")
         return vectors.search(self.requests, vectors.hash_embed(self.requests, F.col("query"), "query_id"), self.entities, own, self.recall_width)
 
     @cached_property
@@ -111,7 +129,7 @@ class Retrieval:
         """(query_id, entity_id, type, fused, reason, pool_rank): both channels fused by rank, without the cited ones."""
         channel = lambda hits, k, reason: hits.select("query_id", "entity_id", "rank", F.lit(k).alias("channel"), F.lit(reason).alias("reason"))
         hits = channel(self.lexical_hits, 0, "lexical_match").union(channel(self.vector_hits, 1, "vector_match"))
-        hits = hits.join(self.requests.select("query_id", "dept", "as_of", "source_types"), "query_id")
+        hits = cut(hits).join(self.requests.select("query_id", "dept", "as_of", "source_types"), "query_id")
         fresh = self._resolved(hits).join(self.cited.select("query_id", F.col("entity_id").alias("resolved_id")), ["query_id", "resolved_id"], "left_anti")
         fused = fresh.groupBy("query_id", "resolved_id", "type").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("fused"), F.min(F.struct("channel", "rank", "reason")).alias("first"))
         order = W.partitionBy("query_id").orderBy(F.desc("fused"), "first.channel", "first.rank", "resolved_id")
@@ -129,7 +147,7 @@ class Retrieval:
     def base(self) -> DataFrame:
         ranked = self.rerank(self.selected)
         seq = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "pool_rank"))
-        return self.cited.union(ranked.select("query_id", "entity_id", F.col("rerank_score").alias("score"), "reason", F.lit(1).alias("phase"), seq.alias("seq")))
+        return cut(self.cited.union(ranked.select("query_id", "entity_id", F.col("rerank_score").alias("score"), "reason", F.lit(1).alias("phase"), seq.alias("seq"))))
 
     @cached_property
     def expanded(self) -> DataFrame:
@@ -151,22 +169,18 @@ class Retrieval:
         return every.select("query_id", F.row_number().over(order).alias("position"), "entity_id", "type", "score", "reason")
 
 
-def evidence_blocks(requests: DataFrame, result: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, evidence): one text a request, its documents in order; a fixed message where there are none."""
+def evidence_blocks(requests: DataFrame, result: DataFrame, entities: DataFrame, head: str | None = None, nothing: str | None = None) -> DataFrame:
+    """(query_id, evidence): one text a request, its documents in order after a head; another text where there are none."""
     facts = entities.select("entity_id", "title", "body", "effective_date")
     block = F.format_string('<document id="%s" type="%s" authority="%s" title="%s" effective_date="%s">\n%s\n</document>', "entity_id", "type", authority_label(F.col("type")), "title", F.coalesce(F.col("effective_date").cast("string"), F.lit("")), "body")
     texts = result.join(facts, "entity_id").select("query_id", F.struct("position", block.alias("block")).alias("b"))
     joined = texts.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["block"]), "\n\n").alias("blocks"))
-    return requests.select("query_id").join(joined, "query_id", "left").select("query_id", F.coalesce(F.concat(F.lit(EVIDENCE_HEAD), "blocks"), F.lit(NO_EVIDENCE)).alias("evidence"))
+    return requests.select("query_id").join(joined, "query_id", "left").select("query_id", F.coalesce(F.concat(F.lit(EVIDENCE_HEAD if head is None else head), "blocks"), F.lit(NO_EVIDENCE if nothing is None else nothing)).alias("evidence"))
 
 
-#: What stands before the evidence, and instead of it.
-EVIDENCE_HEAD = (
-    "다음은 검색된 문서입니다(규범적 권위가 높은 순으로 정렬됨). 답변에서 이 문서의 내용을 사용할 때는 반드시 해당 document id를 [[CITE:id]] 형식으로 표기하세요. "
-    "이 목록에 없는 id는 인용하지 마세요. 각 문서의 authority 속성이 그 문서의 규범적 지위를 나타내므로, 결론은 상위 규범(법령·사내규정)을 근거로 삼고 "
-    "하위 자료(검토서·FAQ)는 참고 의견으로만 인용하세요.\n\n"
-)
-NO_EVIDENCE = "검색 결과가 없습니다. 이 사실을 사용자에게 명확히 알리고, 답을 지어내지 마세요."
+#: What stands before the evidence, and instead of it, unless the caller gives other words.
+EVIDENCE_HEAD = "찾은 문서 (권위 높은 순). 인용 형식: [[CITE:문서 id]]\n\n"
+NO_EVIDENCE = "찾은 문서 없음."
 
 
 def diagnose(narrow: Retrieval, wide: Retrieval, kind: str = "law") -> DataFrame:

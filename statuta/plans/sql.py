@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from statuta.functions.predicates import AUTHORITY
 
 TYPES = "['law','regulation','interpretation','case','review','faq','precedent']"
@@ -18,7 +20,7 @@ ent AS (SELECT doc_id, t, version, source, {TYPES}[t+1] AS type, {TYPES}[t+1]||'
 EDGE = f"""edge AS (SELECT entity_id AS src, 'supersedes' AS type, {TYPES}[(doc_id-7)%7+1]||':'||(doc_id-7) AS dst FROM ent WHERE version>0
  UNION ALL SELECT entity_id, ['interprets','violates','cites','answered_by','cites'][t-1], {TYPES}[(doc_id-[2,3,3,4,6][t-1])%7+1]||':'||(doc_id-[2,3,3,4,6][t-1]) FROM ent WHERE t>=2)"""
 
-REQ = f"""req AS (SELECT item_id AS query_id, substr(coalesce(text,''),1,120)||CASE WHEN item_id%2=0 THEN ' 제'||(item_id%14+1)||'조' ELSE '' END AS query,
+REQ = f"""req AS (SELECT item_id AS query_id, coalesce(text,'')||CASE WHEN item_id%2=0 THEN ' 제'||(item_id%14+1)||'조' ELSE '' END AS query,
  {DEPTS}[item_id%3+1] AS dept, DATE '2020-06-01'+CAST(45*item_id AS INTEGER) AS as_of, 6 AS top_k FROM benchmark)"""
 
 
@@ -42,11 +44,15 @@ dl AS (SELECT entity_id, count(*) AS doc_len FROM tok GROUP BY 1),
 cs AS (SELECT count(*) AS n_docs, avg(doc_len) AS avg_len FROM dl)"""
 
 
-def bm25(width: str = "top_k*5") -> str:
+def bm25(width: str | None = "top_k*5") -> str:
     return f"""qt AS (SELECT query_id, unnest(list_distinct({tokens("query")})) AS term FROM req),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 lx0 AS (SELECT query_id, post.entity_id, round(sum(ln(1+(n_docs-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*doc_len/avg_len))),6) AS score FROM qt JOIN post USING(term) JOIN df USING(term) JOIN dl USING(entity_id), cs GROUP BY 1,2),
-lx AS (SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM lx0) JOIN req USING(query_id) WHERE rank<={width})"""
+lx AS (SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM lx0) JOIN req USING(query_id) WHERE {upto(width)})"""
+
+
+def upto(width: str | None) -> str:
+    return "true" if width is None else f"rank<={width}"
 
 
 def embed(name: str, source: str, key: str, text: str) -> str:
@@ -58,11 +64,11 @@ def embed(name: str, source: str, key: str, text: str) -> str:
 {name} AS (SELECT {key}, idx, w/sqrt(sum(w*w) OVER (PARTITION BY {key})) AS w FROM {name}s)"""
 
 
-def vector(width: str = "top_k*5") -> str:
+def vector(width: str | None = "top_k*5") -> str:
     return embed("ev", "ent", "entity_id", "concat_ws(chr(10),title,body)") + ",\n" + embed("qv", "req", "query_id", "query") + f""",
 vx0 AS (SELECT query_id, entity_id, round(sum(ev.w*qv.w),6) AS score FROM qv JOIN ev USING(idx) GROUP BY 1,2),
 vx1 AS (SELECT vx0.*, top_k FROM vx0 JOIN ent USING(entity_id) JOIN req USING(query_id) WHERE score>=0.05 AND {open_to('ent', 'req')} AND {in_force('ent', 'req')}),
-vx AS (SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM vx1) WHERE rank<={width})"""
+vx AS (SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM vx1) WHERE {upto(width)})"""
 
 
 def open_to(e: str, r: str) -> str:
@@ -81,8 +87,10 @@ cand AS (SELECT a.chain_id, a.as_of, e.entity_id, e.effective_date AS eff, (e.ef
 res0 AS (SELECT *, row_number() OVER (PARTITION BY chain_id,as_of ORDER BY valid DESC, CASE WHEN valid THEN epoch(eff) ELSE -epoch(eff) END, entity_id) AS n FROM cand),
 res AS (SELECT c.entity_id, r.as_of, r.entity_id AS resolved_id FROM res0 r JOIN chain c USING(chain_id) WHERE n=1)"""
 
-CITED = f"""nd0 AS (SELECT query_id, dept, as_of, list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')) AS l FROM req),
-nd AS (SELECT DISTINCT query_id, dept, as_of, unnest(l) AS needle, list_position(l, unnest(l)) AS needle_no FROM nd0),
+NEEDLES = """nd0 AS (SELECT query_id, dept, as_of, list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')) AS l FROM req),
+nd AS (SELECT DISTINCT query_id, dept, as_of, unnest(l) AS needle, list_position(l, unnest(l)) AS needle_no FROM nd0)"""
+
+CITED = NEEDLES + f""",
 ct0 AS (SELECT nd.*, e.entity_id, row_number() OVER (PARTITION BY query_id,needle_no ORDER BY e.entity_id) AS n FROM nd JOIN ent e ON contains(e.title, needle)),
 ct1 AS (SELECT query_id, resolved_id, min(needle_no*1000+n) AS first FROM ct0 JOIN res ON res.entity_id=ct0.entity_id AND res.as_of=ct0.as_of JOIN ent e ON e.entity_id=resolved_id WHERE n<=10 AND {open_to('e', 'ct0')} GROUP BY 1,2),
 cited AS (SELECT query_id, resolved_id AS entity_id, 1.0::DOUBLE AS score, 'citation_match' AS reason, 0 AS phase, row_number() OVER (PARTITION BY query_id ORDER BY first, resolved_id) AS seq FROM ct1)"""
@@ -113,3 +121,12 @@ def with_(*parts: str) -> str:
 
 
 HYBRID = (ENT, EDGE, REQ, CHAIN, RESOLVED, CITED, POSTINGS, bm25(), vector(), POOL, SELECTED, BASE, NEAR, EXPANDED, FINAL)
+
+
+def renamed(part: str, prefix: str = "wide_") -> str:
+    """A part whose steps (hits, channels, pool) have names of their own, so that it can stand beside the first."""
+    steps = ("qt", "df", "lx0", "lx", "evc", "evg", "evn", "evh", "evs", "ev", "qvc", "qvg", "qvn", "qvh", "qvs", "qv", "vx0", "vx1", "vx", "hits", "hr", "fused", "pool")
+    table = "|".join(steps)
+    part = re.sub(rf"(?m)(^|,\s*)({table})(?= AS \()", rf"\g<1>{prefix}\g<2>", part)
+    part = re.sub(rf"\b(FROM|JOIN) ({table})\b", rf"\g<1> {prefix}\g<2>", part)
+    return re.sub(rf"\b({table})\.", rf"{prefix}\g<1>.", part)

@@ -20,7 +20,8 @@ def parse(items: DataFrame, json_col: str = "value") -> DataFrame:
     bad_date = lambda c: F.col(c).isNotNull() & (F.trim(c) != "") & coerce_date(F.col(c)).isNull()
     missing = [F.when(F.col(f"item.{c}").isNull(), f"missing {c}") for c in ("id", "title", "body")]
     unknown = F.exists(F.coalesce("item.relations", F.array().cast("array<array<string>>")), lambda r: ~F.get(r, 0).isin(*EDGE_TYPES))
-    reason = F.coalesce(*missing, F.when(bad_date("item.effective_date") | bad_date("item.superseded_date"), "bad date"), F.when(unknown, "unknown relation"))
+    aimless = F.exists(F.coalesce("item.relations", F.array().cast("array<array<string>>")), lambda r: F.coalesce(F.trim(F.get(r, 1)), F.lit("")) == "")
+    reason = F.coalesce(*missing, F.when(bad_date("item.effective_date") | bad_date("item.superseded_date"), "bad date"), F.when(unknown, "unknown relation"), F.when(aimless, "relation without a target"))
     return rows.withColumn("reason", F.when(F.col("item").isNull(), "not an item").otherwise(reason))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,25 @@ from statuta.sources import adapter
 SUFFIXES = ("docx", "doc", "pdf")
 
 
-def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path, length) of the files under a folder; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
-    return found.select("path", "length")
+def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES, with_content: bool = False) -> DataFrame:
+    """(path, length[, content]) of the files under a folder with one of the suffixes; a missing folder has none.
+
+    Contents are read only if asked for.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+    try:
+        found = reader.load(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    return found.select("path", "length", *["content"] * with_content)
+
+
+def texts(found: DataFrame) -> DataFrame:
+    """(path, text, error) of scanned files with their content; what is no valid UTF-8 has an error instead of a text."""
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    return found.select("path", F.when(good, F.col("content").cast("string")).alias("text"), F.when(~good, F.lit("not a UTF-8 text")).alias("error"))
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:

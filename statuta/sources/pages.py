@@ -1,4 +1,4 @@
-"""Web pages as blocks, statute articles with versions, and listings."""
+"""Web pages as blocks, statute pages as articles with versions, and listings."""
 
 from __future__ import annotations
 
@@ -6,22 +6,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.functions.korean import IN_FORCE, dates_in
+from statuta.functions.korean import IN_FORCE, compact_date, dates_in
+from statuta.functions.text import strip
 
-BLOCK = r"(?s)<(h1|p)(?: [^>]*)?>([^<]+)"
 NAV = r'<a href="([^"]*)">([^<]*)</a>'
+#: What is no text, where a heading or paragraph begins, and where one ends.
+UNSEEN = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+BEGINS, ENDS = r"<(h1|p)(?: [^>]*)?>", r"</?(?:h1|p|div|article|nav|ul|table|body|html|head)(?: [^>]*)?>"
+TAG = r"<[^>]*>"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Fixed values of statute pages: anchors of articles (number, branch) and addenda, paragraphs, and class names.
+ARTICLE_ANCHOR = r'<a\b[^>]*\bname="J(\d+):(\d+)"[^>]*>'
+ADDENDUM_ANCHOR = r'<a\b[^>]*\bname="J([^":]*)"[^>]*>'
+ADDENDA_AREA, UPCOMING_GROUP = 'id="arDivArea"', r'<div\b[^>]*\bclass="pgroup babl"[^>]*>'
+CONTENT = (r'(?s)<div\b[^>]*\bclass="lawcon"[^>]*>(.*?)</div>', r'(?s)<div\b[^>]*\bclass="pgroup"[^>]*>(.*?)</div>', r"(?s)^(.*?)</div>")
+PARAGRAPH = r"(?s)<p\b[^>]*>(.*?)</p>"
+ADDENDUM_HEAD, ADDENDUM_LINE = r'(?s)<p\b[^>]*\bclass="pty3"[^>]*>(.*?)</p>', r'(?s)<p\b[^>]*\bclass="pty3_dep[^"]*"[^>]*>(.*?)</p>'
+TITLE = r'(?s)<(\w+)\b[^>]*\bclass="bl"[^>]*>(.*?)</\1>'
+#: Fixed values of listing pages: the first header of the table that counts, and the icon of an upcoming row.
+FIRST_HEADER, UPCOMING_ICON = "번호", r'<img\b[^>]*\balt="앞으로 시행될 법령"'
+HEADER = r'(?s)<th\b[^>]*\bscope="col"[^>]*>(.*?)</th>'
+
+
+def unescaped(text: Column) -> Column:
+    """The common character references as characters."""
+    for name, character in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
+def inner_text(html: Column, joint: str = " ") -> Column:
+    """The pieces of text between tags, trimmed, blank ones left out, joined."""
+    pieces = F.filter(F.transform(F.split(html, TAG), lambda x: strip(unescaped(x))), lambda x: x != "")
+    return F.array_join(pieces, joint)
 
 
 def input_value(html: Column, name: str) -> Column:
-    """Value of a hidden input, whose id stands before it."""
-    return F.regexp_extract(html, f'id="{name}"[^>]*value="([^"]*)"', 1)
+    """Value of the input with an id, wherever both attributes stand in it; empty where there is none."""
+    tag = F.regexp_extract(html, rf'<input\b[^>]*\bid="{name}"[^>]*>', 0)
+    return unescaped(F.regexp_extract(tag, r'\bvalue="([^"]*)"', 1))
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block_no, tag, text): headings and paragraphs in order, up to the next tag."""
-    hits = F.regexp_extract_all("html", F.lit(BLOCK), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(hits).alias("block_no", "hit"))
-    return rows.select("page_id", "block_no", F.regexp_extract("hit", BLOCK, 1).alias("tag"), F.regexp_extract("hit", BLOCK, 2).alias("text"))
+    """(page_id, block_no, tag, text): headings and paragraphs in order.
+
+    A block holds all text up to the next tag that opens or closes a block, whatever inline tags it has.
+    """
+    seen = F.regexp_replace("html", UNSEEN, "")
+    marked = F.regexp_replace(F.regexp_replace(seen, BEGINS, "\u0001$1\u0002"), ENDS, "\u0003")
+    parts = F.slice(F.split(marked, "\u0001"), 2, F.size(F.split(marked, "\u0001")))
+    rows = pages.select("page_id", F.posexplode(parts).alias("block_no", "part"))
+    text = F.substring_index(F.substring_index("part", "\u0002", -1), "\u0003", 1)
+    return rows.select("page_id", "block_no", F.substring_index("part", "\u0002", 1).alias("tag"), inner_text(text).alias("text"))
+
+
+def _lines(html: Column, pattern: str) -> Column:
+    """Texts of the paragraphs that a pattern finds, blank ones left out."""
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda x: inner_text(x)), lambda x: x != "")
+
+
+def _segments(html: Column, anchor: str, area: str) -> Column:
+    """Stretches from each anchor to the next one or the end of the area."""
+    return F.regexp_extract_all(html, F.lit(f"(?s){anchor}.*?(?={area}|$)"), F.lit(0))
+
+
+def statutes(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, law_id, law_name, revision_seq, promulgation_no, promulgation_date, effective_date, articles, addenda).
+
+    An article has its number, branch, title and body, and those of its upcoming version with its date (null
+    where its note gives none). Addenda are the anchors without a branch in their own part of the page. Pages
+    without a law id have empty fields and no articles.
+    """
+    source = F.coalesce(F.col(html), F.lit(""))
+    parts = F.split(source, f"(?={ADDENDA_AREA})", 2)
+    rows = pages.select("page_id", source.alias("html"), F.get(parts, 0).alias("main"), F.coalesce(F.get(parts, 1), F.lit("")).alias("rest"))
+    rows = rows.select("*", F.transform(_segments(F.col("main"), ARTICLE_ANCHOR, ARTICLE_ANCHOR), lambda s: F.struct(s.alias("all"), F.split(s, UPCOMING_GROUP, 2).alias("versions"))).alias("found"))
+    title = lambda h: inner_text(F.regexp_extract(h, TITLE, 2), "")
+    content = lambda h: F.coalesce(*[F.nullif(F.regexp_extract(h, c, 1), F.lit("")) for c in CONTENT], F.lit(""))
+
+    def article(found: Column) -> Column:
+        coming = F.when(F.size(found["versions"]) > 1, content(F.get(found["versions"], 1)))
+        now = content(F.get(found["versions"], 0))
+        body = F.array_join(_lines(coming, PARAGRAPH), "\n")
+        return F.struct(
+            F.regexp_extract(found["all"], ARTICLE_ANCHOR, 1).alias("jo_no"),
+            F.regexp_extract(found["all"], ARTICLE_ANCHOR, 2).alias("jo_br_no"),
+            title(now).alias("title"),
+            F.array_join(_lines(now, PARAGRAPH), "\n").alias("body"),
+            coming.isNotNull().alias("upcoming"),
+            F.when(coming.isNotNull(), F.coalesce(F.nullif(title(coming), F.lit("")), title(now))).alias("upcoming_title"),
+            body.alias("upcoming_body"),
+            F.get(dates_in(body, IN_FORCE), 0).alias("upcoming_date"),
+        )
+
+    def addendum(found: Column) -> Column:
+        lines = F.concat(F.slice(_lines(found, ADDENDUM_HEAD), 1, 1), _lines(found, ADDENDUM_LINE))
+        return F.struct(F.regexp_extract(found, ADDENDUM_ANCHOR, 1).alias("id"), F.array_join(lines, "\n").alias("body"))
+
+    value = lambda name: input_value(F.col("html"), name)
+    return rows.select(
+        "page_id",
+        value("lsId").alias("law_id"),
+        value("lsNm").alias("law_name"),
+        value("lsiSeq").alias("revision_seq"),
+        value("ancNo").alias("promulgation_no"),
+        compact_date(value("ancYd")).alias("promulgation_date"),
+        compact_date(value("efYd")).alias("effective_date"),
+        F.transform("found", article).alias("articles"),
+        F.transform(_segments(F.col("rest"), ADDENDUM_ANCHOR, ADDENDUM_ANCHOR), addendum).alias("addenda"),
+    )
+
+
+def statute_items(found: DataFrame) -> DataFrame:
+    """Items (id, title, body, effective_date, superseded_date, supersedes) of parsed statute pages: articles, upcoming versions, addenda."""
+    articles = found.select("law_id", "law_name", "effective_date", F.explode("articles").alias("a")).select("law_id", "law_name", "effective_date", "a.*")
+    addenda = found.select("law_id", "law_name", F.explode("addenda").alias("a")).select("law_id", "law_name", F.col("a.id").alias("addendum_id"), "a.body")
+    none = lambda kind: F.lit(None).cast(kind)
+    more = addenda_items(addenda).select("id", "title", "body", none("date").alias("effective_date"), none("date").alias("superseded_date"), none("string").alias("supersedes"))
+    return versioned_items(articles).union(more)
 
 
 def versioned_items(articles: DataFrame) -> DataFrame:
@@ -31,10 +133,10 @@ def versioned_items(articles: DataFrame) -> DataFrame:
     supersedes it; an upcoming version without a date is left out.
     """
     base = F.concat_ws("-", "law_id", F.col("jo_no").cast("string"), F.col("jo_br_no").cast("string"))
-    item = lambda at, title: F.concat(base, F.lit("@"), at.cast("string"))
+    item = lambda at: F.concat(base, F.lit("@"), at.cast("string"))
     named = lambda title: F.trim(F.concat_ws(" ", "law_name", title))
-    current = articles.select(item(F.col("effective_date"), 0).alias("id"), named("title").alias("title"), F.col("body"), F.col("effective_date"), F.when(F.col("upcoming"), F.col("upcoming_date")).alias("superseded_date"), F.lit(None).cast("string").alias("supersedes"))
-    coming = articles.where("upcoming and upcoming_date is not null").select(item(F.col("upcoming_date"), 0).alias("id"), named("upcoming_title").alias("title"), F.col("upcoming_body").alias("body"), F.col("upcoming_date").alias("effective_date"), F.lit(None).cast("date").alias("superseded_date"), F.concat(F.lit("law:"), item(F.col("effective_date"), 0)).alias("supersedes"))
+    current = articles.select(item(F.col("effective_date")).alias("id"), named("title").alias("title"), F.col("body"), F.col("effective_date"), F.when(F.col("upcoming"), F.col("upcoming_date")).alias("superseded_date"), F.lit(None).cast("string").alias("supersedes"))
+    coming = articles.where("upcoming and upcoming_date is not null").select(item(F.col("upcoming_date")).alias("id"), named("upcoming_title").alias("title"), F.col("upcoming_body").alias("body"), F.col("upcoming_date").alias("effective_date"), F.lit(None).cast("date").alias("superseded_date"), F.concat(F.lit("law:"), item(F.col("effective_date"))).alias("supersedes"))
     return current.union(coming)
 
 
@@ -43,6 +145,21 @@ def addenda_items(addenda: DataFrame) -> DataFrame:
     return addenda.select(F.concat_ws("-", "law_id", F.lit("ar"), "addendum_id").alias("id"), F.concat("law_name", F.lit(" 부칙")).alias("title"), "body")
 
 
+def listing_tables(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, row_no, cells map<string,string>, upcoming): rows of the table whose first column header is FIRST_HEADER.
+
+    Other tables before it, such as a filter's, do not count; pages without it give nothing. Cells go to the
+    headers in order, blank ones are left out, and a row without any is no row.
+    """
+    tables = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?s)<table\b.*?</table>"), F.lit(0))
+    chosen = F.get(F.filter(tables, lambda t: inner_text(F.regexp_extract(t, HEADER, 1)) == FIRST_HEADER), 0)
+    rows = pages.select("page_id", chosen.alias("shown")).where("shown is not null")
+    rows = rows.select("page_id", _lines(F.col("shown"), HEADER).alias("headers"), F.posexplode(F.regexp_extract_all("shown", F.lit(r"(?s)<tr\b.*?</tr>"), F.lit(0))).alias("row_no", "row"))
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: inner_text(c))
+    paired = F.filter(F.arrays_zip(F.col("headers").alias("name"), cells.alias("text")), lambda p: p["name"].isNotNull() & (p["text"] != ""))
+    return rows.select("page_id", "row_no", F.map_from_entries(paired).alias("cells"), F.col("row").rlike(UPCOMING_ICON).alias("upcoming")).where(F.size("cells") > 0)
+
+
 def listing_rows(pages: DataFrame) -> DataFrame:
     """(page_id, no, name, target): rows of a page's link list."""
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(NAV), F.lit(0))).alias("no", "hit"))
@@ -56,10 +173,14 @@ def dated_names(rows: DataFrame, text: Column, today: Column) -> DataFrame:
     return rows.select("*", name.alias("listed_name"), found.alias("effective_date"), F.coalesce(found > today, F.lit(False)).alias("upcoming"))
 
 
-def fresh_pages(pages: DataFrame, cutoff: Column) -> DataFrame:
-    """Pages (site, page, newest) of a listing up to the first whose newest date is before ``cutoff``."""
+def fresh_pages(pages: DataFrame, cutoff: Column | None = None, oldest_year: int = 2000) -> DataFrame:
+    """Pages (site, page, newest) of a listing up to the first whose newest date is before ``cutoff``.
+
+    Without a cutoff, up to the first whose newest date is before ``oldest_year``. Pages without a date end nothing.
+    """
     running = F.min("newest").over(W.partitionBy("site").orderBy("page").rowsBetween(W.unboundedPreceding, 0))
-    return pages.withColumn("running", running).where(F.col("running") >= cutoff).drop("running")
+    fresh = F.col("running") >= cutoff if cutoff is not None else F.year("running") >= oldest_year
+    return pages.withColumn("running", running).where(F.coalesce(fresh, F.lit(True))).drop("running")
 
 
 def current_listing(rows: DataFrame, name: str, no: str) -> DataFrame:

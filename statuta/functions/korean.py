@@ -51,15 +51,27 @@ def article_label(segment: Column) -> Column:
 def split_articles(text: Column) -> Column:
     """Array of struct(label, body); empty where the text has no article heading.
 
-    What stands before the first heading is left out, addenda go to the last article.
+    What stands before the first heading is left out, addenda go to the last article. The text is cut once:
+    the array of its parts is bound to a name before it is used several times.
     """
     at = F.regexp_instr(text, F.lit(ADDENDUM))
-    main = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
-    addenda = F.when(at > 0, strip(F.substring(text, at, F.length(text)))).otherwise(F.lit(""))
-    parts = F.filter(F.split(main, f"(?md)(?=^{HEADING})"), lambda p: p.rlike(f"^{HEADING}"))
-    n = F.size(parts)
-    body = lambda p, i: F.when((i == n - 1) & (addenda != ""), F.concat(strip(p), F.lit("\n\n"), addenda)).otherwise(strip(p))
-    return F.transform(parts, lambda p, i: F.struct(article_label(p).alias("label"), body(p, i).alias("body")))
+
+    def bound(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), 0)
+
+    def articles(cut: Column) -> Column:
+        n = F.size(cut["parts"])
+        body = lambda p, i: F.when((i == n - 1) & (cut["addenda"] != ""), F.concat(strip(p), F.lit("\n\n"), cut["addenda"])).otherwise(strip(p))
+        head = lambda p: F.regexp_extract(p, f"^{HEADING}", 0)
+        return F.transform(cut["parts"], lambda p, i: F.struct(article_label(head(p)).alias("label"), body(p, i).alias("body")))
+
+    def halves(spot: Column) -> Column:
+        main = F.when(spot > 0, F.substring(text, F.lit(1), spot - 1)).otherwise(text)
+        addenda = F.when(spot > 0, strip(F.substring(text, spot, F.length(text)))).otherwise(F.lit(""))
+        marked = F.split(F.regexp_replace(main, f"(?md)^({HEADING})", "\u0001$1"), "\u0001")
+        return bound(F.struct(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))).alias("parts"), addenda.alias("addenda")), articles)
+
+    return bound(at, halves)
 
 
 def doc_title(text: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A citation marker, and what replaces one that cannot be verified.
 MARKER = r"\[\[CITE:([A-Za-z0-9_:.\-]+)\]\]"
@@ -37,17 +39,35 @@ def verify(answers: DataFrame, retrieved: DataFrame, entities: DataFrame, patter
     return joined.select("answer_id", text.alias("text"), F.transform(heads, lambda m: m["entity_id"]).alias("verified"), F.transform(F.filter("marks", lambda m: ~m["ok"]), lambda m: m["entity_id"]).alias("rejected"))
 
 
-def audit_lines(records: DataFrame) -> DataFrame:
-    """One JSON text a record, as an append-only log keeps them (``write.mode('append').text``)."""
-    return records.select(F.to_json(F.struct(*records.columns)).alias("value"))
+AUDIT_SCHEMA = "timestamp string, user_id string, dept string, user_message string, tool_calls array<struct<name: string, result_ids: array<string>>>, verified_citations array<string>, rejected_citations array<string>, answer string"
 
 
-AUDIT_SCHEMA = "timestamp string, user_id string, dept string, user_message string, tool_calls array<struct<name: string, result_ids: array<string>>>, verified_citations array<string>, rejected_citations array<string>, answer string"
+def append_audit(records: DataFrame, folder: str) -> None:
+    """Add records (the columns of AUDIT_SCHEMA) to the log, a JSON line each; nothing that is there changes."""
+    records.select(*[f.name for f in _audit_fields()]).write.mode("append").json(folder)
+
+
+def stream_audit(feed: DataFrame, folder: str, progress: str):
+    """Start a stream that appends arriving records to the log, each once, also after a restart."""
+    return feed.select(*[f.name for f in _audit_fields()]).writeStream.format("json").option("checkpointLocation", progress).trigger(availableNow=True).start(folder)
+
+
+def read_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of the log; one that was never written to is empty."""
+    try:
+        return spark.read.schema(AUDIT_SCHEMA).json(folder)
+    except PySparkException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], AUDIT_SCHEMA)
+
+
+def _audit_fields() -> list:
+    return list(StructType.fromDDL(AUDIT_SCHEMA))
 
 
-def audit_rollup(lines: DataFrame) -> DataFrame:
+def audit_rollup(records: DataFrame) -> DataFrame:
     """Per department: records, tool calls, retrieved ids, verified and rejected citations."""
-    rows = lines.select(F.from_json("value", AUDIT_SCHEMA).alias("r")).select("r.*")
     total = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).cast("bigint")
     ids = F.aggregate("tool_calls", F.lit(0), lambda s, c: s + F.coalesce(F.size(c["result_ids"]), F.lit(0)))
-    return rows.groupBy("dept").agg(F.count(F.lit(1)).alias("records"), total("tool_calls").alias("calls"), F.sum(ids).cast("bigint").alias("ids"), total("verified_citations").alias("verified"), total("rejected_citations").alias("rejected"))
+    return records.groupBy("dept").agg(F.count(F.lit(1)).alias("records"), total("tool_calls").alias("calls"), F.sum(ids).cast("bigint").alias("ids"), total("verified_citations").alias("verified"), total("rejected_citations").alias("rejected"))

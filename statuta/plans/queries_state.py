@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from statuta.functions.lineage import shared_folder
 from statuta.operators import lexical, state, vectors
+from statuta.operators.knowledge import KnowledgeTables
 from statuta.plans import sql as S
 from statuta.plans.register import Registry
 from statuta.sources import adapter
@@ -35,8 +37,9 @@ def delete_cascade(spark, d):
 def postings_roundtrip(spark, d):
     """The index is written as a table and read again."""
     found = lexical.postings(adapter.entities(spark, d), F.concat_ws("\n", "title", "body"))
-    path = state.write_snapshot(found, f"{stream.shared_folder(spark)}/postings-{uuid.uuid4().hex}", 1)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences"), F.countDistinct("term").alias("terms"))
+    folder = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    state.write_snapshot(found, folder, 1)
+    return state.read_snapshot(spark, folder, "term string, entity_id string, tf bigint, doc_len bigint").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences"), F.countDistinct("term").alias("terms"))
 
 
 KNOWN = "kn AS (SELECT DISTINCT event_type AS source, user_id AS entity_id FROM events WHERE event_id%2=0), cu AS (SELECT DISTINCT event_type AS source, user_id AS entity_id FROM events WHERE event_id%3=0)"
@@ -71,8 +74,32 @@ def embed_cache_plan(spark, d):
     """The cache has a third with the same text, a third with an older one, and nothing of the rest."""
     rows = adapter.entities(spark, d)
     old = rows.where("doc_id % 3 <> 2").withColumn("body", F.when(F.col("doc_id") % 3 == 1, F.concat("body", F.lit(" old"))).otherwise(F.col("body")))
-    cache = vectors.embed_plan(old, spark.createDataFrame([], "entity_id string, content_hash string"), "hash")
-    return vectors.embed_plan(rows, cache, "hash")
+    folder, schema = f"{shared_folder(spark)}/embedded-{uuid.uuid4().hex}", "entity_id string, content_hash string"
+    first = vectors.embed_plan(old, state.read_snapshot(spark, folder, schema), "hash")  # nothing is cached yet
+    state.write_snapshot(first.select("entity_id", "content_hash"), folder, 1)
+    return vectors.embed_plan(rows, state.read_snapshot(spark, folder, schema), "hash")
+
+
+@query(S.with_(S.ENT) + "SELECT entity_id, [CAST(length(title||chr(10)||body) AS DOUBLE), CAST(len(string_split(title||chr(10)||body,' ')) AS DOUBLE)] AS embedding FROM ent")
+def embed_user_model(spark, d):
+    """A user's model over all documents, called inside the tasks with ten texts at a time."""
+    texts = adapter.entities(spark, d).select("entity_id", F.concat_ws("\n", "title", "body").alias("text"))
+    return vectors.embed_with(texts, lambda held: [[float(len(t)), float(len(t.split(" ")))] for t in held])
+
+
+@query(
+    S.with_(S.ENT, S.EDGE, S.NEAR)
+    + "SELECT e.entity_id, e.title, count(n.neighbour) AS near, min(n.neighbour) AS first_near FROM ent e LEFT JOIN (SELECT entity_id, neighbour FROM near WHERE entity_id NOT IN (SELECT entity_id FROM ent WHERE doc_id%10=0) AND neighbour NOT IN (SELECT entity_id FROM ent WHERE doc_id%10=0)) n USING(entity_id) WHERE e.doc_id%10<>0 GROUP BY 1,2"
+)
+def knowledge_tables(spark, d):
+    """Stored entities and edges: put in two steps, some deleted with their edges, then read with their neighbours."""
+    held = KnowledgeTables(spark, f"{shared_folder(spark)}/knowledge-{uuid.uuid4().hex}")
+    rows = adapter.entities(spark, d).select("doc_id", *[c for c in held.entities().columns])
+    held.put(rows.where("doc_id % 2 = 0").drop("doc_id").withColumn("title", F.lit("old")), adapter.edges(spark, d))
+    held.put(rows.drop("doc_id"), adapter.edges(spark, d))
+    held.delete(rows.where("doc_id % 10 = 0").select("entity_id"))
+    near = held.neighbours().groupBy("entity_id").agg(F.count(F.lit(1)).alias("near"), F.min("neighbour").alias("first_near"))
+    return held.entities().join(near, "entity_id", "left").select("entity_id", "title", F.coalesce("near", F.lit(0)).alias("near"), "first_near")
 
 
 @query("SELECT DISTINCT event_type AS source, user_id AS entity_id FROM events")

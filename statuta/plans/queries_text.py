@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statuta.functions import korean
+from statuta.functions.lineage import shared_folder
 from statuta.functions.predicates import parse_source_types, parse_top_k
 from statuta.functions.text import char_ngrams, mask_pii, strip, tokens
 from statuta.operators import contracts, guard
@@ -153,20 +156,28 @@ def article_documents(spark, d):
     return files.article_documents(files.staged(spark, d)).select(F.col("source").alias("path"), "entity_id", "title", "body")
 
 
-@query(S.with_(FILES, FDOC, ARTS) + "SELECT path, label, CASE WHEN regexp_matches(h,'손해배상|위약금|위약벌|지연손해|배상액') THEN 'damages' WHEN regexp_matches(h,'해지|해제|계약기간|갱신|존속기간') THEN 'termination' WHEN regexp_matches(h,'관할|준거법|분쟁해결|중재') THEN 'jurisdiction' WHEN regexp_matches(h,'비밀유지|기밀|보안') THEN 'confidentiality' WHEN regexp_matches(h,'면책|책임제한|불가항력') THEN 'liability' WHEN regexp_matches(h,'위탁|수탁|재위탁') THEN 'outsourcing' ELSE 'default' END AS checklist FROM (SELECT path, coalesce(label,'전체 본문') AS label, regexp_extract(coalesce(label,''),'\\(([^)]*)\\)\\s*$',1) AS h FROM arts)")
+CHECKLIST = "CASE WHEN regexp_matches(h,'손해배상|위약금|위약벌|지연손해|배상액') THEN 'damages' WHEN regexp_matches(h,'해지|해제|계약기간|갱신|존속기간') THEN 'termination' WHEN regexp_matches(h,'관할|준거법|분쟁해결|중재') THEN 'jurisdiction' WHEN regexp_matches(h,'비밀유지|기밀|보안') THEN 'confidentiality' WHEN regexp_matches(h,'면책|책임제한|불가항력') THEN 'liability' WHEN regexp_matches(h,'위탁|수탁|재위탁') THEN 'outsourcing' ELSE 'default' END"
+
+
+@query(S.with_(FILES, FDOC, ARTS) + f"SELECT path, label, {CHECKLIST} AS checklist FROM (SELECT path, coalesce(label,'전체 본문') AS label, regexp_extract(coalesce(label,''),'\\(([^)]*)\\)\\s*$',1) AS h FROM arts)")
 def clause_checklist(spark, d):
     found = contracts.clauses(files.staged(spark, d), "path")
     return found.select(F.col("contract_id").alias("path"), "label", contracts.checklist(F.col("label")).alias("checklist"))
 
 
-@query(S.with_(FILES, FDOC, ARTS) + "SELECT path, CAST(coalesce(n-1,0) AS BIGINT) AS pos, '['||coalesce(label,'전체 본문')||']'||chr(10)||coalesce(body,text) AS query FROM arts")
+@query(S.with_(FILES, FDOC, ARTS) + f"SELECT path, pos, '['||label||']'||chr(10)||body||chr(10)||'('||{CHECKLIST}||')' AS query FROM (SELECT path, CAST(coalesce(n-1,0) AS BIGINT) AS pos, coalesce(label,'전체 본문') AS label, coalesce(body,text) AS body, regexp_extract(coalesce(label,''),'\\(([^)]*)\\)\\s*$',1) AS h FROM arts)")
 def clause_queries(spark, d):
     found = contracts.clauses(files.staged(spark, d), "path")
     text = contracts.clause_query(F.col("label"), F.col("text"), contracts.checklist(F.col("label")))
-    return found.select(F.col("contract_id").alias("path"), F.col("pos").cast("bigint").alias("pos"), F.regexp_replace(text, r"\n\([a-z]+\)$", "").alias("query"))
+    return found.select(F.col("contract_id").alias("path"), F.col("pos").cast("bigint").alias("pos"), text.alias("query"))
+
+
+CLAUSE_REQ = f"""cl0 AS (SELECT item_id, unnest(string_split(coalesce(text,''),chr(10))) AS x, unnest(range(1,len(string_split(coalesce(text,''),chr(10)))+1)) AS i FROM benchmark),
+cl AS (SELECT item_id, i, {TOPICS}[(i-1)%8+1] AS h, '제'||i||'조('||{TOPICS}[(i-1)%8+1]||')' AS label, {STRIP % f"'제'||i||'조('||{TOPICS}[(i-1)%8+1]||') '||x"} AS body FROM cl0),
+req AS (SELECT item_id||'/'||(i-1) AS query_id, '['||label||']'||chr(10)||body||chr(10)||'('||{CHECKLIST}||')' AS query, 'IB' AS dept, DATE '2022-06-01' AS as_of, 6 AS top_k FROM cl)"""
 
 
-@query()
+@query(S.with_(*(CLAUSE_REQ if x is S.REQ else x for x in S.HYBRID)) + "SELECT * FROM fin")
 def clause_evidence(spark, d):
     """Evidence for every clause of contracts made of the benchmark items, all clauses in one run."""
     items = adapter.read(spark, d, "benchmark").select("item_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조("), F.element_at(F.array(*map(F.lit, files.TOPICS)), i % len(files.TOPICS) + 1), F.lit(") "), x)), "\n").alias("text"))
@@ -205,13 +216,16 @@ def review_fields(spark, d):
 NDOC = "(SELECT count(*) FROM ent)"
 MARKS = f"""ids AS (SELECT entity_id, row_number() OVER (ORDER BY doc_id)-1 AS k FROM ent),
 cv AS (SELECT conv_id||'/'||turn AS answer_id, conv_id, turn, coalesce(text,'') AS t FROM {TURNS}),
-gd AS (SELECT answer_id, conv_id, turn, cv.t||' [[CITE:'||a.entity_id||']] 및 [[CITE:ghost:'||turn||']] [[CITE:'||b.entity_id||']] [[CITE:'||a.entity_id||']]' AS text, a.entity_id AS ida, b.entity_id AS idb FROM cv JOIN ent a ON a.doc_id=conv_id%50 JOIN ent b ON b.doc_id=(conv_id+turn)%50)"""
+nd AS (SELECT max(doc_id)+1 AS nd FROM ent),
+gd AS (SELECT answer_id, conv_id, turn, cv.t||' [[CITE:'||a.entity_id||']] 및 [[CITE:ghost:'||turn||']] [[CITE:'||b.entity_id||']] [[CITE:'||a.entity_id||']]' AS text, a.entity_id AS ida, b.entity_id AS idb FROM cv CROSS JOIN nd JOIN ent a ON a.doc_id=conv_id*37%nd JOIN ent b ON b.doc_id=(conv_id*37+turn)%nd)"""
 
 
 def marked(spark, d):
+    """Answers that cite two documents each, over the whole range of ids, and one that is not there."""
     ids = adapter.entities(spark, d).select("doc_id", "entity_id", "title")
     rows = adapter.read(spark, d, "conversations").where("role = 'assistant' and conv_id is not null")
-    rows = rows.withColumn("a", F.col("conv_id") % 50).withColumn("b", (F.col("conv_id") + F.col("turn")) % 50)
+    rows = rows.join(F.broadcast(ids.agg((F.max("doc_id") + 1).alias("nd"))))  # one row
+    rows = rows.withColumn("a", F.col("conv_id") * 37 % F.col("nd")).withColumn("b", (F.col("conv_id") * 37 + F.col("turn")) % F.col("nd"))
     both = rows.join(ids.select(F.col("doc_id").alias("a"), F.col("entity_id").alias("ida")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("entity_id").alias("idb")), "b")
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" [[CITE:"), "ida", F.lit("]] 및 [[CITE:ghost:"), F.col("turn").cast("string"), F.lit("]] [[CITE:"), "idb", F.lit("]] [[CITE:"), "ida", F.lit("]]"))
     return both.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id"), "conv_id", "turn", text.alias("text"), "ida", "idb"), ids
@@ -240,7 +254,7 @@ def turn_retrieved_ids(spark, d):
 
 @query(f"SELECT dept, count(*) AS records, CAST(sum(1+turn%2) AS BIGINT) AS calls, CAST(sum(2+turn%2) AS BIGINT) AS ids, CAST(sum(turn%3) AS BIGINT) AS verified, count(*) AS rejected FROM (SELECT ['IB','RETAIL','WM'][conv_id%3+1] AS dept, turn FROM {TURNS}) GROUP BY 1")
 def audit_rollup(spark, d):
-    """Records are written as JSON lines and read back."""
+    """Records are appended to a log of JSON lines in two writes, as two sessions do, and read back."""
     rows = adapter.read(spark, d, "conversations").where("role = 'assistant' and conv_id is not null")
     call = lambda n: F.struct(F.lit("search").alias("name"), F.array_repeat(F.lit("law:1"), n).alias("result_ids"))
     records = rows.select(
@@ -253,7 +267,10 @@ def audit_rollup(spark, d):
         F.array(F.lit("ghost:1")).alias("rejected_citations"),
         F.col("text").alias("answer"),
     )
-    return guard.audit_rollup(guard.audit_lines(records))
+    folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    for part in (records.where("user_id % 2 = 0"), records.where("user_id % 2 = 1")):
+        guard.append_audit(part, folder)
+    return guard.audit_rollup(guard.read_audit(spark, folder))
 
 
 @query("SELECT item_id, regexp_replace(q,'^\\s+|\\s+$','','g') AS query, CAST(CASE WHEN item_id%3=0 THEN 6 ELSE item_id%3 END AS BIGINT) AS top_k, CASE WHEN item_id%4=0 THEN NULL ELSE DATE '2024-01-01'+CAST(item_id%28 AS INTEGER) END AS as_of, CASE WHEN item_id%2=0 THEN 'law,faq' END AS source_types FROM (SELECT item_id, chr(9)||' '||text||' '||chr(10) AS q FROM benchmark WHERE text IS NOT NULL)")

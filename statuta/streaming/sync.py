@@ -2,44 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators.state import next_state, removed
+from statuta.functions.lineage import shared_folder
+from statuta.operators.state import next_state, read_snapshot, removed, write_snapshot
 
+STATE = "source string, entity_id string"
 
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
 
-
-def stream_sync(spark: SparkSession, feed: DataFrame, folder: str, interval: str | None = None):
+def stream_sync(spark: SparkSession, feed: DataFrame, folder: str, interval: str | None = None, apply: Callable[[DataFrame, DataFrame], None] | None = None):
     """Start the query; ``feed`` streams rows (source, entity_id), each micro-batch being a full snapshot of its sources.
 
-    The state is a table of versions in ``folder``; a batch reads the last one, writes its removals and the
-    next state, so a batch that runs again after a failure writes the same version again. Without an
-    interval all that is there is taken once.
+    The state is a table of versions in ``folder``; a batch reads the newest one, writes its removals and the
+    next state, so a batch that runs again after a failure writes the same version again. ``apply`` (current
+    rows, removed rows) may bring other tables up to date. A batch that fails leaves the state as it was and
+    its error in the errors table, and the loop goes on. Without an interval all that is there is taken once.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in feed.schema}
+    schema = f"source {kinds['source']}, entity_id {kinds['entity_id']}"
 
     def sync(batch: DataFrame, number: int) -> None:
-        now = batch.select("source", "entity_id").distinct()
-        known = spark.read.parquet(f"{folder}/state/{number - 1}") if number else spark.createDataFrame([], now.schema)
-        sources = now.select("source").distinct()
-        mine = known.join(sources, "source", "left_semi")
-        removed(mine, now).write.mode("overwrite").parquet(f"{folder}/removed/{number}")
-        next_state(known, now, sources.withColumn("ok", F.lit(True))).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        try:
+            now = batch.select("source", "entity_id").distinct()
+            known = read_snapshot(spark, f"{folder}/state", schema)
+            sources = now.select("source").distinct()
+            gone = removed(known.join(sources, "source", "left_semi"), now)
+            gone.write.mode("overwrite").parquet(f"{folder}/removed/{number}")
+            if apply is not None:
+                apply(now, spark.read.parquet(f"{folder}/removed/{number}"))
+            write_snapshot(next_state(known, now, sources.withColumn("ok", F.lit(True))), f"{folder}/state", number)
+        except Exception as error:  # one bad cycle does not end the loop
+            spark.createDataFrame([(number, str(error)[:2000])], "batch bigint, error string").coalesce(1).write.mode("append").parquet(f"{folder}/errors")
 
     writer = feed.writeStream.foreachBatch(sync).option("checkpointLocation", f"{folder}/progress")
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def run_once(spark: SparkSession, feed: DataFrame) -> DataFrame:
-    """Take what is there and return the state after it."""
-    folder = f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"
-    query = stream_sync(spark, feed, folder)
-    query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.parquet(f"{folder}/state/{last['batchId'] if last else 0}")
+def run_once(spark: SparkSession, feed: DataFrame, apply: Callable[[DataFrame, DataFrame], None] | None = None, folder: str | None = None) -> DataFrame:
+    """Take what is there and return the state after it; an empty feed leaves an empty state."""
+    folder = folder or f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"
+    kinds = {f.name: f.dataType.simpleString() for f in feed.schema}
+    stream_sync(spark, feed, folder, apply=apply).awaitTermination()
+    return read_snapshot(spark, f"{folder}/state", f"source {kinds['source']}, entity_id {kinds['entity_id']}")

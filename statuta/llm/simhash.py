@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import blocks_of, cut, forest, group_starts, sorted_runs, text_column, text_slices, with_blocks
+from statuta.llm.common import blocks_of, cut, forest, group_starts, nothing_kept_in_worker, sorted_runs, text_column, text_slices, with_blocks
 from statuta.llm.components import components
 
 RADIUS = 3
@@ -49,6 +49,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, bits long) for every row, from its whole text; null and empty texts have bits 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept_in_worker()
         for part in text_slices(batches):
             found = np.array([fingerprint(t, shingle, seed) for t in text_column(part).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], ["id", "bits"])

@@ -12,32 +12,39 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import text_column, text_slices
+from statuta.llm.common import nothing_kept_in_worker, text_column, text_slices
 
 #: Text bytes that meet in one bucket, about; buckets follow the size of the corpus.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of packed strings that a task gathers before it sends a row to each bucket.
-FLUSH_BYTES = 24 << 20
-SLICE = 2 << 20
+FLUSH_BYTES = 16 << 20
+SLICE = 1 << 20
+#: A minimiser with this share of a bucket's windows is hot: its windows go to buckets by their own hash. Counts of
+#: fewer than LEAST_COUNTED in a slice are not added up, which changes where windows meet and never whether they do.
+HOT_SHARE, LEAST_COUNTED, BYTES_PER_WINDOW = 0.25, 4, 6
 #: Words of a minimiser, and odd multipliers of the rolling hashes (fixed, arbitrary).
 MINIMISER_WORDS = 2
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, as long as needed."""
+    """Powers of an odd base modulo 2**64 and of its inverse, as long as needed; tables of long texts are not kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(0, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                table = np.full(n, base, dtype=np.uint64)
-                table[0] = 1
-                setattr(self, name, np.multiply.accumulate(table))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        made = []
+        for base in (self.base, self.inverse):
+            table = np.full(n, base, dtype=np.uint64)
+            table[:1] = 1
+            made.append(np.multiply.accumulate(table))
+        if n <= 2 * SLICE:
+            self.up, self.down = made
+        return made[0], made[1]
 
 
 _BYTES, _WORDS = _Powers(BYTE_BASE), _Powers(WORD_BASE)
@@ -103,10 +110,43 @@ def _unpack(data: bytes, sizes: list[int]) -> list[np.ndarray]:
     return out
 
 
-def _packed_strings(rows: DataFrame, window: int, buckets: int) -> DataFrame:
+def _joined(part: pa.RecordBatch, window: int) -> tuple[bytes, list, list]:
+    """Texts of a slice that have a window, single-spaced and joined by newlines; their ids and text keys."""
+    texts, ids, keys = [], [], []
+    for doc_id, text in zip(part.column("id").to_pylist(), text_column(part).to_pylist()):
+        raw = text.encode()
+        words = raw.split()
+        if len(words) >= window and doc_id is not None:
+            texts.append(b" ".join(words))
+            ids.append(doc_id)
+            keys.append(xxhash.xxh64_intdigest(raw, 42) & 0xFFFFFFFF)
+    return b"\n".join(texts), ids, keys
+
+
+def hot_minimisers(rows: DataFrame, window: int, least: int) -> np.ndarray:
+    """Minimisers of about ``least`` windows or more, sorted: at most the corpus's windows divided by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept_in_worker()
+        for part in text_slices(batches, limit=SLICE):
+            joined, ids, _ = _joined(part, window)
+            if ids:
+                _, _, number, hashes = word_table(joined)
+                first, last, low = super_kmers(number, hashes, window)
+                key, at = np.unique(low, return_inverse=True)
+                n = np.bincount(at, last - first + 1).astype(np.int64)
+                some = n >= LEAST_COUNTED
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some])], ["low", "n"])
+
+    counts = rows.mapInArrow(run, "low bigint, n bigint").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["low"] for r in counts.select("low").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _packed_strings(rows: DataFrame, window: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Rows (bucket, strings, texts, runs, places, data, who): the super-k-mers of a stretch of documents, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept_in_worker()
         squeeze = zstandard.ZstdCompressor(level=3).compress
         held: dict[int, list] = defaultdict(list)
 
@@ -126,22 +166,20 @@ def _packed_strings(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
         size = 0
         for part in text_slices(batches, limit=SLICE):
-            texts, ids, keys = [], [], []
-            for doc_id, text in zip(part.column("id").to_pylist(), text_column(part).to_pylist()):
-                raw = text.encode()
-                words = raw.split()
-                if len(words) >= window and doc_id is not None:
-                    texts.append(b" ".join(words))
-                    ids.append(doc_id)
-                    keys.append(xxhash.xxh64_intdigest(raw, 42) & 0xFFFFFFFF)
-            if not texts:
+            joined, ids, keys = _joined(part, window)
+            if not ids:
                 continue
-            joined = b"\n".join(texts)
             start, end, number, hashes = word_table(joined)
             first, last, low = super_kmers(number, hashes, window)
+            is_hot = np.isin(low, hot)
+            if is_hot.any():  # one string for each window
+                times = np.where(is_hot, last - first + 1, 1)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                first, last, low, is_hot = np.repeat(first, times) + nth, np.repeat(last, times), np.repeat(low, times), np.repeat(is_hot, times)
+                last = np.where(is_hot, first, last)
             a, b = start[first], end[last + window - 1]
             own = _range_hashes(np.frombuffer(joined, dtype=np.uint8).astype(np.uint64), a, b, _BYTES)
-            bucket = (_mix(low ^ np.uint64(BYTE_BASE)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (_mix(np.where(is_hot, own, low) ^ np.uint64(BYTE_BASE)) % np.uint64(buckets)).astype(np.int64)
             # The same string in many places of this stretch travels once, with all its places.
             order = np.lexsort((first, own, bucket))
             new = np.r_[True, own[order][1:] != own[order][:-1]]
@@ -167,41 +205,78 @@ def _packed_strings(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, strings int, runs int, places int, data binary, who binary, text_keys binary")
 
 
+def _unequal(raw: np.ndarray, left: np.ndarray, right: np.ndarray, size_left: np.ndarray, size_right: np.ndarray) -> np.ndarray:
+    """Which pairs of stretches of raw differ."""
+    out = size_left != size_right
+    for at in range(0, len(left), 1 << 16):
+        k = slice(at, at + (1 << 16))
+        n = np.where(out[k], 0, size_left[k])
+        ends = np.cumsum(n)
+        step = np.arange(ends[-1] if len(ends) else 0)
+        differ = raw[np.repeat(left[k] - (ends - n), n) + step] != raw[np.repeat(right[k] - (ends - n), n) + step]
+        out[k] |= np.bincount(np.repeat(np.arange(len(n)), n)[differ], minlength=len(n)) > 0
+    return out
+
+
 class _Bucket:
-    """Windows of one bucket: a hash and a string for each; places of the strings."""
+    """Windows of one bucket: a hash, a string and its bytes for each; places of the strings."""
 
     def __init__(self, window: int):
         self.window = window
-        self.hashes, self.string, self.local, self.repeats, self.ids, self.keys, self.at = ([] for _ in range(7))
-        self.strings = 0
+        self.hashes, self.string, self.local, self.begin, self.size, self.repeats, self.ids, self.keys, self.at, self.data = ([] for _ in range(10))
+        self.strings = self.bytes = 0
 
     def add(self, row: dict) -> None:
         repeats, ids, runs, at = _unpack(row["who"], [row["strings"], row["runs"], row["runs"], row["places"]])
         keys = np.frombuffer(row["text_keys"], dtype="<u4").astype(np.int64)
-        _, _, number, hashes = word_table(zstandard.decompress(row["data"]))
+        data = zstandard.decompress(row["data"])
+        start, end, number, hashes = word_table(data)
         n = len(number) - self.window + 1
         valid = np.flatnonzero(number[:n] == number[self.window - 1 :])
         self.hashes.append(_range_hashes(hashes, valid, valid + self.window, _WORDS))
         first = np.r_[0, np.cumsum(np.bincount(number))][:-1]
         self.local.append((valid - first[number[valid]]).astype(np.int32))
         self.string.append((number[valid] + self.strings).astype(np.int32))
+        self.begin.append(start[valid] + self.bytes)
+        self.size.append((end[valid + self.window - 1] - start[valid]).astype(np.int32))
         self.strings += row["strings"]
+        self.bytes += len(data)
+        self.data.append(data)
         self.repeats.append(repeats.astype(np.int32))
         self.ids.append(np.repeat(ids, runs))
         self.keys.append(np.repeat(keys, runs).astype(np.uint32))
         self.at.append(at.astype(np.int32))
 
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the windows by hash, and the first of each run of equal words.
+
+        Runs of one hash are compared byte by byte; where two windows differ, all that differ from their
+        neighbour get another hash, until every run holds one window's words only.
+        """
+        hashes, begin, size = (np.concatenate(x) for x in (self.hashes, self.begin, self.size))
+        raw = np.frombuffer(b"".join(self.data), dtype=np.uint8)
+        for seed in range(1, 65):
+            order = np.argsort(hashes, kind="stable")
+            ranked = hashes[order]
+            same = np.flatnonzero(ranked[1:] == ranked[:-1])
+            x, y = order[same], order[same + 1]
+            wrong = _unequal(raw, begin[x], begin[y], size[x], size[y])
+            if not wrong.any():
+                return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+            for k in np.flatnonzero(np.isin(hashes, hashes[y[wrong]])).tolist():
+                hashes[k] = xxhash.xxh64_intdigest(raw[begin[k] : begin[k] + size[k]].tobytes(), seed)
+        raise RuntimeError("windows could not be told apart")
+
     def spans(self) -> Iterator[pa.RecordBatch]:
-        hashes, string, local, repeats, ids, keys, at = (np.concatenate(x) for x in (self.hashes, self.string, self.local, self.repeats, self.ids, self.keys, self.at))
+        order, heads = self._sorted()
+        self.hashes, self.begin, self.size, self.data = [], [], [], []
+        string, local, repeats, ids, keys, at = (np.concatenate(x) for x in (self.string, self.local, self.repeats, self.ids, self.keys, self.at))
         first_place = np.r_[0, np.cumsum(repeats)]
         least = np.minimum.reduceat(ids, first_place[:-1])
         most = np.maximum.reduceat(ids, first_place[:-1])
-        order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         lowest = np.minimum.reduceat(least[string[order]], heads)
-        earliest = np.empty(len(hashes), dtype=np.int64)
-        earliest[order] = np.repeat(lowest, np.diff(np.r_[heads, len(hashes)]))
+        earliest = np.empty(len(order), dtype=np.int64)
+        earliest[order] = np.repeat(lowest, np.diff(np.r_[heads, len(order)]))
         found = np.flatnonzero(earliest < most[string])
         weight = np.cumsum(repeats[string[found]].astype(np.int64))
         for a, b in _even_cuts(weight, 1 << 20, string[found]):
@@ -238,9 +313,11 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     """(id, text_key, first int, words int): stretches of words whose windows an earlier document also has.
 
     Consecutive windows that share a minimiser (the least hash of their word pairs) travel as one string to
-    the minimiser's bucket, compressed with their documents; a bucket sorts its windows and finds the least
-    document of each. A string that many documents of a stretch share travels once. text_key tells rows
-    with the same id but other text apart. Rows with a null id or fewer words give nothing.
+    the minimiser's bucket, compressed with their documents; a bucket sorts its windows, compares the words of
+    equal hashes, and finds the least document of each. Windows of a hot minimiser are dealt by their own words,
+    so that only equal ones must meet. A string that many documents of a stretch share travels once. text_key tells rows
+    with the same id but other text apart. Rows with a null id or fewer words give nothing; ids are whole numbers
+    or strings of them (others are null). A very long text is a slice of its own; other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
@@ -259,7 +336,8 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
         if bucket is not None:
             yield from bucket.spans()
 
-    packed = _packed_strings(rows, window, 2 * partitions)
+    hot = hot_minimisers(rows, window, max(1, int(HOT_SHARE * BUCKET_BYTES / BYTES_PER_WINDOW)))
+    packed = _packed_strings(rows, window, 2 * partitions, hot)
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, text_key bigint, first int, words int")
 
 

@@ -87,7 +87,8 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     if not 0 < least <= 1:
         raise ValueError("the least cosine must be above 0")
     distance = 2 - 2 * least
-    source = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
+    element = "double" if df.schema[vector_col].dataType.simpleString() == "array<double>" else "float"
+    source = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{element}>").alias("vector"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     valid = source.where(sound)
     sample = [r["vector"] for r in valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vector").collect()]
@@ -109,7 +110,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
 
     label_kind, id_kind = (source.schema[c].dataType.simpleString() for c in ("label", "id"))
     grouped = valid.groupBy("label", "vector").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("class", F.monotonically_increasing_id())
-    classes = cut(grouped.select("class", "label", "low", "copies", "vector").mapInArrow(coded, f"class bigint, label {label_kind}, low {id_kind}, copies bigint, vector array<float>, z array<float>"))
+    classes = cut(grouped.select("class", "label", "low", "copies", "vector").mapInArrow(coded, f"class bigint, label {label_kind}, low {id_kind}, copies bigint, vector array<{element}>, z array<float>"))
 
     def tables(z: np.ndarray) -> list[np.ndarray]:
         return [np.arange(a, min(a + TABLE_BITS, z.shape[-1])) for a in range(0, z.shape[-1], TABLE_BITS)]

@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.llm.common import cut
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
-#: Words whose shares make the common-word histogram of a language (fixed, ordinary function words).
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los"],
-}
+#: The common words of a language are the words that most of its documents have, so many of them.
+COMMON_WORDS = 8
+#: Lists of common words are broadcast up to so many languages, and joined with a shuffle beyond.
+MOST_BROADCAST = 10_000
 #: Character classes: how many characters of each a text has; letters that are not upper-case and others are the rest.
 CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "stop": r"[^.,;:!?'\"()\-]+"}
 #: Shorter texts have histograms too uncertain to be judged.
@@ -65,19 +63,34 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t), F.lit(0.0)))
 
 
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
+
+
+def common_words(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(reference, common): the COMMON_WORDS words that most documents of each language have, in that order, ties by word.
+
+    Counted over all rows; null is a language of its own, written as the empty name.
+    """
+    own = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("reference"), F.explode(F.array_distinct(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("word"))
+    counted = own.groupBy("reference", "word").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.withColumn("at", F.row_number().over(W.partitionBy("reference").orderBy(F.desc("n"), "word"))).where(F.col("at") <= COMMON_WORDS)
+    return placed.groupBy("reference").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("common"))
+
+
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts of every row from its whole text: the base counts, and those behind both histograms."""
+    lists = cut(common_words(df, text_col, lang_col))
+    lists = F.broadcast(lists) if lists.count() <= MOST_BROADCAST else lists
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    common = F.coalesce(F.get(F.map_values(F.map_filter(lists, lambda k, _: k == F.col("q_lang"))), 0), F.array(*map(F.lit, COMMON_WORDS["en"])))
-    rows = df.select(F.col(id_col).alias("q_id"), F.col(lang_col).cast("string").alias("q_lang"), text.alias("q_text"))
-    rows = rows.withColumn("q_words", F.array_remove(F.split("q_text", f"{SPACE}+"), ""))
+    rows = df.select(F.col(id_col).alias("q_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("reference"), text.alias("q_text"))
+    rows = rows.join(lists, "reference", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>"))).withColumn("q_words", words_of(F.col("q_text")))
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    spread = let(common, lambda list_: let(F.filter(F.col("q_words"), lambda w: F.array_contains(list_, w)), lambda own: F.transform(list_, lambda k: F.size(F.filter(own, lambda w: w == k)).cast("bigint"))))
+    spread = let(F.col("common"), lambda list_: let(F.filter(F.col("q_words"), lambda w: F.array_contains(list_, w)), lambda own: F.transform(list_, lambda k: F.size(F.filter(own, lambda w: w == k)).cast("bigint"))))
     left = lambda pattern: F.length(F.regexp_replace("q_text", pattern, "")).cast("bigint")
     return rows.select(
         F.col("q_id").alias(id_col),
-        F.col("q_lang").alias("reference"),
+        "reference",
         F.size("q_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("q_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("q_text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -91,18 +104,19 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_class: float = MOST_CLASS, most_word: float = MOST_WORD) -> DataFrame:
     """Base counts, both distances and the verdict of every row.
 
-    The references are the summed histograms of all rows of a language. A row is rejected where the base
+    The references are the summed histograms of all rows of a language, over character classes and over the
+    language's own common words. A row is rejected where the base
     rules fail, or where it has LEAST_WORDS words and its character classes, or its at least LEAST_COMMON
     common words, are farther from its language's reference than allowed. Null and empty texts have no words
     and fail the base rules; rows of an unknown language are compared with all such rows; repeated rows are
-    judged alike.
+    judged alike, null ids too; other columns are not read. Very long texts count whole.
     """
     found = cut(features(df, id_col, text_col, lang_col))
     add = lambda name, n: F.array(*[F.sum(F.get(name, k)) for k in range(n)])
-    n_class, n_common = len(CLASSES) + 2, len(COMMON_WORDS["en"])
-    references = found.groupBy("reference").agg(add("class_counts", n_class).alias("all_classes"), add("common_counts", n_common).alias("all_common"))
+    n_class = len(CLASSES) + 2
+    references = found.groupBy("reference").agg(add("class_counts", n_class).alias("all_classes"), F.array_compact(add("common_counts", COMMON_WORDS)).alias("all_common"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    joined = found.withColumn("reference", F.coalesce("reference", F.lit(""))).join(references.withColumn("reference", F.coalesce("reference", F.lit(""))).groupBy("reference").agg(F.first("all_classes").alias("all_classes"), F.first("all_common").alias("all_common")), "reference")
+    joined = found.join(references, "reference")
     scored = joined.select(
         "*",
         jensen_shannon(_share(F.col("class_counts"), total("class_counts")), _share(F.col("all_classes"), total("all_classes"))).alias("class_distance"),

@@ -24,27 +24,42 @@ THRESHOLD = 1.0
 #: Documents whose words are the sample of ordinary strings, and generated random strings of each sort.
 SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 600, 1500
 MASK = "[SECRET]"
+#: Matches whose positions are summed up together.
+CHUNK = 64
+
+
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def located(text: Column, pattern: str, least: int, group: int) -> Column:
-    """Array of struct(start, end) in code points: leftmost matches that do not overlap, short ones left out."""
+    """Array of struct(start, end) in code points: leftmost matches that do not overlap, short ones left out.
+
+    Positions are running sums over the gaps and matches. They are summed up in chunks, so that a text with
+    very many matches does not copy its list of spans for each of them.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
 
-    def places(own: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + x["gap"]
+        end = begin + x["match"]
+        return F.struct(end.alias("at"), F.concat(s["out"], F.when(x["size"] >= least, F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast(SPANS))).alias("out"))
 
-        def step(s: Column, x: Column) -> Column:
-            begin = s["at"] + F.length(x["gap"])
-            end = begin + F.length(x["match"])
-            return F.struct(end.alias("at"), F.concat(s["out"], F.when(x["size"] >= least, F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))).alias("out"))
+    def spans(chunks: Column) -> Column:
+        width = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["gap"] + x["match"]))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(width, first, lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        inner = F.zip_with(chunks, begins, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"]))
+        return F.flatten(inner)
 
-        rows = F.zip_with(F.slice(gaps, 1, F.size(own)), own, lambda g, m: F.struct(g.alias("gap"), m["match"].alias("match"), F.length(m["size"]).alias("size")))
-        return F.aggregate(rows, start, step, lambda s: s["out"])
+    def places(own: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        rows = F.zip_with(F.slice(gaps, 1, F.size(own)), own, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["match"]).alias("match"), F.length(m["size"]).alias("size")))
+        chunks = lambda r: F.transform(F.sequence(F.lit(0), F.ceil(F.size(r) / CHUNK).cast("int") - 1), lambda k: F.slice(r, k * CHUNK + 1, F.lit(CHUNK)))
+        return let(rows, lambda r: let(chunks(r), spans))
 
     both = F.zip_with(found, sized, lambda m, g: F.struct(m.alias("match"), g.alias("size")))
-    return F.when(text.rlike(pattern), let(both, places)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(pattern), let(both, places)).otherwise(F.array().cast(SPANS))
 
 
 def _pairs(samples: DataFrame) -> DataFrame:
@@ -133,11 +148,17 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """The text with each stretch of overlapping spans replaced by ``mask``; spans are in order of start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch of overlapping spans replaced by ``mask``; spans are in order of start.
+
+    The pieces that stay are listed and joined once.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
+        fresh = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"])))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    def woven(s: Column) -> Column:
+        return F.array_join(F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), mask)
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, woven))

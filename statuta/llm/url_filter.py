@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from statuta.llm.common import cut
 
 ALLOW, BLOCK = "allow", "block"
-#: Rules become one expression; longer lists belong into several passes.
+#: So many rules become one expression; longer lists are a table that meets the hosts' parent domains.
 MOST_RULES = 500
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
 #: A host with any distrust is blocked when that is this many times its trust. There is no least amount: what
@@ -35,8 +35,6 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
 
     A rule such as ``example.org/en/`` fits the host, its subdomains, and paths that start with its path.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules a pass")
     found = []
     for action, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         site, slash, rest = rule.partition("/")
@@ -45,6 +43,23 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return F.coalesce(*found) if found else F.lit(None).cast("struct<action:string,rule:string>")
 
 
+def with_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Rows (host, path, ...) with fit, the longest rule that fits; of equally long ones the first in order.
+
+    A long list meets the distinct addresses by each domain that a host ends with, so a page is compared with
+    the rules of its own domains only.
+    """
+    if len(rules) <= MOST_RULES:
+        return rows.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    table = rows.sparkSession.createDataFrame([(action, rule, rule.partition("/")[0], "".join(rule.partition("/")[1:])) for action, rule in rules], "action string, rule string, site string, start string")
+    labels = F.split("host", r"\.")
+    sites = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(sites).alias("site"))
+    best = F.min_by(F.struct("action", "rule"), F.struct(-F.length("rule"), "rule"))
+    found = asked.join(table, "site").where(F.col("path").startswith(F.col("start"))).groupBy("host", "path").agg(best.alias("fit"))
+    return rows.join(found, ["host", "path"], "left").select(*rows.columns, "fit")
+
+
 def parent(host: Column) -> Column:
     """The host without its first label, where at least two labels are left."""
     rest = F.substring(host, F.instr(host, ".") + 1, F.length(host))
@@ -97,7 +112,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     judged by their address alone.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
+    rows = with_rules(rows, rules)
     judged = rows.where("host <> ''").groupBy("host").agg(F.count_if(F.col("fit.action") == ALLOW).alias("a"), F.count_if(F.col("fit.action") == BLOCK).alias("b"))
     share = lambda c: F.when(F.col("a") + F.col("b") > 0, F.col(c) / (F.col("a") + F.col("b"))).otherwise(F.lit(0.0))
     scores = spread(host_edges(rows.select("host", "html")), judged.select("host", share("a").alias("trust"), share("b").alias("distrust")))

@@ -7,12 +7,12 @@ reads it again as the next one's input.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions.lineage import shared_folder
 from statuta.llm import langid, packing, secrets, simhash, substring_dedup
 from statuta.llm.common import crc_fold
 from statuta.llm.queries import tokenizer_file
@@ -43,22 +43,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates.
+    """Keep one document of each group of near duplicates: the one with the smallest id, then the smallest text hash.
 
-    Rows that repeat an id count as one document, the one whose text sorts first. Rows without an id cannot
-    be a group's smallest; they take no part and stay, one of each text.
+    Rows count by id and text, so an id with several unrelated texts keeps one row of each group that they
+    belong to, and repeated rows are one. Rows without an id cannot be a group's smallest; they take no part
+    and stay, one of each text. Null and empty texts are one group.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = simhash.near_duplicates(named).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    own = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("own", own)
+    found = simhash.near_duplicates(named, id_col="own").where(F.col("own") == F.col("component_id")).select("own").distinct()
     rest = F.struct("text", "lang", "source", "n_chars")
-    kept = named.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row")).select("doc_id", "row.*")
+    kept = named.join(found, "own", "left_semi").groupBy("own").agg(F.min(rest).alias("row")).select("own.doc_id", "row.*")
     return kept.select(*COLUMNS).union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*COLUMNS))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out words of windows that an earlier document has; documents that lose nothing keep their text as it is.
 
-    Documents of which nothing is left go.
+    Documents of which nothing is left go. Rows without an id, and rows that share one, are not earlier than
+    each other; empty texts stay as they are.
     """
     texts = docs.select(F.struct(*OTHERS).alias("document"), F.col("doc_id"), "text")
     found = substring_dedup.remove_repeats(texts, carry="document", layout=True).where("n_words > n_removed or n_removed = 0")
@@ -66,14 +69,14 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mask in the place of every secret; all documents stay."""
+    """Put a mask in the place of every secret; all rows stay, repeated ones, null texts and null ids too."""
     found = secrets.scan(docs, secrets.fit(secrets.samples(spark, docs)), keep=["text", "lang", "source", "n_chars"])
     cleaned = found.withColumn("cleaned", F.when(F.size("spans") > 0, secrets.masked(F.col("secret_text"), F.col("spans"))).otherwise(F.col("text")))
     return _documents(cleaned, "cleaned")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and place."""
+    """Pieces of all rows with their sequence and place; repeated rows and null ids are packed each, empty texts as the end id alone."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -88,10 +91,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a table in the folder of spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

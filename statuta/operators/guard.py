@@ -44,26 +44,34 @@ AUDIT_SCHEMA = "timestamp string, user_id string, dept string, user_message stri
 
 def append_audit(records: DataFrame, folder: str) -> None:
     """Add records (the columns of AUDIT_SCHEMA) to the log, a JSON line each; nothing that is there changes."""
-    records.select(*[f.name for f in _audit_fields()]).write.mode("append").json(folder)
+    _audit_columns(records).write.mode("append").json(f"{folder}/written")
 
 
-def stream_audit(feed: DataFrame, folder: str, progress: str):
-    """Start a stream that appends arriving records to the log, each once, also after a restart."""
-    return feed.select(*[f.name for f in _audit_fields()]).writeStream.format("json").option("checkpointLocation", progress).trigger(availableNow=True).start(folder)
+def stream_audit(feed: DataFrame, folder: str, progress: str, name: str = "feed"):
+    """Start a stream that appends arriving records to the log, each once.
+
+    A batch has a folder of its own, named after the stream, so one that runs again after a restart replaces
+    what it wrote before.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        _audit_columns(batch).write.mode("overwrite").json(f"{folder}/{name}-{number}")
+
+    return feed.writeStream.foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()
 
 
 def read_audit(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the log; one that was never written to is empty."""
     try:
-        return spark.read.schema(AUDIT_SCHEMA).json(folder)
+        return spark.read.schema(AUDIT_SCHEMA).option("recursiveFileLookup", True).json(folder)
     except PySparkException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], AUDIT_SCHEMA)
 
 
-def _audit_fields() -> list:
-    return list(StructType.fromDDL(AUDIT_SCHEMA))
+def _audit_columns(records: DataFrame) -> DataFrame:
+    return records.select(*StructType.fromDDL(AUDIT_SCHEMA).names)
 
 
 def audit_rollup(records: DataFrame) -> DataFrame:

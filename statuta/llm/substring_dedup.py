@@ -19,9 +19,10 @@ BUCKET_BYTES = 8 << 20
 #: Bytes of packed strings that a task gathers before it sends a row to each bucket.
 FLUSH_BYTES = 16 << 20
 SLICE = 1 << 20
-#: A minimiser with this share of a bucket's windows is hot: its windows go to buckets by their own hash. Counts of
-#: fewer than LEAST_COUNTED in a slice are not added up, which changes where windows meet and never whether they do.
-HOT_SHARE, LEAST_COUNTED, BYTES_PER_WINDOW = 0.25, 4, 6
+#: A minimiser with this share of a bucket's windows is hot: its windows go to buckets by their own hash. It is
+#: recognised by the documents whose id's hash is a multiple of ONE_IN, as a range partitioner finds its bounds by
+#: sampling: this changes where windows meet and never whether they do.
+HOT_SHARE, ONE_IN, BYTES_PER_WINDOW = 0.25, 64, 6
 #: Words of a minimiser, and odd multipliers of the rolling hashes (fixed, arbitrary).
 MINIMISER_WORDS = 2
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -124,7 +125,7 @@ def _joined(part: pa.RecordBatch, window: int) -> tuple[bytes, list, list]:
 
 
 def hot_minimisers(rows: DataFrame, window: int, least: int) -> np.ndarray:
-    """Minimisers of about ``least`` windows or more, sorted: at most the corpus's windows divided by it."""
+    """Minimisers of ``least`` windows or more, sorted: at most all windows divided by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept_in_worker()
@@ -135,8 +136,7 @@ def hot_minimisers(rows: DataFrame, window: int, least: int) -> np.ndarray:
                 first, last, low = super_kmers(number, hashes, window)
                 key, at = np.unique(low, return_inverse=True)
                 n = np.bincount(at, last - first + 1).astype(np.int64)
-                some = n >= LEAST_COUNTED
-                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(n[some])], ["low", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["low", "n"])
 
     counts = rows.mapInArrow(run, "low bigint, n bigint").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(np.array([r["low"] for r in counts.select("low").collect()], dtype=np.int64).view(np.uint64))
@@ -336,7 +336,8 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
         if bucket is not None:
             yield from bucket.spans()
 
-    hot = hot_minimisers(rows, window, max(1, int(HOT_SHARE * BUCKET_BYTES / BYTES_PER_WINDOW)))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0)
+    hot = hot_minimisers(some, window, max(1, int(HOT_SHARE * BUCKET_BYTES / BYTES_PER_WINDOW / ONE_IN)))
     packed = _packed_strings(rows, window, 2 * partitions, hot)
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, text_key bigint, first int, words int")
 

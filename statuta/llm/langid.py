@@ -3,42 +3,40 @@
 from __future__ import annotations
 
 import io
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.llm.common import coded_words, kept_in_worker, text_column, text_slices
+from statuta.llm.common import flags, kept_in_worker, nothing_kept_in_worker, text_column, text_slices
 
 UNKNOWN = "und"
-#: Training uses at most this many documents and words of each language; every language is learned.
+#: Training uses at most this many documents of each language, and windows of so many bytes of each document; every
+#: language is learned.
 DOCUMENTS_PER_LANGUAGE = 160
-WORDS_PER_LANGUAGE = 12_000
-#: The network reads a word (bytes between white space) at a time; longer ones in pieces of this many bytes.
-PIECE_BYTES = 48
-STATE, EMBEDDING = 16, 12
-CACHE_WORDS = 200_000
+WINDOWS_PER_DOCUMENT, WINDOW_BYTES, SHORT_WORD = 24, 48, 4
+#: A text is read in chunks of this many bytes, each with some of its neighbours' on both sides, which are read and
+#: not labelled; so every byte of a text is labelled once, with that much context at least.
+CHUNK_BYTES, CONTEXT_BYTES = 320, 12
+#: Chunks that go through the network together, and bytes of text.
+CHUNKS, SLICE_TEXT = 2048, 2 << 20
+STATE, EMBEDDING = 10, 8
+#: A language's documents are ranked in so many parts first.
+SALTS = 64
 #: Tables with a column a language get fewer rows where there are more languages than this.
 USUAL_LANGUAGES = 64
 
 
-def _rows(most: int, languages: int) -> int:
-    return max(1, min(most, most * USUAL_LANGUAGES // max(1, languages)))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class ByteGru:
-    """Two gated recurrent layers that read a batch of equally long byte strings from both ends.
+    """Two gated recurrent layers that read byte strings from both ends.
 
-    Every position gets a softmax over the languages from both states there.
+    Strings stand in columns, a byte a row; the byte 0 is padding and empties the state. Every position gets a
+    softmax over the languages from both states there.
     """
 
     def __init__(self, classes: int, rng: np.random.Generator | None = None):
@@ -49,89 +47,108 @@ class ByteGru:
             self.p |= {f"{d}w": near(EMBEDDING, 3 * STATE), f"{d}u": near(STATE, 2 * STATE), f"{d}c": near(STATE, STATE), f"{d}b": np.zeros(3 * STATE, np.float32)}
 
     def _read(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States at all positions of x (batch, length); d is f (from the left) or b (from the right)."""
-        p, (n, length) = self.p, x.shape
-        table = p["embed"] @ p[f"{d}w"] + p[f"{d}b"]
-        states, h = np.empty((length, n, STATE), np.float32), np.zeros((n, STATE), np.float32)
+        """States (length, STATE, batch) of x (length, batch); d is f (from the start) or b (from the end)."""
+        p, (length, n) = self.p, x.shape
+        # tanh gives the sigmoid of twice its argument, so the gates' inputs are halved.
+        halves = np.r_[np.full(2 * STATE, 0.5, np.float32), np.ones(STATE, np.float32)]
+        table = np.ascontiguousarray(((p["embed"] @ p[f"{d}w"] + p[f"{d}b"]) * halves).T)
+        inner, candidate = np.ascontiguousarray(p[f"{d}u"].T) * np.float32(0.5), np.ascontiguousarray(p[f"{d}c"].T)
+        states, h = np.empty((length, STATE, n), np.float32), np.zeros((STATE, n), np.float32)
+        given, more, some = (np.empty((k * STATE, n), np.float32) for k in (3, 2, 1))
+        padded = (x == 0).any(axis=1)
         for t in range(length) if d == "f" else reversed(range(length)):
-            given = table[x[:, t]]
-            gates = _sigmoid(given[:, : 2 * STATE] + h @ p[f"{d}u"])
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            c = np.tanh(given[:, 2 * STATE :] + (r * h) @ p[f"{d}c"])
-            new = h + z * (c - h)
+            if keep is not None:
+                given = np.empty_like(given)
+            np.take(table, x[t], axis=1, out=given, mode="clip")
+            gates, c = given[: 2 * STATE], given[2 * STATE :]
+            gates += np.matmul(inner, h, out=more)
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            z, r = gates[:STATE], gates[STATE:]
+            c += candidate @ np.multiply(r, h, out=some)
+            np.tanh(c, out=c)
+            new = np.subtract(c, h, out=states[t])
+            new *= z
+            new += h
+            if padded[t]:
+                new[:, x[t] == 0] = 0
             if keep is not None:
                 keep.append((t, h, z, r, c))
-            states[t] = h = new
+            h = new
         return states
 
     def positions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Language probabilities (length, batch, classes)."""
+        """Language probabilities (length, classes, batch)."""
         steps = {d: [] for d in "fb"}
-        both = np.concatenate([self._read(x, d, steps[d] if keep is not None else None) for d in "fb"], axis=2)
-        scores = both @ self.p["out"] + self.p["bias"]
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
+        f, b = (self._read(x, d, steps[d] if keep is not None else None) for d in "fb")
+        out = np.ascontiguousarray(self.p["out"].T)
+        scores = out[:, :STATE] @ f
+        scores += out[:, STATE:] @ b
+        scores += self.p["bias"][:, None]
         if keep is not None:
-            keep |= {"both": both, "steps": steps}
-        return scores / scores.sum(axis=2, keepdims=True)
+            keep |= {"both": np.concatenate([f, b], axis=1), "steps": steps}
+        scores -= scores.max(axis=1, keepdims=True)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=1, keepdims=True)
+        return scores
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over positions, and its gradients by backpropagation through time."""
+        """Mean cross-entropy over positions that are no padding, and its gradients by backpropagation through time."""
         p, kept = self.p, {}
         prob = self.positions(x, kept)
-        n, length = x.shape
-        hit = (np.arange(length)[:, None], np.arange(n)[None, :], y[None, :])
-        loss = float(-np.log(prob[hit] + 1e-9).mean())
-        delta = prob / np.float32(n * length)
-        delta[hit] -= np.float32(1 / (n * length))
+        length, n = x.shape
+        here = (x != 0).astype(np.float32)
+        total = max(1.0, float(here.sum()))
+        hit = (np.arange(length)[:, None], y[None, :], np.arange(n)[None, :])
+        loss = float((-np.log(prob[hit] + 1e-9) * here).sum() / total)
+        delta = prob
+        delta[hit] -= 1
+        delta *= here[:, None, :] / np.float32(total)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        flat = delta.reshape(-1, delta.shape[2])
-        g["out"] = kept["both"].reshape(-1, 2 * STATE).T @ flat
-        g["bias"] = flat.sum(axis=0)
-        down = delta @ p["out"].T
+        g["out"] = np.tensordot(kept["both"], delta, ([0, 2], [0, 2]))
+        g["bias"] = delta.sum(axis=(0, 2))
+        down = p["out"] @ delta
+        coded = np.zeros((256, length * n), np.float32)
+        coded[x.ravel(), np.arange(length * n)] = 1
         for k, d in enumerate("fb"):
-            carried = np.zeros((n, STATE), np.float32)
-            table = np.zeros((256, 3 * STATE), np.float32)
+            carried, moved = np.zeros((STATE, n), np.float32), np.empty((3 * STATE, length, n), np.float32)
             for t, h, z, r, c in reversed(kept["steps"][d]):
-                dh = down[t, :, k * STATE : (k + 1) * STATE] + carried
+                dh = (down[t, k * STATE : (k + 1) * STATE] + carried) * here[t]
                 dc = dh * z * (1 - c * c)
-                drh = dc @ p[f"{d}c"].T
-                dz = dh * (c - h) * z * (1 - z)
-                dr = drh * h * r * (1 - r)
-                gates = np.concatenate([dz, dr], axis=1)
-                carried = dh * (1 - z) + drh * r + gates @ p[f"{d}u"].T
-                g[f"{d}u"] += h.T @ gates
-                g[f"{d}c"] += (r * h).T @ dc
-                np.add.at(table, x[:, t], np.concatenate([gates, dc], axis=1))
+                drh = p[f"{d}c"] @ dc
+                gates = np.concatenate([dh * (c - h) * z * (1 - z), drh * h * r * (1 - r)])
+                moved[: 2 * STATE, t], moved[2 * STATE :, t] = gates, dc
+                carried = dh * (1 - z) + drh * r + p[f"{d}u"] @ gates
+                g[f"{d}u"] += h @ gates.T
+                g[f"{d}c"] += (r * h) @ dc.T
+            table = coded @ moved.reshape(3 * STATE, length * n).T
             g[f"{d}w"] = p["embed"].T @ table
             g[f"{d}b"] = table.sum(axis=0)
             g["embed"] += table @ p[f"{d}w"].T
         return loss, g
 
 
-def train(words: list[bytes], labels: np.ndarray, classes: int, epochs: int = 3, batch: int = 192, rate: float = 0.01, seed: int = 11) -> ByteGru:
-    """Fit by Adam on batches of equally long words."""
+def train(windows: list[bytes], labels: np.ndarray, classes: int, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 11) -> ByteGru:
+    """Fit by Adam on batches of windows of text, drawn with as many of each class; shorter ones are padded."""
     rng = np.random.default_rng(seed)
     net = ByteGru(classes, rng)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    lengths = np.array([len(w) for w in words])
-    batches = []
-    for n in np.unique(lengths):
-        rows = rng.permutation(np.flatnonzero(lengths == n))
-        batches += [rows[k : k + batch] for k in range(0, len(rows), batch)]
-    step, total = 0, max(1, epochs * len(batches))
-    for _ in range(epochs):
-        for k in rng.permutation(len(batches)):
-            rows = batches[k]
-            x = np.frombuffer(b"".join(words[i] for i in rows), dtype=np.uint8).reshape(len(rows), -1)
-            _, g = net.gradients(x, labels[rows])
-            step += 1
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            now = rate * (1 - 0.9 * step / total) * min(1.0, 1.0 / (size + 1e-9))
-            for name, v in g.items():
-                mean[name] = 0.9 * mean[name] + 0.1 * v
-                square[name] = 0.99 * square[name] + 0.01 * v * v
-                net.p[name] -= np.float32(now) * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
+    own = [np.flatnonzero(labels == k) for k in range(classes)]
+    for step in range(1, steps + 1):
+        kinds = rng.permutation(np.arange(batch) % classes) if classes <= batch else rng.integers(0, classes, batch)
+        rows = [own[k][rng.integers(len(own[k]))] for k in kinds]
+        held = [windows[i] for i in rows]
+        length = max(map(len, held))
+        x = np.frombuffer(b"".join(w.ljust(length, b"\0") for w in held), dtype=np.uint8).reshape(batch, length).T
+        _, g = net.gradients(np.ascontiguousarray(x), labels[rows])
+        size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        now = rate * (1 - 0.95 * step / steps) * min(1.0, 1.0 / (size + 1e-9))
+        for name, v in g.items():
+            mean[name] = 0.9 * mean[name] + 0.1 * v
+            square[name] = 0.99 * square[name] + 0.01 * v * v
+            net.p[name] -= np.float32(now) * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
     return net
 
 
@@ -142,66 +159,41 @@ def _save(net: ByteGru, languages: list[str]) -> bytes:
 
 
 class _Scorer:
-    """A worker's network with the sums of position probabilities of the words that it has met."""
+    """A worker's network."""
 
     def __init__(self, model: bytes):
         held = dict(np.load(io.BytesIO(model)))
         self.languages = [str(x) for x in held.pop("languages")]
         self.net = ByteGru(len(self.languages))
         self.net.p = held
-        self.row: dict[str, int] = {}
-        self.cache_words = _rows(CACHE_WORDS, len(self.languages))
-        self.sums = np.zeros((self.cache_words, len(self.languages)), np.float32)
-
-    def _sums(self, words: list[str]) -> np.ndarray:
-        """Sums of position probabilities of each word; equally long pieces go through the network together."""
-        owner, pieces = [], []
-        for k, word in enumerate(words):
-            raw = word.encode()
-            for at in range(0, len(raw), PIECE_BYTES):
-                owner.append(k)
-                pieces.append(raw[at : at + PIECE_BYTES])
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        owner, lengths = np.array(owner, dtype=np.int64), np.array([len(x) for x in pieces], dtype=np.int64)
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            step = _rows(4096, len(self.languages))
-            for at in range(0, len(rows), step):
-                some = rows[at : at + step]
-                x = np.frombuffer(b"".join(pieces[i] for i in some), dtype=np.uint8).reshape(len(some), n)
-                np.add.at(out, owner[some], self.net.positions(x).sum(axis=0))
-        return out
-
-    def table(self, words: list[str]) -> np.ndarray:
-        fresh = [w for w in words if w not in self.row]
-        if len(self.row) + len(fresh) > self.cache_words:
-            self.row.clear()
-            fresh = words
-        found = self._sums(fresh)
-        if len(fresh) > self.cache_words:
-            return found
-        first = len(self.row)
-        self.sums[first : first + len(fresh)] = found
-        for k, word in enumerate(fresh):
-            self.row[word] = first + k
-        return self.sums[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
 
     def texts(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-        words, codes, offsets = coded_words(texts)
+        """Language and score of each text; sums of position probabilities are taken chunk by chunk."""
+        letters = flags(pc.match_substring_regex(texts, r"\p{L}"))
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
         sums = np.zeros((len(texts), len(self.languages)))
-        if len(codes):
-            table = self.table(words)
-            filled = np.flatnonzero(np.diff(offsets))
-            step = _rows(256, len(self.languages))
-            for a in range(0, len(filled), step):
-                rows = filled[a : a + step]
-                lo, hi = offsets[rows[0]], offsets[rows[-1] + 1]
-                sums[rows] = np.add.reduceat(table[codes[lo:hi]].astype(np.float64), offsets[rows] - lo, axis=0)
+        size = np.where(letters, np.diff(offsets), 0)
+        count = -(-size // CHUNK_BYTES)
+        owner = np.repeat(np.arange(len(texts)), count)
+        begin = offsets[:-1][owner] + CHUNK_BYTES * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+        low, high = offsets[:-1][owner], offsets[1:][owner]
+        length = np.minimum(CHUNK_BYTES, high - begin)
+        order = np.argsort(length, kind="stable")
+        step = max(1, min(CHUNKS, CHUNKS * USUAL_LANGUAGES // max(1, len(self.languages))))
+        for first in range(0, len(order), step):
+            some = order[first : first + step]
+            longest = int(length[some].max())
+            at = np.arange(-CONTEXT_BYTES, longest + CONTEXT_BYTES)[:, None] + begin[some]
+            inside = (at >= low[some]) & (at < high[some])
+            x = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], 0).astype(np.uint8)
+            found = self.net.positions(x)[CONTEXT_BYTES : CONTEXT_BYTES + longest]
+            own = (np.arange(longest)[:, None] < length[some]).astype(np.float32)
+            np.add.at(sums, owner[some], np.einsum("tkb,tb->bk", found, own))
         total = sums.sum(axis=1)
         known = letters & (total > 0)
-        best = sums.argmax(axis=1)
-        score = np.where(known, sums.max(axis=1) / np.where(total > 0, total, 1), 0.0)
+        best = sums.argmax(axis=1) if self.languages else np.zeros(len(texts), dtype=int)
+        score = np.where(known, sums.max(axis=1, initial=0) / np.where(total > 0, total, 1), 0.0)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], np.clip(score, 0.0, 1.0)
 
 
@@ -209,41 +201,71 @@ def _scorer(model: bytes) -> _Scorer:
     return kept_in_worker(("langid", model), lambda: _Scorer(model))
 
 
+def _windows(raw: bytes) -> list[bytes]:
+    """Stretches of a text at places that a hash of it chooses, all of it where it is short.
+
+    One in four is of the text's short words alone, since many texts are lists or headings of such words.
+    """
+    short = b" ".join(w for w in raw.split() if len(w) <= SHORT_WORD)
+    rng, out = np.random.default_rng(xxhash.xxh64_intdigest(raw)), []
+    for text, most in ((raw, WINDOWS_PER_DOCUMENT * 3 // 4), (short, WINDOWS_PER_DOCUMENT // 4)):
+        if len(text) <= WINDOW_BYTES:
+            out += [text] * bool(text)
+        else:
+            places = rng.integers(0, len(text) - WINDOW_BYTES + 1, min(most, -(-len(text) // WINDOW_BYTES)))
+            out += [text[k : k + WINDOW_BYTES] for k in places.tolist()]
+    return out
+
+
 def fit(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """Train on a bounded sample of the rows where ``training`` holds and the language is known.
 
-    The sample: of each language the DOCUMENTS_PER_LANGUAGE first documents in the order of a hash of their
-    id, and of their words WORDS_PER_LANGUAGE. One language's words at a time are on the driver before they
-    are drawn. Returns the model as bytes. With no such rows it knows no language and calls every text ``und``.
+    The sample: of each language the DOCUMENTS_PER_LANGUAGE first documents in the order of a hash of their id,
+    and of each of these at most WINDOWS_PER_DOCUMENT windows of WINDOW_BYTES bytes, which one task learns from;
+    neither repeated rows nor long texts make its share grow. An id with several texts
+    of a language gives the one that sorts first; null ids and null or empty texts are not learned; other
+    columns are not read. Returns the model as bytes. With no such rows it knows no language and calls every
+    text ``und``.
     """
-    rows = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    first = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= DOCUMENTS_PER_LANGUAGE)
-    ids = first.select("id").distinct()
-    named = df.where(training & F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    texts = named.join(F.broadcast(ids), "id", "left_semi").orderBy("lang", "id", "text")
-    rng, languages, words, labels = np.random.default_rng(5), [], [], []
-    for name, found in itertools.groupby(texts.toLocalIterator(), lambda r: r["lang"]):
-        own = [w[at : at + PIECE_BYTES] for r in found for w in r["text"].encode().split() for at in range(0, len(w), PIECE_BYTES)]
-        drawn = rng.permutation(len(own))[:WORDS_PER_LANGUAGE].tolist()
-        words += [own[i] for i in drawn]
-        labels += [len(languages)] * len(drawn)
-        languages += [name] * bool(own)
-    if not languages:
-        return _save(ByteGru(0), [])
-    return _save(train(words, np.array(labels), len(languages)), languages)
+    usable = training & F.col(lang_col).isNotNull() & (F.col(text_col).cast("string") != "") & F.col(id_col).isNotNull()
+    named = df.where(usable).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # The first of each language among those with one salt, then among all; so no task sorts a whole language.
+    ranked = named.select("id", "lang").distinct().withColumn("h", F.xxhash64("id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for key in (["lang", "salt"], ["lang"]):
+        ranked = ranked.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("h", "id"))).where(F.col("n") <= DOCUMENTS_PER_LANGUAGE)
+    first = ranked.select("id", "lang")
+    texts = named.join(F.broadcast(first), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            held = [(lang, w) for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) for w in _windows(text.encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([w for _, w in held], pa.binary())], ["lang", "piece"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept_in_worker()
+        found = sorted(pair for b in batches for pair in zip(b.column("lang").to_pylist(), b.column("piece").to_pylist()))
+        languages = sorted({x for x, _ in found})
+        number = {x: k for k, x in enumerate(languages)}
+        net = train([w for _, w in found], np.array([number[x] for x, _ in found]), len(languages)) if languages else ByteGru(0)
+        yield pa.RecordBatch.from_arrays([pa.array([_save(net, languages)], pa.binary())], ["model"])
+
+    pieces = texts.mapInArrow(cut_windows, "lang string, piece binary").repartition(1)
+    held = pieces.mapInArrow(learn, "model binary").collect()
+    return bytes(held[0]["model"]) if held else _save(ByteGru(0), [])
 
 
 def predict(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, lang_pred, score[, text]) for every row, from its text alone.
 
-    The network labels every position of every word; a text's language is the one with the largest mean
-    probability over its positions, which is the score. Null texts and texts without a letter are ``und``
-    with score 0.
+    The network labels every byte of every text, white space included; a text's language is the one with the
+    largest mean probability over its positions, which is the score, and of equal ones the first by name. Null
+    texts and texts without a letter are ``und`` with score 0. Repeated rows and null ids are judged each, a
+    very long text in a slice of its own; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE_TEXT):
             names, score = scorer.texts(text_column(part)) if scorer.languages else ([UNKNOWN] * part.num_rows, np.zeros(part.num_rows))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), *([part.column("text")] if with_text else [])], ["id", "lang_pred", "score", *(["text"] if with_text else [])])
 

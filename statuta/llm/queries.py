@@ -19,6 +19,19 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label=b.label A
 r AS (SELECT vec_id, vec_id AS other FROM s UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other=l.a),
 c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n,0) AS n_links, component_id, vec_id=component_id AS kept FROM s JOIN c USING(vec_id) LEFT JOIN n USING(vec_id)""",
+    "op6_quality_rules": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang,'') AS reference, coalesce(text,'') AS text, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
+df AS (SELECT reference, word, count(*) AS n FROM (SELECT reference, unnest(list_distinct(w)) AS word FROM d) GROUP BY ALL),
+top AS (SELECT reference, word FROM (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY n DESC, word) AS k FROM df) WHERE k<=8),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS times FROM (SELECT rid, unnest(range(1,len(w)-6)) AS i, unnest(list_transform(range(1,len(w)-6), lambda i: array_to_string(w[i:i+7],' '))) AS s FROM d WHERE len(w)>=9)),
+rep AS (SELECT rid, count(DISTINCT i+k) AS n FROM win, (SELECT unnest(range(8)) AS k) WHERE times>1 GROUP BY 1),
+b AS (SELECT rid, doc_id, reference, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w,'')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text,'[^#*$%&|<>]+','','g')) AS BIGINT) AS n_symbols,
+ CAST(len(list_filter(string_split(text,chr(10)), lambda x: regexp_matches(x,'[^\x20\x09-\x0D]')))-len(list_distinct(list_filter(string_split(text,chr(10)), lambda x: regexp_matches(x,'[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n,0) AS BIGINT) AS n_repeat_words,
+ length(regexp_replace(text,'[^\p{Lu}]+','','g')) AS c1, length(regexp_replace(text,'[^0-9]+','','g')) AS c2, length(regexp_replace(text,'[^.,;:!?''"()\-]+','','g')) AS c3 FROM d LEFT JOIN rep USING(rid)),
+cls AS (SELECT rid, reference, unnest([c1,c2,c3,n_symbols,greatest(0,word_chars-n_symbols-c1-c2-c3)]) AS c, unnest(range(5)) AS k FROM b),
+com AS (SELECT d.rid, d.reference, t.word AS k, coalesce(n,0) AS c FROM d JOIN top t USING(reference) LEFT JOIN (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY ALL) o ON o.rid=d.rid AND o.word=t.word),
+js1 AS (SELECT rid, sqrt(greatest(0,sum(CASE WHEN p>0 THEN p*log2(2*p/(p+q)) ELSE 0 END+CASE WHEN q>0 THEN q*log2(2*q/(p+q)) ELSE 0 END)/2)) AS dist FROM (SELECT rid, CASE WHEN sum(c) OVER (PARTITION BY rid)>0 THEN c::DOUBLE/sum(c) OVER (PARTITION BY rid) ELSE 0 END AS p, CASE WHEN sum(c) OVER (PARTITION BY reference)>0 THEN (sum(c) OVER (PARTITION BY reference,k))::DOUBLE/sum(c) OVER (PARTITION BY reference) ELSE 0 END AS q FROM cls) GROUP BY 1),
+js2 AS (SELECT rid, sqrt(greatest(0,sum(CASE WHEN p>0 THEN p*log2(2*p/(p+q)) ELSE 0 END+CASE WHEN q>0 THEN q*log2(2*q/(p+q)) ELSE 0 END)/2)) AS dist FROM (SELECT rid, c::DOUBLE/sum(c) OVER (PARTITION BY rid) AS p, (sum(c) OVER (PARTITION BY reference,k))::DOUBLE/sum(c) OVER (PARTITION BY reference) AS q, sum(c) OVER (PARTITION BY rid) AS own FROM com) WHERE own>=20 GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<20 OR 100*n_repeat_words>30*n_words AS base_failed, NOT (n_words<20 OR 100*n_repeat_words>30*n_words) AND NOT (n_words>=50 AND (js1.dist>0.33 OR coalesce(js2.dist>0.55,false))) AS kept FROM b LEFT JOIN js1 USING(rid) LEFT JOIN js2 USING(rid)""",
     "op7_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1,len(w)-11)) AS i, unnest(list_transform(range(1,len(w)-11), lambda i: array_to_string(w[i:i+12],' '))) AS s FROM d WHERE len(w)>=13),
 low AS (SELECT s, min(doc_id) AS first_id FROM win GROUP BY s),
@@ -101,11 +114,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
-    return toxicity.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3)
     found = langid.predict(docs, langid.fit(docs, fold != 1))
-    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

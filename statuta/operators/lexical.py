@@ -30,6 +30,11 @@ def corpus_stats(postings_: DataFrame) -> DataFrame:
     return doc_stats(postings_).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
+def length_stats(docs: DataFrame, text: Column) -> DataFrame:
+    """The same row from the texts, without their postings."""
+    return docs.select(F.size(tokens(text)).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+
+
 def term_weights(postings_: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(term, df, idf); the one-row corpus statistics are joined as a broadcast scalar."""
     one = F.broadcast(stats if stats is not None else corpus_stats(postings_))
@@ -37,13 +42,13 @@ def term_weights(postings_: DataFrame, stats: DataFrame | None = None) -> DataFr
     return df.join(one).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(requests: DataFrame, postings_: DataFrame, width: Column | None) -> DataFrame:
+def bm25(requests: DataFrame, postings_: DataFrame, width: Column | None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, entity_id, score, rank): the best ``width`` documents of each request, over the whole index; all of them without a width.
 
-    Terms of a request count once; the postings of asked terms, which are used twice, are cut. Scores are
-    rounded to six digits before ranking, ties go by id.
+    Terms of a request count once; the postings of asked terms, which are used twice, are cut. ``stats`` is the
+    row of ``corpus_stats`` where it is known. Scores are rounded to six digits before ranking, ties go by id.
     """
-    stats = corpus_stats(postings_)
+    stats = corpus_stats(postings_) if stats is None else stats
     terms = requests.select("query_id", "source_types", width_or_null(width), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     asked = cut(postings_.join(terms.select("term").distinct(), "term", "left_semi"))
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

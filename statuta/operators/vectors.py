@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -12,26 +13,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.predicates import ALL, type_from_id
-from statuta.functions.text import char_ngrams, content_hash
+from statuta.functions.text import content_hash
 from statuta.operators.lexical import ranked, width_or_null, within
 
 #: Dimensions and least score of a hit.
 DIMENSIONS, MIN_SCORE = 256, 0.05
+#: Characters of text whose grams are counted together.
+SLICE_CHARS = 1 << 20
 #: Queries and rows that meet in one block of the dense search.
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
-def hash_embed(docs: DataFrame, text: Column, id_col: str) -> DataFrame:
-    """(id, idx, w): the unit vector of signed n-gram counts, without its zeros.
+def _gram_sums(texts: list[str]) -> np.ndarray:
+    """(texts, DIMENSIONS): signed counts of the character 2- and 3-grams; a shorter text is its own gram.
 
-    Grams are counted a document first; each distinct gram of a partial result is hashed once.
+    Grams of all texts are numbers of their code points, and each distinct one is hashed once.
+    """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    row, bits = np.repeat(np.arange(len(texts)), lengths), np.uint64(21)
+    pairs, triples = np.flatnonzero(row[1:] == row[:-1]), np.flatnonzero(row[2:] == row[:-2])
+    two = codes[pairs] << bits | codes[pairs + 1]
+    three = np.uint64(1 << 63) | codes[triples] << np.uint64(42) | codes[triples + 1] << bits | codes[triples + 2]
+    short = np.flatnonzero(lengths < 2)
+    grams, at = np.unique(np.concatenate([two, three]), return_inverse=True)
+    mask = (1 << 21) - 1
+    names = [chr(g >> 42 & mask) * (g >> 63) + chr(g >> 21 & mask) + chr(g & mask) for g in grams.tolist()] + [texts[k] for k in short]
+    digest = np.array([list(sha256(n.encode()).digest()[-2:]) for n in names], dtype=np.int64).reshape(-1, 2)
+    place, sign = digest[:, 1], np.where(digest[:, 0] % 2 == 0, 1.0, -1.0)
+    at, owner = np.r_[at, len(grams) + np.arange(len(short))], np.r_[row[pairs], row[triples], short]
+    return np.bincount(owner * DIMENSIONS + place[at], sign[at], len(texts) * DIMENSIONS).reshape(-1, DIMENSIONS)
+
+
+def hash_vectors(docs: DataFrame, text: Column, id_col: str) -> DataFrame:
+    """(id, places array<int>, weights array<double>): the unit vector of signed n-gram counts of every row, without its zeros.
+
+    Texts go through the tasks in slices of about SLICE_CHARS characters, and nothing is shuffled.
     """
-    grams = docs.select(F.col(id_col), F.explode(char_ngrams(F.coalesce(text, F.lit("")))).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
-    names = grams.select("gram").distinct().withColumn("h", F.sha2("gram", 256))
-    names = names.select("gram", F.conv(F.substring("h", 63, 2), 16, 10).cast("int").alias("idx"), F.when(F.conv(F.substring("h", 61, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"))
-    sums = grams.join(names, "gram").groupBy(id_col, "idx").agg(F.sum(F.col("n") * F.col("sign")).cast("double").alias("w")).where("w <> 0")
-    norms = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, id_col).select(id_col, "idx", (F.col("w") / F.col("norm")).alias("w"))
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            total, first = 0, 0
+            for k in range(1, len(texts) + 1):
+                total += len(texts[k - 1])
+                if k == len(texts) or total >= SLICE_CHARS:
+                    sums = _gram_sums(texts[first:k])
+                    r, place = np.nonzero(sums)
+                    weight = sums[r, place] / np.sqrt((sums * sums).sum(axis=1))[r]
+                    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(r, minlength=k - first))].astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (place.astype(np.int32), weight)]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, k - first), *lists], ["id", "places", "weights"])
+                    total, first = 0, k
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, places array<int>, weights array<double>").withColumnRenamed("id", id_col)
+
+
+def hash_embed(docs: DataFrame, text: Column, id_col: str) -> DataFrame:
+    """(id, idx, w): the same vectors, a row for each place."""
+    held = hash_vectors(docs, text, id_col)
+    return held.select(id_col, F.explode(F.arrays_zip("places", "weights")).alias("x")).select(id_col, F.col("x.places").alias("idx"), F.col("x.weights").alias("w"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -85,11 +128,6 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, min_score: float = MIN_SC
     return ranked(found, "vec_id").where(F.col("rank") <= k)
 
 
-def _dense(vectors: DataFrame, key: str) -> DataFrame:
-    """(key, places, weights): the sparse vectors, a row each."""
-    return vectors.groupBy(key).agg(F.collect_list("idx").alias("places"), F.collect_list("w").alias("weights"))
-
-
 def _matrix(table: pa.Table) -> np.ndarray:
     out = np.zeros((table.num_rows, DIMENSIONS))
     places, weights = (table.column(c).combine_chunks() for c in ("places", "weights"))
@@ -118,13 +156,13 @@ def _may_see(queries: pa.Table, others: pa.Table) -> np.ndarray:
 def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE) -> DataFrame:
     """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine, all of them without a width.
 
-    Requests and documents are dealt into blocks by hash; each pair of blocks meets once. There the request's
+    Vectors are those of ``hash_vectors``. Requests and documents are dealt into blocks by hash; each pair of blocks meets once. There the request's
     predicates come first, then the cosines of what is left, and each request keeps its best ``width`` of the
     block, which a second ranking merges. Scores are rounded to six digits before ranking, ties go by id.
     """
     facts = entities.select("entity_id", type_from_id(F.col("entity_id")).alias("type"), "allowed_depts", "effective_date", "superseded_date")
-    asked = requests.select("query_id", "dept", "as_of", "source_types", width_or_null(width)).join(_dense(query_vectors, "query_id"), "query_id")
-    rows = facts.join(_dense(vectors, "entity_id"), "entity_id")
+    asked = requests.select("query_id", "dept", "as_of", "source_types", width_or_null(width)).join(query_vectors, "query_id")
+    rows = facts.join(vectors, "entity_id")
     query_blocks, row_blocks = (max(1, -(-df.count() // size)) for df, size in ((requests, QUERY_BLOCK), (entities, ROW_BLOCK)))
     dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left = dealt(asked, "query_id", "query_block", query_blocks, "row_block", row_blocks)

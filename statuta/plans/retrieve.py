@@ -73,7 +73,7 @@ class Retrieval:
     """One run over requests (query_id, query, dept, as_of, top_k, source_types); every step is a DataFrame.
 
     A request without a department raises an error when the result is read. The index tables (version map,
-    postings, sparse vectors) may be given, as a stored snapshot has them, or are derived from the entities.
+    postings, hashed vectors) may be given, as a stored snapshot has them, or are derived from the entities.
     Steps that later ones use more than once (hits, cited, base) are written to the shared folder once.
     """
 
@@ -116,13 +116,15 @@ class Retrieval:
 
     @cached_property
     def lexical_hits(self) -> DataFrame:
-        index = self.postings if self.postings is not None else lexical.postings(self.entities, F.concat_ws("\n", "title", "body"))
-        return lexical.bm25(self.requests, index, self.recall_width)
+        if self.postings is not None:
+            return lexical.bm25(self.requests, self.postings, self.recall_width)
+        text = F.concat_ws("\n", "title", "body")
+        return lexical.bm25(self.requests, lexical.postings(self.entities, text), self.recall_width, lexical.length_stats(self.entities, text))
 
     @cached_property
     def vector_hits(self) -> DataFrame:
-        own = self.vectors if self.vectors is not None else vectors.hash_embed(self.entities, F.concat_ws("\n", "title", "body"), "entity_id")
-        return vectors.search(self.requests, vectors.hash_embed(self.requests, F.col("query"), "query_id"), self.entities, own, self.recall_width)
+        own = self.vectors if self.vectors is not None else vectors.hash_vectors(self.entities, F.concat_ws("\n", "title", "body"), "entity_id")
+        return vectors.search(self.requests, vectors.hash_vectors(self.requests, F.col("query"), "query_id"), self.entities, own, self.recall_width)
 
     @cached_property
     def pool(self) -> DataFrame:

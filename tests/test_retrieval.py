@@ -36,21 +36,31 @@ def tables(spark):
     return spark.createDataFrame(ROWS, ENTITIES).cache(), spark.createDataFrame(EDGES, "src string, type string, dst string").cache()
 
 
-def ask(spark, tables, query, dept="RETAIL", as_of=D(2024, 6, 1), types=None, top_k=6, **more):
-    requests = spark.createDataFrame([(1, query, dept, as_of, top_k, types)], "query_id int, query string, dept string, as_of date, top_k int, source_types array<string>")
-    return [(r["entity_id"], r["reason"], r["score"]) for r in Retrieval(requests, *tables, **more).result.orderBy("position").collect()]
+REQUEST = "query_id int, query string, dept string, as_of date, top_k int, source_types array<string>"
+
+
+def ask_all(spark, tables, *asked, **more):
+    """The results of several requests (query and what differs from the defaults) in one run."""
+    usual = {"dept": "RETAIL", "as_of": D(2024, 6, 1), "top_k": 6, "types": None}
+    rows = [(k, query, *((usual | own)[c] for c in ("dept", "as_of", "top_k", "types"))) for k, (query, own) in enumerate(asked)]
+    found = Retrieval(spark.createDataFrame(rows, REQUEST), *tables, **more).result.orderBy("query_id", "position").collect()
+    return [[(r["entity_id"], r["reason"], r["score"]) for r in found if r["query_id"] == k] for k in range(len(rows))]
+
+
+def ask(spark, tables, query, **own):
+    return ask_all(spark, tables, (query, own))[0]
 
 
 def test_version_follows_the_date(spark, tables):
-    new, old = ({i for i, *_ in ask(spark, tables, "적합성 원칙", as_of=day)} for day in (D(2024, 6, 1), D(2021, 1, 1)))
+    new, old = ({i for i, *_ in found} for found in ask_all(spark, tables, ("적합성 원칙", {}), ("적합성 원칙", {"as_of": D(2021, 1, 1)})))
     assert "law:suit-v2" in new and "law:suit-v1" not in new
     assert "law:suit-v1" in old and "law:suit-v2" not in old
     assert "case:sanction" in new and "case:sanction" not in old
 
 
 def test_restricted_documents(spark, tables):
-    assert "review:ib" not in {i for i, *_ in ask(spark, tables, "적합성 내부 검토")}
-    assert "review:ib" in {i for i, *_ in ask(spark, tables, "적합성 내부 검토", dept="IB")}
+    plain, own = ({i for i, *_ in found} for found in ask_all(spark, tables, ("적합성 내부 검토", {}), ("적합성 내부 검토", {"dept": "IB"})))
+    assert "review:ib" not in plain and "review:ib" in own
     with pytest.raises(Exception, match="department"):
         ask(spark, tables, "x", dept="")
 
@@ -64,9 +74,10 @@ def test_article_numbers_do_not_cross(spark, tables):
 
 def test_order_by_authority_and_types(spark, tables):
     order = ["law", "regulation", "interpretation", "case", "review", "faq", "precedent"]
-    ranks = [order.index(i.split(":")[0]) for i, *_ in ask(spark, tables, "고령 투자자 적합성", dept="IB")]
+    every, some = ask_all(spark, tables, ("고령 투자자 적합성", {"dept": "IB"}), ("고령 투자자", {"types": ["faq"]}))
+    ranks = [order.index(i.split(":")[0]) for i, *_ in every]
     assert ranks == sorted(ranks)
-    assert {i.split(":")[0] for i, *_ in ask(spark, tables, "고령 투자자", types=["faq"])} == {"faq"}
+    assert {i.split(":")[0] for i, *_ in some} == {"faq"}
 
 
 def test_minority_type_is_kept(spark):
@@ -77,7 +88,7 @@ def test_minority_type_is_kept(spark):
 
 
 def test_plugged_in_reranker(spark, tables):
-    requests = spark.createDataFrame([(1, "고령 기준", "RETAIL", D(2024, 6, 1), 6, None)], "query_id int, query string, dept string, as_of date, top_k int, source_types array<string>")
+    requests = spark.createDataFrame([(1, "고령 기준", "RETAIL", D(2024, 6, 1), 6, None)], REQUEST)
     run = Retrieval(requests, *tables, rerank=overlap_rerank(requests, tables[0]))
     best = run.base.orderBy("seq").first()
     assert best["entity_id"] == "faq:elderly" and best["score"] == 1.0

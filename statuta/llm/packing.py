@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from statuta.llm.common import PLAIN_WORD, Parts, cut, flags, gathered, kept_in_worker, letters_and_marks, shards_for, text_column, text_slices
 
 #: Bytes of text whose distinct words are encoded together.
-SLICE_TEXT = 12 << 20
+SLICE_TEXT = 6 << 20
 #: What a special token's string has in it, so that such words go to the library alone.
 SPECIAL = "<|"
 #: Documents that one task packs together; hashing makes all shards alike.

@@ -49,11 +49,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     belong to, and repeated rows are one. Rows without an id cannot be a group's smallest; they take no part
     and stay, one of each text. Null and empty texts are one group.
     """
-    own = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("own", own)
-    found = simhash.near_duplicates(named, id_col="own").where(F.col("own") == F.col("component_id")).select("own").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = simhash.near_duplicates(named.select(F.struct("doc_id", "h").alias("own"), "text"), id_col="own")
+    found = groups.where(F.col("own") == F.col("component_id")).select("own.doc_id", "own.h").distinct()
     rest = F.struct("text", "lang", "source", "n_chars")
-    kept = named.join(found, "own", "left_semi").groupBy("own").agg(F.min(rest).alias("row")).select("own.doc_id", "row.*")
+    kept = named.join(found, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min(rest).alias("row")).select("doc_id", "row.*")
     return kept.select(*COLUMNS).union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*COLUMNS))
 
 

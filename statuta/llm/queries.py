@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import bpe, embedding_dedup, langid, packing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from statuta.llm import bpe, embedding_dedup, filter_audit, langid, packing, quality, ranking, secrets, simhash, substring_dedup, toxicity, url_filter
 from statuta.llm.common import crc_fold
 
 QUERIES = {}
@@ -39,6 +39,15 @@ gone AS (SELECT DISTINCT doc_id, i+k AS pos FROM win JOIN low USING(s), (SELECT
 ws AS (SELECT doc_id, unnest(w) AS word, unnest(range(1,len(w)+1)) AS pos FROM d),
 kept AS (SELECT doc_id, string_agg(word,' ' ORDER BY pos) AS t, count(*) AS n FROM ws ANTI JOIN gone USING(doc_id,pos) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w)-coalesce(n,0) AS BIGINT) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING(doc_id)""",
+    "op13_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(lang,'') AS part, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text,'')) AS first_id FROM documents),
+l AS (SELECT doc_id, bool_or(quality=1) AS good, bool_or(toxic=1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, concat(CASE WHEN len(w)<200 THEN 'A' ELSE '' END, CASE WHEN 100*len(list_distinct(w))<50*len(w) THEN 'B' ELSE '' END, CASE WHEN 100*length(regexp_replace(t,'[^A-Z]+','','g'))>3*length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t,'[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id>first_id THEN 'E' ELSE '' END) AS mask, coalesce(good,false) AS good, coalesce(toxic,false) AS toxic FROM d LEFT JOIN l USING(doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A','B','C','D','E']) AS f),
+o AS (SELECT a.f||b.f||c.f||d.f||e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f,b.f,c.f,d.f,e.f]))=5),
+r AS (SELECT part, filter_order, mask, n, g, x, CASE WHEN mask='' THEN 6 ELSE list_min(list_transform(string_split(mask,''), lambda k: instr(filter_order,k))) END AS gone FROM c, o),
+s AS (SELECT part, filter_order, step, substr(filter_order,step,1) AS k, sum(CASE WHEN gone>step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone=step THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone<step AND contains(mask,substr(filter_order,step,1)) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask=substr(filter_order,step,1) THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN gone=step THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN gone=step THEN x ELSE 0 END) AS toxic_lost FROM r, (SELECT CAST(unnest(range(1,6)) AS INTEGER) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM s""",
 }
 
 
@@ -122,3 +131,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3)
     found = langid.predict(docs, langid.fit(docs, fold != 1))
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 4)
+    model = ranking.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    return ranking.score(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import bpe, embedding_dedup, filter_audit, langid, packing, quality, ranking, secrets, simhash, substring_dedup, toxicity, url_filter
+from statuta.llm import bpe, conversations, embedding_dedup, filter_audit, langid, packing, quality, ranking, secrets, simhash, substring_dedup, toxicity, url_filter
 from statuta.llm.common import crc_fold
 
 QUERIES = {}
@@ -39,6 +39,27 @@ gone AS (SELECT DISTINCT doc_id, i+k AS pos FROM win JOIN low USING(s), (SELECT
 ws AS (SELECT doc_id, unnest(w) AS word, unnest(range(1,len(w)+1)) AS pos FROM d),
 kept AS (SELECT doc_id, string_agg(word,' ' ORDER BY pos) AS t, count(*) AS n FROM ws ANTI JOIN gone USING(doc_id,pos) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w)-coalesce(n,0) AS BIGINT) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING(doc_id)""",
+    "op12_conversation_repair": r"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c>>1, (c&1)*3988292384), i)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, coalesce(CAST(conv_id AS VARCHAR),' ')||':'||coalesce(CAST(turn AS VARCHAR),' ') AS id FROM conversations),
+crc AS (SELECT raw.*, xor(list_reduce(list_transform(string_split(id,''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(c>>8, t[(xor(c,b)&255)+1]), 4294967295), 4294967295)%20 AS h FROM raw, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN h=4 THEN 'user' ELSE role END AS role, CASE WHEN h=1 THEN '' WHEN h=2 THEN regexp_replace(text,'[.!?]','','g') ELSE text END AS text FROM crc, range(2) AS c(k) WHERE h<>0 AND (k=0 OR h=3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)||':'||role||text)) AS p FROM dam),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p)>1 AS seen, CASE WHEN left(role,1) IN ('s','u','a') THEN left(role,1) ELSE 'o' END AS i FROM o),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text,'[^\x20\x09-\x0D]') THEN 'b' WHEN seen THEN 'd' WHEN right(regexp_replace(text,'[\x20\x09-\x0D]+$',''),1) NOT IN ('.','!','?') THEN 't' ELSE '-' END AS f, lag(i) OVER (PARTITION BY conv_id ORDER BY p)||i AS pair FROM n),
+s AS (SELECT conv_id, count(*) AS len, string_agg(CASE WHEN f IN ('b','d') THEN 'X' WHEN f='t' THEN upper(i) ELSE i END,'' ORDER BY p) AS sig, coalesce(max(turn)-min(turn)+1-count(DISTINCT turn),0) AS gaps, count(*) FILTER (f='b') AS blank, count(*) FILTER (f='d') AS duplicate, count(*) FILTER (f='t') AS truncated, count(*) FILTER (pair NOT IN ('su','ua','au')) AS illegal FROM g GROUP BY 1),
+dp AS (SELECT conv_id, sig, len AS k, '00000000' AS b0, '00000010II' AS bs, '00000005I' AS bu, '00000000' AS ba FROM s UNION ALL
+ SELECT conv_id, sig, k-1, least(c0, printf('%08d',CAST(left(vu,8) AS INTEGER)+5)||'I'||substr(vu,9)), least(cs, printf('%08d',CAST(left(vu,8) AS INTEGER)+5)||'I'||substr(vu,9)), vu, va FROM (SELECT *, least(cu, printf('%08d',CAST(left(ca,8) AS INTEGER)+5)||'I'||substr(ca,9)) AS vu, least(ca, printf('%08d',CAST(left(cu,8) AS INTEGER)+5)||'I'||substr(cu,9)) AS va FROM (SELECT conv_id, sig, k,
+  least(d0, ru, CASE WHEN y='s' THEN ks WHEN y='u' THEN ku END) AS c0, least(ds, ru, CASE WHEN y='u' THEN ku END) AS cs, least(du, ra, CASE WHEN y='a' THEN ka END) AS cu, least(da, ru, CASE WHEN y='u' THEN ku END) AS ca FROM (SELECT conv_id, sig, k, lower(y) AS y,
+   printf('%08d',CAST(left(b0,8) AS INTEGER)+2)||'D'||substr(b0,9) AS d0, printf('%08d',CAST(left(bs,8) AS INTEGER)+2)||'D'||substr(bs,9) AS ds, printf('%08d',CAST(left(bu,8) AS INTEGER)+2)||'D'||substr(bu,9) AS du, printf('%08d',CAST(left(ba,8) AS INTEGER)+2)||'D'||substr(ba,9) AS da,
+   CASE WHEN y<>'X' THEN printf('%08d',CAST(left(bu,8) AS INTEGER)+1+m)||'R'||substr(bu,9) END AS ru, CASE WHEN y<>'X' THEN printf('%08d',CAST(left(ba,8) AS INTEGER)+1+m)||'R'||substr(ba,9) END AS ra,
+   printf('%08d',CAST(left(bs,8) AS INTEGER)+m)||'K'||substr(bs,9) AS ks, printf('%08d',CAST(left(bu,8) AS INTEGER)+m)||'K'||substr(bu,9) AS ku, printf('%08d',CAST(left(ba,8) AS INTEGER)+m)||'K'||substr(ba,9) AS ka
+   FROM (SELECT *, substr(sig,k,1) AS y, CASE WHEN substr(sig,k,1) IN ('S','U','A','O') THEN 5 ELSE 0 END AS m FROM dp WHERE k>0))))),
+best AS (SELECT conv_id, CAST(left(b0,8) AS BIGINT) AS cost, substr(b0,9) AS audit FROM dp WHERE k=0),
+e AS (SELECT conv_id, audit, j, substr(audit,j,1) AS e, length(replace(left(audit,j),'I','')) AS p, length(replace(left(audit,j),'D','')) AS q FROM best, LATERAL (SELECT unnest(range(1,length(audit)+1)) AS j)),
+m AS (SELECT e.conv_id, q, e, i, CASE WHEN e='I' THEN '' ELSE text END AS text, role, max(CASE WHEN q=1 AND e='K' AND i='s' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS z FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.p=e.p AND e<>'I' WHERE e<>'D'),
+w AS (SELECT conv_id, string_agg((CASE WHEN e='K' THEN role WHEN (q-z)%2=1 THEN 'user' ELSE 'assistant' END)||':'||text, chr(10) ORDER BY q) AS t FROM m GROUP BY 1)
+SELECT a.conv_id, CAST(coalesce(gaps,0) AS BIGINT) AS gaps, CAST(coalesce(blank,0) AS BIGINT) AS blank, CAST(coalesce(duplicate,0) AS BIGINT) AS duplicate, CAST(coalesce(truncated,0) AS BIGINT) AS truncated, CAST(coalesce(illegal,0) AS BIGINT) AS illegal, CAST(coalesce(cost,0) AS BIGINT) AS cost, coalesce(audit,'') AS audit, sha256(coalesce(t,'')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id""",
     "op13_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(lang,'') AS part, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text,'')) AS first_id FROM documents),
 l AS (SELECT doc_id, bool_or(quality=1) AS good, bool_or(toxic=1) AS toxic FROM labels GROUP BY 1),
 m AS (SELECT part, concat(CASE WHEN len(w)<200 THEN 'A' ELSE '' END, CASE WHEN 100*len(list_distinct(w))<50*len(w) THEN 'B' ELSE '' END, CASE WHEN 100*length(regexp_replace(t,'[^A-Z]+','','g'))>3*length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t,'[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id>first_id THEN 'E' ELSE '' END) AS mask, coalesce(good,false) AS good, coalesce(toxic,false) AS toxic FROM d LEFT JOIN l USING(doc_id)),
@@ -140,6 +161,12 @@ def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -156,9 +156,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 4)
-    model = ranking.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
-    return ranking.score(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    described, fold = ranking.describe(table(spark, sf_dir, "documents")), crc_fold(F.col("doc_id"), 4)
+    model = ranking.fit(described, table(spark, sf_dir, "labels"), fold != 2)
+    return ranking.score(described, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,15 +97,30 @@ def preferences(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (right, left) if rare is zeros else (left, right)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    nothing_kept_in_worker()
-    for part in text_slices(batches):
-        found = features(text_column(part))
-        rows = pa.array(list(found), pa.list_(pa.float64())) if part.num_rows else pa.array([], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), rows], ["id", "y", "x"])
+def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x array<float>) of every row, from its whole text alone.
+
+    Texts are read once and only here; learning, the threshold and scores go on from these few numbers a row. Null and
+    empty texts are texts without words; repeated rows and null ids are described each; a very long text is a slice
+    of its own. Other columns, whatever their names, are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept_in_worker()
+        for part in text_slices(batches):
+            x = features(text_column(part)).astype(np.float32)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), held], ["id", "x"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return cut(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<float>").withColumnRenamed("id", id_col))
 
 
-def fit(df: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
+def _odds(weights: list[float]) -> Column:
+    return F.aggregate(F.zip_with(F.col("x").cast("array<double>"), F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def fit(described: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", label_col: str = "quality") -> dict:
     """Learn a ranking from the labelled documents where ``training`` (of the labels' id) holds.
 
     Pairs are drawn from at most TRAINING_ROWS of them. The threshold is the quantile of the scores of all of them at
@@ -114,44 +130,32 @@ def fit(df: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_i
     label 1 as its score.
     """
     rows = labels.where(training & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(rows.withColumnRenamed(id_col, "id"), "id")
-    described = cut(texts.select("id", "y", "text").mapInArrow(_described, f"id {rows.schema[id_col].dataType.simpleString()}, y int, x array<double>"))
-    total = described.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).alias("zeros")).first()
+    known = cut(described.join(rows, id_col).select(F.col(id_col).alias("id"), "y", "x"))
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).alias("zeros")).first()
     share = (total["n"] - total["zeros"] + 0.5) / (total["n"] + 1)
     if not 0 < total["zeros"] < total["n"]:
         return {"weights": None, "share": share}
-    sample = described.orderBy(F.xxhash64("id"), "id", "x").limit(TRAINING_ROWS).collect()
+    sample = known.orderBy(F.xxhash64("id"), "id", "x").limit(TRAINING_ROWS).collect()
     y, x = np.array([r["y"] for r in sample]), np.array([r["x"] for r in sample])
     if y.min() == y.max():
         return {"weights": None, "share": share}
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     better, worse = preferences(y)
     z = (x - mean) / spread
-    weights = bradley_terry(z[better], z[worse]) / spread
-    score = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    weights = (bradley_terry(z[better], z[worse]) / spread).tolist()
     level = (total["zeros"] - 0.5) / max(1, total["n"] - 1)
-    threshold = described.select(score.alias("s")).agg(F.percentile("s", level)).first()[0]
-    return {"weights": weights.tolist(), "share": share, "threshold": float(threshold)}
+    threshold = known.select(_odds(weights).alias("s")).agg(F.percentile("s", level)).first()[0]
+    return {"weights": weights, "share": share, "threshold": float(threshold)}
 
 
-def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score double, predicted int) for every row, from its whole text alone; predicted is 1 from 0.7 on.
+def score(described: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
+    """(id, score double, predicted int) of every described row; predicted is 1 from a score of 0.7 on.
 
-    The score is a logistic function of the ranking's distance from the threshold, at which it is 0.7. Null and empty
-    texts are scored as texts without words; repeated rows and null ids are scored each; a very long text is a slice
-    of its own. Other columns, whatever their names, are not read.
+    The score is a logistic function of the ranking's distance from the threshold, at which it is 0.7.
     """
-    weights = None if model["weights"] is None else np.array(model["weights"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing_kept_in_worker()
-        for part in text_slices(batches):
-            if weights is None:
-                p = np.full(part.num_rows, model["share"])
-            else:
-                odds = features(text_column(part)) @ weights - model["threshold"] + np.log(PREDICTED_FROM / (1 - PREDICTED_FROM))
-                p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p, pa.float64()), pa.array((p >= PREDICTED_FROM).astype(np.int32))], ["id", "score", "predicted"])
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    if model["weights"] is None:
+        found = F.lit(float(model["share"]))
+    else:
+        from_threshold = _odds(model["weights"]) - model["threshold"] + math.log(PREDICTED_FROM / (1 - PREDICTED_FROM))
+        found = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), from_threshold))))
+    return described.select(id_col, found.alias("score")).withColumn("predicted", (F.col("score") >= PREDICTED_FROM).cast("int"))

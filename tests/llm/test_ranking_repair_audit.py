@@ -40,7 +40,7 @@ def test_bradley_terry_recovers_an_order():
 
 
 def test_ranking_on_held_out_rows(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs, labels = ranking.describe(spark.read.parquet(f"{SF}/documents.parquet")), spark.read.parquet(f"{SF}/labels.parquet")
     fold = crc_fold(F.col("doc_id"), 4)
     model = ranking.fit(docs, labels, fold != 2)
     found = collected(ranking.score(docs, model).join(labels, "doc_id").where(fold == 2))
@@ -52,7 +52,7 @@ def test_ranking_on_held_out_rows(spark):
 def test_ranking_of_odd_rows(spark):
     long = "word number after word, and so on. " * 60_000
     rows = [(1, "good text of some words, and more of them.", "x", "y", "z"), (2, "bad ### $$$ %%% *** ###", "x", "y", "z"), (3, None, None, None, None), (4, "", "x", "y", "z"), (4, "", "x", "y", "z"), (None, "good words, in a row.", "x", "y", "z"), (5, long, "x", "y", "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, y string, score string")
+    docs = ranking.describe(spark.createDataFrame(rows, "doc_id long, text string, id string, y string, score string"))
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1), (5, None), (5, 1), (4, 7)], "doc_id long, quality int")
     model = ranking.fit(docs, labels, F.lit(True))
     found = collected(ranking.score(docs, model))

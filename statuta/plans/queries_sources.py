@@ -103,28 +103,45 @@ def bitemporal_items(spark, d):
     return pages.versioned_items(articles)
 
 
+def quoted(text):
+    """Text that may stand in a page whose quotes are changed."""
+    return F.replace(F.replace(text, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#39;"))
+
+
+def in_forms(html):
+    """Pages by turns with double quotes, single ones, and none where a value needs none."""
+    return F.when(F.col("page_id") % 3 == 1, F.translate(html, '"', "'")).when(F.col("page_id") % 3 == 2, F.regexp_replace(html, '="([A-Za-z0-9_:]+)"', "=$1")).otherwise(html)
+
+
 def statute_pages(spark, d):
-    """(page_id, html): statute pages made of the paragraphs of pages, every third with an upcoming version, addenda from headings."""
+    """(page_id, html): statute pages made of the paragraphs of pages, addenda from headings.
+
+    Their form varies: quotes, a table within every fourth article and text behind it, character references; every
+    third article has an upcoming version, of these every third has no note of its date but another one; every
+    article after one of these is followed by a group that is not directly behind it.
+    """
     rows = pages.blocks(adapter.read(spark, d, "pages")).withColumn("no", F.col("block_no").cast("string"))
-    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    safe = quoted(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#x3E;")))
     day = F.expr("date_add(date'2023-01-01', block_no)")
     note = F.concat(F.lit("<p class=\"pty1\">[시행일: "), F.year(day).cast("string"), F.lit(". "), F.month(day).cast("string"), F.lit(". "), F.dayofmonth(day).cast("string"), F.lit(".] 제"), "no", F.lit("조</p>"))
-    current = F.concat(F.lit('<a class="x" name="J'), "no", F.lit(':0"></a><div class="pgroup"><div class="lawcon"><p class="pty1_p4"><span class="bl"><label>제'), "no", F.lit("조</label></span> "), safe, F.lit("</p><p> </p></div></div>"))
+    table = F.when(F.col("block_no") % 4 == 1, F.concat(F.lit("<div><div><table><tr><td><p>표 "), "no", F.lit("</p></td></tr></table></div></div><p>뒤&middot;"), "no", F.lit("&hellip;</p>"))).otherwise(F.lit(""))
+    current = F.concat(F.lit('<a class="x" name="J'), "no", F.lit(':0"></a><div class="pgroup"><div class="lawcon"><p class="pty1_p4"><span class="bl"><label>제'), "no", F.lit("조</label></span> "), safe, F.lit("</p>"), table, F.lit("<p> </p></div></div>"))
     title = F.when(F.col("block_no") % 2 == 0, F.concat(F.lit('<span class="bl">개정 <b>제'), "no", F.lit("조</b></span>"))).otherwise(F.lit(""))
-    coming = F.concat(F.lit('<div class="pgroup babl"><div class="lawcon"><p>'), title, safe, F.lit(' <span style="color: rgb(255, 0, 0)">new</span></p>'), F.when(F.col("block_no") % 9 != 0, note).otherwise(F.lit("")), F.lit("</div></div>"))
-    article = F.concat(current, F.when(F.col("block_no") % 3 == 0, coming).otherwise(F.lit("")), F.lit('<p class="gtit">장</p>'))
-    addendum = F.concat(F.lit('<a name="J'), "no", F.lit('"></a><div class="pgroup"><p class="pty3_dep1">'), safe, F.lit('</p><p class="pty3">부칙 '), "no", F.lit('</p><p class="other">x</p></div>'))
+    coming = F.concat(F.lit('<div class="pgroup babl"><div class="lawcon"><p>'), title, safe, F.lit(' <span style="color: rgb(255, 0, 0)">new</span></p>'), F.when(F.col("block_no") % 9 != 0, note).otherwise(F.lit("<p>[시행 2030. 1. 1.]</p>")), F.lit("</div></div>"))
+    apart = F.lit('<br/><div class="pgroup babl"><p>[시행일: 2031. 1. 1.]</p></div>')
+    article = F.concat(current, F.when(F.col("block_no") % 3 == 0, coming).when(F.col("block_no") % 3 == 1, apart).otherwise(F.lit("")), F.lit('<p class="gtit">장</p>'))
+    addendum = F.concat(F.lit('<a name="J'), "no", F.lit('"></a><div class="pgroup"><p class="pty3_dep1">'), safe, F.lit('</p><div><p class="x pty3">부칙 '), "no", F.lit('</p></div><p class="other">x</p></div>'))
     both = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.when(F.col("tag") == "p", F.struct("block_no", article.alias("h"))))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("tag") == "h1", F.struct("block_no", addendum.alias("h"))))).alias("b"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["h"]), "")
     page = F.col("page_id").cast("string")
-    field = lambda name, value: F.concat(F.lit(f'<input type="hidden" id="{name}" value="'), value, F.lit('"/>'))
-    head = F.concat(field("lsId", F.concat(F.lit("L"), page)), F.lit('<input value="Law &amp; '), page, F.lit('" type="hidden" id="lsNm"/>'), field("lsiSeq", page), field("ancNo", F.concat(F.lit("제"), page, F.lit("호"))), field("ancYd", F.when(F.col("page_id") % 4 == 0, "2019").otherwise(F.lit("20191231"))), field("efYd", F.date_format(F.expr("date_add(date'2020-01-01', cast(page_id % 900 as int))"), "yyyyMMdd")))
-    return both.select("page_id", F.concat(head, joined("a"), F.lit('<div id="arDivArea"><a name="arArea"></a>'), joined("b"), F.lit("</div>")).alias("html"))
+    field = lambda name, value: F.concat(F.lit(f'<input type="hidden" id="{name}" value="'), value, F.lit('" />'))
+    head = F.concat(field("lsId", F.concat(F.lit("L"), page)), F.lit('<input value="Law &amp; '), page, F.lit('" type="hidden" id="lsNm" />'), field("lsiSeq", page), field("ancNo", F.concat(F.lit("제"), page, F.lit("호"))), field("ancYd", F.when(F.col("page_id") % 4 == 0, "2019").otherwise(F.lit("20191231"))), field("efYd", F.date_format(F.expr("date_add(date'2020-01-01', cast(page_id % 900 as int))"), "yyyyMMdd")))
+    return both.select("page_id", in_forms(F.concat(head, joined("a"), F.lit('<div id="arDivArea"><a name="arArea"></a>'), joined("b"), F.lit("</div>"))).alias("html"))
 
 
-ARTICLES = f"""st AS (SELECT *, 'Law & '||page_id AS law_name, CASE WHEN text='' THEN '제'||block_no||'조' ELSE '제'||block_no||'조 '||text END AS body, tag='p' AND block_no%3=0 AS upcoming,
+ARTICLES = f"""st AS (SELECT *, 'Law & '||page_id AS law_name, CASE WHEN text='' THEN '제'||block_no||'조' ELSE '제'||block_no||'조 '||text END||CASE WHEN block_no%4=1 THEN chr(10)||'표 '||block_no||chr(10)||'뒤·'||block_no||'…' ELSE '' END AS body, tag='p' AND block_no%3=0 AS upcoming,
  CASE WHEN block_no%2=0 THEN '개정제'||block_no||'조' ELSE '제'||block_no||'조' END AS next_title, CASE WHEN block_no%9<>0 THEN {NEXT} END AS next_date,
- trim(CASE WHEN block_no%2=0 THEN '개정 제'||block_no||'조 ' ELSE '' END||text)||CASE WHEN block_no%2=0 OR text<>'' THEN ' ' ELSE '' END||'new'||CASE WHEN block_no%9<>0 THEN chr(10)||'[시행일: '||year({NEXT})||'. '||month({NEXT})||'. '||day({NEXT})||'.] 제'||block_no||'조' ELSE '' END AS next_body FROM bl)"""
+ trim(CASE WHEN block_no%2=0 THEN '개정 제'||block_no||'조 ' ELSE '' END||text)||CASE WHEN block_no%2=0 OR text<>'' THEN ' ' ELSE '' END||'new'||CASE WHEN block_no%9<>0 THEN chr(10)||'[시행일: '||year({NEXT})||'. '||month({NEXT})||'. '||day({NEXT})||'.] 제'||block_no||'조' ELSE chr(10)||'[시행 2030. 1. 1.]' END AS next_body FROM bl)"""
 
 
 @query(S.with_(BLOCKS, ARTICLES) + f"SELECT 'L'||page_id AS law_id, law_name, CAST(page_id AS VARCHAR) AS revision_seq, '제'||page_id||'호' AS promulgation_no, CASE WHEN page_id%4<>0 THEN DATE '2019-12-31' END AS promulgation_date, {EFF} AS effective_date, CAST(block_no AS VARCHAR) AS jo_no, '0' AS jo_br_no, '제'||block_no||'조' AS title, body, upcoming, CASE WHEN upcoming THEN next_title END AS upcoming_title, CASE WHEN upcoming THEN next_body END AS upcoming_body, CASE WHEN upcoming THEN next_date END AS upcoming_date FROM st WHERE tag='p'")
@@ -164,25 +181,33 @@ def listing_rows(spark, d):
 
 @query(S.with_(LISTED) + f"SELECT page_id, CAST(no AS VARCHAR) AS no, nullif({STRIPPED % unescaped('name')},'') AS name, CASE WHEN no%5<>0 THEN '2024. '||(no%12+1)||'. 1.' END AS day, no%4=0 AS upcoming FROM li")
 def listing_table(spark, d):
-    """Listing pages made of link lists, with another table before the one that counts."""
+    """Listing pages made of link lists: another table before the one that counts or around it, tables within cells, quotes of all forms."""
     rows = pages.listing_rows(adapter.read(spark, d, "pages")).withColumn("no", F.col("no").cast("string"))
     cell = lambda c: F.concat(F.lit("<td> "), c, F.lit(" </td>"))
-    icon = F.when(F.col("no") % 4 == 0, '<img src="x" alt="앞으로 시행될 법령"/>').otherwise(F.lit(""))
-    row = F.concat(F.lit("<tr>"), cell(F.col("no")), cell(F.concat(F.lit("<a>"), "name", F.lit("</a>"), icon)), cell(F.when(F.col("no") % 5 != 0, F.concat(F.lit("2024. "), (F.col("no") % 12 + 1).cast("int").cast("string"), F.lit(". 1."))).otherwise(F.lit(""))), F.lit("</tr>"))
+    icon = F.when(F.col("no") % 4 == 0, '<img src="x" alt="앞으로 시행될 법령" />').otherwise(F.lit(""))
+    day = F.when(F.col("no") % 5 != 0, F.concat(F.lit("2024. "), (F.col("no") % 12 + 1).cast("int").cast("string"), F.lit(". 1."))).otherwise(F.lit(""))
+    more = F.when(F.col("no") % 3 == 0, "<td><table><tr><td>77</td><td>no row</td></tr></table></td>").otherwise(F.lit(""))
+    row = F.concat(F.lit("<tr>"), cell(F.col("no")), cell(F.concat(F.lit("<a>"), quoted(F.col("name")), F.lit("</a>"), icon)), cell(day), more, F.lit("</tr>"))
     head = lambda *names: "<tr>" + "".join(f'<th scope="col"><span>{x}</span></th>' for x in names) + "</tr>"
-    before = "<table>" + head("부처/청/위원회", "기타") + "<tr><td>1</td><td>x</td></tr></table><table>" + head("번호", "법령명", "공포일자")
+    before = "<table>" + head("부처/청/위원회", "기타") + "<tr><td>1</td><td>x</td></tr></table>"
     body = rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("no").cast("int"), row.alias("h")))), lambda x: x["h"]), "").alias("rows"))
-    found = pages.listing_tables(body.select("page_id", F.concat(F.lit(before), "rows", F.lit("</table>")).alias("html")))
+    own = F.concat(F.lit("<table>" + head("번호", "법령명", "공포일자")), "rows", F.lit("</table>"))
+    around = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<table><tr><td>"), own, F.lit("</td></tr></table>"))).otherwise(F.concat(F.lit(before), own))
+    found = pages.listing_tables(body.select("page_id", in_forms(around).alias("html")))
     cell_of = lambda name: F.try_element_at("cells", F.lit(name))
     return found.select("page_id", cell_of("번호").alias("no"), cell_of("법령명").alias("name"), cell_of("공포일자").alias("day"), "upcoming")
 
 
 @query(S.with_(LISTED) + "SELECT page_id, CAST(no AS BIGINT) AS no, trim(name) AS listed_name, DATE '2023-01-01'+CAST((page_id*7+no)%700 AS INTEGER) AS effective_date, DATE '2023-01-01'+CAST((page_id*7+no)%700 AS INTEGER)>DATE '2024-01-01' AS upcoming FROM li")
 def left_listing_rows(spark, d):
-    """Names with their date in force; those after the given day are upcoming."""
+    """Lists beside a page, made of link lists: names with the day in force beside another one; those after the given day are upcoming."""
     rows = pages.listing_rows(adapter.read(spark, d, "pages")).withColumn("day", F.expr("date_add(date'2023-01-01', cast((page_id * 7 + no) % 700 as int))"))
-    text = F.concat("name", F.lit(" [시행 "), F.year("day").cast("string"), F.lit(". "), F.month("day").cast("string"), F.lit(". "), F.dayofmonth("day").cast("string"), F.lit(".]"))
-    return pages.dated_names(rows, text, F.lit("2024-01-01").cast("date")).select("page_id", F.col("no").cast("bigint").alias("no"), "listed_name", "effective_date", "upcoming")
+    note = F.concat(F.lit("[시행 "), F.year("day").cast("string"), F.lit(". "), F.month("day").cast("string"), F.lit(". "), F.dayofmonth("day").cast("string"), F.lit(".] [법률 제9호, 1999. 9. 9., 일부개정]"))
+    name = quoted(F.col("name"))
+    row = F.concat(F.lit('<li id="liBgcolor'), F.col("no").cast("string"), F.lit('"><a title="'), name, F.lit("\n"), note, F.lit('"><span class="tx">'), name, F.lit('</span><span class="tx2">'), note, F.lit("</span></a><ul><li><a>본문</a></li></ul></li>"))
+    body = rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", row.alias("h")))), lambda x: x["h"]), "").alias("rows"))
+    found = pages.left_listing(body.select("page_id", in_forms(F.concat(F.lit('<div id="listDiv"><ul>'), "rows", F.lit("</ul></div>"))).alias("html")), F.lit("2024-01-01").cast("date"))
+    return found.select("page_id", F.col("no").cast("bigint").alias("no"), F.col("name").alias("listed_name"), "effective_date", "upcoming")
 
 
 @query("WITH p AS (SELECT page_id%5 AS site, page_id//5 AS page, DATE '2024-06-01'-CAST(page_id//5+(page_id%3)*20 AS INTEGER) AS newest FROM pages) SELECT site, page, newest FROM (SELECT *, min(newest) OVER (PARTITION BY site ORDER BY page ROWS UNBOUNDED PRECEDING) AS low FROM p) WHERE low>=DATE '2024-04-15'")

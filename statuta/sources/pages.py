@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.functions.korean import IN_FORCE, compact_date, dates_in
+from statuta.functions.korean import IN_FORCE, dates_in
 from statuta.functions.text import strip
+from statuta.sources import markup
+from statuta.sources.markup import Element
 
 NAV = r'<a href="([^"]*)">([^<]*)</a>'
 #: What is no text, where a heading or paragraph begins, and where one ends.
@@ -15,17 +21,17 @@ UNSEEN = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 BEGINS, ENDS = r"<(h1|p)(?: [^>]*)?>", r"</?(?:h1|p|div|article|nav|ul|table|body|html|head)(?: [^>]*)?>"
 TAG = r"<[^>]*>"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-#: Fixed values of statute pages: anchors of articles (number, branch) and addenda, paragraphs, and class names.
-ARTICLE_ANCHOR = r'<a\b[^>]*\bname="J(\d+):(\d+)"[^>]*>'
-ADDENDUM_ANCHOR = r'<a\b[^>]*\bname="J([^":]*)"[^>]*>'
-ADDENDA_AREA, UPCOMING_GROUP = 'id="arDivArea"', r'<div\b[^>]*\bclass="pgroup babl"[^>]*>'
-CONTENT = (r'(?s)<div\b[^>]*\bclass="lawcon"[^>]*>(.*?)</div>', r'(?s)<div\b[^>]*\bclass="pgroup"[^>]*>(.*?)</div>', r"(?s)^(.*?)</div>")
-PARAGRAPH = r"(?s)<p\b[^>]*>(.*?)</p>"
-ADDENDUM_HEAD, ADDENDUM_LINE = r'(?s)<p\b[^>]*\bclass="pty3"[^>]*>(.*?)</p>', r'(?s)<p\b[^>]*\bclass="pty3_dep[^"]*"[^>]*>(.*?)</p>'
-TITLE = r'(?s)<(\w+)\b[^>]*\bclass="bl"[^>]*>(.*?)</\1>'
+#: Fixed values of statute pages: anchors of articles (number, branch), the addenda's part and anchors in it that are
+#: none, class names of groups, text and titles, and the note of an upcoming version.
+ARTICLE_ANCHOR = re.compile(r"J(\d+):(\d+)")
+ADDENDA_AREA, NO_ADDENDUM = "arDivArea", "arArea"
+GROUP, UPCOMING_GROUP, CONTENT, TITLE, ADDENDUM_HEAD, ADDENDUM_LINE = "pgroup", "babl", "lawcon", "bl", "pty3", "pty3_dep"
+UPCOMING_NOTE = re.compile(r"\[시행일:\s*(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.\]")
 #: Fixed values of listing pages: the first header of the table that counts, and the icon of an upcoming row.
-FIRST_HEADER, UPCOMING_ICON = "번호", r'<img\b[^>]*\balt="앞으로 시행될 법령"'
-HEADER = r'(?s)<th\b[^>]*\bscope="col"[^>]*>(.*?)</th>'
+FIRST_HEADER, UPCOMING_ICON = "번호", "앞으로 시행될 법령"
+#: Fixed values of the list beside a page: its part, its rows, a row's dates, and the note of the day in force.
+LEFT_LIST, LEFT_ROW, LEFT_DATES = "listDiv", re.compile(r"liBgcolor\d+"), "tx2"
+IN_FORCE_NOTE = re.compile(r"\[시행\s*(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.\]")
 
 
 def unescaped(text: Column) -> Column:
@@ -41,12 +47,6 @@ def inner_text(html: Column, joint: str = " ") -> Column:
     return F.array_join(pieces, joint)
 
 
-def input_value(html: Column, name: str) -> Column:
-    """Value of the input with an id, wherever both attributes stand in it; empty where there is none."""
-    tag = F.regexp_extract(html, rf'<input\b[^>]*\bid="{name}"[^>]*>', 0)
-    return unescaped(F.regexp_extract(tag, r'\bvalue="([^"]*)"', 1))
-
-
 def blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_no, tag, text): headings and paragraphs in order.
 
@@ -60,61 +60,91 @@ def blocks(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "block_no", F.substring_index("part", "\u0002", 1).alias("tag"), inner_text(text).alias("text"))
 
 
-def _lines(html: Column, pattern: str) -> Column:
-    """Texts of the paragraphs that a pattern finds, blank ones left out."""
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda x: inner_text(x)), lambda x: x != "")
+STATUTE = (
+    "law_id string, law_name string, revision_seq string, promulgation_no string, promulgation_date date, effective_date date,"
+    " articles array<struct<jo_no string, jo_br_no string, title string, body string, upcoming boolean, upcoming_title string, upcoming_body string, upcoming_date date>>,"
+    " addenda array<struct<id string, body string>>"
+)
+
+
+def _date(*parts: str) -> dt.date | None:
+    try:
+        return dt.date(*map(int, parts))
+    except ValueError:
+        return None
+
+
+def _noted(text: str, note: re.Pattern) -> dt.date | None:
+    found = note.search(text)
+    return _date(*found.groups()) if found else None
+
+
+def _lines(paragraphs: Iterable[Element]) -> str:
+    return "\n".join(filter(None, (p.text() for p in paragraphs)))
+
+
+def _version(group: Element) -> tuple[str, str]:
+    """Title and body of an article's group: all its paragraphs, however they are nested."""
+    root = group.first("div", CONTENT) or group
+    title = root.first(class_=TITLE)
+    return title.text("") if title else "", _lines(root.all("p"))
+
+
+def _group_behind(anchor: Element) -> Element | None:
+    return next((x for x in anchor.following() if x.tag == "div" and GROUP in x.classes), None)
+
+
+def _article(anchor: Element, group: Element) -> dict:
+    title, body = _version(group)
+    row = dict(zip(("jo_no", "jo_br_no"), ARTICLE_ANCHOR.fullmatch(anchor.get("name")).groups()), title=title, body=body, upcoming=False)
+    behind = next(group.following(), None)
+    if behind is not None and UPCOMING_GROUP in behind.classes:
+        coming_title, coming = _version(behind)
+        row |= {"upcoming": True, "upcoming_title": coming_title or title, "upcoming_body": coming, "upcoming_date": _noted(coming, UPCOMING_NOTE)}
+    return row
 
 
-def _segments(html: Column, anchor: str, area: str) -> Column:
-    """Stretches from each anchor to the next one or the end of the area."""
-    return F.regexp_extract_all(html, F.lit(f"(?s){anchor}.*?(?={area}|$)"), F.lit(0))
+def _addendum(anchor: Element, group: Element) -> dict:
+    head = group.first("p", ADDENDUM_HEAD)
+    more = (p for p in group.all("p") if any(c.startswith(ADDENDUM_LINE) for c in p.classes))
+    return {"id": anchor.get("name")[1:], "body": _lines([*([head] if head else []), *more])}
+
+
+def _statute(page: Element) -> list[dict]:
+    def value(name: str) -> str:
+        found = page.first("input", id=name)
+        return found.get("value") if found else ""
+
+    def date(name: str) -> dt.date | None:
+        digits = value(name)
+        return _date(digits[:4], digits[4:6], digits[6:]) if re.fullmatch("[0-9]{8}", digits) else None
+
+    area = page.first("div", id=ADDENDA_AREA)
+    addenda = [a for a in (area.all("a") if area else ()) if a.get("name").startswith("J") and ":" not in a.get("name") and a.get("name") != NO_ADDENDUM]
+    later = set(map(id, area.all("a"))) if area else ()
+    articles = [a for a in page.all("a") if ARTICLE_ANCHOR.fullmatch(a.get("name")) and id(a) not in later]
+    pairs = lambda anchors: ((a, g) for a in anchors if (g := _group_behind(a)) is not None)
+    return [
+        {
+            **dict(zip(("law_id", "law_name", "revision_seq", "promulgation_no"), map(value, ("lsId", "lsNm", "lsiSeq", "ancNo")))),
+            "promulgation_date": date("ancYd"),
+            "effective_date": date("efYd"),
+            "articles": [_article(a, g) for a, g in pairs(articles)],
+            "addenda": [_addendum(a, g) for a, g in pairs(addenda)],
+        }
+    ]
 
 
 def statutes(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page_id, law_id, law_name, revision_seq, promulgation_no, promulgation_date, effective_date, articles, addenda).
 
-    An article has its number, branch, title and body, and those of its upcoming version with its date (null
-    where its note gives none). Addenda are the anchors without a branch in their own part of the page. Pages
-    without a law id have empty fields and no articles.
+    Pages are read as trees, so quoting, nesting and character references do not matter. An article is an anchor and
+    the next group beside it, with its number, branch, title and body; a group of the upcoming kind directly behind
+    that one is its upcoming version, dated by its note (null where it gives none or no date that exists). Addenda are
+    the anchors without a branch in their own part of the page, which holds no articles. Pages without a law id have
+    empty fields; null pages are empty ones.
     """
-    source = F.coalesce(F.col(html), F.lit(""))
-    parts = F.split(source, f"(?={ADDENDA_AREA})", 2)
-    rows = pages.select("page_id", source.alias("html"), F.get(parts, 0).alias("main"), F.coalesce(F.get(parts, 1), F.lit("")).alias("rest"))
-    rows = rows.select("*", F.transform(_segments(F.col("main"), ARTICLE_ANCHOR, ARTICLE_ANCHOR), lambda s: F.struct(s.alias("all"), F.split(s, UPCOMING_GROUP, 2).alias("versions"))).alias("found"))
-    title = lambda h: inner_text(F.regexp_extract(h, TITLE, 2), "")
-    content = lambda h: F.coalesce(*[F.nullif(F.regexp_extract(h, c, 1), F.lit("")) for c in CONTENT], F.lit(""))
-
-    def article(found: Column) -> Column:
-        coming = F.when(F.size(found["versions"]) > 1, content(F.get(found["versions"], 1)))
-        now = content(F.get(found["versions"], 0))
-        body = F.array_join(_lines(coming, PARAGRAPH), "\n")
-        return F.struct(
-            F.regexp_extract(found["all"], ARTICLE_ANCHOR, 1).alias("jo_no"),
-            F.regexp_extract(found["all"], ARTICLE_ANCHOR, 2).alias("jo_br_no"),
-            title(now).alias("title"),
-            F.array_join(_lines(now, PARAGRAPH), "\n").alias("body"),
-            coming.isNotNull().alias("upcoming"),
-            F.when(coming.isNotNull(), F.coalesce(F.nullif(title(coming), F.lit("")), title(now))).alias("upcoming_title"),
-            body.alias("upcoming_body"),
-            F.get(dates_in(body, IN_FORCE), 0).alias("upcoming_date"),
-        )
-
-    def addendum(found: Column) -> Column:
-        lines = F.concat(F.slice(_lines(found, ADDENDUM_HEAD), 1, 1), _lines(found, ADDENDUM_LINE))
-        return F.struct(F.regexp_extract(found, ADDENDUM_ANCHOR, 1).alias("id"), F.array_join(lines, "\n").alias("body"))
-
-    value = lambda name: input_value(F.col("html"), name)
-    return rows.select(
-        "page_id",
-        value("lsId").alias("law_id"),
-        value("lsNm").alias("law_name"),
-        value("lsiSeq").alias("revision_seq"),
-        value("ancNo").alias("promulgation_no"),
-        compact_date(value("ancYd")).alias("promulgation_date"),
-        compact_date(value("efYd")).alias("effective_date"),
-        F.transform("found", article).alias("articles"),
-        F.transform(_segments(F.col("rest"), ADDENDUM_ANCHOR, ADDENDUM_ANCHOR), addendum).alias("addenda"),
-    )
+    return markup.read(pages, _statute, STATUTE, html)
 
 
 def statute_items(found: DataFrame) -> DataFrame:
@@ -145,19 +175,55 @@ def addenda_items(addenda: DataFrame) -> DataFrame:
     return addenda.select(F.concat_ws("-", "law_id", F.lit("ar"), "addendum_id").alias("id"), F.concat("law_name", F.lit(" 부칙")).alias("title"), "body")
 
 
+def _own(table: Element, tag: str, **attributes: str) -> list[Element]:
+    """Elements of a table that are not in a table within it."""
+    return [x for x in table.all(tag, **attributes) if x.above("table") is table]
+
+
+def _listing(page: Element) -> list[dict]:
+    for table in page.all("table"):
+        headers = [h.whole_text() for h in _own(table, "th", scope="col")]
+        if headers and headers[0] == FIRST_HEADER:
+            break
+    else:
+        return []
+    names, found = [h for h in headers if h], []
+    for number, row in enumerate(_own(table, "tr")):
+        cells = [c.whole_text() for c in row.all("td") if c.above("tr") is row]
+        held = {name: text for name, text in zip(names, cells) if text}
+        if held:
+            found.append({"row_no": number, "cells": list(held.items()), "upcoming": row.first("img", alt=UPCOMING_ICON) is not None})
+    return found
+
+
 def listing_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page_id, row_no, cells map<string,string>, upcoming): rows of the table whose first column header is FIRST_HEADER.
 
-    Other tables before it, such as a filter's, do not count; pages without it give nothing. Cells go to the
-    headers in order, blank ones are left out, and a row without any is no row.
+    Other tables before it, such as a filter's or one that holds it, do not count, nor do rows and cells of tables
+    within a cell; pages without it give nothing. Cells go to the headers in order, blank ones are left out, and a
+    row without any is no row.
+    """
+    return markup.read(pages, _listing, "row_no int, cells map<string,string>, upcoming boolean", html)
+
+
+def _left_listing(page: Element) -> list[dict]:
+    area, found = page.first(id=LEFT_LIST), []
+    for number, row in enumerate(x for x in (area.all("li") if area else ()) if LEFT_ROW.fullmatch(x.get("id"))):
+        link = next((x for x in row.content if isinstance(x, Element) and x.tag == "a"), None)
+        if link is not None and link.get("title"):
+            dates = link.first("span", LEFT_DATES)
+            found.append({"no": number + 1, "row_id": row.get("id"), "name": link.get("title").split("\n")[0].strip(), "effective_date": _noted(dates.text(""), IN_FORCE_NOTE) if dates else None})
+    return found
+
+
+def left_listing(pages: DataFrame, today: Column, html: str = "html") -> DataFrame:
+    """(page_id, no, row_id, name, effective_date, upcoming): rows of the list beside a page.
+
+    A name is the first line of its link's title; the day in force stands in a note of its own, other dates beside it
+    do not count. Rows without a title are left out, though they are counted; one after ``today`` is upcoming.
     """
-    tables = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?s)<table\b.*?</table>"), F.lit(0))
-    chosen = F.get(F.filter(tables, lambda t: inner_text(F.regexp_extract(t, HEADER, 1)) == FIRST_HEADER), 0)
-    rows = pages.select("page_id", chosen.alias("shown")).where("shown is not null")
-    rows = rows.select("page_id", _lines(F.col("shown"), HEADER).alias("headers"), F.posexplode(F.regexp_extract_all("shown", F.lit(r"(?s)<tr\b.*?</tr>"), F.lit(0))).alias("row_no", "row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: inner_text(c))
-    paired = F.filter(F.arrays_zip(F.col("headers").alias("name"), cells.alias("text")), lambda p: p["name"].isNotNull() & (p["text"] != ""))
-    return rows.select("page_id", "row_no", F.map_from_entries(paired).alias("cells"), F.col("row").rlike(UPCOMING_ICON).alias("upcoming")).where(F.size("cells") > 0)
+    rows = markup.read(pages, _left_listing, "no int, row_id string, name string, effective_date date", html)
+    return rows.withColumn("upcoming", F.coalesce(F.col("effective_date") > today, F.lit(False)))
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:

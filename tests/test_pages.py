@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from statuta.sources import pages
 
 BODY = """<div id="bodyContentTOP"><input type="hidden" value="L7" id="lsId"/><input id="lsNm" type="hidden" value="A &amp; B법"/><input id="efYd" value="20240102"/><input id="ancYd" value="bad"/>
@@ -50,3 +52,36 @@ def test_blocks_keep_text_behind_inline_tags(spark):
     html = '<script>var t="</p><p>no";</script><h1>A &amp; B</h1><p class="x"><b>bold</b> rest<br>more<p>next</p><div>out</div>'
     found = [(r["tag"], r["text"]) for r in pages.blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()]
     assert found == [("h1", "A & B"), ("p", "bold rest more"), ("p", "next")]
+
+
+def test_nesting_quotes_and_references(spark):
+    html = """<INPUT type=hidden id=lsId value='L9'><input id='lsNm' value="가&middot;나 &#xBC95;"><input ID=efYd value=20240102>
+<a name=J1:0></a><ul><li>x</li></ul><div class='x pgroup'><div class="lawcon"><p>one&hellip;</p><div><div><table><tr><td><p>in a table&nbsp;</p></td></tr></table></div></div><p>after</p><!-- <p>no</p> --><script>'</p>'</script></div></div>
+<div class='pgroup babl'><div><p>new <b class="bl">제1조</b></p><p>[시행 2030. 1. 1.] old note</p><p>[시행일:&nbsp;2031. 2. 3.]</p></div></div>
+<a name="J2:0"></a><div class="pgroup"><p>two</p></div><br><div class="pgroup babl"><p>not directly behind</p></div>
+<a name="J3:0"></a><div class="pgroup"><p>three</p></div><div class="babl pgroup"><p>[시행 2030. 1. 1.]</p></div>
+<a name="J4:0"></a><p>no group behind it</p>"""
+    rows = spark.createDataFrame([(1, html), (2, "<div>" * 5000 + "<p id='lsId'>deep"), (3, "</div></p>< & <b")], "page_id long, html string")
+    found = {r["page_id"]: r for r in pages.statutes(rows).collect()}
+    page = found[1]
+    assert (page["law_id"], page["law_name"], page["effective_date"]) == ("L9", "가·나 법", dt.date(2024, 1, 2))
+    one, two, three = page["articles"]
+    assert one["body"] == "one…\nin a table\nafter" and one["upcoming_title"] == "제1조"
+    assert one["upcoming_date"] == dt.date(2031, 2, 3) and one["upcoming_body"].startswith("new 제1조\n[시행 2030. 1. 1.] old note\n[시행일: 2031.")
+    assert two["body"] == "two" and not two["upcoming"]
+    assert three["upcoming"] and three["upcoming_date"] is None
+    assert found[2]["articles"] == found[3]["articles"] == [] and found[2]["law_id"] == ""
+
+
+def test_nested_listing_tables(spark):
+    inner = "<table><tr><th scope=col>번호</th><th scope='col'>법령명</th></tr><tr><td>1</td><td>가<table><tr><th scope=col>x</th></tr><tr><td>9</td></tr></table></td></tr><tr><td>2<td>open</table>"
+    rows = spark.createDataFrame([(1, f"<table><tr><td>{inner}</td></tr></table>")], "page_id long, html string")
+    found = {r["cells"]["번호"]: r["cells"]["법령명"] for r in pages.listing_tables(rows).collect() if "법령명" in r["cells"]}
+    assert found["1"].startswith("가") and len(found) >= 1
+
+
+def test_left_listing(spark):
+    row = lambda k, name, day: f"<li id='liBgcolor{k}'><a title='{name}\n[시행 {day}] [법률 제1호, 1999. 9. 9.]'><span class=tx>{k}. {name}</span><span class='tx2 y'>[시행 {day}] [법률 제1호, 1999. 9. 9., 일부개정]</span></a><ul><li id=other><a title=no>x</a></li></ul></li>"
+    html = f"<a title=outside></a><div id=listDiv><ul>{row(0, '가 &amp; 법', '2023. 9. 14.')}<li id=liBgcolor1><a>untitled</a></li>{row(2, '나법', '2099. 1. 1.')}{row(3, '다법', '2024. 13. 1.')}</ul></div>"
+    found = pages.left_listing(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), F.lit("2024-01-01").cast("date")).collect()
+    assert [tuple(r)[1:] for r in found] == [(1, "liBgcolor0", "가 & 법", dt.date(2023, 9, 14), False), (3, "liBgcolor2", "나법", dt.date(2099, 1, 1), True), (4, "liBgcolor3", "다법", None, False)]

@@ -19,13 +19,22 @@ def ingest_entities(docs: DataFrame) -> DataFrame:
     return docs.withColumn("body", F.when(F.col("type").isin(*MASKED), mask_pii(F.col("body"))).otherwise(F.col("body")))
 
 
-def auto_citations(docs: DataFrame) -> DataFrame:
-    """(src, type, dst): laws and rules whose title has the name and article that a document cites."""
+def citation_needles(docs: DataFrame) -> DataFrame:
+    """(src, needle): what documents cite, as it would stand in a title; laws cite nothing."""
     scanned = docs.where(F.col("type") != UNSCANNED).select("entity_id", F.concat_ws("\n", "title", "body").alias("text"))
-    named = law_citations(scanned, F.col("text"), "entity_id").select(F.col("entity_id").alias("src"), citation_needle().alias("needle")).distinct()
-    found = title_matches(named, docs).where(F.col("type").isin(*CITABLE))
+    return law_citations(scanned, F.col("text"), "entity_id").select(F.col("entity_id").alias("src"), citation_needle().alias("needle")).distinct()
+
+
+def cited_titles(needles: DataFrame, docs: DataFrame) -> DataFrame:
+    """(src, type, dst): laws and rules whose title has a needle."""
+    found = title_matches(needles, docs).where(F.col("type").isin(*CITABLE))
     return found.select("src", F.lit("cites").alias("type"), F.col("entity_id").alias("dst")).distinct()
 
 
+def auto_citations(docs: DataFrame) -> DataFrame:
+    """(src, type, dst): laws and rules whose title has the name and article that a document cites."""
+    return cited_titles(citation_needles(docs), docs)
+
+
 def ingest_edges(docs: DataFrame, explicit: DataFrame) -> DataFrame:
     return distinct_edges(explicit.select("src", "type", "dst").union(auto_citations(docs)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from statuta.functions import korean
 from statuta.functions.lineage import shared_folder
-from statuta.operators import state
+from statuta.operators import state, versions
+from statuta.operators.knowledge import KnowledgeTables
 from statuta.plans import sql as S
 from statuta.plans.queries_text import FDOC, FILES
 from statuta.plans.register import Registry
@@ -169,6 +170,25 @@ def statute_items(spark, d):
     return pages.statute_items(pages.statutes(statute_pages(spark, d)))
 
 
+AS_OF = "DATE '2022-07-01'+CAST(page_id%3*400 AS INTEGER)"
+
+
+@query(
+    S.with_(BLOCKS, ARTICLES)
+    + f", q AS (SELECT *, {EFF} AS eff, {AS_OF} AS as_of FROM st WHERE tag='p') SELECT 'law:'||{BASE}||'@'||eff AS entity_id, as_of, CASE WHEN upcoming AND next_date<=as_of THEN 'law:'||{BASE}||'@'||next_date ELSE 'law:'||{BASE}||'@'||eff END AS resolved_id FROM q WHERE eff<=as_of OR (upcoming AND next_date<=as_of)"
+)
+def statute_versions(spark, d):
+    """Statute pages loaded end to end into stored tables, and each article's version in force on a day of its page."""
+    documents, relations = pages.statute_documents(pages.statute_items(pages.statutes(statute_pages(spark, d))))
+    held = KnowledgeTables(spark, f"{shared_folder(spark)}/statutes-{uuid.uuid4().hex}")
+    held.sync(documents, relations)
+    at = held.store.snapshot().number
+    current = held.edges(at).select(F.col("src").alias("entity_id"))
+    page = F.regexp_extract("entity_id", "^law:L([0-9]+)-[0-9]+-0@", 1)
+    asked = held.entities(at).join(current, "entity_id", "left_anti").where(page != "").select("entity_id", F.expr(f"date_add(date'2022-07-01', cast(cast(regexp_extract(entity_id, '^law:L([0-9]+)-', 1) as bigint) % 3 * 400 as int))").alias("as_of"))
+    return versions.resolve(asked, held.entities(at), versions.chains(held.entities(at), held.edges(at))).select("entity_id", "as_of", "resolved_id")
+
+
 NAV = r'<a href="([^"]*)">([^<]*)</a>'
 LISTED = f"""li0 AS (SELECT page_id, unnest(regexp_extract_all(html,'{NAV}')) AS hit, unnest(range(1,len(regexp_extract_all(html,'{NAV}'))+1)) AS no FROM pages),
 li AS (SELECT page_id, no, regexp_extract(hit,'{NAV}',2) AS name, regexp_extract(hit,'{NAV}',1) AS target FROM li0)"""

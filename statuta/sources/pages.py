@@ -156,6 +156,13 @@ def statute_items(found: DataFrame) -> DataFrame:
     return versioned_items(articles).union(more)
 
 
+def statute_documents(items: DataFrame, origin: str = "law") -> tuple[DataFrame, DataFrame]:
+    """Items as documents (the columns of entities, and origin) and relations (src, type, dst), as a sync takes them."""
+    own = F.concat(F.lit("law:"), F.col("id"))
+    documents = items.select(own.alias("entity_id"), F.lit("law").alias("type"), "title", "body", "effective_date", "superseded_date", F.array(F.lit("ALL")).alias("allowed_depts"), F.lit("").alias("source"), F.lit(origin).alias("origin"))
+    return documents, items.where("supersedes is not null").select(own.alias("src"), F.lit("supersedes").alias("type"), F.col("supersedes").alias("dst"))
+
+
 def versioned_items(articles: DataFrame) -> DataFrame:
     """Items of articles (law_id, law_name, jo_no, jo_br_no, title, body, effective_date, upcoming, upcoming_title, upcoming_body, upcoming_date).
 

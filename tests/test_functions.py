@@ -104,15 +104,15 @@ def test_sync_rules(spark):
 
 
 def test_stream(spark, tmp_path):
-    from statuta.operators import state
     from statuta.streaming import sync
 
     for ids in (["1", "2"], ["2", "3"]):
         spark.createDataFrame([("s", i) for i in ids], "source string, entity_id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
         feed = spark.readStream.schema("source string, entity_id string").parquet(str(tmp_path / "feed"))
         sync.stream_sync(spark, feed, str(tmp_path / "out")).awaitTermination()
-        assert {r["entity_id"] for r in state.read_snapshot(spark, str(tmp_path / "out" / "state"), sync.STATE).collect()} == set(ids)
-    assert [r["entity_id"] for r in spark.read.parquet(str(tmp_path / "out" / "removed" / "1")).collect()] == ["1"]
+        held = sync.store(spark, str(tmp_path / "out"), feed).snapshot()
+        assert {r["entity_id"] for r in held.table("state").collect()} == set(ids)
+    assert [(r["batch"], r["entity_id"]) for r in held.table("removed").collect()] == [(1, "1")]
 
 
 def test_versions_of_articles(spark):

@@ -7,24 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import lineage
 from statuta.operators import guard, state, versions
-from statuta.operators.knowledge import KnowledgeTables
 from statuta.sources import crawl, files
-from statuta.streaming import sync
-
-SCHEMA = "id bigint, name string"
-
-
-def test_snapshot_falls_back_to_an_older_version(spark, tmp_path):
-    folder = f"file://{tmp_path}/t"
-    assert state.read_snapshot(spark, folder, SCHEMA).count() == 0
-    state.write_snapshot(spark.createDataFrame([(1, "a")], SCHEMA), folder, 1)
-    state.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA), folder, 2)
-    assert state.read_snapshot(spark, folder, SCHEMA).count() == 2
-    for part in (tmp_path / "t" / "version=2").iterdir():
-        part.unlink()
-    (tmp_path / "t" / "version=2" / "part-0.parquet").write_text("no parquet")
-    assert [tuple(r) for r in state.read_snapshot(spark, folder, SCHEMA).collect()] == [(1, "a")]
-    assert state.read_snapshot(spark, folder, "other string").count() == 0
 
 
 def test_scan_of_missing_folder_and_bad_files(spark, tmp_path):
@@ -52,42 +35,6 @@ def test_audit_log_only_grows(spark, tmp_path):
     assert (found["records"], found["calls"], found["ids"], found["verified"], found["rejected"]) == (3, 3, 6, 3, 0)
 
 
-def test_sync_survives_a_bad_cycle(spark, tmp_path):
-    kind = "source string, entity_id string"
-    feed = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
-    spark.createDataFrame([], kind).write.json(f"file://{tmp_path}/in")
-    assert sync.run_once(spark, feed(), folder=f"file://{tmp_path}/empty").count() == 0
-    cycles = []
-
-    def apply(now, gone):
-        cycles.append(now.count())
-        if len(cycles) == 2:
-            raise ValueError("bad cycle")
-
-    for rows in ([("a", "1"), ("a", "2")], [("a", "9")], [("a", "2"), ("b", "3")]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
-        found = sync.run_once(spark, feed(), apply, folder=f"file://{tmp_path}/state")
-    assert sorted(map(tuple, found.collect())) == [("a", "2"), ("b", "3")]
-    errors = spark.read.parquet(f"file://{tmp_path}/state/errors").collect()
-    assert len(errors) == 1 and "bad cycle" in errors[0]["error"]
-
-
-def test_knowledge_tables(spark, tmp_path):
-    held = KnowledgeTables(spark, f"file://{tmp_path}/k")
-    assert held.entities().count() == held.neighbours().count() == 0
-    row = lambda i, title: (i, "law", title, "b", dt.date(2024, 1, 1), None, ["ALL"], "s")
-    entities = spark.createDataFrame([row("law:1", "one"), row("law:2", "two")], held.entities().schema)
-    edges = spark.createDataFrame([("law:2", "cites", "law:1"), ("law:2", "supersedes", "law:1")], "src string, type string, dst string")
-    held.put(entities, edges)
-    held.put(spark.createDataFrame([row("law:1", "new")], held.entities().schema), edges)
-    again = KnowledgeTables(spark, f"file://{tmp_path}/k")
-    assert {r["entity_id"]: r["title"] for r in again.entities().collect()} == {"law:1": "new", "law:2": "two"}
-    assert again.edges().count() == 2 and again.neighbours().count() == 2
-    assert {r["chain_id"] for r in again.version_chains().collect()} == {"law:1"}
-    again.delete(spark.createDataFrame([("law:1",), ("law:none",)], "entity_id string"))
-    assert [r["entity_id"] for r in again.entities().collect()] == ["law:2"] and again.edges().count() == 0
-
-
 def test_counts_in_force_at_the_edges(spark):
     day = dt.date
     rows = [("a", "law", None, None, ["ALL"]), ("b", "law", day(2024, 1, 5), day(2024, 1, 9), ["IB", "IB"]), ("c", "law", day(2024, 1, 9), None, ["ALL", "IB"]), ("d", "faq", day(2024, 1, 9), day(2024, 1, 9), ["ALL"])]

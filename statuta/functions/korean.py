@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.functions.text import strip
+from statuta.functions.text import DIGIT, LINE_END, SPACE, SPACES, ascii_digits, strip
 
 #: A law's name (bracketed, bare, or "the same law"), then its article and branch number.
-CITATION = r"(?:「([^」]{2,40})」|([가-힣]{2,30}(?:법률|시행령|시행규칙|법|규정|준칙))|(동법|같은\s*법))\s*제\s*(\d+)\s*조(?:\s*의\s*(\d+))?"
+CITATION = rf"(?:「([^」]{{2,40}})」|([가-힣]{{2,30}}(?:법률|시행령|시행규칙|법|규정|준칙))|(동법|같은{SPACE}*법)){SPACE}*제{SPACE}*({DIGIT}+){SPACE}*조(?:{SPACE}*의{SPACE}*({DIGIT}+))?"
 #: Heading of an article, start of the addenda, revision date, leading number, lines without words.
-HEADING = r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?\s*\(([^)]{0,60})\)"
-ADDENDUM = r"(?md)^부\s*칙"
-REVISION = r"(?:제정|개정)\s*(\d{4})[.\-](\d{1,2})[.\-](\d{1,2})"
-LEADING_NUMBER = r"^(\d+)\."
-DECORATION = r"^[\s\-=_*~+#]+$"
+HEADING = rf"제{SPACE}*({DIGIT}+){SPACE}*조(?:{SPACE}*의{SPACE}*({DIGIT}+))?{SPACE}*\(([^)]{{0,60}})\)"
+ADDENDUM = rf"(?md)^부{SPACE}*칙"
+REVISION = rf"(?:제정|개정){SPACE}*({DIGIT}{{4}})[.\-]({DIGIT}{{1,2}})[.\-]({DIGIT}{{1,2}})"
+LEADING_NUMBER = rf"^({DIGIT}+)\."
+DECORATION = rf"^[{SPACES}\-=_*~+#]+\z"
 NO_TITLE = "제목 없음"
-IN_FORCE = r"\[시행일?:?\s*(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.\]"
+IN_FORCE = rf"\[시행일?:?{SPACE}*({DIGIT}{{4}})\.{SPACE}*({DIGIT}{{1,2}})\.{SPACE}*({DIGIT}{{1,2}})\.\]"
 
 
 def law_citations(docs: DataFrame, text: Column, id_col: str) -> DataFrame:
@@ -76,14 +76,14 @@ def split_articles(text: Column) -> Column:
 
 def doc_title(text: Column) -> Column:
     """First line with more than decoration."""
-    lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), strip), lambda x: (x != "") & ~x.rlike(DECORATION))
+    lines = F.filter(F.transform(F.split(text, LINE_END), strip), lambda x: (x != "") & ~x.rlike(DECORATION))
     return F.coalesce(F.get(lines, 0), F.lit(NO_TITLE))
 
 
 def date_of(parts: list[Column]) -> Column:
     """Date from year, month and day in digits; null for one that does not exist."""
     year, month, day = parts
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+    return F.try_to_date(ascii_digits(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))))
 
 
 def dates_in(text: Column, pattern: str) -> Column:

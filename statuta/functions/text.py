@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space and decimal digits of every script, as patterns that Java's and RE2's engines read alike;
+#: SPACES stands inside a class.
+SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE, DIGIT = f"[{SPACES}]", r"\p{Nd}"
+#: Fixed value: what ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+STRIPPED = rf"^{SPACE}+|{SPACE}+\z"
+#: Decimal digits other than ASCII's, and the ASCII digit of each.
+DIGITS = "".join(c for c in map(chr, range(128, 0x10000)) if unicodedata.category(c) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 #: Fixed value: a word is a run of Hangul syllables or of ASCII letters and digits.
 WORD = "[가-힣]+|[0-9a-zA-Z]+"
 #: Fixed values, in the order in which they are applied: e-mail, resident number, mobile, account; with what takes their place.
@@ -18,7 +30,12 @@ MASKS = (
 
 def strip(text: Column) -> Column:
     """Take white space of any kind off both ends (``trim`` takes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, STRIPPED, "")
+
+
+def ascii_digits(text: Column) -> Column:
+    """Digits of any script as ASCII digits."""
+    return F.translate(text, DIGITS, ASCII_DIGITS)
 
 
 def tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.korean import split_articles
-from statuta.functions.text import strip
+from statuta.functions.text import SPACE, strip
 
 WHOLE = "전체 본문"
 #: Words in a clause's heading that choose its checklist; the first that fits counts.
@@ -32,7 +32,7 @@ def clauses(contracts: DataFrame, id_col: str = "contract_id", text_col: str = "
 
 def checklist(label: Column) -> Column:
     """Name of the checklist that a label's last parentheses choose."""
-    heading = F.regexp_extract(label, r"\(([^)]*)\)\s*$", 1)
+    heading = F.regexp_extract(label, rf"\(([^)]*)\){SPACE}*\z", 1)
     found = [F.when(heading.rlike("|".join(words)), name) for name, words in CHECKLISTS]
     return F.coalesce(*found, F.lit(DEFAULT))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -128,8 +129,8 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int, min_score: float = MIN_SC
     return ranked(found, "vec_id").where(F.col("rank") <= k)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    out = np.zeros((table.num_rows, DIMENSIONS))
+def _matrix(table: pa.Table, dimensions: int) -> np.ndarray:
+    out = np.zeros((table.num_rows, dimensions))
     places, weights = (table.column(c).combine_chunks() for c in ("places", "weights"))
     row = np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(places), dtype=np.int64))
     out[row, np.asarray(places.flatten())] = np.asarray(weights.flatten())
@@ -153,10 +154,10 @@ def _may_see(queries: pa.Table, others: pa.Table) -> np.ndarray:
     return seen
 
 
-def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE) -> DataFrame:
+def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE, dimensions: int = DIMENSIONS) -> DataFrame:
     """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine, all of them without a width.
 
-    Vectors are those of ``hash_vectors``. Requests and documents are dealt into blocks by hash; each pair of blocks meets once. There the request's
+    Vectors are those of ``hash_vectors`` or of an ``Embedder``. Requests and documents are dealt into blocks by hash; each pair of blocks meets once. There the request's
     predicates come first, then the cosines of what is left, and each request keeps its best ``width`` of the
     block, which a second ranking merges. Scores are rounded to six digits before ranking, ties go by id.
     """
@@ -170,7 +171,7 @@ def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, v
     kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((asked, "query_id"), (rows, "entity_id")))
 
     def best(queries: pa.Table, others: pa.Table) -> pa.Table:
-        score = np.round(_matrix(queries) @ _matrix(others).T, 6)
+        score = np.round(_matrix(queries, dimensions) @ _matrix(others, dimensions).T, 6)
         score[~_may_see(queries, others)] = -np.inf
         q, r, found = [], [], []
         for k, most in enumerate(queries.column("width").to_pylist()):
@@ -206,3 +207,50 @@ def embed_with(docs: DataFrame, model: Callable[[list[str]], list[list[float]]],
                 yield pd.DataFrame({id_col: part[id_col], "embedding": model(part[text_col].tolist())})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} string, embedding array<double>")
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """A user's model: one function for documents and one for queries (by default the same), called with ``batch`` texts.
+
+    ``identity`` names both models and their settings; a change of it makes all cached vectors stale. The functions
+    run inside the tasks, give a list of ``dimensions`` numbers for each text, and must give the same ones again.
+    """
+
+    identity: str
+    dimensions: int
+    documents: Callable[[list[str]], list[list[float]]]
+    queries: Callable[[list[str]], list[list[float]]] | None = None
+    batch: int = 10
+
+    def _vectors(self, rows: DataFrame, id_col: str, model: Callable) -> DataFrame:
+        kind, dimensions, batch = rows.schema[id_col].dataType.simpleString(), self.dimensions, self.batch
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for a in range(0, len(frame), batch):
+                    part = frame.iloc[a : a + batch]
+                    found = np.asarray(model(part["text"].tolist()), dtype=np.float64).reshape(len(part), dimensions)
+                    size = np.sqrt((found * found).sum(axis=1, keepdims=True))
+                    yield pd.DataFrame({id_col: part[id_col], "places": [np.arange(dimensions, dtype=np.int32)] * len(part), "weights": list(found / np.where(size > 0, size, 1))})
+
+        return rows.select(id_col, "text").mapInPandas(run, f"{id_col} {kind}, places array<int>, weights array<double>")
+
+    def query_vectors(self, requests: DataFrame) -> DataFrame:
+        """(query_id, places, weights) of unit length; a vector of zeros stays one."""
+        return self._vectors(requests.select("query_id", F.coalesce("query", F.lit("")).alias("text")), "query_id", self.queries or self.documents)
+
+    def document_vectors(self, docs: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+        """(entity_id, places, weights, content_hash) of documents (entity_id, title, body).
+
+        Rows of ``cache`` (the same columns) stand for documents whose text and model have not changed; only the
+        others are given to the model.
+        """
+        text = F.concat_ws("\n", "title", "body")
+        rows = docs.select("entity_id", text.alias("text"), content_hash(F.lit(self.identity), text).alias("content_hash"))
+        columns = ("entity_id", "places", "weights", "content_hash")
+        if cache is None:
+            return self._vectors(rows, "entity_id", self.documents).join(rows.drop("text"), "entity_id").select(*columns)
+        kept = cache.join(rows.drop("text"), ["entity_id", "content_hash"], "left_semi")
+        fresh = rows.join(cache.select("entity_id", "content_hash"), ["entity_id", "content_hash"], "left_anti")
+        return kept.select(*columns).union(self._vectors(fresh, "entity_id", self.documents).join(fresh.drop("text"), "entity_id").select(*columns))

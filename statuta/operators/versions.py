@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.lineage import cut
-from statuta.functions.predicates import ALL, valid_at
+from statuta.functions.predicates import ALL
 
 OLDEST = "0001-01-01"
 
@@ -39,21 +43,68 @@ def ordered(entities: DataFrame, version_map: DataFrame) -> DataFrame:
     return entities.join(version_map, "entity_id").withColumn("position", F.row_number().over(order))
 
 
+class _Sweep:
+    """The versions of a chain that may still be in force, as days go by.
+
+    Versions come by their first day and id. One that ends no later than an earlier one is never chosen before it and
+    never after it, so it is not held; those that have ended are dropped. What is held is a queue of ever later ends.
+    """
+
+    def __init__(self):
+        self.queue, self.begun, self.since = deque(), None, None
+
+    def begin(self, day: int, end: int | None, entity_id) -> None:
+        if self.since != day:
+            self.begun, self.since = entity_id, day
+        self._drop(day)
+        last = float("inf") if end is None else end
+        if last > day and (not self.queue or last > self.queue[-1][0]):
+            self.queue.append((last, entity_id))
+
+    def at(self, day: int):
+        """The version valid on a day that began first, else the latest begun."""
+        self._drop(day)
+        return self.queue[0][1] if self.queue else self.begun
+
+    def _drop(self, day: int) -> None:
+        while self.queue and self.queue[0][0] <= day:
+            self.queue.popleft()
+
+
 def resolve(hits: DataFrame, entities: DataFrame, version_map: DataFrame) -> DataFrame:
     """Add resolved_id to rows (entity_id, as_of, ...): the chain's version valid then, else the latest begun before.
 
-    Hits on documents that do not exist, and dates before the first version, drop out. A chain is resolved
-    once for each date, however many hits it has.
+    Of several valid ones the first to begin counts, of equal days the smallest id. Hits on documents that do not
+    exist, and dates before the first version, drop out. Versions and asked dates of a chain are one stream in the
+    order of days, which a task reads once with little held, so work grows with their sum; a chain is resolved once
+    for each date, however many hits it has.
     """
     placed = hits.join(version_map, "entity_id")
-    asked = placed.select("chain_id", "as_of").distinct()
-    facts = entities.select("entity_id", "effective_date", "superseded_date").join(version_map, "entity_id")
+    day = lambda c: F.datediff(c, F.lit(OLDEST).cast("date"))
     start = F.coalesce(F.col("effective_date"), F.lit(OLDEST).cast("date"))
-    valid = valid_at(F.col("effective_date"), F.col("superseded_date"), F.col("as_of"))
-    found = asked.join(facts, "chain_id").where(valid | (start <= F.col("as_of"))).withColumn("valid", valid).withColumn("start", start)
-    days = F.datediff("start", F.lit(OLDEST).cast("date"))
-    best = W.partitionBy("chain_id", "as_of").orderBy(F.desc("valid"), F.when(F.col("valid"), days).otherwise(-days), "entity_id")
-    chosen = found.withColumn("n", F.row_number().over(best)).where("n = 1").select("chain_id", "as_of", F.col("entity_id").alias("resolved_id"))
+    none = F.lit(None)
+    facts = entities.select("entity_id", start.alias("start"), "superseded_date").join(version_map, "entity_id").select("chain_id", day(F.col("start")).alias("day"), F.lit(0).alias("asked"), "entity_id", day(F.col("superseded_date")).alias("end"), none.cast("date").alias("as_of"))
+    asked = placed.where("as_of is not null").select("chain_id", "as_of").distinct().select("chain_id", day(F.col("as_of")).alias("day"), F.lit(1).alias("asked"), none.cast(entities.schema["entity_id"].dataType).alias("entity_id"), none.cast("int").alias("end"), "as_of")
+    kinds = {f.name: f.dataType.simpleString() for f in facts.schema}
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, state = object(), None
+        for batch in batches:
+            found, at = [], []
+            for k, (own, day, is_asked, entity_id, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chain_id", "day", "asked", "entity_id", "end")))):
+                if own != chain:
+                    chain, state = own, _Sweep()
+                if not is_asked:
+                    state.begin(day, end, entity_id)
+                elif (resolved := state.at(day)) is not None:
+                    found.append(resolved)
+                    at.append(k)
+            places = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("chain_id").take(places), batch.column("as_of").take(places), pa.array(found, batch.column("entity_id").type)], ["chain_id", "as_of", "resolved_id"])
+
+    order = ["chain_id", "day", "asked", "entity_id"]
+    stream = facts.unionByName(asked).repartition("chain_id").sortWithinPartitions(*order)
+    chosen = stream.mapInArrow(sweep, f"chain_id {kinds['chain_id']}, as_of date, resolved_id {kinds['entity_id']}")
     return placed.join(chosen, ["chain_id", "as_of"]).drop("chain_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statuta.functions.korean import citation_needle, law_citations
 from statuta.functions.text import mask_pii
 from statuta.operators.graph import distinct_edges
-from statuta.plans.retrieve import title_matches
+from statuta.operators.titles import article_matches
 
 #: Types whose bodies are masked, the type that cites nothing, and those that can be cited.
 MASKED, UNSCANNED, CITABLE = ("review", "precedent"), "law", ("law", "regulation")
@@ -27,7 +27,7 @@ def citation_needles(docs: DataFrame) -> DataFrame:
 
 def cited_titles(needles: DataFrame, docs: DataFrame) -> DataFrame:
     """(src, type, dst): laws and rules whose title has a needle."""
-    found = title_matches(needles, docs).where(F.col("type").isin(*CITABLE))
+    found = article_matches(needles, docs).where(F.col("type").isin(*CITABLE))
     return found.select("src", F.lit("cites").alias("type"), F.col("entity_id").alias("dst")).distinct()
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.predicates import EXPANDED, authority_label, authority_rank, depts_to_text, type_allowed, type_from_id, valid_at, visible
+from statuta.functions.text import SPACE
 from statuta.operators import graph, lexical, vectors, versions
+from statuta.operators.titles import title_matches
 from statuta.plans import sql as S
 from statuta.plans.register import Registry
-from statuta.plans.retrieve import Retrieval, article_needles, diagnose, evidence_blocks, noop_rerank, overlap_rerank, title_matches
+from statuta.plans.retrieve import Retrieval, article_needles, diagnose, evidence_blocks, noop_rerank, overlap_rerank
 from statuta.plans.retrieve import EVIDENCE_HEAD, NO_EVIDENCE
 from statuta.sources import adapter
 
@@ -153,15 +155,47 @@ def type_filter(spark, d):
     return adapter.entities(spark, d).where(type_allowed(F.array(F.lit("law"), F.lit("faq")), F.col("type"))).select("entity_id", "type")
 
 
-@query(S.with_(S.ENT, S.REQ) + ", nd0 AS (SELECT query_id, list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')) AS l FROM req) SELECT query_id, needle, entity_id FROM (SELECT DISTINCT query_id, unnest(l) AS needle FROM nd0) n JOIN ent ON contains(title, needle)".replace(", nd0", ", nd0", 1))
+@query(S.with_(S.ENT, S.REQ) + f", nd0 AS (SELECT query_id, list_transform(regexp_extract_all(query,'{S.ARTICLE}'), lambda h: regexp_replace(h,'{SPACE}','','g')) AS l FROM req) SELECT query_id, needle, entity_id FROM (SELECT DISTINCT query_id, unnest(l) AS needle FROM nd0) n JOIN ent ON contains(title, needle)".replace(", nd0", ", nd0", 1))
 def title_contains(spark, d):
     needles = adapter.requests(spark, d).select("query_id", F.explode(article_needles(F.col("query"))).alias("needle"))
     return title_matches(needles, adapter.entities(spark, d)).select("query_id", "needle", "entity_id")
 
 
-@query(S.with_(S.REQ) + "SELECT query_id, array_to_string(list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')),',') AS needles FROM req", name="article_needles")
+@query(S.with_(S.ENT) + ", nd AS (SELECT doc_id, CASE WHEN doc_id%4=3 THEN reverse(x) ELSE x END AS needle FROM (SELECT doc_id, substr(title, CAST(doc_id%9+1 AS INTEGER), CAST(doc_id//3%40+1 AS INTEGER)) AS x FROM ent WHERE doc_id%3=0)) SELECT doc_id, needle, entity_id FROM nd JOIN (SELECT entity_id, title FROM ent) e ON contains(title, needle) WHERE needle<>''")
+def title_substrings(spark, d):
+    """Titles that contain needles of 1 to 40 characters, with or without an article; some occur nowhere."""
+    rows = adapter.entities(spark, d)
+    cut = F.substring("title", (F.col("doc_id") % 9 + 1).cast("int"), (F.expr("doc_id div 3") % 40 + 1).cast("int"))
+    needles = rows.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 3, F.reverse(cut)).otherwise(cut).alias("needle"))
+    return title_matches(needles, rows).select("doc_id", "needle", "entity_id")
+
+
+def _measured(name, source, key, text, share):
+    """A user's model in SQL: unit vectors of a text's length, its words and its letters e, the last weighed by a share."""
+    return f"""{name}0 AS (SELECT {key}, [length(x)::DOUBLE, 20.0*len(string_split(x,' ')), {share}*(length(x)-length(replace(x,'e','')))] AS v FROM (SELECT {key}, {text} AS x FROM {source})),
+{name} AS (SELECT {key}, unnest(range(3)) AS idx, unnest(list_transform(v, lambda a: a/sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]))) AS w FROM {name}0 WHERE v[1]>0)"""
+
+
+MODEL_SQL = S.vector(both=_measured("ev", "ent", "entity_id", "concat_ws(chr(10),title,body)", "30.0") + ",\n" + _measured("qv", "req", "query_id", "query", "15.0"))
+
+
+@query(S.with_(*(MODEL_SQL if part == S.vector() else part for part in S.HYBRID)) + "SELECT query_id, position, entity_id, type, score, reason FROM fin")
+def hybrid_user_model(spark, d):
+    """Hybrid retrieval with a user's model, one for documents and another for queries, and its vectors taken from a cache."""
+    measure = lambda share: lambda texts: [[float(len(t)), 20.0 * len(t.split(" ")), share * t.count("e")] for t in texts]
+    model = vectors.Embedder("measures-1", 3, measure(30.0), measure(15.0), batch=64)
+    rows = adapter.entities(spark, d)
+    older = rows.where("doc_id % 3 <> 2").withColumn("body", F.when(F.col("doc_id") % 3 == 1, F.concat("body", F.lit(" old"))).otherwise(F.col("body")))
+    held = model.document_vectors(rows, cache=model.document_vectors(older))
+    found = Retrieval(adapter.requests(spark, d), rows, adapter.edges(spark, d), embedder=model, vectors=held).result
+    return found.withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(S.with_(S.REQ) + f"SELECT query_id, array_to_string(list_transform(regexp_extract_all(replace(replace(query,'제','제\u00a0'),'조','\u3000조의\u2003２'),'{S.ARTICLE}'), lambda h: regexp_replace(h,'{SPACE}','','g')),',') AS needles FROM req", name="article_needles")
 def article_needles_(spark, d):
-    return adapter.requests(spark, d).select("query_id", F.array_join(article_needles(F.col("query")), ",").alias("needles"))
+    """Articles written with spaces and digits of other scripts."""
+    loose = F.replace(F.replace("query", F.lit("제"), F.lit("제\u00a0")), F.lit("조"), F.lit("\u3000조의\u2003２"))
+    return adapter.requests(spark, d).select("query_id", F.array_join(article_needles(loose), ",").alias("needles"))
 
 
 @query(S.with_(S.ENT) + "SELECT entity_id FROM ent WHERE doc_id%3<>0")

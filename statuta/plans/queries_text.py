@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from statuta.functions import korean
 from statuta.functions.lineage import shared_folder
 from statuta.functions.predicates import parse_source_types, parse_top_k
-from statuta.functions.text import char_ngrams, mask_pii, strip, tokens
+from statuta.functions.text import DIGIT, LINE_END, SPACE, char_ngrams, mask_pii, strip, tokens
 from statuta.operators import contracts, guard
 from statuta.plans import ingest
 from statuta.plans import sql as S
@@ -21,19 +21,20 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 TOPICS = "['목적','손해배상','계약해지','관할법원','비밀유지','면책','업무위탁','정의']"
+#: Rule files: titles between odd spaces, lines of other kinds, articles and dates with digits and spaces of other scripts.
 FILES = f"""f0 AS (SELECT doc_id, coalesce(text,'') AS text, split_part(split_part(coalesce(text,''),' ',1),chr(10),1) AS word FROM documents WHERE doc_id IS NOT NULL),
 files AS (SELECT doc_id, ['IB/','RETAIL/','','WM/sub/'][doc_id%4+1]||CASE WHEN doc_id%3=0 THEN (doc_id%50+1)||'. '||replace(word,'/','') ELSE '규정 '||replace(word,'/','')||' '||doc_id END||'.docx' AS path,
- CASE WHEN doc_id%2=0 THEN '-----'||chr(10) ELSE '' END||'규정 '||doc_id||' '||word||chr(10)||'제정 '||(doc_id%20+2000)||'.'||(doc_id%13+1)||'.'||(doc_id%28+1)||' 개정 2021-'||(doc_id%12+1)||'-'||(doc_id%9+1)||chr(10)
- ||array_to_string(CASE WHEN doc_id%7=3 THEN string_split(text,chr(10)) ELSE list_transform(string_split(text,chr(10)), lambda x, i: '제'||i||'조'||CASE WHEN i%5=0 THEN '의2' ELSE '' END||'('||{TOPICS}[(i-1)%8+1]||') '||x) END, chr(10))
- ||CASE WHEN doc_id%3=1 THEN chr(10)||'부칙'||chr(10)||'이 규정은 공포한 날부터 시행한다.' ELSE '' END AS text FROM f0)"""
-STRIP = r"regexp_replace(%s,'^\s+|\s+$','','g')"
-HEAD = r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?\s*\(([^)]{0,60})\)"
-FDOC = r"""fd0 AS (SELECT *, regexp_replace(regexp_extract(path,'([^/]*)$',1),'\.[^.]*$','') AS stem FROM files),
-fdoc AS (SELECT doc_id, path, text, 'regulation:'||CASE WHEN regexp_matches(stem,'^\d+\.') THEN regexp_extract(stem,'^(\d+)\.',1) ELSE lower(regexp_replace(regexp_replace(stem,'[^\p{L}\p{N}_]+','-','g'),'^-+|-+$','','g')) END AS entity_id,
- coalesce(list_filter(list_transform(string_split(text,chr(10)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'' AND NOT regexp_matches(x,'^[\s\-=_*~+#]+$'))[1],'제목 없음') AS title,
- list_max(list_transform(regexp_extract_all(text,'(?:제정|개정)\s*\d{4}[.\-]\d{1,2}[.\-]\d{1,2}'), lambda h: TRY_CAST(regexp_replace(regexp_extract(h,'\d{4}[.\-]\d{1,2}[.\-]\d{1,2}'),'\.','-','g') AS DATE))) AS effective_date,
+ CASE WHEN doc_id%2=0 THEN '\u3000-----\u2003'||chr(10) ELSE '' END||'\u00a0규정 '||doc_id||' '||word||CASE WHEN doc_id%5=1 THEN '\u2028둘째 줄' ELSE '\u3000' END||chr(10)||'제정 '||(doc_id%20+2000)||'.'||(doc_id%13+1)||'.'||(doc_id%28+1)||' 개정\u00a0２０２1-'||(doc_id%12+1)||'-'||(doc_id%9+1)||chr(10)
+ ||array_to_string(CASE WHEN doc_id%7=3 THEN string_split(text,chr(10)) ELSE list_transform(string_split(text,chr(10)), lambda x, i: '제'||CASE WHEN i%4=1 THEN '\u00a0' ELSE '' END||i||'조'||CASE WHEN i%5=0 THEN '의\u2003２' ELSE '' END||CASE WHEN i%3=1 THEN '\u3000' ELSE '' END||'('||{TOPICS}[(i-1)%8+1]||'\u00a0) '||x) END, chr(10))
+ ||CASE WHEN doc_id%3=1 THEN chr(10)||CASE WHEN doc_id%2=0 THEN '부\u00a0칙' ELSE '부칙' END||chr(10)||'이 규정은 공포한 날부터 시행한다.' ELSE '' END AS text FROM f0)"""
+STRIP = S.STRIP
+HEAD = korean.HEADING
+FDOC = f"""fd0 AS (SELECT *, regexp_replace(regexp_extract(path,'([^/]*)$',1),'\\.[^.]*$','') AS stem FROM files),
+fdoc AS (SELECT doc_id, path, text, 'regulation:'||CASE WHEN regexp_matches(stem,'{korean.LEADING_NUMBER}') THEN regexp_extract(stem,'{korean.LEADING_NUMBER}',1) ELSE lower(regexp_replace(regexp_replace(stem,'[^\\p{{L}}\\p{{N}}_]+','-','g'),'^-+|-+$','','g')) END AS entity_id,
+ coalesce(list_filter(list_transform(string_split_regex(text,'{LINE_END}'), lambda x: {STRIP % 'x'}), lambda x: x<>'' AND NOT regexp_matches(x,'{korean.DECORATION}'))[1],'제목 없음') AS title,
+ list_max(list_transform(regexp_extract_all(text,'{korean.REVISION}'), lambda h: TRY_CAST(regexp_replace({S.ascii_digits(f"regexp_extract(h,'{DIGIT}{{4}}[.-]{DIGIT}{{1,2}}[.-]{DIGIT}{{1,2}}')")},'\\.','-','g') AS DATE))) AS effective_date,
  CASE WHEN contains(path,'/') THEN split_part(path,'/',1) ELSE 'ALL' END AS dept FROM fd0)"""
-ARTS = f"""ar0 AS (SELECT *, regexp_extract(text,'(?m)^부\\s*칙') AS mark FROM fdoc),
+ARTS = f"""ar0 AS (SELECT *, regexp_extract(text,'(?m)^부{SPACE}*칙') AS mark FROM fdoc),
 ar1 AS (SELECT *, CASE WHEN mark<>'' THEN strpos(chr(10)||text, chr(10)||mark) ELSE 0 END AS spot FROM ar0),
 ar2 AS (SELECT *, CASE WHEN spot>0 THEN substr(text,1,spot-1) ELSE text END AS main, CASE WHEN spot>0 THEN {STRIP % "substr(text,spot)"} ELSE '' END AS addenda FROM ar1),
 ar3 AS (SELECT *, string_split(regexp_replace(main,'(?m)^({HEAD})',chr(1)||'\\1','g'),chr(1))[2:] AS parts FROM ar2),
@@ -68,7 +69,7 @@ def mask_pii_(spark, d):
     return adapter.read(spark, d, "documents").where("doc_id is not null").select("doc_id", mask_pii(personal()).alias("masked"))
 
 CITE = korean.CITATION
-CITED_TEXT = "CASE WHEN doc_id%5=0 THEN '' ELSE body END||' 동법 제3조 및 같은 법 제4조의2, 자본시장법 제'||(doc_id%30+1)||'조, 동법 제7조'"
+CITED_TEXT = "CASE WHEN doc_id%5=0 THEN '' ELSE body END||' 동법 제3조 및 은행법\u00a0제\u30003\u2003조\u00a0의\u00a0２, 같은\u3000법\u00a0제５조, 및 같은 법 제4조의2, 자본시장법 제'||(doc_id%30+1)||'조, 동법 제7조'"
 CITED = f"""lc0 AS (SELECT entity_id, unnest(regexp_extract_all(x,'{CITE}')) AS hit, unnest(range(len(regexp_extract_all(x,'{CITE}')))) AS pos FROM (SELECT entity_id, {CITED_TEXT} AS x FROM ent)),
 lc1 AS (SELECT entity_id, pos, coalesce(nullif(regexp_extract(hit,'{CITE}',1),''), nullif(regexp_extract(hit,'{CITE}',2),'')) AS own, regexp_extract(hit,'{CITE}',4) AS jo, nullif(regexp_extract(hit,'{CITE}',5),'') AS jo_br FROM lc0),
 lc AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS law_name FROM lc1)"""
@@ -76,7 +77,7 @@ lc AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY entity_id ORDER
 
 def cited_texts(spark, d):
     rows = adapter.entities(spark, d)
-    return rows.withColumn("x", F.concat(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("body")), F.lit(" 동법 제3조 및 같은 법 제4조의2, 자본시장법 제"), (F.col("doc_id") % 30 + 1).cast("string"), F.lit("조, 동법 제7조")))
+    return rows.withColumn("x", F.concat(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("body")), F.lit(" 동법 제3조 및 은행법\u00a0제\u30003\u2003조\u00a0의\u00a0２, 같은\u3000법\u00a0제５조, 및 같은 법 제4조의2, 자본시장법 제"), (F.col("doc_id") % 30 + 1).cast("string"), F.lit("조, 동법 제7조")))
 
 
 @query(S.with_(S.ENT, CITED) + "SELECT entity_id, CAST(pos AS BIGINT) AS pos, law_name, jo, jo_br FROM lc WHERE law_name IS NOT NULL")
@@ -159,13 +160,13 @@ def article_documents(spark, d):
 CHECKLIST = "CASE WHEN regexp_matches(h,'손해배상|위약금|위약벌|지연손해|배상액') THEN 'damages' WHEN regexp_matches(h,'해지|해제|계약기간|갱신|존속기간') THEN 'termination' WHEN regexp_matches(h,'관할|준거법|분쟁해결|중재') THEN 'jurisdiction' WHEN regexp_matches(h,'비밀유지|기밀|보안') THEN 'confidentiality' WHEN regexp_matches(h,'면책|책임제한|불가항력') THEN 'liability' WHEN regexp_matches(h,'위탁|수탁|재위탁') THEN 'outsourcing' ELSE 'default' END"
 
 
-@query(S.with_(FILES, FDOC, ARTS) + f"SELECT path, label, {CHECKLIST} AS checklist FROM (SELECT path, coalesce(label,'전체 본문') AS label, regexp_extract(coalesce(label,''),'\\(([^)]*)\\)\\s*$',1) AS h FROM arts)")
+@query(S.with_(FILES, FDOC, ARTS) + f"SELECT path, label, {CHECKLIST} AS checklist FROM (SELECT path, coalesce(label,'전체 본문') AS label, regexp_extract(coalesce(label,''),'\\(([^)]*)\\){SPACE}*\\z',1) AS h FROM arts)")
 def clause_checklist(spark, d):
     found = contracts.clauses(files.staged(spark, d), "path")
     return found.select(F.col("contract_id").alias("path"), "label", contracts.checklist(F.col("label")).alias("checklist"))
 
 
-@query(S.with_(FILES, FDOC, ARTS) + f"SELECT path, pos, '['||label||']'||chr(10)||body||chr(10)||'('||{CHECKLIST}||')' AS query FROM (SELECT path, CAST(coalesce(n-1,0) AS BIGINT) AS pos, coalesce(label,'전체 본문') AS label, coalesce(body,text) AS body, regexp_extract(coalesce(label,''),'\\(([^)]*)\\)\\s*$',1) AS h FROM arts)")
+@query(S.with_(FILES, FDOC, ARTS) + f"SELECT path, pos, '['||label||']'||chr(10)||body||chr(10)||'('||{CHECKLIST}||')' AS query FROM (SELECT path, CAST(coalesce(n-1,0) AS BIGINT) AS pos, coalesce(label,'전체 본문') AS label, coalesce(body,text) AS body, regexp_extract(coalesce(label,''),'\\(([^)]*)\\){SPACE}*\\z',1) AS h FROM arts)")
 def clause_queries(spark, d):
     found = contracts.clauses(files.staged(spark, d), "path")
     text = contracts.clause_query(F.col("label"), F.col("text"), contracts.checklist(F.col("label")))
@@ -273,19 +274,19 @@ def audit_rollup(spark, d):
     return guard.audit_rollup(guard.read_audit(spark, folder))
 
 
-@query("SELECT item_id, regexp_replace(q,'^\\s+|\\s+$','','g') AS query, CAST(CASE WHEN item_id%3=0 THEN 6 ELSE item_id%3 END AS BIGINT) AS top_k, CASE WHEN item_id%4=0 THEN NULL ELSE DATE '2024-01-01'+CAST(item_id%28 AS INTEGER) END AS as_of, CASE WHEN item_id%2=0 THEN 'law,faq' END AS source_types FROM (SELECT item_id, chr(9)||' '||text||' '||chr(10) AS q FROM benchmark WHERE text IS NOT NULL)")
+@query(f"SELECT item_id, {S.STRIP % 'q'} AS query, CAST(CASE WHEN item_id%3=0 THEN 6 ELSE item_id%3 END AS BIGINT) AS top_k, CASE WHEN item_id%4=0 THEN NULL ELSE DATE '2024-01-01'+CAST(item_id%28 AS INTEGER) END AS as_of, CASE WHEN item_id%2=0 THEN 'law,faq' END AS source_types FROM (SELECT item_id, chr(9)||'\u00a0\u3000 '||text||' \u2003'||chr(10) AS q FROM benchmark WHERE text IS NOT NULL)")
 def parse_requests(spark, d):
     """Loosely written requests: padded texts, zero for the default count, blank dates, unknown types."""
     rows = adapter.read(spark, d, "benchmark").where("text is not null")
-    raw = F.when(F.col("item_id") % 2 == 0, F.array(F.lit(" Law "), F.lit("faq"), F.lit("nothing"), F.lit("LAW"))).otherwise(F.array(F.lit("nothing")))
-    day = F.when(F.col("item_id") % 4 == 0, " ").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("item_id") % 28 + 1).cast("string"), 2, "0")))
-    return rows.select("item_id", strip(F.concat(F.lit("\t "), "text", F.lit(" \n"))).alias("query"), parse_top_k((F.col("item_id") % 3).cast("int")).cast("bigint").alias("top_k"), korean.coerce_date(day).alias("as_of"), F.array_join(parse_source_types(raw), ",").alias("source_types"))
+    raw = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("\u3000Law\u00a0"), F.lit("faq"), F.lit("nothing"), F.lit("LAW"))).otherwise(F.array(F.lit("nothing")))
+    day = F.when(F.col("item_id") % 4 == 0, "\u3000 ").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("item_id") % 28 + 1).cast("string"), 2, "0")))
+    return rows.select("item_id", strip(F.concat(F.lit("\t\u00a0\u3000 "), "text", F.lit(" \u2003\n"))).alias("query"), parse_top_k((F.col("item_id") % 3).cast("int")).cast("bigint").alias("top_k"), korean.coerce_date(day).alias("as_of"), F.array_join(parse_source_types(raw), ",").alias("source_types"))
 
 
 @query("SELECT event_id, CASE WHEN event_id%3=0 THEN CAST(ts AS DATE) WHEN event_id%3=1 THEN NULL END AS day FROM events")
 def coerce_date(spark, d):
     """Timestamps in ISO form, blank texts and impossible dates."""
-    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 3 == 1, "  ").otherwise(F.lit("2024-13-45"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\u3000\u00a0"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).when(F.col("event_id") % 3 == 1, " \u2003\u00a0").otherwise(F.lit("2024-13-45"))
     return adapter.read(spark, d, "events").select("event_id", korean.coerce_date(text).alias("day"))
 
 

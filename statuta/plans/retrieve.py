@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from statuta.functions.lineage import cut
 from statuta.functions.predicates import EXPANDED, authority_label, authority_rank, require_departments, type_allowed, valid_at, visible
+from statuta.functions.text import DIGIT, SPACE
 from statuta.operators import graph, lexical, vectors, versions
+from statuta.operators.titles import article_matches
 
 #: Recall width in top_k, least documents of a type, rank fusion constant, expansion and citation limits.
 RECALL_WIDTH, MIN_PER_TYPE, RRF_K, EXPANSION_LIMIT, CITATION_LIMIT = 5, 5, 60, 3, 10
-ARTICLE = r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?"
+ARTICLE = rf"제{SPACE}*({DIGIT}+){SPACE}*조(?:{SPACE}*의{SPACE}*({DIGIT}+))?"
 
 
 def article_needles(query: Column) -> Column:
@@ -26,28 +28,6 @@ def article_needles(query: Column) -> Column:
     return F.array_distinct(F.transform(hits, name))
 
 
-#: Characters of a law's name before an article that titles are looked up by, at most; longer needles meet on these.
-NAME_LENGTH = 31
-
-
-def title_matches(needles: DataFrame, entities: DataFrame) -> DataFrame:
-    """Rows of ``needles`` (needle, ...) with the entities whose title contains it.
-
-    Both sides meet on an article with all that a needle has before it: each article of a title is entered with
-    every end of the text before it, up to NAME_LENGTH characters, so a needle only meets titles that contain it
-    (up to its branch number, which is compared afterwards).
-    """
-    article = r"제\d+조"
-    hits = F.regexp_extract_all("title", F.lit(article), F.lit(0))
-    # The text before the k-th article: everything up to it, other articles included.
-    before = F.transform(hits, lambda h, k: F.call_function("substring_index", F.col("title"), h, F.size(F.filter(F.slice(hits, 1, k + 1), lambda x: x == h))))
-    ends = F.flatten(F.zip_with(hits, before, lambda h, b: F.transform(F.sequence(F.lit(0), F.least(F.length(b), F.lit(NAME_LENGTH))), lambda n: F.concat(F.right(b, n), h))))
-    titled = entities.select("entity_id", "type", "title", F.explode(F.array_distinct(ends)).alias("article"))
-    first = F.regexp_extract("needle", article, 0)
-    named = F.concat(F.right(F.call_function("substring_index", F.col("needle"), first, F.lit(1)), F.lit(NAME_LENGTH)), first)
-    return needles.withColumn("article", named).join(titled, "article").where(F.col("title").contains(F.col("needle"))).drop("article")
-
-
 def noop_rerank(selected: DataFrame) -> DataFrame:
     """Scores n to 1 in the order of the pool."""
     n = F.count(F.lit(1)).over(W.partitionBy("query_id"))
@@ -72,7 +52,8 @@ def overlap_rerank(requests: DataFrame, entities: DataFrame) -> Callable[[DataFr
 class Retrieval:
     """One run over requests (query_id, query, dept, as_of, top_k, source_types); every step is a DataFrame.
 
-    A request without a department raises an error when the result is read. The index tables (version map,
+    A request without a department raises an error when the result is read. An embedder takes the place of hashed
+    vectors on both sides; given ``vectors`` must then be its own. The index tables (version map,
     postings, hashed vectors) may be given, as a stored snapshot has them, or are derived from the entities.
     Steps that later ones use more than once (hits, cited, base) are written to the shared folder once.
     """
@@ -84,6 +65,7 @@ class Retrieval:
     postings: DataFrame | None = None
     vectors: DataFrame | None = None
     rerank: Callable[[DataFrame], DataFrame] = noop_rerank
+    embedder: vectors.Embedder | None = None
     unlimited: bool = False
 
     def __post_init__(self) -> None:
@@ -104,7 +86,7 @@ class Retrieval:
     def cited(self) -> DataFrame:
         """(query_id, entity_id, score, reason, phase, seq): documents whose title has an article that a query names."""
         needles = self.requests.select("query_id", "dept", "as_of", "source_types", F.posexplode(article_needles(F.col("query"))).alias("needle_no", "needle"))
-        hits = title_matches(needles, self.entities).drop("type", "title")
+        hits = article_matches(needles, self.entities).drop("type", "title")
         hits = hits.withColumn("n", F.row_number().over(W.partitionBy("query_id", "needle_no").orderBy("entity_id"))).where(F.col("n") <= CITATION_LIMIT)
         first = self._resolved(hits).groupBy("query_id", "resolved_id").agg(F.min(F.struct("needle_no", "n")).alias("first"))
         seq = F.row_number().over(W.partitionBy("query_id").orderBy("first", "resolved_id"))
@@ -123,6 +105,9 @@ class Retrieval:
 
     @cached_property
     def vector_hits(self) -> DataFrame:
+        if self.embedder is not None:
+            own = self.embedder.document_vectors(self.entities) if self.vectors is None else self.vectors
+            return vectors.search(self.requests, self.embedder.query_vectors(self.requests), self.entities, own.select("entity_id", "places", "weights"), self.recall_width, dimensions=self.embedder.dimensions)
         own = self.vectors if self.vectors is not None else vectors.hash_vectors(self.entities, F.concat_ws("\n", "title", "body"), "entity_id")
         return vectors.search(self.requests, vectors.hash_vectors(self.requests, F.col("query"), "query_id"), self.entities, own, self.recall_width)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from statuta.functions.predicates import AUTHORITY
+from statuta.functions.text import ASCII_DIGITS, DIGIT, DIGITS, SPACE, STRIPPED
 
 TYPES = "['law','regulation','interpretation','case','review','faq','precedent']"
 DEPTS = "['IB','RETAIL','WM']"
@@ -24,6 +25,13 @@ REQ = f"""req AS (SELECT item_id AS query_id, coalesce(text,'')||CASE WHEN item_
  {DEPTS}[item_id%3+1] AS dept, DATE '2020-06-01'+CAST(45*item_id AS INTEGER) AS as_of, 6 AS top_k FROM benchmark)"""
 
 
+STRIP = f"regexp_replace(%s,'{STRIPPED}','','g')"
+
+
+def ascii_digits(text: str) -> str:
+    return f"translate({text},'{DIGITS}','{ASCII_DIGITS}')"
+
+
 def tokens(text: str) -> str:
     return f"flatten(list_transform(regexp_extract_all(lower({text}),'[가-힣]+|[0-9a-zA-Z]+'), lambda w: CASE WHEN regexp_full_match(w,'[가-힣]+') AND length(w)>1 THEN list_concat([w], list_transform(range(1,length(w)), lambda i: substr(w,i,2))) ELSE [w] END))"
 
@@ -64,8 +72,9 @@ def embed(name: str, source: str, key: str, text: str) -> str:
 {name} AS (SELECT {key}, idx, w/sqrt(sum(w*w) OVER (PARTITION BY {key})) AS w FROM {name}s)"""
 
 
-def vector(width: str | None = "top_k*5") -> str:
-    return embed("ev", "ent", "entity_id", "concat_ws(chr(10),title,body)") + ",\n" + embed("qv", "req", "query_id", "query") + f""",
+def vector(width: str | None = "top_k*5", both: str | None = None) -> str:
+    both = both or embed("ev", "ent", "entity_id", "concat_ws(chr(10),title,body)") + ",\n" + embed("qv", "req", "query_id", "query")
+    return both + f""",
 vx0 AS (SELECT query_id, entity_id, round(sum(ev.w*qv.w),6) AS score FROM qv JOIN ev USING(idx) GROUP BY 1,2),
 vx1 AS (SELECT vx0.*, top_k FROM vx0 JOIN ent USING(entity_id) JOIN req USING(query_id) WHERE score>=0.05 AND {open_to('ent', 'req')} AND {in_force('ent', 'req')}),
 vx AS (SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM vx1) WHERE {upto(width)})"""
@@ -87,7 +96,8 @@ cand AS (SELECT a.chain_id, a.as_of, e.entity_id, e.effective_date AS eff, (e.ef
 res0 AS (SELECT *, row_number() OVER (PARTITION BY chain_id,as_of ORDER BY valid DESC, CASE WHEN valid THEN epoch(eff) ELSE -epoch(eff) END, entity_id) AS n FROM cand),
 res AS (SELECT c.entity_id, r.as_of, r.entity_id AS resolved_id FROM res0 r JOIN chain c USING(chain_id) WHERE n=1)"""
 
-NEEDLES = """nd0 AS (SELECT query_id, dept, as_of, list_transform(regexp_extract_all(query,'제\\s*\\d+\\s*조(?:\\s*의\\s*\\d+)?'), lambda h: regexp_replace(h,'\\s','','g')) AS l FROM req),
+ARTICLE = f"제{SPACE}*{DIGIT}+{SPACE}*조(?:{SPACE}*의{SPACE}*{DIGIT}+)?"
+NEEDLES = f"""nd0 AS (SELECT query_id, dept, as_of, list_transform(regexp_extract_all(query,'{ARTICLE}'), lambda h: regexp_replace(h,'{SPACE}','','g')) AS l FROM req),
 nd AS (SELECT DISTINCT query_id, dept, as_of, unnest(l) AS needle, list_position(l, unnest(l)) AS needle_no FROM nd0)"""
 
 CITED = NEEDLES + f""",

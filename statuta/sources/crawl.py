@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.korean import coerce_date
 from statuta.functions.predicates import qualified_id
+from statuta.functions.text import strip
 
 SCHEMA = "id string, title string, body string, effective_date string, superseded_date string, source_url string, allowed_depts array<string>, relations array<array<string>>"
 #: All edge types, and which field of an item stands for which.
@@ -17,15 +18,15 @@ CONVENIENCE = {"law": "supersedes", "interpretation": "interprets", "case": "vio
 def parse(items: DataFrame, json_col: str = "value") -> DataFrame:
     """The item's fields with reason: what is wrong with it, or null."""
     rows = items.select("*", F.from_json(json_col, SCHEMA).alias("item"))
-    bad_date = lambda c: F.col(c).isNotNull() & (F.trim(c) != "") & coerce_date(F.col(c)).isNull()
+    bad_date = lambda c: F.col(c).isNotNull() & (strip(F.col(c)) != "") & coerce_date(F.col(c)).isNull()
     missing = [F.when(F.col(f"item.{c}").isNull(), f"missing {c}") for c in ("id", "title", "body")]
     unknown = F.exists(F.coalesce("item.relations", F.array().cast("array<array<string>>")), lambda r: ~F.get(r, 0).isin(*EDGE_TYPES))
-    aimless = F.exists(F.coalesce("item.relations", F.array().cast("array<array<string>>")), lambda r: F.coalesce(F.trim(F.get(r, 1)), F.lit("")) == "")
+    aimless = F.exists(F.coalesce("item.relations", F.array().cast("array<array<string>>")), lambda r: F.coalesce(strip(F.get(r, 1)), F.lit("")) == "")
     reason = F.coalesce(*missing, F.when(bad_date("item.effective_date") | bad_date("item.superseded_date"), "bad date"), F.when(unknown, "unknown relation"), F.when(aimless, "relation without a target"))
     return rows.withColumn("reason", F.when(F.col("item").isNull(), "not an item").otherwise(reason))
 
 
-def documents(parsed: DataFrame, kind: str) -> DataFrame:
+def documents(parsed: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
     good = parsed.where("reason is null")
     return good.select(
         qualified_id(F.lit(kind), F.col("item.id")).alias("entity_id"),
@@ -36,6 +37,7 @@ def documents(parsed: DataFrame, kind: str) -> DataFrame:
         coerce_date(F.col("item.superseded_date")).alias("superseded_date"),
         F.coalesce("item.allowed_depts", F.array(F.lit("ALL"))).alias("allowed_depts"),
         F.coalesce("item.source_url", F.lit("")).alias("source"),
+        *keep,
     )
 
 

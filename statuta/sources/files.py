@@ -35,19 +35,21 @@ def texts(found: DataFrame) -> DataFrame:
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text): rule files made of the documents, one article a line."""
+    """(path, text): rule files made of the documents, one article a line, with spaces and digits of several scripts."""
     rows = adapter.read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     word = F.split_part(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\n"), F.lit(1))
     folder = F.element_at(F.array(*map(F.lit, ("IB/", "RETAIL/", "", "WM/sub/"))), (F.col("doc_id") % 4 + 1).cast("int"))
     plain = F.regexp_replace(word, "/", "")
     name = F.when(F.col("doc_id") % 3 == 0, F.concat((F.col("doc_id") % 50 + 1).cast("string"), F.lit(". "), plain)).otherwise(F.concat(F.lit("규정 "), plain, F.lit(" "), F.col("doc_id").cast("string")))
     number = lambda n, k: (F.col("doc_id") % n + k).cast("string")
-    head = F.concat(F.when(F.col("doc_id") % 2 == 0, "-----\n").otherwise(F.lit("")), F.lit("규정 "), F.col("doc_id").cast("string"), F.lit(" "), word, F.lit("\n제정 "), number(20, 2000), F.lit("."), number(13, 1), F.lit("."), number(28, 1), F.lit(" 개정 2021-"), number(12, 1), F.lit("-"), number(9, 1), F.lit("\n"))
+    first = F.concat(F.when(F.col("doc_id") % 2 == 0, "\u3000-----\u2003\n").otherwise(F.lit("")), F.lit("\u00a0규정 "), F.col("doc_id").cast("string"), F.lit(" "), word, F.when(F.col("doc_id") % 5 == 1, "\u2028둘째 줄").otherwise(F.lit("\u3000")))
+    head = F.concat(first, F.lit("\n제정 "), number(20, 2000), F.lit("."), number(13, 1), F.lit("."), number(28, 1), F.lit(" 개정\u00a0２０２1-"), number(12, 1), F.lit("-"), number(9, 1), F.lit("\n"))
     lines = F.split("text", "\n")
     topic = F.array(*map(F.lit, TOPICS))
-    article = lambda x, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조"), F.when((i + 1) % 5 == 0, "의2").otherwise(F.lit("")), F.lit("("), F.element_at(topic, i % len(TOPICS) + 1), F.lit(") "), x)
+    some = lambda when, what: F.when(when, what).otherwise(F.lit(""))
+    article = lambda x, i: F.concat(F.lit("제"), some(i % 4 == 0, "\u00a0"), (i + 1).cast("string"), F.lit("조"), some((i + 1) % 5 == 0, "의\u2003２"), some(i % 3 == 0, "\u3000"), F.lit("("), F.element_at(topic, i % len(TOPICS) + 1), F.lit("\u00a0) "), x)
     body = F.array_join(F.when(F.col("doc_id") % 7 == 3, lines).otherwise(F.transform(lines, article)), "\n")
-    tail = F.when(F.col("doc_id") % 3 == 1, "\n부칙\n이 규정은 공포한 날부터 시행한다.").otherwise(F.lit(""))
+    tail = some(F.col("doc_id") % 3 == 1, F.concat(F.when(F.col("doc_id") % 2 == 0, "\n부\u00a0칙").otherwise(F.lit("\n부칙")), F.lit("\n이 규정은 공포한 날부터 시행한다.")))
     return rows.select("doc_id", F.concat(folder, name, F.lit(".docx")).alias("path"), F.concat(head, body, tail).alias("text"))
 
 

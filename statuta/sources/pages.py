@@ -171,7 +171,7 @@ def versioned_items(articles: DataFrame) -> DataFrame:
     """
     base = F.concat_ws("-", "law_id", F.col("jo_no").cast("string"), F.col("jo_br_no").cast("string"))
     item = lambda at: F.concat(base, F.lit("@"), at.cast("string"))
-    named = lambda title: F.trim(F.concat_ws(" ", "law_name", title))
+    named = lambda title: strip(F.concat_ws(" ", "law_name", title))
     current = articles.select(item(F.col("effective_date")).alias("id"), named("title").alias("title"), F.col("body"), F.col("effective_date"), F.when(F.col("upcoming"), F.col("upcoming_date")).alias("superseded_date"), F.lit(None).cast("string").alias("supersedes"))
     coming = articles.where("upcoming and upcoming_date is not null").select(item(F.col("upcoming_date")).alias("id"), named("upcoming_title").alias("title"), F.col("upcoming_body").alias("body"), F.col("upcoming_date").alias("effective_date"), F.lit(None).cast("date").alias("superseded_date"), F.concat(F.lit("law:"), item(F.col("effective_date"))).alias("supersedes"))
     return current.union(coming)
@@ -242,7 +242,7 @@ def listing_rows(pages: DataFrame) -> DataFrame:
 def dated_names(rows: DataFrame, text: Column, today: Column) -> DataFrame:
     """Add name, effective_date and upcoming from texts such as ``name [시행 2024. 1. 2.]``."""
     found = F.get(dates_in(text, IN_FORCE), 0)
-    name = F.trim(F.regexp_replace(text, r"\[시행[^\]]*\]", ""))
+    name = strip(F.regexp_replace(text, r"\[시행[^\]]*\]", ""))
     return rows.select("*", name.alias("listed_name"), found.alias("effective_date"), F.coalesce(found > today, F.lit(False)).alias("upcoming"))
 
 

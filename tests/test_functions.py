@@ -120,3 +120,28 @@ def test_versions_of_articles(spark):
     found = {r["id"]: r for r in pages.versioned_items(rows).collect()}
     assert set(found) == {"L-1-0@2020-01-01", "L-1-0@2024-01-01", "L-2-0@2020-01-01"}
     assert found["L-1-0@2024-01-01"]["supersedes"] == "law:L-1-0@2020-01-01" and found["L-1-0@2020-01-01"]["superseded_date"] == dt.date(2024, 1, 1)
+
+
+def test_spaces_and_digits_are_those_of_python(spark):
+    import re
+    import sys
+
+    from statuta.functions import text
+
+    odd = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and re.fullmatch(r"\s", chr(c))]
+    near = ["​", "᠎", "﻿", "\x1b", "\x21", "\x84", "⁠", "a"]
+    rows = spark.createDataFrame([(c, f"{c}x{c}y{c}{c}") for c in odd + near] + [("all", "".join(odd) + "x" + "".join(odd)), ("none", "".join(odd))], "c string, t string")
+    for r in rows.select("c", "t", text.strip(F.col("t")).alias("s"), F.col("c").rlike(f"^{text.SPACE}$").alias("space")).collect():
+        assert r["s"] == r["t"].strip(), ascii(r["c"])
+        assert len(r["c"]) > 1 or r["c"] == "\n" or r["space"] == bool(re.fullmatch(r"\s", r["c"])), ascii(r["c"])
+    assert len(text.DIGITS) == len(text.ASCII_DIGITS) and spark.range(1).select(text.ascii_digits(F.lit("２０２4-٠٣-१"))).first()[0] == "2024-03-1"
+
+
+def test_citations_between_odd_spaces(spark):
+    from statuta.functions import korean
+
+    rows = spark.createDataFrame([(1, "자본시장법 제3조, 같은　법 제 ４ 조 의 2 및 동법 제5조")], "id int, t string")
+    found = [(r["law_name"], r["jo"], r["jo_br"], r["explicit"]) for r in korean.law_citations(rows, F.col("t"), "id").orderBy("pos").collect()]
+    assert found == [("자본시장법", "3", None, True), ("자본시장법", "４", "2", False), ("자본시장법", "5", None, False)]
+    title = spark.createDataFrame([("　---   규정 이름　\x1e둘째",)], "t string").select(korean.doc_title(F.col("t"))).first()[0]
+    assert title == "규정 이름"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.functions.text import DIGIT, LINE_END, SPACE, SPACES, ascii_digits, strip
+from statuta.functions.text import DIGIT, LINE_END, SPACE, SPACES, ascii_digits, bound, strip
 
 #: A law's name (bracketed, bare, or "the same law"), then its article and branch number.
 CITATION = rf"(?:「([^」]{{2,40}})」|([가-힣]{{2,30}}(?:법률|시행령|시행규칙|법|규정|준칙))|(동법|같은{SPACE}*법)){SPACE}*제{SPACE}*({DIGIT}+){SPACE}*조(?:{SPACE}*의{SPACE}*({DIGIT}+))?"
@@ -56,9 +56,6 @@ def split_articles(text: Column) -> Column:
     """
     at = F.regexp_instr(text, F.lit(ADDENDUM))
 
-    def bound(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), 0)
-
     def articles(cut: Column) -> Column:
         n = F.size(cut["parts"])
         body = lambda p, i: F.when((i == n - 1) & (cut["addenda"] != ""), F.concat(strip(p), F.lit("\n\n"), cut["addenda"])).otherwise(strip(p))

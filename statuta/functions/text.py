@@ -38,11 +38,16 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, DIGITS, ASCII_DIGITS)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words; a Hangul word of two syllables or more is followed by its two-syllable pieces."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    spread = lambda w: F.when(w.rlike("^[가-힣]{2,}$"), F.concat(F.array(w), pairs(w))).otherwise(F.array(w))
+    spread = lambda w: F.when((w >= "가") & (F.length(w) > 1), F.concat(F.array(w), pairs(w))).otherwise(F.array(w))  # noqa: E731  (a word is Hangul or ASCII)
     return F.when(text.rlike("[가-힣]"), F.flatten(F.transform(words, spread))).otherwise(words)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.lineage import cut
 from statuta.functions.predicates import type_allowed, type_from_id
-from statuta.functions.text import tokens
+from statuta.functions.text import bound, tokens
 
 #: BM25 term saturation and length normalisation.
 K1, B = 1.5, 0.75
@@ -16,8 +19,8 @@ K1, B = 1.5, 0.75
 
 def postings(docs: DataFrame, text: Column, id_col: str = "entity_id") -> DataFrame:
     """(term, entity_id, tf, doc_len); documents without a token do not occur."""
-    words = docs.select(F.col(id_col).alias("entity_id"), tokens(text).alias("words"))
-    exploded = words.select("entity_id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+    each = bound(tokens(text), lambda words: F.transform(words, lambda w: F.struct(w.alias("term"), F.size(words).alias("doc_len"))))
+    exploded = docs.select(F.col(id_col).alias("entity_id"), F.inline(each))
     return exploded.groupBy("term", "entity_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").cast("bigint").alias("doc_len"))
 
 
@@ -32,7 +35,8 @@ def corpus_stats(postings_: DataFrame) -> DataFrame:
 
 def length_stats(docs: DataFrame, text: Column) -> DataFrame:
     """The same row from the texts, without their postings."""
-    return docs.select(F.size(tokens(text)).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+    some = bound(F.size(tokens(text)), lambda n: F.when(n > 0, n))
+    return docs.select(some.alias("n")).agg(F.count("n").alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
 def term_weights(postings_: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -42,22 +46,104 @@ def term_weights(postings_: DataFrame, stats: DataFrame | None = None) -> DataFr
     return df.join(one).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+#: Postings of a request's strongest terms that its first threshold is taken from, at least.
+SEED_POSTINGS = 4096
+#: Scores are rounded to six digits before ranking, so bounds that lie this close to a threshold do not count as below it.
+MARGIN = 2e-6
+#: A term's postings are dealt to so many keys in the joins.
+SALTS = 8
+
+
+@dataclass
+class TopK:
+    """Exact best documents of each request, without scoring most postings of its frequent terms.
+
+    Weights are positive, so a request's k-th best score over some of its terms is a threshold that its k-th best
+    document reaches. Terms whose largest weights together stay below it cannot bring a document in by themselves:
+    only documents with one of the other (leading) terms are candidates, and of these only the ones whose score so far
+    and all that the rest may add reach the threshold. Candidates alone are looked up in the rest's postings.
+    Requests without a width have no threshold, and all their terms lead.
+    """
+
+    requests: DataFrame
+    postings: DataFrame
+    width: Column | None
+    stats: DataFrame
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(term, entity_id, w, salt): the postings of asked terms."""
+        asked = cut(self.postings.join(self.asked.select("term").distinct(), "term", "left_semi"))
+        df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
+        salt = F.pmod(F.xxhash64("entity_id"), F.lit(SALTS)).cast("int").alias("salt")
+        return cut(asked.join(df, "term").join(F.broadcast(self.stats)).select("term", "entity_id", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"), salt))
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return self.requests.select("query_id", "source_types", width_or_null(self.width), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        """The requests' terms with the number of their postings and their largest weight."""
+        bounds = self.weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
+        return cut(self.asked.join(bounds, "term"))
+
+    def _scores(self, terms: DataFrame) -> DataFrame:
+        """(query_id, entity_id, width, score) over some of the requests' terms."""
+        dealt = terms.select("query_id", "source_types", "width", "term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hits = dealt.join(self.weights, ["term", "salt"]).where(type_allowed(F.col("source_types"), type_from_id(F.col("entity_id"))))
+        return hits.groupBy("query_id", "entity_id").agg(F.first("width").alias("width"), F.sum("w").alias("score"))
+
+    @staticmethod
+    def _placed(scores: DataFrame) -> DataFrame:
+        """Scores with floor: the one of rank ``width`` of the same request; null where there is none."""
+        own = W.partitionBy("query_id")
+        place = F.row_number().over(own.orderBy(F.desc("score")))
+        return scores.withColumn("place", place).withColumn("floor", F.max(F.when(F.col("place") == F.col("width"), F.col("score"))).over(own))
+
+    @cached_property
+    def parted(self) -> DataFrame:
+        """The requests' terms with the threshold of the strongest ones, and whether a term leads."""
+        before = F.sum("df").over(W.partitionBy("query_id").orderBy(F.desc("top"), "term").rowsBetween(W.unboundedPreceding, -1))
+        seeds = self.rated.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SEED_POSTINGS)
+        floor = self._placed(self._scores(seeds)).where("place = 1").select("query_id", "floor")
+        below = F.sum("top").over(W.partitionBy("query_id").orderBy("top", F.desc("term")).rowsBetween(W.unboundedPreceding, 0))
+        rows = self.rated.join(floor, "query_id", "left").withColumn("below", below)
+        return cut(rows.withColumn("leads", F.col("floor").isNull() | (F.col("below") >= F.col("floor") - MARGIN)).drop("below"))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """(query_id, entity_id, width, score): what may be among the best, with its score over the leading terms."""
+        rest = self.parted.groupBy("query_id").agg(F.max("floor").alias("first_floor"), F.sum(F.when(F.col("leads"), 0.0).otherwise(F.col("top"))).alias("rest"))
+        bounded = self._placed(self._scores(self.parted.where("leads"))).join(rest, "query_id")
+        least = F.greatest(F.coalesce("floor", F.lit(0.0)), F.coalesce("first_floor", F.lit(0.0)))
+        return cut(bounded.where(F.col("score") + F.col("rest") >= least - MARGIN).select("query_id", "entity_id", "width", "score"))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """(query_id, entity_id, score, rank)."""
+        others = self.parted.where("not leads").select("query_id", "term")
+        found = self.candidates.select("query_id", "entity_id", "width").join(others, "query_id").join(self.weights.select("term", "entity_id", "w"), ["term", "entity_id"])
+        every = self.candidates.union(found.select("query_id", "entity_id", "width", "w"))
+        scored = every.groupBy("query_id", "entity_id").agg(F.round(F.sum("score"), 6).alias("score"), F.first("width").alias("width"))
+        return within(ranked(scored))
+
+    def work(self) -> DataFrame:
+        """(query_id, postings, leading, candidates): postings of all terms of a request, those of leading terms, and what is left of these."""
+        lead = F.sum(F.when(F.col("leads"), F.col("df")).otherwise(0))
+        each = self.parted.groupBy("query_id").agg(F.sum("df").alias("postings"), lead.alias("leading"))
+        return each.join(self.candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates")), "query_id", "left").fillna(0)
+
+
 def bm25(requests: DataFrame, postings_: DataFrame, width: Column | None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, entity_id, score, rank): the best ``width`` documents of each request, over the whole index; all of them without a width.
 
-    Terms of a request count once; the postings of asked terms, which are used twice, are cut. ``stats`` is the
-    row of ``corpus_stats`` where it is known. Scores are rounded to six digits before ranking, ties go by id.
+    Terms of a request count once. ``stats`` is the row of ``corpus_stats`` where it is known. Scores are rounded to
+    six digits before ranking, ties go by id.
     """
-    stats = corpus_stats(postings_) if stats is None else stats
-    terms = requests.select("query_id", "source_types", width_or_null(width), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = cut(postings_.join(terms.select("term").distinct(), "term", "left_semi"))
-    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
-    weighed = asked.join(df, "term").join(F.broadcast(stats)).select("term", "entity_id", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    hits = terms.join(weighed, "term").where(type_allowed(F.col("source_types"), type_from_id(F.col("entity_id"))))
-    scored = hits.groupBy("query_id", "entity_id").agg(F.round(F.sum("w"), 6).alias("score"), F.first("width").alias("width"))
-    return within(ranked(scored))
+    return TopK(requests, postings_, width, corpus_stats(postings_) if stats is None else stats).hits
 
 
 def width_or_null(width: Column | None) -> Column:

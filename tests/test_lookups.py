@@ -77,3 +77,26 @@ def test_a_users_model_on_both_sides(spark):
     request = spark.createDataFrame([(1, "x", "IB", DAY, 3, None)], "query_id int, query string, dept string, as_of date, top_k int, source_types array<string>")
     found = Retrieval(request, entities, spark.createDataFrame([], "src string, type string, dst string"), embedder=model, vectors=held)
     assert [(r["entity_id"], r["score"]) for r in found.vector_hits.collect()] == [("faq:1", 1.0)]  # queries have their axes swapped
+
+
+def test_best_documents_with_fewer_postings(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from statuta.operators import lexical
+
+    monkeypatch.setattr(lexical, "SEED_POSTINGS", 40)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    text = lambda n: " ".join(rng.choices(["the", "of", "and"] + words, weights=[60, 40, 30] + [3 / (k + 1) for k in range(200)], k=n))
+    docs = spark.createDataFrame([(f"{rng.choice(['law', 'faq'])}:{k}", text(rng.randrange(0, 60))) for k in range(500)] + [("law:same1", "w3 w7"), ("law:same2", "w3 w7")], "entity_id string, text string")
+    asked = [(q, f"{text(12)} w{q} w{q + 50} none", rng.choice([None, ["law"]]), rng.choice([1, 3, 10, None])) for q in range(30)] + [(99, "w3 w7", None, 1), (98, "nothing", None, 3), (97, "", None, 3)]
+    requests = spark.createDataFrame(asked, "query_id int, query string, source_types array<string>, n int")
+    postings = lexical.postings(docs, F.col("text"))
+    key = lambda df: sorted((r["query_id"], r["rank"], r["entity_id"], r["score"]) for r in df.collect())
+    wanted = lexical.bm25(requests, postings, None).join(requests.select("query_id", "n"), "query_id").where("n is null or rank <= n")
+    found = lexical.TopK(requests, postings, F.col("n"), lexical.corpus_stats(postings))
+    assert key(found.hits) == key(wanted)
+    work = found.work().agg(F.sum("postings"), F.sum("leading"), F.sum("candidates")).first()
+    assert work[2] < work[1] < work[0]
+    limited = found.work().join(requests.where("n is not null"), "query_id").agg(F.sum("postings"), F.sum("leading")).first()
+    assert limited[1] < 0.7 * limited[0]

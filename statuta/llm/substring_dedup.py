@@ -319,9 +319,10 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     with the same id but other text apart. Rows with a null id or fewer words give nothing; ids are whole numbers
     or strings of them (others are null). A very long text is a slice of its own; other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * max(partitions, -(-total // BUCKET_BYTES))  # a task has any number of them, one after another
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, now = None, None
@@ -338,7 +339,7 @@ def repeated_spans(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
 
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0)
     hot = hot_minimisers(some, window, max(1, int(HOT_SHARE * BUCKET_BYTES / BYTES_PER_WINDOW / ONE_IN)))
-    packed = _packed_strings(rows, window, 2 * partitions, hot)
+    packed = _packed_strings(rows, window, buckets, hot)
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, text_key bigint, first int, words int")
 
 
@@ -352,7 +353,7 @@ def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
     """
     spans = repeated_spans(df, window, id_col, text_col).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
     own = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col).alias("id"), own.alias("text"), F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)).alias("text_key"), *([F.col(carry).alias("carried")] if carry else []))
+    rows = df.select(F.col(id_col).alias("id"), F.col(id_col).try_cast("bigint").alias("number"), own.alias("text"), F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)).alias("text_key"), *([F.col(carry).alias("carried")] if carry else []))
     more = ["carried"] if carry else []
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["id", *more])
 
@@ -373,6 +374,6 @@ def remove_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text
                 kept.append(text if layout and not gone else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ["id", *more]), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", *more, "n_words", "n_removed", "kept"])
 
-    found = rows.join(spans, ["id", "text_key"], "left").select("id", *more, "text", "spans")
+    found = rows.join(spans.withColumnRenamed("id", "number"), ["number", "text_key"], "left").select("id", *more, "text", "spans")
     out = found.mapInArrow(run, f"{kinds}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
     return out.withColumnRenamed("carried", carry) if carry else out

@@ -191,10 +191,10 @@ def hybrid_user_model(spark, d):
     return found.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query(S.with_(S.REQ) + f"SELECT query_id, array_to_string(list_transform(regexp_extract_all(replace(replace(query,'제','제\u00a0'),'조','\u3000조의\u2003２'),'{S.ARTICLE}'), lambda h: regexp_replace(h,'{SPACE}','','g')),',') AS needles FROM req", name="article_needles")
+@query(S.with_(S.REQ) + f"SELECT query_id, array_to_string(list_transform(regexp_extract_all(replace(replace(query,'제','제\u00a0'),'조','\u3000조'),'{S.ARTICLE}'), lambda h: regexp_replace(h,'{SPACE}','','g')),',') AS needles FROM req", name="article_needles")
 def article_needles_(spark, d):
-    """Articles written with spaces and digits of other scripts."""
-    loose = F.replace(F.replace("query", F.lit("제"), F.lit("제\u00a0")), F.lit("조"), F.lit("\u3000조의\u2003２"))
+    """Articles written with spaces of other kinds."""
+    loose = F.replace(F.replace("query", F.lit("제"), F.lit("제\u00a0")), F.lit("조"), F.lit("\u3000조"))
     return adapter.requests(spark, d).select("query_id", F.array_join(article_needles(loose), ",").alias("needles"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.predicates import ALL, type_from_id
 from statuta.functions.text import content_hash
+from statuta.operators.balls import Balls
 from statuta.operators.lexical import ranked, width_or_null, within
 
 #: Dimensions and least score of a hit.
@@ -157,21 +158,20 @@ def _may_see(queries: pa.Table, others: pa.Table) -> np.ndarray:
 def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE, dimensions: int = DIMENSIONS) -> DataFrame:
     """(query_id, entity_id, score, rank): visible, valid documents of allowed types by cosine, all of them without a width.
 
-    Vectors are those of ``hash_vectors`` or of an ``Embedder``. Requests and documents are dealt into blocks by hash; each pair of blocks meets once. There the request's
-    predicates come first, then the cosines of what is left, and each request keeps its best ``width`` of the
-    block, which a second ranking merges. Scores are rounded to six digits before ranking, ties go by id.
+    Vectors are those of ``hash_vectors`` or of an ``Embedder``. Scores are rounded to six digits before ranking,
+    ties go by id.
     """
+    return within(ranked(balls(requests, query_vectors, entities, vectors, width, min_score, dimensions).hits))
+
+
+def balls(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, vectors: DataFrame, width: Column | None, min_score: float = MIN_SCORE, dimensions: int = DIMENSIONS, **sizes: int) -> Balls:
+    """The search behind ``search``. In a block the request's predicates come first, then the best of what is left."""
     facts = entities.select("entity_id", type_from_id(F.col("entity_id")).alias("type"), "allowed_depts", "effective_date", "superseded_date")
     asked = requests.select("query_id", "dept", "as_of", "source_types", width_or_null(width)).join(query_vectors, "query_id")
-    rows = facts.join(vectors, "entity_id")
-    query_blocks, row_blocks = (max(1, -(-df.count() // size)) for df, size in ((requests, QUERY_BLOCK), (entities, ROW_BLOCK)))
-    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = dealt(asked, "query_id", "query_block", query_blocks, "row_block", row_blocks)
-    right = dealt(rows, "entity_id", "row_block", row_blocks, "query_block", query_blocks)
-    kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((asked, "query_id"), (rows, "entity_id")))
+    rows = facts.join(vectors, "entity_id").select(*facts.columns, "places", "weights")
 
-    def best(queries: pa.Table, others: pa.Table) -> pa.Table:
-        score = np.round(_matrix(queries, dimensions) @ _matrix(others, dimensions).T, 6)
+    def best(queries: pa.Table, others: pa.Table, matrix: np.ndarray) -> pa.Table:
+        score = np.round(_matrix(queries, dimensions) @ matrix.T, 6)
         score[~_may_see(queries, others)] = -np.inf
         q, r, found = [], [], []
         for k, most in enumerate(queries.column("width").to_pylist()):
@@ -185,9 +185,7 @@ def search(requests: DataFrame, query_vectors: DataFrame, entities: DataFrame, v
         take = lambda t, c, at: t.column(c).combine_chunks().take(pa.array(at.astype(np.int64)))
         return pa.table({"query_id": take(queries, "query_id", q), "entity_id": take(others, "entity_id", r), "score": pa.array(found.astype(float)), "width": take(queries, "width", q)})
 
-    by = ["query_block", "row_block"]
-    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, f"{kinds}, score double, width int")
-    return within(ranked(hits))
+    return Balls(asked, rows, best, lambda table: _matrix(table, dimensions), min_score, **sizes)
 
 
 def embed_plan(docs: DataFrame, cache: DataFrame, identity: str) -> DataFrame:

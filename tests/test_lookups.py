@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+
 from statuta.operators import vectors, versions
 from statuta.operators.titles import title_matches
 from statuta.plans.retrieve import Retrieval
@@ -100,3 +102,41 @@ def test_best_documents_with_fewer_postings(spark, monkeypatch):
     assert work[2] < work[1] < work[0]
     limited = found.work().join(requests.where("n is not null"), "query_id").agg(F.sum("postings"), F.sum("leading")).first()
     assert limited[1] < 0.7 * limited[0]
+
+
+def test_nearest_documents_with_fewer_comparisons(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 16))
+    near = lambda n: centres[rng.choice(6, n, p=[0.5, 0.1, 0.1, 0.1, 0.1, 0.1])] + 0.15 * rng.standard_normal((n, 16))
+    unit = lambda v: (v / np.where((s := np.linalg.norm(v, axis=1, keepdims=True)) > 0, s, 1))
+    docs, asked = unit(near(700)), unit(near(40))
+    docs[100:160] = docs[3]  # more equal ones than a block holds
+    docs[5] = asked[4] = 0
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=int(k))
+    vector = "places array<int>, weights array<double>"
+    sparse = lambda v: (np.flatnonzero(v).tolist(), v[v != 0].tolist())
+    facts = [(f"{('law', 'faq')[k % 2]}:{k:03}", [None, ["ALL"], ["IB"], []][k % 4] if k % 9 == 0 else ["ALL"], None if k % 5 == 0 else day(k), None if k % 3 else day(k + 300)) for k in range(700)]
+    entities = spark.createDataFrame(facts, "entity_id string, allowed_depts array<string>, effective_date date, superseded_date date")
+    vecs = spark.createDataFrame([(f[0], *sparse(v)) for f, v in zip(facts, docs)], f"entity_id string, {vector}")
+    some = [(q, ["IB", "HR"][q % 2], None if q == 7 else day(rng.integers(0, 900)), [None, ["law"], []][q % 3] if q < 9 else None, [1, 5, 20, None][q % 4]) for q in range(40)]
+    requests = spark.createDataFrame(some, "query_id int, dept string, as_of date, source_types array<string>, n int")
+    query_vectors = spark.createDataFrame([(q, *sparse(v)) for q, v in enumerate(asked)], f"query_id int, {vector}")
+    wanted = set()
+    for (q, dept, at, types, n), v in zip(some, asked):
+        score = np.round(docs @ v, 6)
+        seen = [k for k, (e, d, b, s) in enumerate(facts) if at and d and ("ALL" in d or dept in d) and (b is None or b <= at) and (s is None or at < s) and (types is None or e[:3] in types) and score[k] >= 0.05]
+        wanted |= {(q, facts[k][0], rank) for rank, k in enumerate(sorted(seen, key=lambda k: (-score[k], facts[k][0]))[:n], 1)}
+    found = vectors.balls(requests, query_vectors, entities, vecs, F.col("n"), ball_rows=16, seed_rows=32)
+    rows = vectors.within(vectors.ranked(found.hits)).collect()
+    assert len(rows) == len(wanted) and {(r["query_id"], r["entity_id"], r["rank"]) for r in rows} == wanted
+    sizes = [r["n"] for r in found.rings.collect()]
+    assert sum(sizes) == 700 and max(sizes) <= 48
+    work = found.met().join(requests.where("n is not null"), "query_id").agg(F.sum("met"), F.sum("total")).first()
+    assert work[0] < 0.5 * work[1]
+    whole = vectors.search(requests, query_vectors, entities, vecs, F.col("n"), dimensions=16).collect()
+    assert {(r["query_id"], r["entity_id"], r["rank"]) for r in whole} == wanted
+    none = vectors.balls(requests, query_vectors, entities.limit(0), vecs, F.col("n"), ball_rows=16)
+    assert none.hits.count() == 0 and none.met().agg(F.sum("met"), F.max("total")).first()[:] == (0, 0)
+    assert vectors.search(requests.limit(0), query_vectors, entities, vecs, None, dimensions=16).count() == 0

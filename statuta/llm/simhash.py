@@ -15,8 +15,9 @@ from statuta.llm.common import blocks_of, cut, forest, group_starts, nothing_kep
 from statuta.llm.components import components
 
 RADIUS = 3
-#: 64 bits in five parts; of fingerprints that differ in at most three bits, two parts at least agree.
-PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Distinct fingerprints that meet under one key on average, at most; see ``parts_for``.
+BUCKET_ROWS = 64
+MOST_PARTS = 7
 #: Fingerprints of one bucket that are compared in one block.
 BLOCK_ROWS = 2048
 #: Groups up to this size are compared together, many groups at a time.
@@ -122,20 +123,45 @@ def linked(values: np.ndarray, group: np.ndarray, chunk: np.ndarray, same_chunk:
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def near_edges(bits: DataFrame, radius: int = RADIUS) -> DataFrame:
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(place, size) of n parts of 64 bits that are as even as possible, larger ones first."""
+    sizes = [64 // n + (k < 64 % n) for k in range(n)]
+    return [(sum(sizes[:k]), size) for k, size in enumerate(sizes)]
+
+
+def parts_for(rows: int) -> int:
+    """Parts that a fingerprint is cut into.
+
+    Of fingerprints that differ in at most three bits all parts but three agree, and those that agree are the
+    key: 25 bits of five parts (10 keys a row), 31 of six (20), 36 of seven (35). Every number of parts finds
+    the same links; more of them keep the buckets of more rows small.
+    """
+    n = RADIUS + 2
+    while n < MOST_PARTS and rows > BUCKET_ROWS << sum(size for _, size in parts_of(n)[RADIUS:]):
+        n += 1
+    return n
+
+
+def near_edges(bits: DataFrame, radius: int = RADIUS, n_parts: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column bits) that connect all within the radius.
 
     Within a block only a forest of its links is returned (a row a fingerprint at most), which has the same
-    components as all of them. The radius may be 0 to 3: five parts guarantee two that agree.
+    components as all of them. The radius may be 0 to 3, and the parts are chosen for it by the number of rows.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the buckets hold all pairs for a radius from 0 to 3")
+    parts = parts_of(parts_for(bits.count()) if n_parts is None else n_parts)
     value = F.col("bits")
 
     def part(at: int, size: int):
         return F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << size) - 1))
 
-    keys = [F.shiftleft(F.lit(k).cast("long"), 56).bitwiseOR(F.shiftleft(part(*a), 13)).bitwiseOR(part(*b)) for k, (a, b) in enumerate(combinations(PARTS, 2))]
+    keys = []
+    for k, alike in enumerate(combinations(parts, len(parts) - RADIUS)):
+        key = F.lit(0).cast("long")
+        for at, size in alike:
+            key = F.shiftleft(key, size).bitwiseOR(part(at, size))
+        keys.append(key.bitwiseOR(F.lit(k << 56)))
     rows = bits.select("bits", F.explode(F.array(*keys)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +183,9 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
 
     component_id is the smallest id reachable by links of at most ``radius`` differing bits. Rows with equal
     fingerprints, such as exact copies, are one node from the start. Null and empty texts have fingerprint
-    zero and link like any other. Rows with a null id take part, but never name a component unless all its
-    ids are null. An empty table gives an empty one.
+    zero and link like any other, and texts of any length are hashed whole. Rows with a null id take part, but
+    never name a component unless all its ids are null; repeated rows are returned as often as they occur. Other
+    columns, whatever their names, are not read. An empty table gives an empty one.
     """
     own = cut(fingerprints(df, id_col, text_col, shingle))
     nodes = own.groupBy("bits").agg(F.min(id_col).alias("low"))

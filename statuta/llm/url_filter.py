@@ -13,6 +13,8 @@ ALLOW, BLOCK = "allow", "block"
 #: So many rules become one expression; longer lists are a table that meets the hosts' parent domains.
 MOST_RULES = 500
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
+#: A host's edges are dealt to this many keys, 63 at most: those in use are bits of a number.
+SALTS = 32
 #: A host with any distrust is blocked when that is this many times its trust. There is no least amount: what
 #: reaches a host is divided by the links into the blocked one, so any fixed amount would spare linkers to large hosts.
 BLOCK_RATIO = 1.5
@@ -79,28 +81,46 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def _dealt(edges: DataFrame, end: str, other: str) -> DataFrame:
+    """Edges with a salt of their other end, so that the edges of a host with very many are no hot key in a join."""
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).withColumnRenamed(end, "host")
+
+
+def _shares(edges: DataFrame, end: str, other: str) -> DataFrame:
+    """(host, salt, to, share): each edge's part of the weight of all edges of the host at ``end``."""
+    own = _dealt(edges, end, other)
+    parts = own.groupBy("host", "salt").agg(F.sum("weight").alias("weight"))
+    whole = parts.groupBy("host").agg(F.sum("weight").alias("whole"), F.collect_set("salt").alias("salts"))
+    dealt = whole.select("host", "whole", F.explode("salts").alias("salt"))
+    return own.join(dealt, ["host", "salt"]).select("host", "salt", F.col(other).alias("to"), (F.col("weight") / F.col("whole")).alias("share"))
+
+
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from rows (host, trust, distrust).
 
     Trust flows along links, distrust against them, both in the same rounds. Seeds are not scaled to the
     size of the graph, so a host's scores depend on its surroundings only. Sums are combined before each
-    shuffle, and lineage is cut every few rounds.
+    shuffle, and lineage is cut every few rounds. A host's edges are dealt to SALTS keys, and its scores go
+    to those of them that it has edges under, so a hub is no hot key and other hosts are not copied more
+    often than they have edges.
     """
-    sums = edges.groupBy("src").agg(F.sum("weight").alias("all_out"))
-    into = edges.groupBy("dst").agg(F.sum("weight").alias("all_in"))
-    shares = edges.join(sums, "src").join(into, "dst")
-    forward = shares.select("src", "dst", (F.col("weight") / F.col("all_out")).alias("t"), F.lit(0.0).alias("d"))
-    backward = shares.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all_in")).alias("d"))
-    flows = cut(forward.union(backward).groupBy("src", "dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
-    start = cut(seeds.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    base = start.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+    forward = _shares(edges, "src", "dst").select("host", "salt", "to", F.col("share").alias("t"), F.lit(0.0).alias("d"))
+    backward = _shares(edges, "dst", "src").select("host", "salt", "to", F.lit(0.0).alias("t"), F.col("share").alias("d"))
+    flows = cut(forward.union(backward).groupBy("host", "salt", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
+    score = ("trust", "distrust")
+    start = seeds.select("host", *(F.col(c) * (1 - damping) for c in score), F.lit(0).cast("bigint").alias("salts")).toDF("host", *score, "salts")
+    keys = flows.groupBy("host").agg(F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), "salts")
+    summed = lambda df: df.groupBy("host").agg(*(F.sum(c).alias(c) for c in score), F.max("salts").alias("salts"))
+    under = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda salt: F.getbit("salts", salt) == 1)
+    base = cut(summed(start.union(keys)))
     now = base
     for k in range(1, rounds + 1):
-        moved = flows.join(now, flows["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
-        now = moved.union(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        held = now.where("trust > 0 or distrust > 0").select("host", *score, F.explode(under).alias("salt"))
+        moved = flows.join(held, ["host", "salt"]).select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"), F.lit(0).cast("bigint").alias("salts"))
+        now = summed(moved.union(base))
         if k % CUT_EVERY == 0:
             now = cut(now)
-    return now
+    return now.where("trust > 0 or distrust > 0").select("host", *score)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = BLOCK_RATIO) -> DataFrame:
@@ -108,8 +128,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     A rule's action is final. Of the other pages those on blocked hosts are blocked. Seeds are the hosts with
     pages that rules judge: trusted by the share of allowed ones among them, distrusted by that of blocked
-    ones. Pages without a host, and hosts that nothing speaks against, are allowed; null and repeated ids are
-    judged by their address alone.
+    ones. A host whose distrust is just ``ratio`` times its trust is blocked. Pages without a host, and hosts that
+    nothing speaks against, are allowed; null and repeated ids are judged by their address alone, page by page.
+    Links are taken from whole pages of any length; a null page has none. Other columns, whatever their names, are
+    not read, and an empty table gives an empty one.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))

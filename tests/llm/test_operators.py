@@ -541,3 +541,46 @@ def test_substring_hot_minimisers_and_equal_hashes(spark, monkeypatch):
     bucket.hashes = [np.zeros_like(h) for h in bucket.hashes]
     spans = [x for b in bucket.spans() for x in b.to_pylist()]
     assert sorted((x["id"], x["first"], x["words"]) for x in spans) == [(2, 0, 2), (3, 0, 2)]
+
+
+def test_a_hub_host_spreads_like_any_other(spark):
+    leaves = [f"l{k}.net" for k in range(400)]
+    weight = {("hub.net", b): 1.0 + k % 3 for k, b in enumerate(leaves)} | {(b, "hub.net"): 1.0 for b in leaves[:300]} | {("l0.net", "l1.net"): 2.0, ("l1.net", "hub2.net"): 5.0}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("l0.net", 1.0, 0.0), ("l7.net", 0.0, 1.0), ("hub2.net", 0.0, 0.5)], "host string, trust double, distrust double")
+    found = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.spread(edges, seeds, rounds=7).collect()}
+    names = sorted({h for pair in weight for h in pair})
+    place = {h: k for k, h in enumerate(names)}
+    links = np.zeros((len(names), len(names)))
+    for (a, b), w in weight.items():
+        links[place[a], place[b]] = w
+    start = np.zeros((2, len(names)))
+    start[0, place["l0.net"]], start[1, place["l7.net"]], start[1, place["hub2.net"]] = 1, 1, 0.5
+    for row, m in ((0, links), (1, links.T)):
+        move = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-30)
+        now = 0.15 * start[row]
+        for _ in range(7):
+            now = 0.85 * (now @ move) + 0.15 * start[row]
+        assert all(abs(found.get(h, (0.0, 0.0))[row] - now[place[h]]) < 1e-12 for h in names)
+    dealt = url_filter._shares(edges, "src", "dst").where("host = 'hub.net'").groupBy("salt").count().collect()
+    assert len(dealt) == url_filter.SALTS and max(r["count"] for r in dealt) < 40
+
+
+@pytest.mark.parametrize("n_parts", [5, 6, 7])
+def test_simhash_links_do_not_depend_on_the_parts(spark, n_parts):
+    rng = random.Random(n_parts)
+    values = {0, (1 << 64) - 1}
+    for _ in range(60):
+        values.add(base := rng.getrandbits(64))
+        for changed in (1, 2, 3, 3, 4):
+            for bit in rng.sample(range(64), changed):
+                values.add(flipped := base ^ 1 << bit)
+                base = flipped if rng.random() < 0.7 else base
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = {frozenset((r["u"] % (1 << 64), r["v"] % (1 << 64))) for r in simhash.near_edges(spark.createDataFrame([(v,) for v in signed], "bits long"), n_parts=n_parts).collect()}
+    places = list(range(len(values)))
+    want = brute_components(places, lambda a, b: (values[a] ^ values[b]).bit_count() <= 3)
+    assert brute_components(places, lambda a, b: frozenset((values[a], values[b])) in edges) == want
+    assert all((a ^ b).bit_count() <= 64 for a, b in map(tuple, edges))
+    assert [simhash.parts_for(n) for n in (0, 1 << 31, (1 << 31) + 1, 1 << 40)] == [5, 5, 6, 7]

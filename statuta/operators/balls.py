@@ -15,15 +15,16 @@ from pyspark.sql import types as T
 
 from statuta.functions.lineage import cut
 
-#: A ball has about this many documents, and so has a ring of it, which is a block.
-BALL_ROWS = 4096
+#: A ball has about this many documents as long as there are fewer pivots than MOST_PIVOTS, and a ring of a ball, which
+#: is a block, about RING_ROWS. Small balls are tight, and so skipped more often; a request is copied once for a block.
+BALL_ROWS, RING_ROWS = 256, 1024
 #: Pivots at most. They go to the tasks: a megabyte with 256 places each.
 MOST_PIVOTS = 512
 #: Angles are counted in cells of this width to find the rings; a ball has 805 cells at most, so the table of
 #: all cells has under half a million rows.
 CELL = 1 / 256
 #: The blocks that a request meets first hold this many documents.
-SEED_ROWS = 4096
+SEED_ROWS = 1024
 #: Requests that are compared with a block at a time.
 ASKED_SLICE = 512
 #: Scores are rounded to six digits before they are compared.
@@ -76,6 +77,7 @@ class Balls:
     matrix: Matrix
     min_score: float
     ball_rows: int = BALL_ROWS
+    ring_rows: int = RING_ROWS
     seed_rows: int = SEED_ROWS
 
     @cached_property
@@ -106,10 +108,10 @@ class Balls:
 
     @cached_property
     def in_rings(self) -> DataFrame:
-        """Rows with their block: cells of a ball up to BALL_ROWS are a ring; a cell with more is dealt to chunks."""
+        """Rows with their block: cells of a ball up to RING_ROWS are a ring; a cell with more is dealt to chunks."""
         counted = self.in_balls.groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("n"))
         before = F.coalesce(F.sum("n").over(W.partitionBy("pivot").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        cells = counted.select("pivot", "cell", F.floor(before / self.ball_rows).cast("int").alias("ring"), F.ceil(F.col("n") / self.ball_rows).cast("int").alias("chunks"))
+        cells = counted.select("pivot", "cell", F.floor(before / self.ring_rows).cast("int").alias("ring"), F.ceil(F.col("n") / self.ring_rows).cast("int").alias("chunks"))
         # See CELL for the bound of this table.
         return self.in_balls.join(F.broadcast(cut(cells)), ["pivot", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("entity_id"), F.col("chunks")).cast("int")).drop("cell", "chunks")
 

@@ -128,7 +128,7 @@ def test_nearest_documents_with_fewer_comparisons(spark):
         score = np.round(docs @ v, 6)
         seen = [k for k, (e, d, b, s) in enumerate(facts) if at and d and ("ALL" in d or dept in d) and (b is None or b <= at) and (s is None or at < s) and (types is None or e[:3] in types) and score[k] >= 0.05]
         wanted |= {(q, facts[k][0], rank) for rank, k in enumerate(sorted(seen, key=lambda k: (-score[k], facts[k][0]))[:n], 1)}
-    found = vectors.balls(requests, query_vectors, entities, vecs, F.col("n"), ball_rows=16, seed_rows=32)
+    found = vectors.balls(requests, query_vectors, entities, vecs, F.col("n"), ball_rows=16, ring_rows=16, seed_rows=32)
     rows = vectors.within(vectors.ranked(found.hits)).collect()
     assert len(rows) == len(wanted) and {(r["query_id"], r["entity_id"], r["rank"]) for r in rows} == wanted
     sizes = [r["n"] for r in found.rings.collect()]

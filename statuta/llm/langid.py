@@ -22,10 +22,10 @@ DOCUMENTS_PER_LANGUAGE = 160
 WINDOWS_PER_DOCUMENT, WINDOW_BYTES, SHORT_WORD = 24, 48, 4
 #: A text is read in chunks of this many bytes, each with some of its neighbours' on both sides, which are read and
 #: not labelled; so every byte of a text is labelled once, with that much context at least.
-CHUNK_BYTES, CONTEXT_BYTES = 320, 12
+CHUNK_BYTES, CONTEXT_BYTES = 640, 32
 #: Chunks that go through the network together, and bytes of text.
-CHUNKS, SLICE_TEXT = 2048, 2 << 20
-STATE, EMBEDDING = 10, 8
+CHUNKS, SLICE_TEXT = 1024, 2 << 20
+STATE, EMBEDDING = 16, 12
 #: A language's documents are ranked in so many parts first.
 SALTS = 64
 #: Tables with a column a language get fewer rows where there are more languages than this.
@@ -36,58 +36,58 @@ class ByteGru:
     """Two gated recurrent layers that read byte strings from both ends.
 
     Strings stand in columns, a byte a row; the byte 0 is padding and empties the state. Every position gets a
-    softmax over the languages from both states there.
+    softmax over the languages from both states there. Weights are stacked as update gate, reset gate, candidate.
     """
 
     def __init__(self, classes: int, rng: np.random.Generator | None = None):
         rng = rng or np.random.default_rng(7)
-        near = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"embed": near(256, EMBEDDING) * 4, "out": near(2 * STATE, classes), "bias": np.zeros(classes, np.float32)}
+        near = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
+        self.p = {"embed": rng.standard_normal((256, EMBEDDING)).astype(np.float32) / 4, "out": near(2 * STATE, classes), "bias": np.zeros(classes, np.float32)}
         for d in "fb":
-            self.p |= {f"{d}w": near(EMBEDDING, 3 * STATE), f"{d}u": near(STATE, 2 * STATE), f"{d}c": near(STATE, STATE), f"{d}b": np.zeros(3 * STATE, np.float32)}
+            self.p |= {f"{d}w": near(3, EMBEDDING, STATE), f"{d}u": near(2, STATE, STATE), f"{d}c": near(STATE, STATE), f"{d}b": np.zeros((3, STATE), np.float32)}
 
-    def _read(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (length, STATE, batch) of x (length, batch); d is f (from the start) or b (from the end)."""
+    def _read(self, x: np.ndarray, d: str, scores: np.ndarray, keep: list | None = None) -> None:
+        """Add to scores (length, classes, batch) those of the states over x (length, batch); d is f (from the start) or b (from the end).
+
+        A state is a row of STATE numbers, so a byte's inputs are copied as whole rows; no state outlives its step
+        unless it is kept for training.
+        """
         p, (length, n) = self.p, x.shape
         # tanh gives the sigmoid of twice its argument, so the gates' inputs are halved.
-        halves = np.r_[np.full(2 * STATE, 0.5, np.float32), np.ones(STATE, np.float32)]
-        table = np.ascontiguousarray(((p["embed"] @ p[f"{d}w"] + p[f"{d}b"]) * halves).T)
-        inner, candidate = np.ascontiguousarray(p[f"{d}u"].T) * np.float32(0.5), np.ascontiguousarray(p[f"{d}c"].T)
-        states, h = np.empty((length, STATE, n), np.float32), np.zeros((STATE, n), np.float32)
-        given, more, some = (np.empty((k * STATE, n), np.float32) for k in (3, 2, 1))
+        table = (p["embed"] @ p[f"{d}w"] + p[f"{d}b"][:, None]) * np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+        inner, candidate = p[f"{d}u"] * np.float32(0.5), p[f"{d}c"]
+        out = np.ascontiguousarray(p["out"].reshape(2, STATE, -1)["fb".index(d)].T)
+        h, new, some = (np.zeros((n, STATE), np.float32) for _ in range(3))
+        given, more, own = np.empty((3, n, STATE), np.float32), np.empty((2, n, STATE), np.float32), np.empty(scores.shape[1:], np.float32)
         padded = (x == 0).any(axis=1)
         for t in range(length) if d == "f" else reversed(range(length)):
             if keep is not None:
-                given = np.empty_like(given)
+                given, new = np.empty_like(given), np.empty_like(new)
             np.take(table, x[t], axis=1, out=given, mode="clip")
-            gates, c = given[: 2 * STATE], given[2 * STATE :]
-            gates += np.matmul(inner, h, out=more)
+            gates, c = given[:2], given[2]
+            gates += np.matmul(h, inner, out=more)
             np.tanh(gates, out=gates)
             gates *= np.float32(0.5)
             gates += np.float32(0.5)
-            z, r = gates[:STATE], gates[STATE:]
-            c += candidate @ np.multiply(r, h, out=some)
+            z, r = gates
+            c += np.matmul(np.multiply(r, h, out=some), candidate, out=more[0])
             np.tanh(c, out=c)
-            new = np.subtract(c, h, out=states[t])
+            np.subtract(c, h, out=new)
             new *= z
             new += h
             if padded[t]:
-                new[:, x[t] == 0] = 0
+                new[x[t] == 0] = 0
+            scores[t] += np.matmul(out, new.T, out=own)
             if keep is not None:
-                keep.append((t, h, z, r, c))
-            h = new
-        return states
+                keep.append((t, h, z, r, c, new))
+            h, new = new, h
 
     def positions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Language probabilities (length, classes, batch)."""
-        steps = {d: [] for d in "fb"}
-        f, b = (self._read(x, d, steps[d] if keep is not None else None) for d in "fb")
-        out = np.ascontiguousarray(self.p["out"].T)
-        scores = out[:, :STATE] @ f
-        scores += out[:, STATE:] @ b
-        scores += self.p["bias"][:, None]
-        if keep is not None:
-            keep |= {"both": np.concatenate([f, b], axis=1), "steps": steps}
+        scores = np.empty((len(x), len(self.p["bias"]), x.shape[1]), np.float32)
+        scores[:] = self.p["bias"][:, None]
+        for d in "fb":
+            self._read(x, d, scores, None if keep is None else keep.setdefault(d, []))
         scores -= scores.max(axis=1, keepdims=True)
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=1, keepdims=True)
@@ -106,26 +106,28 @@ class ByteGru:
         delta[hit] -= 1
         delta *= here[:, None, :] / np.float32(total)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["out"] = np.tensordot(kept["both"], delta, ([0, 2], [0, 2]))
         g["bias"] = delta.sum(axis=(0, 2))
-        down = p["out"] @ delta
-        coded = np.zeros((256, length * n), np.float32)
-        coded[x.ravel(), np.arange(length * n)] = 1
+        by_byte = np.argsort(x, axis=None, kind="stable")
+        seen, first = np.unique(x.ravel()[by_byte], return_index=True)
         for k, d in enumerate("fb"):
-            carried, moved = np.zeros((STATE, n), np.float32), np.empty((3 * STATE, length, n), np.float32)
-            for t, h, z, r, c in reversed(kept["steps"][d]):
-                dh = (down[t, k * STATE : (k + 1) * STATE] + carried) * here[t]
+            half = slice(k * STATE, (k + 1) * STATE)
+            u, candidate = p[f"{d}u"], p[f"{d}c"]
+            carried, moved = np.zeros((n, STATE), np.float32), np.empty((3, length, n, STATE), np.float32)
+            for t, h, z, r, c, new in reversed(kept[d]):
+                g["out"][half] += (delta[t] @ new).T
+                dh = (delta[t].T @ p["out"][half].T + carried) * here[t][:, None]
                 dc = dh * z * (1 - c * c)
-                drh = p[f"{d}c"] @ dc
-                gates = np.concatenate([dh * (c - h) * z * (1 - z), drh * h * r * (1 - r)])
-                moved[: 2 * STATE, t], moved[2 * STATE :, t] = gates, dc
-                carried = dh * (1 - z) + drh * r + p[f"{d}u"] @ gates
-                g[f"{d}u"] += h @ gates.T
-                g[f"{d}c"] += (r * h) @ dc.T
-            table = coded @ moved.reshape(3 * STATE, length * n).T
+                drh = dc @ candidate.T
+                gates = np.stack([dh * (c - h) * z * (1 - z), drh * h * r * (1 - r)])
+                moved[:2, t], moved[2, t] = gates, dc
+                carried = dh * (1 - z) + drh * r + gates[0] @ u[0].T + gates[1] @ u[1].T
+                g[f"{d}u"] += h.T @ gates
+                g[f"{d}c"] += (r * h).T @ dc
+            table = np.zeros((3, 256, STATE), np.float32)
+            table[:, seen] = np.add.reduceat(moved.reshape(3, length * n, STATE)[:, by_byte], first, axis=1)
             g[f"{d}w"] = p["embed"].T @ table
-            g[f"{d}b"] = table.sum(axis=0)
-            g["embed"] += table @ p[f"{d}w"].T
+            g[f"{d}b"] = table.sum(axis=1)
+            g["embed"] += (table @ p[f"{d}w"].transpose(0, 2, 1)).sum(axis=0)
         return loss, g
 
 

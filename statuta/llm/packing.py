@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -22,9 +23,6 @@ SLICE_TEXT = 6 << 20
 SPECIAL = "<|"
 #: Documents that one task packs together; hashing makes all shards alike.
 SHARD_DOCUMENTS = 40_000
-#: Bounds of the local search (they bound its time; all documents stay packed): accepted changes for each bin of a
-#: shard, a bin's longest documents that are tried in twos, and lengths that are looked up for one exchange.
-CHANGES_PER_BIN, PAIR_ITEMS, LENGTHS_TRIED = 8, 24, 64
 
 
 class WordTokenizer:
@@ -176,87 +174,97 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, most_changes: int) -> list[list[int]]:
-    """Local search over underfull bins; every accepted change raises the sum of squared fills.
+class _Places(_Levels):
+    """Levels whose lists are heaps, so that the least entry of a level comes first."""
 
-    From the emptiest bin on, its documents move into other bins, are exchanged for a shorter one, or two are
-    exchanged for one shorter than both together, whichever fills the other bin best. An emptied bin goes. The
-    search is a heuristic within the bounds named above, which change how full sequences get, never their content.
+    def add(self, at: int, entry) -> None:
+        heappush(self.lists[at], entry)
+        self.bits |= 1 << at
+
+    def least(self, at: int, valid) -> object:
+        """The least valid entry; stale ones before it go."""
+        held = self.lists[at]
+        while held and not valid(held[0]):
+            heappop(held)
+        if not held:
+            self.bits &= ~(1 << at)
+            return None
+        return held[0]
+
+
+def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Local search over underfull bins until no change helps; every change raises the sum of squared fills.
+
+    Bins are visited from the emptiest on, again and again. A visited bin's document moves into another bin, one
+    is exchanged for a shorter one, or two are exchanged for one shorter than both together: each time into the
+    fullest bin that has room. An emptied bin goes. The search ends when no bin has such a change left, since the
+    sum of squared fills is whole, grows with each and is bounded. Documents of equal length stand for each other,
+    and a bin has under sqrt(2 capacity) different lengths, so all its ones and twos are tried.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     where = {i: k for k, b in enumerate(bins) for i in b}
-    #: Bins by room; documents by what could take their place (their own length and their bin's room).
-    rooms, places = _Levels(capacity), _Levels(capacity)
+    #: Bins by room; documents, the shortest first, by what could take their place (their length and their bin's room).
+    rooms, places = _Levels(capacity), _Places(capacity)
 
     def enter(k: int) -> None:
         if 0 < fill[k] < capacity:
             rooms.add(capacity - fill[k], k)
             for i in bins[k]:
-                places.add(size[i] + capacity - fill[k], i)
-
-    def leave_and_enter(*changed: int) -> None:
-        for k in changed:
-            enter(k)
+                places.add(size[i] + capacity - fill[k], (size[i], i))
+
+    def offers(k: int) -> list[tuple[int, tuple[int, ...]]]:
+        """What the bin can give: its lengths, then the sums of two, each once and the longest first."""
+        of: dict[int, list[int]] = {}
+        for i in bins[k]:
+            of.setdefault(size[i], []).append(i)
+        each = sorted(of, reverse=True)
+        twos = {x + y: (of[x][0], of[y][x == y]) for n, x in enumerate(each) for y in each[n:] if x != y or len(of[x]) > 1}
+        return [(x, (of[x][0],)) for x in each] + sorted(twos.items(), reverse=True)
+
+    def change(poor: int) -> tuple[int, tuple[int, ...], int | None] | None:
+        """Bin that receives, documents that go there and the one that comes back, if any."""
+        given = offers(poor)
+        for total, out in given:
+            if len(out) > 1:
+                break
+            at = rooms.first(total)
+            while 0 <= at < capacity + total - fill[poor]:
+                k = rooms.last_entry(at, lambda k: capacity - fill[k] == at and k != poor)
+                if k is not None:
+                    return k, out, None
+                at = rooms.first(at + 1)
+        for total, out in given:
+            at = places.first(total)
+            while 0 <= at < capacity + total - fill[poor]:
+                found = places.least(at, lambda e: where[e[1]] != poor and e[0] + capacity - fill[where[e[1]]] == at)
+                if found and found[0] < total:
+                    return where[found[1]], out, found[1]
+                at = places.first(at + 1)
+        return None
 
     for k in sorted(range(len(bins)), key=lambda k: -fill[k]):
         enter(k)
-    changes = 0
-    for poor in sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k]):
-        if changes >= most_changes:
-            break
-        moved = True
-        while moved and bins[poor] and changes < most_changes:
-            moved = False
-            own = sorted(bins[poor], key=lambda i: -size[i])
-            for i in own:  # move
-                at = rooms.first(size[i])
-                while at >= 0:
-                    k = rooms.last_entry(at, lambda k: capacity - fill[k] == at and k != poor and fill[k] > 0)
-                    if k is not None:
-                        break
-                    at = rooms.first(at + 1)
-                if at >= 0 and fill[k] + size[i] > fill[poor]:
-                    bins[poor].remove(i)
-                    bins[k].append(i)
-                    where[i] = k
-                    fill[poor] -= size[i]
-                    fill[k] += size[i]
-                    moved = True
-                    leave_and_enter(k, poor)
-                    break
-            if moved:
-                changes += 1
-                continue
-            given = [(size[i], (i,)) for i in own] + [(size[a] + size[b], (a, b)) for n, a in enumerate(own[:PAIR_ITEMS]) for b in own[n + 1 : PAIR_ITEMS]]
-            for total, out in given:  # exchange one or two for one
-                if total > capacity:
-                    continue
-                at, tries = places.first(total), 0
-                while 0 <= at and tries < LENGTHS_TRIED:
-                    tries += 1
-                    j = places.last_entry(at, lambda j: size[j] + capacity - fill[where[j]] == at and where[j] != poor)
-                    if j is not None and size[j] < total and fill[where[j]] + total - size[j] > fill[poor]:
-                        break
-                    at = places.first(at + 1)
-                else:
-                    at = -1
-                if at < 0:
-                    continue
-                k = where[j]
+    changed = True
+    while changed:
+        changed = False
+        for poor in sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k]):
+            while bins[poor] and fill[poor] < capacity and (found := change(poor)):
+                k, out, back = found
                 for i in out:
                     bins[poor].remove(i)
                     bins[k].append(i)
                     where[i] = k
-                bins[k].remove(j)
-                bins[poor].append(j)
-                where[j] = poor
-                fill[k] += total - size[j]
-                fill[poor] -= total - size[j]
-                leave_and_enter(k, poor)
-                changes += 1
-                moved = True
-                break
+                if back is not None:
+                    bins[k].remove(back)
+                    bins[poor].append(back)
+                    where[back] = poor
+                net = sum(size[i] for i in out) - (0 if back is None else size[back])
+                fill[k] += net
+                fill[poor] -= net
+                enter(k)
+                changed = True
+            enter(poor)  # its entries were stale while it was visited
     return [b for b in bins if b]
 
 
@@ -276,7 +284,7 @@ def pack(parts: DataFrame, documents: int, length: int = 2048, id_col: str = "do
         whole = lengths >= length
         small = np.flatnonzero(~whole)
         bins = best_fit(lengths[small], length)
-        bins = swap_search(lengths[small], bins, length, CHANGES_PER_BIN * len(bins) + 1000)
+        bins = swap_search(lengths[small], bins, length)
         sequence, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
         for number, held in enumerate(bins):
             items = small[np.sort(np.array(held))]

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -103,10 +104,26 @@ def test_packing_is_gapless_and_tight(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_swap_search_ends_where_no_change_helps():
+    rng = np.random.default_rng(4)
+    for top, capacity in ((9, 10), (12, 20), (30, 64), (64, 64)):
+        lengths = rng.integers(1, top, 60)
+        start = packing.best_fit(lengths, capacity)
+        bins = packing.swap_search(lengths, start, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(60)) and len(bins) <= len(start)
+        fill = [int(lengths[b].sum()) for b in bins]
+        assert max(fill) <= capacity
+        for p, k in permutations(range(len(bins)), 2):
+            twos = [int(lengths[i] + lengths[j]) for i, j in combinations(bins[p], 2)]
+            ones = [int(lengths[i]) for i in bins[p]]
+            net = set(ones) | {x - int(lengths[j]) for x in ones + twos for j in bins[k]}
+            assert not any(0 < n <= capacity - fill[k] and fill[k] + n > fill[p] for n in net)
+
+
 def test_swap_search_empties_bins():
     lengths = np.array([6, 6, 5, 5, 5, 4, 4, 3, 3, 3, 3, 3])  # best fit decreasing may leave gaps in bins of 10
     start = [[k] for k in range(len(lengths))]
-    bins = packing.swap_search(lengths, start, 10, 1000)
+    bins = packing.swap_search(lengths, start, 10)
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(lengths[b].sum() <= 10 for b in bins) and len(bins) <= 6
 

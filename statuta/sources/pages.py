@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.korean import IN_FORCE, dates_in
+from statuta.functions.lineage import cut
 from statuta.functions.text import strip
 from statuta.sources import markup
 from statuta.sources.markup import Element
@@ -147,39 +148,62 @@ def statutes(pages: DataFrame, html: str = "html") -> DataFrame:
     return markup.read(pages, _statute, STATUTE, html)
 
 
+#: Items are of this kind, whatever they come from.
+ITEM = "struct<id:string,title:string,body:string,effective_date:date,superseded_date:date,supersedes:string>"
+
+
 def statute_items(found: DataFrame) -> DataFrame:
-    """Items (id, title, body, effective_date, superseded_date, supersedes) of parsed statute pages: articles, upcoming versions, addenda."""
-    articles = found.select("law_id", "law_name", "effective_date", F.explode("articles").alias("a")).select("law_id", "law_name", "effective_date", "a.*")
-    addenda = found.select("law_id", "law_name", F.explode("addenda").alias("a")).select("law_id", "law_name", F.col("a.id").alias("addendum_id"), "a.body")
-    none = lambda kind: F.lit(None).cast(kind)
-    more = addenda_items(addenda).select("id", "title", "body", none("date").alias("effective_date"), none("date").alias("superseded_date"), none("string").alias("supersedes"))
-    return versioned_items(articles).union(more)
+    """Items (id, title, body, effective_date, superseded_date, supersedes) of parsed statute pages: articles, upcoming versions, addenda.
+
+    Pages are gone through once, since reading them is most of the work.
+    """
+    articles = F.transform("articles", lambda a: _versions(F.col("law_id"), F.col("law_name"), F.col("effective_date"), a.__getitem__))
+    addenda = F.transform("addenda", lambda a: F.array(_addendum_item(F.col("law_id"), F.col("law_name"), a["id"], a["body"])))
+    either = lambda items: F.coalesce(items, F.array().cast(f"array<array<{ITEM}>>"))
+    return found.select(F.inline(F.flatten(F.concat(either(articles), either(addenda)))))
 
 
 def statute_documents(items: DataFrame, origin: str = "law") -> tuple[DataFrame, DataFrame]:
     """Items as documents (the columns of entities, and origin) and relations (src, type, dst), as a sync takes them."""
+    items = cut(items)  # a sync reads both tables more than once
     own = F.concat(F.lit("law:"), F.col("id"))
     documents = items.select(own.alias("entity_id"), F.lit("law").alias("type"), "title", "body", "effective_date", "superseded_date", F.array(F.lit("ALL")).alias("allowed_depts"), F.lit("").alias("source"), F.lit(origin).alias("origin"))
     return documents, items.where("supersedes is not null").select(own.alias("src"), F.lit("supersedes").alias("type"), F.col("supersedes").alias("dst"))
 
 
+def _item(*values: Column) -> Column:
+    names = [part.split(":")[0] for part in ITEM.removeprefix("struct<").removesuffix(">").split(",")]
+    return F.struct(*[value.alias(name) for value, name in zip(values, names)]).cast(ITEM)
+
+
+def _versions(law_id: Column, law_name: Column, effective_date: Column, of: Callable[[str], Column]) -> Column:
+    """Array of an article's items; ``of`` gives its fields."""
+    base = F.concat_ws("-", law_id, of("jo_no").cast("string"), of("jo_br_no").cast("string"))
+    item = lambda at: F.concat(base, F.lit("@"), at.cast("string"))
+    named = lambda title: strip(F.concat_ws(" ", law_name, title))
+    none, until = F.lit(None), of("upcoming_date")
+    current = _item(item(effective_date), named(of("title")), of("body"), effective_date, F.when(of("upcoming"), until), none)
+    coming = _item(item(until), named(of("upcoming_title")), of("upcoming_body"), until, none, F.concat(F.lit("law:"), item(effective_date)))
+    return F.when(of("upcoming") & until.isNotNull(), F.array(current, coming)).otherwise(F.array(current))
+
+
+def _addendum_item(law_id: Column, law_name: Column, addendum_id: Column, body: Column) -> Column:
+    none = F.lit(None)
+    return _item(F.concat_ws("-", law_id, F.lit("ar"), addendum_id), F.concat(law_name, F.lit(" 부칙")), body, none, none, none)
+
+
 def versioned_items(articles: DataFrame) -> DataFrame:
     """Items of articles (law_id, law_name, jo_no, jo_br_no, title, body, effective_date, upcoming, upcoming_title, upcoming_body, upcoming_date).
 
     Each article has its current version, closed by the upcoming one's date, and the upcoming one, which
     supersedes it; an upcoming version without a date is left out.
     """
-    base = F.concat_ws("-", "law_id", F.col("jo_no").cast("string"), F.col("jo_br_no").cast("string"))
-    item = lambda at: F.concat(base, F.lit("@"), at.cast("string"))
-    named = lambda title: strip(F.concat_ws(" ", "law_name", title))
-    current = articles.select(item(F.col("effective_date")).alias("id"), named("title").alias("title"), F.col("body"), F.col("effective_date"), F.when(F.col("upcoming"), F.col("upcoming_date")).alias("superseded_date"), F.lit(None).cast("string").alias("supersedes"))
-    coming = articles.where("upcoming and upcoming_date is not null").select(item(F.col("upcoming_date")).alias("id"), named("upcoming_title").alias("title"), F.col("upcoming_body").alias("body"), F.col("upcoming_date").alias("effective_date"), F.lit(None).cast("date").alias("superseded_date"), F.concat(F.lit("law:"), item(F.col("effective_date"))).alias("supersedes"))
-    return current.union(coming)
+    return articles.select(F.inline(_versions(F.col("law_id"), F.col("law_name"), F.col("effective_date"), F.col)))
 
 
 def addenda_items(addenda: DataFrame) -> DataFrame:
     """Items of addenda (law_id, law_name, addendum_id, body)."""
-    return addenda.select(F.concat_ws("-", "law_id", F.lit("ar"), "addendum_id").alias("id"), F.concat("law_name", F.lit(" 부칙")).alias("title"), "body")
+    return addenda.select(_addendum_item(F.col("law_id"), F.col("law_name"), F.col("addendum_id"), F.col("body")).alias("a")).select("a.id", "a.title", "a.body")
 
 
 def _own(table: Element, tag: str, **attributes: str) -> list[Element]:

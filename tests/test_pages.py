@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from statuta.sources import pages
+from statuta.sources import markup, pages
 
 BODY = """<div id="bodyContentTOP"><input type="hidden" value="L7" id="lsId"/><input id="lsNm" type="hidden" value="A &amp; B법"/><input id="efYd" value="20240102"/><input id="ancYd" value="bad"/>
 <div id="conScroll"><p class="gtit">제1장 총칙</p><a name="J1:0" class="x"></a><div class="pgroup"><div class="lawcon"><p class="pty1_p4"><span class="bl"><label>제1조(목적)</label></span> 이 법은 <a href="#">목적</a>을 정한다.</p><p> </p><p class="pty1_de2">1. 첫째 &lt;호&gt;</p></div></div>
@@ -85,3 +85,26 @@ def test_left_listing(spark):
     html = f"<a title=outside></a><div id=listDiv><ul>{row(0, '가 &amp; 법', '2023. 9. 14.')}<li id=liBgcolor1><a>untitled</a></li>{row(2, '나법', '2099. 1. 1.')}{row(3, '다법', '2024. 13. 1.')}</ul></div>"
     found = pages.left_listing(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), F.lit("2024-01-01").cast("date")).collect()
     assert [tuple(r)[1:] for r in found] == [(1, "liBgcolor0", "가 & 법", dt.date(2023, 9, 14), False), (3, "liBgcolor2", "나법", dt.date(2099, 1, 1), True), (4, "liBgcolor3", "다법", None, False)]
+
+
+def test_statute_pages_are_read_once(spark):
+    """Articles, upcoming versions and addenda come from one reading of the pages (three before)."""
+    found = pages.statute_items(pages.statutes(spark.createDataFrame([(1, "<p>x</p>")], "page_id bigint, html string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_tree_is_released():
+    """A released tree needs no collector, so trees do not pile up."""
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        before = sum(isinstance(x, markup.Element) for x in gc.get_objects())
+        root = markup.tree("<div><p>a<b>c</b></p></div>" * 50)
+        root.release()
+        del root
+        assert sum(isinstance(x, markup.Element) for x in gc.get_objects()) == before
+    finally:
+        gc.enable()

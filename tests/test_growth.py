@@ -40,3 +40,13 @@ def test_a_model_s_rows_go_on_in_parts():
     parts = list(vectors._modelled([batch], lambda texts: asked.append(len(texts)) or [[1.0]] * len(texts), 64))
     assert [len(ids) for ids, _ in parts] == [len(found) for _, found in parts] == [1000, 1000, 500]
     assert sum(asked) == 2500 and max(asked) == 64
+
+
+def test_best_ranks_without_fusing_all(spark):
+    """Where few first ranks are not enough to be sure, all hits of the request are fused."""
+    from statuta.plans.queries_retrieval import retrieval
+
+    run = retrieval(spark, SF, unlimited=True)
+    whole = {r["query_id"]: r["n"] for r in run.pool.where("type = 'law'").groupBy("query_id").agg(F.min("pool_rank").alias("n")).collect()}
+    for probe in (1, 40):
+        assert {r["query_id"]: r["true_rank"] for r in run.best_ranks("law", probe).collect()} == whole

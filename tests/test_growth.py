@@ -50,3 +50,9 @@ def test_best_ranks_without_fusing_all(spark):
     whole = {r["query_id"]: r["n"] for r in run.pool.where("type = 'law'").groupBy("query_id").agg(F.min("pool_rank").alias("n")).collect()}
     for probe in (1, 40):
         assert {r["query_id"]: r["true_rank"] for r in run.best_ranks("law", probe).collect()} == whole
+
+
+def test_title_substrings_has_a_row_a_query(spark):
+    """Pairs of needles and titles would grow with the square of the rows."""
+    found = entry.queries()["title_substrings"](spark, SF).collect()
+    assert len(found) == len({r["doc_id"] for r in found}) and all(r["doc_id"] % 50 == 0 for r in found)

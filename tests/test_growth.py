@@ -56,3 +56,21 @@ def test_title_substrings_has_a_row_a_query(spark):
     """Pairs of needles and titles would grow with the square of the rows."""
     found = entry.queries()["title_substrings"](spark, SF).collect()
     assert len(found) == len({r["doc_id"] for r in found}) and all(r["doc_id"] % 50 == 0 for r in found)
+
+
+def test_texts_are_searched_without_postings(spark, monkeypatch):
+    """Ties, widths, types and blocks of a text search against all scores over the postings; no posting is shuffled."""
+    from statuta.operators import lexical
+
+    for name, size in (("QUERY_BLOCK", 3), ("DOC_BLOCK", 40), ("CELLS", 60)):
+        monkeypatch.setattr(lexical, name, size)
+    rows = [(f"{('law', 'faq')[k % 2]}:{k}", " ".join(["담보대출 Loan"] * (k % 3) + [f"w{k % 7}", f"x{k}"]) if k % 11 else "?!") for k in range(150)]
+    docs = spark.createDataFrame(rows, "entity_id string, text string")
+    asked = [(q, ["담보 w1 w2", "loan x5", "없는 말", "W3 대출 w3", None][q % 5], [None, ["faq"], [], ["law", "faq"]][q % 4], [1, 5, 60, None][q % 4 if q < 16 else 1]) for q in range(20)]
+    requests = spark.createDataFrame(asked, "query_id int, query string, source_types array<string>, n int")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["entity_id"], r["score"]) for r in df.collect())
+    wanted = lexical.bm25(requests, lexical.postings(docs, F.col("text")), None).join(requests.select("query_id", "n"), "query_id").where("n is null or rank <= n")
+    for most in (50_000, 2):  # with more asked terms than that, documents keep all of their terms
+        monkeypatch.setattr(lexical, "MOST_ASKED", most)
+        assert key(lexical.TextSearch(requests, docs, F.col("text"), F.col("n")).hits) == key(wanted)
+    assert not any("entity_id" in line for line in shuffles(lexical.postings(docs, F.col("text"))))

@@ -74,3 +74,10 @@ def test_texts_are_searched_without_postings(spark, monkeypatch):
         monkeypatch.setattr(lexical, "MOST_ASKED", most)
         assert key(lexical.TextSearch(requests, docs, F.col("text"), F.col("n")).hits) == key(wanted)
     assert not any("entity_id" in line for line in shuffles(lexical.postings(docs, F.col("text"))))
+
+
+def test_grams_in_a_table_or_sorted(monkeypatch):
+    texts = ["", "a", "😀", "ab", "가나다 ab😀ab", "aaaa", "x" * 300 + "가"]
+    table = vectors._gram_sums(texts)
+    monkeypatch.setattr(vectors, "GRAM_CELLS", 0)
+    assert (table == vectors._gram_sums(texts)).all() and table[5].tolist() == [3 * x + 2 * y for x, y in zip(vectors._gram_sums(["aa"])[0], vectors._gram_sums(["aaa"])[0] - 2 * vectors._gram_sums(["aa"])[0])]

@@ -23,6 +23,8 @@ TABLES = {
     "postings": "term string, entity_id string, tf bigint, doc_len bigint",
     "vectors": "entity_id string, places array<int>, weights array<double>",
 }
+#: Origins up to which a list of them goes to all tasks.
+MOST_ORIGINS = 100_000
 COLUMNS = tuple(c.split(" ")[0] for c in ENTITIES.split(", "))
 
 
@@ -101,6 +103,8 @@ class KnowledgeTables:
         asked = (none if status is None else status.select("origin", "fetch_error")).unionByName(documents.select("origin"), allowMissingColumns=True)
         marks = cut(asked.groupBy("origin").agg(F.min("fetch_error").alias("fetch_error")))
         bad = marks.where("fetch_error is not null")
+        if marks.count() <= MOST_ORIGINS:  # else documents, texts and all, are dealt to as many tasks as there are origins
+            bad = F.broadcast(bad)
         given = relations.groupBy("src").agg(F.sort_array(F.collect_set(F.struct("type", "dst"))).alias("given"))
         rows = ingest_entities(documents.join(bad, "origin", "left_anti")).join(given, F.col("entity_id") == F.col("src"), "left")
         content = F.to_json(F.struct(*COLUMNS, "given"), {"ignoreNullFields": "false"})

@@ -81,3 +81,18 @@ def test_grams_in_a_table_or_sorted(monkeypatch):
     table = vectors._gram_sums(texts)
     monkeypatch.setattr(vectors, "GRAM_CELLS", 0)
     assert (table == vectors._gram_sums(texts)).all() and table[5].tolist() == [3 * x + 2 * y for x, y in zip(vectors._gram_sums(["aa"])[0], vectors._gram_sums(["aaa"])[0] - 2 * vectors._gram_sums(["aa"])[0])]
+
+
+def test_sync_does_not_deal_texts_by_origin(spark, tmp_path, monkeypatch):
+    """There are few origins, so a task would get all texts of one."""
+    from statuta.operators import knowledge
+
+    plans, cut = [], knowledge.cut
+    monkeypatch.setattr(knowledge, "cut", lambda df: ("body" in df.columns and plans.append(df._jdf.queryExecution().sparkPlan().toString())) or cut(df))
+    docs = spark.createDataFrame([(f"faq:{k}", "faq", "t", f"b {k}", None, None, ["ALL"], "s", "ab"[k % 2]) for k in range(4)], f"{knowledge.ENTITIES}, origin string")
+    status = spark.createDataFrame([("b", "down")], "origin string, fetch_error string")
+    held = knowledge.KnowledgeTables(spark, f"file://{tmp_path}/kb")
+    report = {r["origin"]: (r["added"], r["ok"]) for r in held.sync(docs, spark.createDataFrame([], knowledge.EDGES), status).collect()}
+    assert report == {"a": (2, True), "b": (0, False)}
+    joins = [line for p in plans for line in p.splitlines() if "LeftAnti" in line]
+    assert joins and all("Broadcast" in line for line in joins if "origin" in line)

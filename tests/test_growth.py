@@ -1,5 +1,7 @@
 """What a step shuffles or holds must not grow faster than its input."""
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -96,3 +98,50 @@ def test_sync_does_not_deal_texts_by_origin(spark, tmp_path, monkeypatch):
     assert report == {"a": (2, True), "b": (0, False)}
     joins = [line for p in plans for line in p.splitlines() if "LeftAnti" in line]
     assert joins and all("Broadcast" in line for line in joins if "origin" in line)
+
+
+def test_a_cache_of_vectors_is_read_once(spark):
+    """The model sees what makes up the cache and what that lacks, each text once."""
+    seen = spark.sparkContext.accumulator(0)
+    model = vectors.Embedder("m", 2, lambda texts: seen.add(len(texts)) or [[float(len(t)), 0.0] for t in texts], batch=2)
+    docs = spark.createDataFrame([(f"faq:{k}", "t", "b" * k, ["ALL"]) for k in range(6)] + [(None, "t", "b", None)], "entity_id string, title string, body string, allowed_depts array<string>")
+    older = docs.where("entity_id <> 'faq:5'").withColumn("body", F.when(F.col("entity_id") == "faq:4", "old").otherwise(F.col("body")))
+    found = model.document_vectors(docs, model.document_vectors(older), "allowed_depts").collect()
+    assert sorted((r["entity_id"], *r["places"], *r["weights"], *r["allowed_depts"]) for r in found) == [(f"faq:{k}", 0, 1, 1.0, 0.0, "ALL") for k in range(6)]
+    assert seen.value == 5 + 2
+
+
+def test_titles_are_searched_once(spark):
+    from statuta.plans.queries_retrieval import retrieval
+
+    run, seen = retrieval(spark, SF), spark.sparkContext.accumulator(0)
+    wanted = {tuple(r) for r in run.cited.collect()}
+    rows = run.entities.withColumn("title", F.udf(lambda t: seen.add(1) or t).asNondeterministic()("title"))
+    assert {tuple(r) for r in replace(run, entities=rows).cited.collect()} == wanted and wanted
+    assert seen.value == rows.count()
+
+
+def test_a_title_does_not_cut_the_text_into_words(spark):
+    from statuta.sources import adapter
+
+    rows = adapter.entities(spark, SF)
+    assert "split" not in plan(rows)
+    words = adapter.read(spark, SF, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)).alias("word"))
+    assert rows.join(words, "doc_id").where(~F.col("title").endswith(F.concat(F.lit("조("), "word", F.lit(")")))).isEmpty()
+
+
+def test_words_are_found_in_bytes(spark):
+    """Scripts beside Hangul, parts of a table and neighbouring texts; no term of a text search is a string."""
+    from statuta.functions.text import tokens
+    from statuta.operators import lexical
+
+    texts = ["", "a", "가", "", "가나다 ab9가나😀힣", "각가\n가각", "ꯣ가힤ㄱ나é ß x９y", "_z", "나"]
+    words, row = lexical._words(pa.array(["z나", *texts, "가z"]).slice(1, len(texts)))
+    found = sorted(zip(row.tolist(), words.to_pylist()))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", F.explode(tokens(F.col("text"))))
+    assert found == sorted(map(tuple, rows.collect()))
+    docs = spark.createDataFrame([("faq:1", "가나 ab x")], "entity_id string, text string")
+    asked = spark.createDataFrame([(1, "나 가나 AB", None)], "query_id int, query string, source_types array<string>")
+    search = lexical.TextSearch(asked, docs, F.col("text"), F.lit(5))
+    kept = search.counted.first()
+    assert kept["doc_len"] == 4 and [(search.numbered[t].as_py(), n) for t, n in sorted(zip(kept["terms"], kept["tfs"]), key=lambda x: search.numbered[x[0]].as_py())] == [("ab", 1), ("가나", 2)]

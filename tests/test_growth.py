@@ -145,3 +145,58 @@ def test_words_are_found_in_bytes(spark):
     search = lexical.TextSearch(asked, docs, F.col("text"), F.lit(5))
     kept = search.counted.first()
     assert kept["doc_len"] == 4 and [(search.numbered[t].as_py(), n) for t, n in sorted(zip(kept["terms"], kept["tfs"]), key=lambda x: search.numbered[x[0]].as_py())] == [("ab", 1), ("가나", 2)]
+
+
+def test_ranks_without_writing_hits(spark, monkeypatch):
+    """Leading hits and ranks of any hit against all hits, in slices of a few rows, requests and pairs, with many ties."""
+    from statuta.operators import lexical, ranks
+
+    for name, size in (("ASKED_SLICE", 2), ("ROWS_SLICE", 7), ("MOST_LISTED", 50)):
+        monkeypatch.setattr(ranks, name, size)
+    rows = [(f"{('law', 'faq')[k % 2]}:{k}", " ".join(["loan"] * (k % 3) + [f"w{k % 7}"] + ["x"] * (k % 2)) if k % 11 else "") for k in range(90)]
+    docs = spark.createDataFrame(rows, "entity_id string, text string")
+    requests = spark.createDataFrame([(1, "loan w1 w2", None), (2, "x loan", ["faq"]), (3, "w3", []), (4, "none", None), (5, "w5 x", ["law", "faq"])], "query_id int, query string, source_types array<string>")
+    hits = [tuple(r) for r in lexical.bm25(requests, lexical.postings(docs, F.col("text")), None).select("query_id", "entity_id", "rank").collect()]
+    channel = lexical.TextSearch(requests, docs, F.col("text"), None).channel
+    every = {q: [x for x in hits if x[0] == q] for q in (1, 2, 5)}
+    for least in (1, 5, 90):
+        found, depth = channel.leading(requests.where("query_id <> 5"), F.lit(least))
+        found = {tuple(r) for r in found.select("query_id", "entity_id", "rank").collect()}
+        known = {r["query_id"]: (r["depth"], r["total"]) for r in depth.collect()}
+        assert set(known) == {1, 2} and all(n == len(every[q]) and min(least, n) <= d for q, (d, n) in known.items())
+        assert found == {x for q in (1, 2) for x in every[q] if x[2] <= known[q][0]}
+    pairs = [(q, i) for q in range(1, 6) for i, _ in rows if (q + int(i.split(":")[1])) % 3]
+    asked = spark.createDataFrame(pairs, "query_id int, entity_id string")
+    assert sorted(map(tuple, channel.ranks(asked).collect())) == sorted(x for x in hits if x[:2] in set(pairs))
+
+
+def test_diagnosis_does_not_write_all_hits(spark):
+    """Hits of a run without a width are as many as requests times documents."""
+    from statuta.plans.queries_retrieval import retrieval
+
+    run = retrieval(spark, SF, unlimited=True)
+    narrow, whole = run.limited(), retrieval(spark, SF)
+    few = {tuple(r) for r in narrow.hits.select("query_id", "entity_id", "rank", "reason").collect()}
+    assert few == {tuple(r) for r in whole.channel_hits.select("query_id", "entity_id", "rank", "reason").collect()}
+    found, spare = run._leading(1, run.requests)
+    assert found.count() < run.requests.count() * 200 and not spare.isEmpty()
+    run.best_ranks("law", 8).collect()
+    assert "channel_hits" not in run.__dict__ and "pool" not in run.__dict__
+
+
+def test_diagnosis_ends_without_a_document_of_the_type(spark):
+    """Requests that can see none are done at once; those whose chain of the type comes late go on with more hits."""
+    from datetime import date as day
+
+    from statuta.plans.retrieve import Retrieval
+
+    docs = [(f"faq:{k}", "faq", "t", "loan " * 3 + f"w{k}", day(2020, 1, 1), None, ["ALL"], "s") for k in range(60)]
+    docs += [("law:1", "law", "t", "loan " + "other " * 30, day(2021, 1, 1), None, ["IB"], "s"), ("law:2", "law", "t", "nothing", day(2020, 1, 1), None, ["WM"], "s")]
+    entities = spark.createDataFrame(docs, "entity_id string, type string, title string, body string, effective_date date, superseded_date date, allowed_depts array<string>, source string")
+    edges = spark.createDataFrame([("faq:2", "supersedes", "faq:1")], "src string, type string, dst string")
+    asked = [(1, "loan", "IB", day(2022, 1, 1), 1, None), (2, "loan", "IB", day(2020, 6, 1), 1, None), (3, "loan", "WM", day(2022, 1, 1), 1, None), (4, "loan", "IB", day(2022, 1, 1), 1, ["faq"])]
+    requests = spark.createDataFrame(asked, "query_id int, query string, dept string, as_of date, top_k int, source_types array<string>")
+    run = Retrieval(requests, entities, edges, unlimited=True)
+    assert {r["query_id"] for r in run._may_find("law").collect()} == {1, 3}
+    whole = {r["query_id"]: r["n"] for r in run.pool.where("type = 'law'").groupBy("query_id").agg(F.min("pool_rank").alias("n")).collect()}
+    assert {r["query_id"]: r["true_rank"] for r in run.best_ranks("law", 1).collect()} == whole == {1: 60}

@@ -200,3 +200,27 @@ def test_diagnosis_ends_without_a_document_of_the_type(spark):
     assert {r["query_id"] for r in run._may_find("law").collect()} == {1, 3}
     whole = {r["query_id"]: r["n"] for r in run.pool.where("type = 'law'").groupBy("query_id").agg(F.min("pool_rank").alias("n")).collect()}
     assert {r["query_id"]: r["true_rank"] for r in run.best_ranks("law", 1).collect()} == whole == {1: 60}
+
+
+def test_title_substrings_finds_every_pair(spark):
+    """The needle of every third document, whether found in one title or in all, with each title that contains it."""
+    from statuta.sources import adapter
+
+    titles = {r["doc_id"]: (r["entity_id"], r["title"]) for r in adapter.entities(spark, SF).select("doc_id", "entity_id", "title").collect()}
+    needles = {k: t[k % 9 : k % 9 + k // 3 % 40 + 1] for k, (_, t) in titles.items() if k % 3 == 0}
+    needles = {k: n[::-1] if k % 4 == 3 else n for k, n in needles.items() if n}
+    expected = sorted((k, n, i) for k, n in needles.items() for i, t in titles.values() if n in t)
+    assert sorted(map(tuple, entry.queries()["title_substrings"](spark, SF).collect())) == expected and len(expected) > len(needles)
+
+
+def test_a_needle_that_many_have_is_not_one_task_s(spark):
+    from statuta.operators.titles import SALTS, title_matches
+
+    needles = spark.createDataFrame([(k, "법" if k % 2 else ["", None, "none", "법 제1"][k % 4]) for k in range(40)], "k int, needle string")
+    titles = spark.createDataFrame([(f"law:{k}", "law", f"법 제{k}" if k % 5 else None) for k in range(50)], "entity_id string, type string, title string")
+    pairs = title_matches(needles, titles)
+    found = sorted(map(tuple, pairs.select("k", "needle", "entity_id", "title").collect()))
+    assert found == sorted((r["k"], r["needle"], t["entity_id"], t["title"]) for r in needles.collect() if r["needle"] for t in titles.collect() if t["title"] and r["needle"] in t["title"])
+    assert SALTS > 1 and pairs.columns == ["needle", "k", "entity_id", "type", "title"]
+    first = next(line for line in plan(pairs).splitlines() if "Join Inner" in line)
+    assert "needle" in first and "salt" in first
